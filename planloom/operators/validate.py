@@ -12,6 +12,7 @@ from planloom.plans.domains import Domain
 from planloom.schemas import (
     ACTIONS_SEEN_BUCKETS,
     BAD_OPERATOR,
+    MISSING_PROBLEM,
     PLAN_CLASSES,
     PRECONDITION,
     TYPE_CHECKING,
@@ -86,6 +87,21 @@ def classify(
     )
 
 
+def with_problems(
+    classified: DataFrame, problems: DataFrame, hot_problems: DataFrame | None
+) -> DataFrame:
+    """Plans whose ``problem_id`` is not among ``problems`` get a class of their own."""
+    known = problems.select("problem_id", F.lit(True).alias("is_known"))
+    joined = lookup(classified, known, "problem_id", hot_problems)
+    missing = F.col("is_known").isNull()
+    return joined.select(
+        "plan_id",
+        "problem_id",
+        F.when(missing, F.lit(MISSING_PROBLEM)).otherwise(F.col("class")).alias("class"),
+        F.when(~missing, F.col("step")).alias("step"),
+    )
+
+
 def precondition_failures(classified: DataFrame) -> DataFrame:
     """Plans that fail on a precondition, with the step: ``plan_id, actions_seen, step``."""
     failed = classified.filter(F.col("class") == PRECONDITION)

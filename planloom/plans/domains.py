@@ -41,6 +41,7 @@ class Domain:
     name: str
     actions: tuple[Action, ...]
     parents: dict[str, str] = field(default_factory=dict)
+    prefixes: dict[str, str] = field(default_factory=dict)  # object-name letters -> type
 
     def action(self, name: str) -> Action:
         return next(a for a in self.actions if a.name == name)
@@ -71,11 +72,22 @@ class Domain:
         return accepted
 
 
+    def predicates(self) -> list[str]:
+        atoms = {a[0] for action in self.actions for a in action.pre + action.add + action.delete}
+        return sorted(predicate_token(p) for p in atoms)
+
+    def named_type(self, name: Column, wanted: str) -> Column:
+        """Whether the letters of an object name stand for a type that fits."""
+        fitting = [p for p, kind in self.prefixes.items() if kind in self.accepted_types(wanted)]
+        return F.regexp_extract(name, r"^([a-z]+)\d", 1).isin(fitting)
+
+
 def predicate_token(predicate: str) -> str:
     return predicate.replace("-", "").lower()
 
 
-# The logistics domain, its type tree and its six actions.
+# The logistics domain, its type tree, the prefixes of its object names
+# and its six actions.
 LOGISTICS = Domain(
     name="logistics",
     parents={
@@ -89,6 +101,14 @@ LOGISTICS = Domain(
         "place": "object",
         "physobj": "object",
     },
+    prefixes={
+        "pos": "location",
+        "tru": "truck",
+        "obj": "package",
+        "apn": "airplane",
+        "apt": "airport",
+        "cit": "city",
+    },
     actions=(
         Action(
             "LOAD-TRUCK",
@@ -135,11 +155,13 @@ LOGISTICS = Domain(
     ),
 )
 
-# The object-name prefixes of the logistics domain.
-LOGISTICS_OBJECTS = ("pos", "tru", "obj", "apn", "apt", "cit")
+LOGISTICS_OBJECTS = tuple(LOGISTICS.prefixes)
+
+_SHIPPING_PREFIXES = {"part": "part", "supp": "supplier", "cust": "customer"}
 
 SHIPPING = Domain(
     name="shipping",
+    prefixes=_SHIPPING_PREFIXES,
     actions=(
         Action(
             "SHIP-PART",
@@ -158,11 +180,12 @@ SHIPPING = Domain(
     ),
 )
 
-SHIPPING_OBJECTS = ("part", "supp", "cust")
+SHIPPING_OBJECTS = tuple(_SHIPPING_PREFIXES)
 
 # The shipping actions with static preconditions that bind every parameter.
 SHIPPING_BOUND = Domain(
     name="shipping-bound",
+    prefixes=_SHIPPING_PREFIXES,
     actions=(
         Action(
             "SHIP-PART",

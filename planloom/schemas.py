@@ -34,6 +34,8 @@ PLAN_CLASSES = [
     VALID,
 ]
 
+MISSING_PROBLEM = "missing_problem"
+
 # A nested record never holds more than this many actions; a longer plan goes on
 # in further records with a larger ``first_step``.
 RECORD_STEPS = 1_000
