@@ -10,23 +10,23 @@ def doubles(scores: Column) -> Column:
     return scores.cast("array<double>")
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, x: total + x)
+def log_sum_exp(scores: Column) -> Column:
+    """One pass over the vector; the maximum is found once and kept in the state."""
+    start = F.struct(F.array_max(scores).alias("top"), F.lit(0.0).alias("total"))
 
+    def add(state: Column, x: Column) -> Column:
+        total = state["total"] + F.exp(x - state["top"])
+        return F.struct(state["top"].alias("top"), total.alias("total"))
 
-def _shifted_exp(scores: Column) -> Column:
-    top = F.array_max(scores)
-    return F.transform(scores, lambda x: F.exp(x - top))
+    return F.aggregate(scores, start, add, lambda state: state["top"] + F.log(state["total"]))
 
 
 def softmax(scores: Column) -> Column:
-    powers = _shifted_exp(scores)
-    total = _sum(powers)
-    return F.transform(powers, lambda p: p / total)
-
-
-def log_sum_exp(scores: Column) -> Column:
-    return F.array_max(scores) + F.log(_sum(_shifted_exp(scores)))
+    """Probabilities of a vector; the inner array of one binds the normaliser once."""
+    scaled = F.transform(
+        F.array(log_sum_exp(scores)), lambda norm: F.transform(scores, lambda x: F.exp(x - norm))
+    )
+    return F.get(scaled, F.lit(0))
 
 
 def cross_entropy(scores: Column, reference: Column) -> Column:

@@ -10,12 +10,16 @@ from values only, so a lost executor recomputes exactly the same ones.
 from __future__ import annotations
 
 from functools import reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.schemas import LONG_PLAN_STEPS
 
+if TYPE_CHECKING:
+    from planloom.plans.corpus import Part
+
 # A key is hot when it has more rows than this; at most this many are set apart.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 2_000
@@ -125,14 +129,12 @@ def carry_last(
     )
 
 
-def running(
-    rows: DataFrame, key: str, block: str, order: str, totals: dict[str, str], blocked: bool
-) -> DataFrame:
-    """Running totals per ``key`` in ``order``, one row per key and order value.
+def running(part: Part, rows: DataFrame, totals: dict[str, str]) -> DataFrame:
+    """Running totals along the steps, one row per plan and step.
 
-    ``totals`` names an aggregate (``sum`` or ``bit_xor``) per column. ``block`` is
-    negative for ordinary groups. When some are not (``blocked``), each block of a
-    long group receives the total of its earlier blocks as one row that sorts first.
+    ``totals`` names an aggregate (``sum`` or ``bit_xor``) per column. For long
+    plans each block of steps receives the total of its earlier blocks as one row
+    that sorts first; steps below 0 count to the first block.
     """
     combine = {c: getattr(F, how) for c, how in totals.items()}
 
@@ -142,18 +144,26 @@ def running(
     def so_far(w) -> list[Column]:
         return [f(c).over(w).alias(c) for c, f in combine.items()]
 
-    points = rows.groupBy(key, block, order).agg(*total())
-    inside = Window.partitionBy(key, block).rowsBetween(Window.unboundedPreceding, 0)
-    if not blocked:
-        return points.select(key, block, order, *so_far(inside.orderBy(order)))
+    def ordered(keys: list[str], order: str, last: int):
+        window = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(order))
+        return window.rowsBetween(Window.unboundedPreceding, last)
+
+    inside = ordered(part.group(), "step", 0)
+    if not part.blocked:
+        points = rows.groupBy("plan_id", "step").agg(*total())
+        return points.select("plan_id", "step", *so_far(inside))
 
-    earlier = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = points.filter(F.col(block) >= 0).groupBy(key, block).agg(*total())
+    block = F.floor(F.greatest(F.col("step"), F.lit(0)) / part.block_steps).cast("long")
+    points = rows.withColumn("block", block).groupBy("plan_id", "block", "step").agg(*total())
+    carried = points.groupBy("plan_id", "block").agg(*total())
     carried = carried.select(
-        key, block, F.lit(None).cast(points.schema[order].dataType).alias(order), *so_far(earlier)
+        "plan_id",
+        "block",
+        F.lit(None).cast("long").alias("step"),
+        *so_far(ordered(["plan_id"], "block", -1)),
     ).filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in combine]))
     return (
         points.unionByName(carried)
-        .select(key, block, order, *so_far(inside.orderBy(F.asc_nulls_first(order))))
-        .filter(F.col(order).isNotNull())
+        .select("plan_id", "step", *so_far(inside))
+        .filter(F.col("step").isNotNull())
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.sequences import actions_index, end_index
 from planloom.functions.tokens import problem_id
-from planloom.plans.corpus import Corpus, union
+from planloom.plans.corpus import Corpus, Part
 from planloom.schemas import RECORD_STEPS
 
 RECORD_KEYS = ["plan_id", "first_step"]
@@ -30,15 +30,15 @@ def assemble(
     With ``steps``, records also hold the steps as operators and arguments.
     """
 
-    def of(chunks: DataFrame) -> DataFrame:
-        part = F.floor((F.col("seq") - 1) / record_steps).cast("long")
+    def of(part: Part) -> DataFrame:
+        record = F.floor((F.col("seq") - 1) / record_steps).cast("long")
         tokens = F.transform("steps", action_token).alias("actions")
         chunk = F.struct("seq", "initial", "goals", tokens, *(["steps"] if steps else []))
         lists = ["initial", "goals", "actions", *(["steps"] if steps else [])]
         grouped = (
-            chunks.withColumn("part", part)
+            part.chunks.withColumn("record", record)
             .withColumn("name", name)
-            .groupBy("plan_id", "part")
+            .groupBy("plan_id", "record")
             .agg(F.any_value("name").alias("name"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
         )
         return grouped.select(
@@ -48,7 +48,7 @@ def assemble(
             *[F.flatten(F.col(f"chunks.{c}")).alias(c) for c in lists],
         )
 
-    return union([of(frame) for frame, _ in corpus.parts()])
+    return corpus.over_parts(of)
 
 
 def plan_records(nested: DataFrame) -> DataFrame:

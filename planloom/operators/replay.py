@@ -2,8 +2,12 @@
 
 Every fact of a plan has a timeline of effects; a precondition holds when the
 last effect before its step made the fact true. Inside one step the order is
-preconditions, deletions, additions. One shuffle on (plan, block, fact) answers
-all preconditions and goals of all plans; no state is ever materialised.
+preconditions, deletions, additions. Windows per (plan, fact) answer all
+preconditions and goals of all plans; no state is ever materialised.
+
+Numbered chunks of ordinary plans are already partitioned by plan, so nothing
+below shuffles them again. Long plans are scanned in blocks of steps, and what
+is known at the end of a block is carried into the next one.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.operators.bounded import carry_last, running
-from planloom.plans.corpus import Corpus
+from planloom.plans.corpus import Corpus, Part
 from planloom.plans.domains import Action, Domain
 
 # Order numbers on a timeline: three per step, and one after the last step.
@@ -30,11 +34,11 @@ def _event(fact: Column, order: Column, is_add: Column, step: Column) -> Column:
     )
 
 
-def timeline(corpus: Corpus, domain: Domain, marks: bool = False) -> DataFrame:
+def timeline(part: Part, domain: Domain, marks: bool = False) -> DataFrame:
     """One row per initial fact, precondition, effect and goal.
 
     ``is_add`` is null for what only asks (preconditions and, at the end, goals).
-    With ``marks``, every step and the initial state also leave an empty fact.
+    The start of a plan, and with ``marks`` every step, leaves an empty fact.
     """
     op, args, step, fact, kind = (F.col(c) for c in ("op", "args", "step", "fact", "kind"))
     none = F.lit(None)
@@ -51,40 +55,32 @@ def timeline(corpus: Corpus, domain: Domain, marks: bool = False) -> DataFrame:
             *events(action.add, _ADD, F.lit(True)),
         )
 
-    initial = F.array(_event(fact, F.lit(_ADD), F.lit(True), F.lit(0)))
-    goal = F.array(_event(fact, F.lit(_AT_END), none, none))
+    mark = F.array(_event(F.lit(""), step * 3, none, step))
     effects = domain.by_operator(op, of_action)
     if marks:
-        mark = F.array(_event(F.lit(""), step * 3, none, step))
-        first = F.array(_event(F.lit(""), F.lit(_PROBE), none, F.lit(0)))
-        mark = F.when(step == 1, F.concat(first, mark)).otherwise(mark)
         effects = F.coalesce(F.concat(mark, effects), mark)
-    events = F.when(kind == "init", initial).when(kind == "goal", goal).otherwise(effects)
-    # Goals of a long plan wait in a block after all others.
-    block = F.when((kind == "goal") & F.col("block").isNull(), F.lit(_LAST_BLOCK)).otherwise(
-        F.col("block")
-    )
-    return (
-        corpus.items()
-        .select("plan_id", block.alias("block"), F.inline(events))
-        .filter(F.col("fact").isNotNull())
+    events = (
+        F.when(kind == "init", F.array(_event(fact, F.lit(_ADD), F.lit(True), F.lit(0))))
+        .when(kind == "goal", F.array(_event(fact, F.lit(_AT_END), none, none)))
+        .when(kind == "start", mark)
+        .otherwise(effects)
     )
+    rows = part.items().select("plan_id", F.inline(events)).filter(F.col("fact").isNotNull())
+    if not part.blocked:
+        return rows
+    # Goals wait in a block after all others.
+    return part.with_block(rows).withColumn("block", F.coalesce("block", F.lit(_LAST_BLOCK)))
 
 
-def observe(corpus: Corpus, events: DataFrame) -> DataFrame:
+def observe(part: Part, events: DataFrame) -> DataFrame:
     """Add ``held`` (the fact was true just before) and ``wanted`` (it is a goal)."""
     is_goal = F.col("ord") == _AT_END
-    rows = events
-    if corpus.long is not None:
-        carried = carry_last(
-            events.filter(F.col("block") >= 0), ["plan_id", "fact"], "block", "is_add", "ord", is_goal
-        )
-        rows = events.withColumn("flag", is_goal).unionByName(
-            carried.withColumns({"ord": F.lit(-1).cast("long"), "step": F.lit(None).cast("long")})
-        )
-    else:
-        rows = events.withColumn("flag", is_goal)
-    timeline_of = Window.partitionBy("plan_id", "block", "fact")
+    rows = events.withColumn("flag", is_goal)
+    if part.blocked:
+        carried = carry_last(events, ["plan_id", "fact"], "block", "is_add", "ord", is_goal)
+        none = F.lit(None).cast("long")
+        rows = rows.unionByName(carried.withColumns({"ord": F.lit(-1).cast("long"), "step": none}))
+    timeline_of = Window.partitionBy(*part.group("fact"))
     before = timeline_of.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.last("is_add", ignorenulls=True).over(before), F.lit(False))
     return rows.withColumns({"held": held, "wanted": F.max("flag").over(timeline_of)}).filter(
@@ -94,43 +90,41 @@ def observe(corpus: Corpus, events: DataFrame) -> DataFrame:
 
 def replay_facts(corpus: Corpus, domain: Domain) -> DataFrame:
     """Whether each precondition of each step holds: ``plan_id, step, fact, holds``."""
-    asked = observe(corpus, timeline(corpus, domain)).filter(
-        F.col("is_add").isNull() & F.col("step").isNotNull()
-    )
-    return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
+    is_probe = F.col("is_add").isNull() & F.col("step").isNotNull() & (F.col("fact") != "")
 
+    def of(part: Part) -> DataFrame:
+        asked = observe(part, timeline(part, domain)).filter(is_probe)
+        return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
+
+    return corpus.over_parts(of)
 
-def unsatisfied_goals(corpus: Corpus, domain: Domain) -> DataFrame:
-    """Goals that are not true after the last step: ``plan_id, fact``.
 
-    The final truth of a fact is an aggregate, combined before the shuffle, so no
+def _last_truth(part: Part, domain: Domain) -> DataFrame:
+    """Per plan and fact: whether it is true at the end, and whether it is a goal.
+
+    The final truth of a fact is an aggregate, combined before any shuffle, so no
     block is needed however long a plan is.
     """
-    events = timeline(corpus, domain)
+    is_goal = F.col("ord") == _AT_END
     is_effect = F.col("is_add").isNotNull()
-    final = (
-        events.filter(is_effect | F.col("step").isNull())
-        .groupBy("plan_id", "fact")
-        .agg(
-            F.max_by("is_add", F.when(is_effect, F.col("ord"))).alias("is_true"),
-            F.bool_or(F.col("step").isNull()).alias("is_goal"),
-        )
+    ends = timeline(part, domain).filter(is_effect | is_goal).groupBy("plan_id", "fact")
+    return ends.agg(
+        F.max_by("is_add", F.when(is_effect, F.col("ord"))).alias("is_true"),
+        F.bool_or(is_goal).alias("is_goal"),
     )
+
+
+def unsatisfied_goals(corpus: Corpus, domain: Domain) -> DataFrame:
+    """Goals that are not true after the last step: ``plan_id, fact``."""
     missing = F.col("is_goal") & ~F.coalesce(F.col("is_true"), F.lit(False))
-    return final.filter(missing).select("plan_id", "fact")
+    ends = corpus.over_parts(lambda part: _last_truth(part, domain))
+    return ends.filter(missing).select("plan_id", "fact")
 
 
 def final_facts(corpus: Corpus, domain: Domain) -> DataFrame:
     """The facts that are true after the last step: ``plan_id, fact``."""
-    effects = timeline(corpus, domain).filter(F.col("is_add").isNotNull())
-    last = effects.groupBy("plan_id", "fact").agg(F.max_by("is_add", "ord").alias("is_true"))
-    return last.filter("is_true").select("plan_id", "fact")
-
-
-def _blocks(frame: DataFrame, corpus: Corpus) -> DataFrame:
-    """Blocks along the steps: goal blocks have none, so they go to the first."""
-    by_step = F.floor(F.greatest(F.col("step"), F.lit(0)) / corpus.block_steps).cast("long")
-    return frame.withColumn("block", F.when(F.col("block") < 0, F.col("block")).otherwise(by_step))
+    ends = corpus.over_parts(lambda part: _last_truth(part, domain))
+    return ends.filter("is_true").select("plan_id", "fact")
 
 
 def goal_reached_step(corpus: Corpus, domain: Domain) -> DataFrame:
@@ -141,26 +135,27 @@ def goal_reached_step(corpus: Corpus, domain: Domain) -> DataFrame:
     """
     is_goal = F.col("ord") == _AT_END
     is_start = (F.col("fact") == "") & (F.col("step") == 0)
-    ordered = Window.partitionBy("plan_id", "block", "fact").orderBy("ord")
-    repeats = F.coalesce(F.lag("ord").over(ordered) == _AT_END, F.lit(False))
-    seen = observe(corpus, timeline(corpus, domain, marks=True)).withColumn("repeats", repeats)
     flip = F.col("is_add").cast("int") - F.col("held").cast("int")
-    change = F.when(is_goal, F.col("repeats").cast("int") - 1).otherwise(F.coalesce(flip, F.lit(0)))
-    # A plan without goals has them all from the start, so that row always counts.
-    points = seen.filter(F.col("wanted") | is_start).select(
-        "plan_id",
-        "block",
-        F.coalesce(F.col("step"), F.lit(-1)).cast("long").alias("step"),
-        change.cast("long").alias("open"),
-    )
-    totals = running(
-        _blocks(points, corpus), "plan_id", "block", "step", {"open": "sum"}, blocked=corpus.long is not None
-    )
-    reached = totals.filter((F.col("open") == 0) & (F.col("step") >= 0))
-    return reached.groupBy("plan_id").agg(F.min("step").alias("step"))
+
+    def of(part: Part) -> DataFrame:
+        ordered = Window.partitionBy(*part.group("fact")).orderBy("ord")
+        repeats = F.coalesce(F.lag("ord").over(ordered) == _AT_END, F.lit(False))
+        seen = observe(part, timeline(part, domain)).withColumn("repeats", repeats)
+        change = F.when(is_goal, F.col("repeats").cast("int") - 1).otherwise(F.coalesce(flip, F.lit(0)))
+        # The start always counts: a plan without goals has them all from there.
+        points = seen.filter(F.col("wanted") | is_start).select(
+            "plan_id",
+            F.coalesce(F.col("step"), F.lit(-1)).cast("long").alias("step"),
+            change.cast("long").alias("open"),
+        )
+        totals = running(part, points, {"open": "sum"})
+        reached = totals.filter((F.col("open") == 0) & (F.col("step") >= 0))
+        return reached.groupBy("plan_id").agg(F.min("step").alias("step"))
+
+    return corpus.over_parts(of)
 
 
-def state_fingerprints(corpus: Corpus, domain: Domain) -> DataFrame:
+def state_fingerprints(part: Part, domain: Domain) -> DataFrame:
     """A 128-bit fingerprint of the state after each step (0: the initial state).
 
     The fingerprint is the exclusive or of the hashes of all true facts, so it only
@@ -169,37 +164,26 @@ def state_fingerprints(corpus: Corpus, domain: Domain) -> DataFrame:
     is_mark = F.col("fact") == ""
     flips = F.col("is_add") != F.col("held")
     asks = F.col("is_add").isNull() & ~is_mark
+    hash_of = {"fp1": F.xxhash64("fact"), "fp2": F.xxhash64(F.lit(1), F.col("fact"))}
     points = (
-        observe(corpus, timeline(corpus, domain, marks=True).filter(~asks))
+        observe(part, timeline(part, domain, marks=True).filter(~asks))
         .filter(is_mark | flips)
         .select(
-            "plan_id",
-            "block",
-            "step",
-            F.when(is_mark, F.lit(0)).otherwise(F.xxhash64("fact")).alias("fp1"),
-            F.when(is_mark, F.lit(0)).otherwise(F.xxhash64(F.lit(1), F.col("fact"))).alias("fp2"),
+            "plan_id", "step", *[F.when(is_mark, F.lit(0)).otherwise(h).alias(c) for c, h in hash_of.items()]
         )
     )
-    prints = running(
-        _blocks(points, corpus),
-        "plan_id",
-        "block",
-        "step",
-        {"fp1": "bit_xor", "fp2": "bit_xor"},
-        blocked=corpus.long is not None,
-    )
-    return prints.select("plan_id", "step", "fp1", "fp2")
+    return running(part, points, {"fp1": "bit_xor", "fp2": "bit_xor"})
 
 
 def repeated_states(corpus: Corpus, domain: Domain) -> DataFrame:
     """Per plan, the number of states, of distinct states and of revisits."""
-    visits = (
-        state_fingerprints(corpus, domain)
-        .groupBy("plan_id", "fp1", "fp2")
-        .agg(F.count(F.lit(1)).alias("visits"))
-    )
-    return (
-        visits.groupBy("plan_id")
-        .agg(F.sum("visits").alias("n_states"), F.count(F.lit(1)).alias("n_distinct"))
-        .withColumn("n_revisits", F.col("n_states") - F.col("n_distinct"))
-    )
+
+    def of(part: Part) -> DataFrame:
+        prints = state_fingerprints(part, domain)
+        visits = prints.groupBy("plan_id", "fp1", "fp2").agg(F.count(F.lit(1)).alias("visits"))
+        states = visits.groupBy("plan_id").agg(
+            F.sum("visits").alias("n_states"), F.count(F.lit(1)).alias("n_distinct")
+        )
+        return states.withColumn("n_revisits", F.col("n_states") - F.col("n_distinct"))
+
+    return corpus.over_parts(of)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.operators.bounded import lookup
 from planloom.operators.replay import observe, timeline
-from planloom.plans.corpus import Corpus, union
+from planloom.plans.corpus import Corpus, Part
 from planloom.plans.domains import Domain
 from planloom.schemas import (
     ACTIONS_SEEN_BUCKETS,
@@ -35,42 +35,44 @@ def findings(
     fill a large share of all argument slots. Only preconditions need the order of
     the steps; the other checks read the chunks as they come.
     """
-    asked = observe(corpus, timeline(corpus, domain)).filter(F.col("is_add").isNull())
-    conditions = asked.select(
-        "plan_id",
-        F.when(F.col("held"), _rank(VALID))
-        .when(F.col("step").isNull(), _rank(UNSATISFIED_GOAL))
-        .otherwise(_rank(PRECONDITION))
-        .alias("rank"),
-        F.when(~F.col("held"), F.col("step")).alias("step"),
-    )
+    def conditions(part: Part) -> DataFrame:
+        # The start of a plan asks nothing: it stands for a plan without errors.
+        asked = observe(part, timeline(part, domain)).filter(F.col("is_add").isNull())
+        return asked.select(
+            "plan_id",
+            F.when(F.col("held") | (F.col("fact") == ""), _rank(VALID))
+            .when(F.col("step").isNull(), _rank(UNSATISFIED_GOAL))
+            .otherwise(_rank(PRECONDITION))
+            .alias("rank"),
+            F.when(~F.col("held"), F.col("step")).alias("step"),
+        )
 
-    chunks = corpus.any_order().select("plan_id", "steps")
-    steps = chunks.select("plan_id", F.inline_outer("steps"))
-    no_step = F.lit(None).cast("long").alias("step")
     arity = domain.by_operator(F.col("op"), lambda a: F.lit(len(a.params)))
-    shape = steps.select(
-        "plan_id",
-        F.when(F.col("op").isNull(), _rank(VALID))
-        .when(~domain.is_known(F.col("op")), _rank(BAD_OPERATOR))
-        .when(F.size("args") != arity, _rank(TYPE_CHECKING))
-        .otherwise(_rank(VALID))
-        .alias("rank"),
-        no_step,
-    )
-
-    slots = steps.filter(domain.is_known(F.col("op"))).select(
-        "plan_id", "op", F.posexplode("args").alias("slot", "name")
+    slots = (
+        corpus.any_order()
+        .select("plan_id", F.inline("steps"))
+        .select(
+            "plan_id",
+            "op",
+            F.when(~domain.is_known(F.col("op")), _rank(BAD_OPERATOR))
+            .when(F.size("args") != arity, _rank(TYPE_CHECKING))
+            .alias("shape"),
+            F.posexplode_outer("args").alias("slot", "name"),
+        )
     )
     typed = lookup(slots, objects.select("name", "type"), "name", hot_names)
+    unknown = F.col("name").isNotNull() & F.col("type").isNull() & F.col("op").isNotNull()
+    fits = domain.accepts(F.col("op"), F.col("slot"), F.col("type"))
     arguments = typed.select(
         "plan_id",
-        F.when(F.col("type").isNull(), _rank(UNKNOWN_TYPE))
-        .when(~domain.accepts(F.col("op"), F.col("slot"), F.col("type")), _rank(TYPE_CHECKING))
+        F.when(F.col("shape") == _rank(BAD_OPERATOR), F.col("shape"))
+        .when(unknown, _rank(UNKNOWN_TYPE))
+        .when(F.col("shape").isNotNull(), F.col("shape"))
+        .when(F.col("name").isNotNull() & ~fits, _rank(TYPE_CHECKING))
         .alias("rank"),
-        no_step,
+        F.lit(None).cast("long").alias("step"),
     ).filter(F.col("rank").isNotNull())
-    return union([conditions, shape, arguments])
+    return corpus.over_parts(conditions).unionByName(arguments)
 
 
 def classify(

@@ -8,6 +8,7 @@ nested record, a source line and a single step all fit the same shape.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,43 +19,26 @@ from planloom.operators.bounded import long_groups
 from planloom.plans.domains import Domain
 from planloom.schemas import LONG_PLAN_STEPS
 
-CHUNK = ["plan_id", "seq", "initial", "goals", "steps"]
-
-
 @dataclass(frozen=True)
-class Corpus:
-    """Chunks of ordinary plans, and of the plans longer than ``block_steps``.
+class Part:
+    """Chunks of plans that are scanned alike: whole, or cut into blocks of steps."""
 
-    ``unordered`` may hold the same chunks before their steps were numbered, for
-    work that does not depend on the order of the steps.
-    """
+    chunks: DataFrame
+    blocked: bool
+    block_steps: int
 
-    ordinary: DataFrame
-    long: DataFrame | None = None
-    unordered: DataFrame | None = None
-    block_steps: int = LONG_PLAN_STEPS
+    def group(self, *keys: str) -> list[str]:
+        """Grouping columns of an ordered scan; blocks only where plans are long."""
+        return ["plan_id", "block", *keys] if self.blocked else ["plan_id", *keys]
 
-    def parts(self) -> list[tuple[DataFrame, bool]]:
-        both = [(self.ordinary, False)]
-        return both if self.long is None else both + [(self.long, True)]
-
-    def chunks(self) -> DataFrame:
-        return union([frame for frame, _ in self.parts()])
-
-    def any_order(self) -> DataFrame:
-        return self.chunks() if self.unordered is None else self.unordered
-
-    def block_of(self, step: Column, is_long: bool) -> Column:
-        """The block a step belongs to; -1 throughout for ordinary plans."""
-        if not is_long:
-            return F.lit(-1).cast("long")
-        return F.floor(step / self.block_steps).cast("long")
+    def with_block(self, frame: DataFrame) -> DataFrame:
+        """Add the block of each step (null for what has no step)."""
+        if not self.blocked:
+            return frame
+        return frame.withColumn("block", F.floor(F.col("step") / self.block_steps).cast("long"))
 
     def items(self) -> DataFrame:
-        """One row per initial fact, goal and step."""
-        return union([self._items(frame, is_long) for frame, is_long in self.parts()])
-
-    def _items(self, chunks: DataFrame, is_long: bool) -> DataFrame:
+        """One row per plan start, initial fact, goal and step."""
         none = F.lit(None)
 
         def item(kind, step, op=none, args=none, fact=none) -> Column:
@@ -66,10 +50,13 @@ class Corpus:
                 fact.cast("string").alias("fact"),
             )
 
-        exploded = chunks.select(
+        start = F.array(item("start", F.lit(0)))
+        no_start = F.array().cast(_ITEMS)
+        return self.chunks.select(
             "plan_id",
             F.inline(
                 F.concat(
+                    F.when(F.col("seq") == 1, start).otherwise(no_start),
                     F.transform("initial", lambda f: item("init", F.lit(0), fact=f)),
                     F.transform(
                         "steps",
@@ -79,7 +66,39 @@ class Corpus:
                 )
             ),
         )
-        return exploded.withColumn("block", self.block_of(F.col("step"), is_long))
+
+
+_ITEMS = "array<struct<kind:string,step:long,op:string,args:array<string>,fact:string>>"
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Chunks of ordinary plans, and of the plans longer than ``block_steps``.
+
+    ``unordered`` may hold the same chunks before their steps were numbered, for
+    work that does not depend on the order of the steps.
+    """
+
+    ordinary: DataFrame
+    long: DataFrame | None = None
+    unordered: DataFrame | None = None
+    block_steps: int = LONG_PLAN_STEPS
+
+    def parts(self) -> list[Part]:
+        ordinary = Part(self.ordinary, False, self.block_steps)
+        if self.long is None:
+            return [ordinary]
+        return [ordinary, Part(self.long, True, self.block_steps)]
+
+    def over_parts(self, make: Callable[[Part], DataFrame]) -> DataFrame:
+        """The results for ordinary and for long plans, which never share a plan."""
+        return union([make(part) for part in self.parts()])
+
+    def chunks(self) -> DataFrame:
+        return self.over_parts(lambda part: part.chunks)
+
+    def any_order(self) -> DataFrame:
+        return self.chunks() if self.unordered is None else self.unordered
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
