@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from planloom.functions import sequences as seq
 from planloom.functions import tokens as tok
 from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, validate, vocab
-from planloom.operators.bounded import hot_keys
 from planloom.plans import funnel, orders, predictions, sample_texts
 from planloom.plans.domains import FUNNEL, SHIPPING, SHIPPING_BOUND, SHIPPING_OBJECTS
 from planloom.plans.funnel import FunnelPlans
@@ -176,8 +175,7 @@ def validation_classes(spark, sf_dir):
     found = validate.classify(plans.corpus(), SHIPPING, plans.objects(), plans.hot_names())
     problem = plans.orders.select("plan_id", orders.problem().alias("problem_id"))
     known = plans.table("customer").select(orders.named("cust", "c_custkey").alias("problem_id"))
-    hot = hot_keys(problem, "problem_id")
-    classes = validate.with_problems(found.join(problem, "plan_id"), known, hot)
+    classes = validate.with_problems(found.join(problem, "plan_id"), known, plans.hot_problems())
     return classes.withColumn("step", F.coalesce("step", F.lit(0)))
 
 
@@ -211,7 +209,7 @@ def applicable_actions(spark, sf_dir):
     static = F.array(
         F.concat(F.lit("wants"), orders.problem(), part), F.concat(F.lit("supplies"), supp, part)
     )
-    static = plans.lines().select("plan_id", F.explode(static).alias("fact"))
+    static = plans.lines().select("plan_id", F.explode(static).alias("fact")).distinct()
     return applicable.applicable_actions(state.unionByName(static), SHIPPING_BOUND)
 
 
@@ -257,8 +255,7 @@ def shuffle_shard(spark, sf_dir):
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = _lengths(spark, sf_dir)
-    hot = hot_keys(OrderPlans(spark, sf_dir).orders.select(orders.problem().alias("problem_id")), "problem_id")
-    return splits.group_split(plans, hot, test_size=TEST_SIZE, seed=SPLIT_SEED)
+    return splits.group_split(plans, OrderPlans(spark, sf_dir).hot_problems(), test_size=TEST_SIZE, seed=SPLIT_SEED)
 
 
 @query
@@ -280,7 +277,8 @@ def split_leakage(spark, sf_dir):
 
 @query
 def token_dictionary(spark, sf_dir):
-    return vocab.token_dictionary(vocab.chunk_tokens(OrderPlans(spark, sf_dir).corpus().chunks()))
+    plans = OrderPlans(spark, sf_dir)
+    return vocab.token_dictionary(vocab.chunk_tokens(plans.corpus().chunks()), plans.orders.select("plan_id"))
 
 
 @query
@@ -442,8 +440,7 @@ def enrich_static_facts(spark, sf_dir):
     problem = tok.problem_id(F.col("name")).alias("problem_id")
     plans = _nested(spark, sf_dir).select("plan_id", "first_step", problem, "initial")
     facts = _static_facts(spark, sf_dir).withColumn("fact", tok.normalize(F.col("fact")))
-    hot = hot_keys(OrderPlans(spark, sf_dir).orders.select(orders.problem().alias("problem_id")), "problem_id")
-    enriched = enrich.enrich_static_facts(plans, facts, hot)
+    enriched = enrich.enrich_static_facts(plans, facts, OrderPlans(spark, sf_dir).hot_problems())
     return enriched.select("plan_id", "first_step", "part", F.array_join("initial", " ").alias("initial_state"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.tokens import OBJECT_NAME
 from planloom.plans.corpus import union
-from planloom.plans.domains import Action, Domain, predicate_token
+from planloom.plans.domains import Action, Atom, Domain, predicate_token
 
 
 def parse_facts(facts: DataFrame, domain: Domain) -> DataFrame:
@@ -22,46 +22,86 @@ def parse_facts(facts: DataFrame, domain: Domain) -> DataFrame:
     )
 
 
-def _matches(parsed: DataFrame, atom: tuple[str, ...], action: Action, domain: Domain) -> DataFrame:
-    """The bindings one precondition allows: ``plan_id`` and its variables."""
-    types = dict(action.params)
-    same = parsed.filter(
-        (F.col("predicate") == predicate_token(atom[0])) & (F.size("args") == len(atom) - 1)
-    )
-    bound = same.select("plan_id", *[F.get("args", F.lit(i)).alias(v) for i, v in enumerate(atom[1:])])
-    for variable in atom[1:]:
-        bound = bound.filter(domain.named_type(F.col(variable), types[variable]))
-    return bound
-
-
-def _bindings(parsed: DataFrame, action: Action, domain: Domain) -> DataFrame:
-    first, *others = action.pre
-    bound = _matches(parsed, first, action, domain)
-    waiting = list(others)
+def _joinable_order(action: Action) -> list[tuple[Atom, list[str]]]:
+    """The preconditions of an action, each with the variables earlier ones bind."""
+    order, bound, waiting = [], set(), list(action.pre)
     while waiting:
-        joined = next((a for a in waiting if set(a[1:]) & set(bound.columns)), None)
-        if joined is None:
+        atom = next((a for a in waiting if not order or bound & set(a[1:])), None)
+        if atom is None:
             raise ValueError(f"{action.name}: preconditions share no variable")
-        waiting.remove(joined)
-        facts = _matches(parsed, joined, action, domain)
-        shared = [c for c in facts.columns if c in bound.columns]
-        bound = bound.join(facts, shared)
-    return bound
+        waiting.remove(atom)
+        order.append((atom, sorted(bound & set(atom[1:]))))
+        bound |= set(atom[1:])
+    return order
+
+
+def _bindings(parsed: DataFrame, domain: Domain, place: int) -> DataFrame:
+    """What the facts bind in the precondition at one place of every action.
+
+    Rows ``plan_id, action, key, slots``: the values shared with earlier places and
+    the values of all parameters, null where the precondition does not mention them.
+    """
+    rows = []
+    for action in domain.actions:
+        order = _joinable_order(action)
+        if len(order) <= place:
+            continue
+        atom, shared = order[place]
+        types = dict(action.params)
+        values = {v: F.get("args", F.lit(i)) for i, v in enumerate(atom[1:])}
+        fits = (F.col("predicate") == predicate_token(atom[0])) & (F.size("args") == len(values))
+        for variable, value in values.items():
+            fits = fits & domain.named_type(value, types[variable])
+        none = F.lit(None).cast("string")
+        row = F.struct(
+            F.lit(action.name).alias("action"),
+            F.concat_ws(" ", *[values[v] for v in shared]).alias("key"),
+            F.array(*[values.get(v, none) for v, _ in action.params]).alias("slots"),
+        )
+        rows.append(F.when(fits, row))
+    return parsed.select("plan_id", F.inline(F.array_compact(F.array(*rows))))
 
 
 def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
-    """Distinct ``plan_id, action`` the facts of a plan allow.
+    """Distinct ``plan_id, action`` that the distinct facts of a plan allow.
 
-    A parameter no precondition mentions may be any object of its type; it stays a
-    variable (``?type``) instead of being multiplied out.
+    All actions take part in one join per place of a precondition, on the values it
+    shares with earlier ones. A parameter no precondition mentions may be any object
+    of its type; it stays a variable (``?type``) instead of being multiplied out.
     """
-    parsed = parse_facts(facts.select("plan_id", "fact").distinct(), domain)
+    actions = [a for a in domain.actions if a.pre]
+    orders = {a.name: _joinable_order(a) for a in actions}
+    parsed = parse_facts(facts, domain)
+
+    def with_places(n: int) -> list[str]:
+        return [name for name, order in orders.items() if len(order) == n]
+
+    def longer(n: int) -> list[str]:
+        return [name for name, order in orders.items() if len(order) > n]
+
+    bound = _bindings(parsed, domain, 0).drop("key")
+    complete = []
+    for place in range(1, max(len(o) for o in orders.values())):
+        if with_places(place):
+            complete.append(bound.filter(F.col("action").isin(with_places(place))))
+
+        def shared_values(action: Action, place: int = place) -> Column:
+            names = [v for v, _ in action.params]
+            order = orders.get(action.name, [])
+            shared = order[place][1] if len(order) > place else []
+            return F.concat_ws(" ", *[F.get("slots", F.lit(names.index(v))) for v in shared])
+
+        waiting = bound.filter(F.col("action").isin(longer(place)))
+        left = waiting.withColumn("key", domain.by_operator(F.col("action"), shared_values))
+        right = _bindings(parsed, domain, place).withColumnRenamed("slots", "more")
+        merged = F.zip_with("slots", "more", lambda x, y: F.coalesce(x, y))
+        joined = left.join(right, ["plan_id", "action", "key"])
+        bound = joined.select("plan_id", "action", merged.alias("slots"))
+    complete.append(bound)
 
-    def of(action: Action) -> DataFrame:
-        bound = _bindings(parsed, action, domain)
-        slots: list[Column] = [
-            F.col(v) if v in bound.columns else F.lit(f"?{kind}") for v, kind in action.params
-        ]
-        return bound.select("plan_id", F.concat_ws("_", F.lit(action.name), *slots).alias("action"))
+    def text(action: Action) -> Column:
+        kinds = F.array(*[F.lit(f"?{kind}") for _, kind in action.params])
+        return F.concat_ws("_", F.lit(action.name), F.zip_with("slots", kinds, lambda x, k: F.coalesce(x, k)))
 
-    return union([of(a) for a in domain.actions if a.pre]).distinct()
+    allowed = union(complete)
+    return allowed.select("plan_id", domain.by_operator(F.col("action"), text).alias("action")).distinct()

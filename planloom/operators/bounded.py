@@ -82,15 +82,23 @@ def number_rows(
     return ordinary, numbered
 
 
+def key_counts(df: DataFrame, by: str, key: Column | None = None, name: str = "key") -> DataFrame:
+    """Rows per value of ``by`` as ``name, _rows``; ``key`` makes the key from the value."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.select((F.col(by) if key is None else key).alias(name), "_rows")
+
+
 def hot_keys(
-    df: DataFrame, key: str, rows: int = HOT_ROWS, most: int = HOT_KEYS
+    counts: list[DataFrame], rows: int = HOT_ROWS, most: int = HOT_KEYS
 ) -> DataFrame | None:
     """At most ``most`` keys with more than ``rows`` rows each; None if there are none.
 
-    A key left out has at most ``1 / (most + 1)`` of all rows or at most ``rows``.
+    ``counts`` come from :func:`key_counts` and share no key. A key left out has at
+    most ``1 / (most + 1)`` of all rows or at most ``rows``.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
-    hot = counts.orderBy(F.desc("_rows"), key).limit(most).select(key)
+    key = counts[0].columns[0]
+    large = reduce(DataFrame.unionByName, counts).filter(F.col("_rows") > rows)
+    hot = large.orderBy(F.desc("_rows"), key).limit(most).select(key)
     return None if hot.isEmpty() else hot
 
 

@@ -31,21 +31,18 @@ def enrich_static_facts(
     facts adds a record per further list (``part`` > 0, holding only these facts).
     """
     lists = grouped_facts(facts)
-    opening = lookup(records.filter("first_step = 1"), first_part(lists), "problem_id", hot_problems)
-    opening = opening.withColumn("part", F.lit(0)).withColumn(
-        "initial", F.concat("initial", F.coalesce("static", F.array().cast("array<string>")))
-    )
-    further = lists.filter("part > 0")
     empty = F.array().cast("array<string>")
-    more = (
-        records.filter("first_step = 1")
-        .join(further, "problem_id")
-        .withColumn("initial", F.col("static"))
-        .withColumns({c: empty for c in ("goals", "actions") if c in records.columns})
-    )
-    later = records.filter("first_step > 1").withColumn("part", F.lit(0))
+    is_first = F.col("first_step") == 1
+    joined = lookup(records, first_part(lists), "problem_id", hot_problems)
+    static = F.when(is_first, F.coalesce("static", empty)).otherwise(empty)
     columns = [*records.columns, "part"]
-    return union([frame.select(*columns) for frame in (opening, more, later)])
+    enriched = joined.withColumns({"part": F.lit(0), "initial": F.concat("initial", static)}).select(*columns)
+    further = lists.filter("part > 0")
+    if further.isEmpty():
+        return enriched
+    more = records.filter(is_first).join(further, "problem_id").withColumn("initial", F.col("static"))
+    more = more.withColumns({c: empty for c in ("goals", "actions") if c in records.columns})
+    return enriched.unionByName(more.select(*columns))
 
 
 def first_part(lists: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.operators.bounded import lookup
+from planloom.session import checkpointed
 
 # Validation size and the length bounds of its plans, shuffle seed.
 VALIDATION_SIZE = 20
@@ -118,8 +119,11 @@ def split_groups(
     """
     low, high = validation_lengths
     fits = F.col("length").between(low, high)
-    groups = plans.groupBy("problem_id").agg(
-        F.count(F.lit(1)).alias("n_plans"), F.count_if(fits).alias("n_fitting")
+    # One row per problem, read several times below: cut it off from the plans.
+    groups = checkpointed(
+        plans.groupBy("problem_id").agg(
+            F.count(F.lit(1)).alias("n_plans"), F.count_if(fits).alias("n_fitting")
+        )
     )
 
     def take(from_groups: DataFrame, weight: str, size: float | int, draw: int) -> DataFrame:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import hot_keys, long_groups, number_rows
+from planloom.operators.bounded import hot_keys, key_counts, long_groups, number_rows
 from planloom.plans.corpus import Corpus
 
 # The facts a week starts with, and its goal.
 START_FACTS = ["registered", "viewing", "clicked"]
 GOAL_FACT = "bought"
 
-KEYS = ["user_id", "week"]
-
 
 def plan_id() -> Column:
     return F.concat(F.lit("u"), F.col("user_id"), F.lit("_"), F.date_format("week", "yyyyMMdd"))
@@ -37,7 +35,7 @@ def as_chunks(events: DataFrame, *keep: str) -> DataFrame:
     initial = F.array(*[F.concat(F.lit(f), user) for f in START_FACTS])
     step = F.struct(F.upper("event_type").alias("op"), F.array(user).alias("args"))
     return events.select(
-        plan_id().alias("plan_id"),
+        "plan_id",
         "seq",
         F.when(first, initial).otherwise(none).alias("initial"),
         F.when(first, F.array(F.concat(F.lit(GOAL_FACT), user))).otherwise(none).alias("goals"),
@@ -50,9 +48,12 @@ class FunnelPlans:
     """The plan corpus of one events table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        events = events.withColumn("week", F.date_trunc("week", "ts"))
+        self.events = events.select(
+            plan_id().alias("plan_id"),
             "user_id",
-            F.date_trunc("week", "ts").alias("week"),
+            "week",
             F.date_trunc("minute", "ts").alias("minute"),
             "ts",
             "event_id",
@@ -60,8 +61,9 @@ class FunnelPlans:
         )
 
     def numbered(self) -> tuple[DataFrame, DataFrame | None]:
-        long = long_groups(self.events, KEYS)
-        return number_rows(self.events, KEYS, ["minute", "ts", "event_id"], ["minute"], long)
+        long = long_groups(self.events, ["plan_id"])
+        order = ["minute", "ts", "event_id"]
+        return number_rows(self.events, ["plan_id"], order, ["minute"], long)
 
     def corpus(self, *keep: str) -> Corpus:
         ordinary, rest = self.numbered()
@@ -76,4 +78,4 @@ class FunnelPlans:
         return users.select(user_name().alias("name"), F.lit("user").alias("type"))
 
     def hot_names(self) -> DataFrame | None:
-        return hot_keys(self.events.select(user_name().alias("name")), "name")
+        return hot_keys([key_counts(self.events, "user_id", user_name(), "name")])

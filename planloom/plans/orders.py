@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import hot_keys, long_groups, number_rows
+from planloom.operators.bounded import hot_keys, key_counts, long_groups, number_rows
 from planloom.plans.corpus import Corpus, union
 
 LINE_ORDER = [
@@ -138,6 +138,16 @@ class OrderPlans:
 
     def hot_names(self) -> DataFrame | None:
         """Object names that fill a large share of the argument slots."""
-        part, supp = named("part", "l_partkey"), named("supp", "l_suppkey")
-        names = self.lineitem.select(F.explode(F.array(part, supp)).alias("name"))
-        return hot_keys(names.unionByName(self.orders.select(problem().alias("name"))), "name")
+        # A customer name fills a slot of every line of the customer's orders.
+        lines_of = self.lineitem.join(self.orders.select("plan_id", "o_custkey"), "plan_id")
+        return hot_keys(
+            [
+                key_counts(self.lineitem, "l_partkey", named("part", "l_partkey"), "name"),
+                key_counts(self.lineitem, "l_suppkey", named("supp", "l_suppkey"), "name"),
+                key_counts(lines_of, "o_custkey", problem(), "name"),
+            ]
+        )
+
+    def hot_problems(self) -> DataFrame | None:
+        """Problems with a large share of the plans."""
+        return hot_keys([key_counts(self.orders, "o_custkey", problem(), "problem_id")])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
@@ -33,3 +36,22 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the shared folder the cluster names; make one only on a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="planloom-")
+    context.setCheckpointDir(named)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of a small intermediate table, written once and read by what follows."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
