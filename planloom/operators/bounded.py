@@ -172,6 +172,7 @@ def running(part: Part, rows: DataFrame, totals: dict[str, str]) -> DataFrame:
     ).filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in combine]))
     return (
         points.unionByName(carried)
+        .repartition("plan_id", "block")
         .select("plan_id", "step", *so_far(inside))
         .filter(F.col("step").isNotNull())
     )

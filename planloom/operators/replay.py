@@ -68,8 +68,10 @@ def timeline(part: Part, domain: Domain, marks: bool = False) -> DataFrame:
     rows = part.items().select("plan_id", F.inline(events)).filter(F.col("fact").isNotNull())
     if not part.blocked:
         return rows
-    # Goals wait in a block after all others.
-    return part.with_block(rows).withColumn("block", F.coalesce("block", F.lit(_LAST_BLOCK)))
+    # Goals wait in a block after all others. A long plan may arrive in one partition
+    # (joined by plan), which would satisfy every window below: spread it by block.
+    placed = part.with_block(rows).withColumn("block", F.coalesce("block", F.lit(_LAST_BLOCK)))
+    return placed.repartition("plan_id", "block", "fact")
 
 
 def observe(part: Part, events: DataFrame) -> DataFrame:
@@ -80,6 +82,7 @@ def observe(part: Part, events: DataFrame) -> DataFrame:
         carried = carry_last(events, ["plan_id", "fact"], "block", "is_add", "ord", is_goal)
         none = F.lit(None).cast("long")
         rows = rows.unionByName(carried.withColumns({"ord": F.lit(-1).cast("long"), "step": none}))
+        rows = rows.repartition(*part.group("fact"))
     timeline_of = Window.partitionBy(*part.group("fact"))
     before = timeline_of.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     held = F.coalesce(F.last("is_add", ignorenulls=True).over(before), F.lit(False))
