@@ -34,7 +34,7 @@ def read_generated(
 
 
 def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(_file_name().alias("name"), F.col("value").alias("text"))
 
 
