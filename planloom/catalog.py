@@ -59,12 +59,12 @@ def plan_records(spark, sf_dir):
 
 @query
 def plan_sizes(spark, sf_dir):
-    return stats.plan_sizes(OrderPlans(spark, sf_dir).unordered())
+    return OrderPlans(spark, sf_dir).sizes().drop("o_custkey")
 
 
 @query
 def corpus_stats(spark, sf_dir):
-    described = stats.corpus_stats(stats.plan_sizes(OrderPlans(spark, sf_dir).unordered()))
+    described = stats.corpus_stats(OrderPlans(spark, sf_dir).sizes())
     return described.withColumns({c: F.round(c, 6) for c in ("mean", "std", "median")})
 
 
@@ -217,7 +217,7 @@ def applicable_actions(spark, sf_dir):
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = stats.plan_sizes(OrderPlans(spark, sf_dir).unordered("o_custkey"), "plan_id", "o_custkey")
+    sizes = OrderPlans(spark, sf_dir).sizes()
     n_init, n_goals, n_plan = F.col("n_initial_state"), F.col("n_goals"), F.col("n_actions")
     length = seq.plan_length(seq.end_index(n_init, n_goals, n_plan), seq.actions_index(n_init, n_goals))
     return sizes.select("plan_id", orders.problem().alias("problem_id"), length.alias("length"))
@@ -389,19 +389,22 @@ def step_match(spark, sf_dir):
 @query
 def error_analysis(spark, sf_dir):
     plans = OrderPlans(spark, sf_dir)
-    nested = records.assemble(plans.corpus("o_custkey"), orders.plan_name()).filter("first_step = 1")
+    nested = records.assemble(plans.corpus("o_custkey"), orders.plan_name())
+    lengths = plans.sizes().select("plan_id", F.col("n_actions").alias("plan_length"))
 
     def readable(token: Column) -> Column:
         return F.coalesce(tok.decode_action(token, SHIPPING), token)
 
     pretty = lambda c: tok.beautify_facts(F.array_join(c, " "), SHIPPING_OBJECTS)
-    examples = nested.select(
+    examples = nested.join(lengths, "plan_id").select(
         F.col("plan_id").alias("example"),
+        evaluation.part_of(F.col("first_step") - 1).alias("part"),
+        "plan_length",
         F.col("name").alias("example_name"),
         tok.problem_id(F.col("name")).alias("problem_id"),
         pretty("initial").alias("initial_state"),
         pretty("goals").alias("goals"),
-        F.concat(F.transform("actions", readable), F.array(F.lit(END))).alias("real"),
+        F.transform("actions", readable).alias("real"),
     )
     token_texts = _corpus_vocabulary(plans, TOKEN_TEXTS).select(
         F.col("token_id").cast("int").alias("token_id"), readable(F.col("token")).alias("text")

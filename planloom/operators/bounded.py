@@ -47,12 +47,15 @@ def number_rows(
     long: DataFrame | None,
     weight: Column | None = None,
     out: str = "seq",
+    long_rows: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """Add the 1-based running position of each row inside its group.
 
     ``weight`` is the number of positions a row takes, ``block`` a leading part of
     ``order``. Returns the ordinary groups and the long groups as two frames: the
     ordinary ones keep the hash partitioning of ``keys`` for later grouping.
+    ``long_rows`` are the rows of the long groups, where there is a better way to
+    them than filtering ``df``.
     """
     step = (weight if weight is not None else F.lit(1)).cast("long")
 
@@ -64,7 +67,7 @@ def number_rows(
         return df.withColumn(out, start(keys)), None
     ordinary = df.join(long, keys, "left_anti").withColumn(out, start(keys))
 
-    rest = df.join(long, keys, "left_semi")
+    rest = df.join(long, keys, "left_semi") if long_rows is None else long_rows
     totals = rest.groupBy(*keys, *block).agg(F.sum(step).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
@@ -82,9 +85,15 @@ def number_rows(
     return ordinary, numbered
 
 
-def key_counts(df: DataFrame, by: str, key: Column | None = None, name: str = "key") -> DataFrame:
-    """Rows per value of ``by`` as ``name, _rows``; ``key`` makes the key from the value."""
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
+def key_counts(
+    df: DataFrame, by: str, key: Column | None = None, name: str = "key", rows: str | None = None
+) -> DataFrame:
+    """Rows per value of ``by`` as ``name, _rows``; ``key`` makes the key from the value.
+
+    ``rows`` names a column of counts where ``df`` is aggregated already.
+    """
+    size = F.count(F.lit(1)) if rows is None else F.sum(rows)
+    counts = df.groupBy(by).agg(size.alias("_rows"))
     return counts.select((F.col(by) if key is None else key).alias(name), "_rows")
 
 

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.scores import argmax, cross_entropy, softmax, top_k
+from planloom.functions.scores import argmax, cross_entropy, log_sum_exp, top_k
 from planloom.schemas import END, RECORD_STEPS
 
 
 def topk_predictions(predictions: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """The ``k`` most probable tokens of each score vector, one row per rank."""
-    best = predictions.select(*keys, F.posexplode(top_k(softmax(F.col("logits")), k)).alias("rank", "best"))
-    return best.select(
+    """The ``k`` most probable tokens of each score vector, one row per rank.
+
+    Ranks follow the scores; only the ``k`` best are turned into probabilities.
+    """
+    scored = predictions.select(
+        *keys,
+        F.posexplode(top_k(F.col("logits"), k)).alias("rank", "best"),
+        log_sum_exp(F.col("logits")).alias("norm"),
+    )
+    return scored.select(
         *keys,
         (F.col("rank") + 1).alias("rank"),
         F.col("best.token_id").alias("token_id"),
-        F.col("best.value").alias("probability"),
+        F.exp(F.col("best.value") - F.col("norm")).alias("probability"),
     )
 
 
@@ -108,6 +115,11 @@ def step_match(predicted: DataFrame, real: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+def part_of(position: Column, record_steps: int = RECORD_STEPS) -> Column:
+    """The record a 0-based position belongs to."""
+    return F.floor(position / record_steps).cast("long")
+
+
 def error_analysis(
     examples: DataFrame,
     predictions: DataFrame,
@@ -117,24 +129,26 @@ def error_analysis(
 ) -> DataFrame:
     """One document per example with its predictions in order.
 
-    ``examples``: ``example``, ``real`` (readable actions, end token last) and any
-    describing columns; ``predictions``: ``example, position, logits``; ``token_texts``:
-    ``token_id, text``, at most a vocabulary. A document holds the positions of one
-    record; an example with more goes on in documents with a larger ``part``. One
-    shuffle by document serves both levels of nesting.
+    ``examples``: one row per record, ``example, part, plan_length, real`` (readable
+    actions) and any describing columns; ``predictions``: ``example, position,
+    logits``; ``token_texts``: ``token_id, text``, at most a vocabulary. A document
+    holds the positions of one record; an example with more goes on in documents
+    with a larger ``part``. One shuffle by document serves both levels of nesting.
     """
     ranked = predictions.select(
         "example",
-        F.floor(F.col("position") / record_steps).cast("long").alias("part"),
+        part_of(F.col("position"), record_steps).alias("part"),
         "position",
-        F.posexplode(top_k(softmax(F.col("logits")), k)).alias("rank", "best"),
+        F.posexplode(top_k(F.col("logits"), k)).alias("rank", "best"),
+        log_sum_exp(F.col("logits")).alias("norm"),
     )
     texts = F.broadcast(token_texts)
+    probability = F.exp(F.col("best.value") - F.col("norm")).alias("probability")
     named = ranked.join(texts, F.col("best.token_id") == F.col("token_id"), "left").select(
         "example",
         "part",
         "position",
-        F.struct("rank", F.col("text").alias("action"), F.col("best.value").alias("probability")).alias("entry"),
+        F.struct("rank", F.col("text").alias("action"), probability).alias("entry"),
     )
     per_position = (
         named.repartition("example", "part")
@@ -145,27 +159,37 @@ def error_analysis(
         F.sort_array(F.collect_list(F.struct("position", "top"))).alias("steps")
     )
     generated = F.transform("steps", lambda s: F.get(s["top"], F.lit(0))["action"])
-    documents = per_document.join(examples, "example").withColumn("generated", generated)
+    about = examples.filter(F.col("part") == 0).drop("part", "real")
+    documents = (
+        per_document.join(about, "example")
+        .join(examples.select("example", "part", "real"), ["example", "part"], "left")
+        .withColumns({"generated": generated, "from": F.col("part") * record_steps})
+    )
+    # The end token follows the last action, in the record it would stand in.
+    ends_here = part_of(F.col("plan_length"), record_steps) == F.col("part")
+    real = F.coalesce("real", F.array().cast("array<string>"))
+    real = F.when(ends_here, F.concat(real, F.array(F.lit(END)))).otherwise(real)
+    documents = documents.withColumn("real", real)
 
     def detail(step: Column, place: Column) -> Column:
         top = F.transform(
             step["top"],
             lambda t: F.struct(t["action"].alias("action"), t["probability"].alias("probability")),
         )
+        at = (step["position"] - F.col("from")).cast("int")
         return F.struct(
             F.array_join(F.slice("generated", F.lit(1), place), " ").alias("actions_seen"),
-            F.coalesce(F.get("real", step["position"]), F.lit("")).alias("real_action"),
+            F.coalesce(F.get("real", at), F.lit("")).alias("real_action"),
             F.get("generated", place).alias("generated_action"),
             top.alias("top_k"),
         )
 
-    described = [c for c in examples.columns if c not in ("example", "real")]
     return documents.select(
         "example",
         "part",
-        *described,
+        *[c for c in about.columns if c not in ("example", "plan_length")],
         F.array_join("real", " ").alias("real_plan"),
-        F.size(F.filter("real", lambda a: a != END)).cast("long").alias("real_plan_length"),
+        F.col("plan_length").alias("real_plan_length"),
         F.array_join("generated", " ").alias("generated_plan"),
         F.size(F.filter("generated", lambda a: a != END)).cast("long").alias("generated_plan_length"),
         F.transform("steps", detail).alias("predictions"),

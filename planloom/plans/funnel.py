@@ -54,7 +54,7 @@ class FunnelPlans:
             plan_id().alias("plan_id"),
             "user_id",
             "week",
-            F.date_trunc("minute", "ts").alias("minute"),
+            F.date_trunc("second", "ts").alias("second"),
             "ts",
             "event_id",
             "event_type",
@@ -62,8 +62,8 @@ class FunnelPlans:
 
     def numbered(self) -> tuple[DataFrame, DataFrame | None]:
         long = long_groups(self.events, ["plan_id"])
-        order = ["minute", "ts", "event_id"]
-        return number_rows(self.events, ["plan_id"], order, ["minute"], long)
+        order = ["second", "ts", "event_id"]
+        return number_rows(self.events, ["plan_id"], order, ["second"], long)
 
     def corpus(self, *keep: str) -> Corpus:
         ordinary, rest = self.numbered()

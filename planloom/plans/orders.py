@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.operators.bounded import hot_keys, key_counts, long_groups, number_rows
+from planloom.operators.stats import plan_sizes
 from planloom.plans.corpus import Corpus, union
 
 LINE_ORDER = [
@@ -103,21 +104,45 @@ class OrderPlans:
         self.lineitem = table("lineitem").withColumnRenamed("l_orderkey", "plan_id")
         self.orders = table("orders").withColumnRenamed("o_orderkey", "plan_id")
 
-    def lines(self) -> DataFrame:
-        """Order lines with their customer, keyed by ``plan_id``."""
+    def lines(self, only: DataFrame | None = None) -> DataFrame:
+        """Order lines with their customer, keyed by ``plan_id``; ``only`` some plans.
+
+        Both sides are restricted, so that few plans mean a small side to broadcast.
+        """
+        line = self.lineitem.select("plan_id", *LINE_ORDER)
         customers = self.orders.select("plan_id", "o_custkey")
-        return self.lineitem.select("plan_id", *LINE_ORDER).join(customers, "plan_id")
+        if only is not None:
+            line = line.join(only, "plan_id", "left_semi")
+            customers = customers.join(only, "plan_id", "left_semi")
+        return line.join(customers, "plan_id")
 
     def corpus(self, *keep: str) -> Corpus:
         long = long_groups(self.lineitem, ["plan_id"], n_steps())
         lines = self.lines()
-        ordinary, rest = number_rows(lines, ["plan_id"], LINE_ORDER, LINE_BLOCK, long, n_steps())
+        ordinary, rest = number_rows(
+            lines,
+            ["plan_id"],
+            LINE_ORDER,
+            LINE_BLOCK,
+            long,
+            n_steps(),
+            long_rows=None if long is None else self.lines(long),
+        )
         return Corpus(
             as_chunks(ordinary, *keep),
             None if rest is None else as_chunks(rest, *keep),
             as_chunks(lines, *keep),
         )
 
+    def sizes(self) -> DataFrame:
+        """Facts, goals and steps per plan, with the customer.
+
+        Lines are counted before the join, where a large order is one row already;
+        the customer's name in a fact does not change how many there are.
+        """
+        nameless = as_chunks(self.lineitem.withColumn("o_custkey", F.lit(None).cast("long")))
+        return plan_sizes(nameless).join(self.orders.select("plan_id", "o_custkey"), "plan_id")
+
     def unordered(self, *keep: str) -> DataFrame:
         return as_chunks(self.lines(), *keep)
 
@@ -139,12 +164,13 @@ class OrderPlans:
     def hot_names(self) -> DataFrame | None:
         """Object names that fill a large share of the argument slots."""
         # A customer name fills a slot of every line of the customer's orders.
-        lines_of = self.lineitem.join(self.orders.select("plan_id", "o_custkey"), "plan_id")
+        per_order = self.lineitem.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_lines"))
+        per_order = per_order.join(self.orders.select("plan_id", "o_custkey"), "plan_id")
         return hot_keys(
             [
                 key_counts(self.lineitem, "l_partkey", named("part", "l_partkey"), "name"),
                 key_counts(self.lineitem, "l_suppkey", named("supp", "l_suppkey"), "name"),
-                key_counts(lines_of, "o_custkey", problem(), "name"),
+                key_counts(per_order, "o_custkey", problem(), "name", rows="n_lines"),
             ]
         )
 
