@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from planloom.functions import sequences as seq
 from planloom.functions import tokens as tok
 from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, validate, vocab
+from planloom.operators.bounded import lookup
 from planloom.plans import funnel, orders, predictions, sample_texts
 from planloom.plans.domains import FUNNEL, SHIPPING, SHIPPING_BOUND, SHIPPING_OBJECTS
 from planloom.plans.funnel import FunnelPlans
@@ -451,9 +452,8 @@ def _problem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One problem file per plan record, with the static facts of its customer."""
     nested = _nested(spark, sf_dir).withColumn("problem_id", tok.problem_id(F.col("name")))
     lists = enrich.first_part(enrich.grouped_facts(_static_facts(spark, sf_dir)))
-    joined = nested.join(lists, "problem_id", "left").withColumn(
-        "static", F.coalesce("static", F.array().cast("array<string>"))
-    )
+    joined = lookup(nested, lists, "problem_id", OrderPlans(spark, sf_dir).hot_problems())
+    joined = joined.withColumn("static", F.coalesce("static", F.array().cast("array<string>")))
     text = sample_texts.problem_text(F.col("initial"), F.col("goals"), F.col("static"))
     name = F.concat_ws("_", tok.example_id(F.col("name")), F.col("first_step").cast("string"))
     return joined.select(F.concat(name, F.lit(".pddl")).alias("name"), text.alias("text"))

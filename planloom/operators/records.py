@@ -35,9 +35,12 @@ def assemble(
         tokens = F.transform("steps", action_token).alias("actions")
         chunk = F.struct("seq", "initial", "goals", tokens, *(["steps"] if steps else []))
         lists = ["initial", "goals", "actions", *(["steps"] if steps else [])]
+        placed = part.chunks.withColumn("record", record)
+        if part.blocked:
+            # Partitioned by plan only, a long plan would be grouped in one task.
+            placed = placed.repartition("plan_id", "record")
         grouped = (
-            part.chunks.withColumn("record", record)
-            .withColumn("name", name)
+            placed.withColumn("name", name)
             .groupBy("plan_id", "record")
             .agg(F.any_value("name").alias("name"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
         )
