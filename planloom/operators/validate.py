@@ -22,6 +22,11 @@ from planloom.schemas import (
 )
 
 
+# Room for the step below the rank of a finding.
+_STEP_BITS = 48
+_STEPS = 2**_STEP_BITS
+
+
 def _rank(plan_class: str) -> Column:
     return F.lit(PLAN_CLASSES.index(plan_class))
 
@@ -80,12 +85,16 @@ def classify(
 ) -> DataFrame:
     """One row per plan: ``plan_id, class, step`` (the first failing step of a precondition)."""
     found = findings(corpus, domain, objects, hot_names)
-    worst = found.groupBy("plan_id").agg(F.min(F.struct("rank", "step")).alias("worst"))
+    # Rank and step in one number: its minimum is kept in a hash aggregate.
+    code = F.col("rank").cast("long") * _STEPS + F.coalesce("step", F.lit(0))
+    worst = found.groupBy("plan_id").agg(F.min(code).alias("worst"))
     names = F.array(*[F.lit(c) for c in PLAN_CLASSES])
+    rank = F.floor(F.shiftright("worst", _STEP_BITS)).cast("int")
+    step = F.col("worst").bitwiseAND(F.lit(_STEPS - 1))
     return worst.select(
         "plan_id",
-        F.get(names, F.col("worst.rank")).alias("class"),
-        F.when(F.col("worst.rank") != _rank(VALID), F.col("worst.step")).alias("step"),
+        F.get(names, rank).alias("class"),
+        F.when(rank == _rank(PRECONDITION), step).alias("step"),
     )
 
 

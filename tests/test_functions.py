@@ -33,10 +33,10 @@ def test_decode_and_encode(spark, token, decoded):
 
 
 def test_names_and_normalisation(spark):
-    name = "../plans/xml//xml-LPG-p057934_4.SOL"
-    assert value(spark, tokens.problem_id(F.col("n")), n=name) == "p057934"
-    assert value(spark, tokens.example_id(F.col("n")), n=name) == "p057934_4"
-    assert value(spark, tokens.file_stem(F.col("n")), n="p057934.pddl") == "p057934"
+    name = "folder/xml-GEN-p12_4.SOL"
+    assert value(spark, tokens.problem_id(F.col("n")), n=name) == "p12"
+    assert value(spark, tokens.example_id(F.col("n")), n=name) == "p12_4"
+    assert value(spark, tokens.file_stem(F.col("n")), n="p12.pddl") == "p12"
     assert value(spark, tokens.normalize(F.col("n")), n="in-city pos1 cit1") == "incitypos1cit1"
 
 

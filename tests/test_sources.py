@@ -8,7 +8,7 @@ from planloom.operators.records import normalize_raw, plan_records
 from planloom.schemas import GENERATED_PLAN, PLAN_RAW, PLAN_RECORD
 from planloom.sources import readers, texts, writers
 
-PROBLEM = """(define (problem logistics-test)
+PROBLEM = """(define (problem small)
 (:domain logistics)
 (:objects
 \tapn4 apn5 - airplane
@@ -109,7 +109,7 @@ def test_problem_files(spark, tmp_path):
 
 
 def test_plan_logs(spark, tmp_path):
-    (tmp_path / "xml-LPG-p1_2.SOL").write_text(LOG)
+    (tmp_path / "xml-GEN-p1_2.SOL").write_text(LOG)
     raw = readers.read_plan_logs(spark, str(tmp_path))
     assert raw.schema.simpleString() == PLAN_RAW.simpleString()
     row = raw.collect()[0]

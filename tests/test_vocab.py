@@ -62,5 +62,5 @@ def test_records_are_bounded_and_whole(spark, is_long):
     assert [r["first_step"] for r in got] == [1, 11, 21]
     assert [len(r["actions"]) for r in got] == [10, 10, 5]
     assert [a for r in got for a in r["actions"]] == [f"OPAX{i}" for i in range(1, 26)]
-    flat = records.plan_records(records.assemble(Corpus(chunks), F.lit("xml-LPG-p1_2.SOL"))).collect()[0]
+    flat = records.plan_records(records.assemble(Corpus(chunks), F.lit("xml-GEN-p1_2.SOL"))).collect()[0]
     assert (flat["pddl_problem_file"], flat["actions_idx"], flat["eop_idx"]) == ("p1.pddl", 52, 78)
