@@ -8,13 +8,20 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import decontaminate, exact_dedup, line_dedup
+from planloom.llm import bpe, decontaminate, exact_dedup, line_dedup, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def vocabulary(name: str) -> str:
+    """The place of a vocabulary file of the public tokenizers that are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(make: Query) -> Query:
     @wraps(make)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +38,23 @@ def op4_line_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op5_token_counts(spark, sf_dir):
+    pieces = token_counts.load_pieces(vocabulary("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir), pieces)
+
+
+@query
+def op7_bpe_encode_decode(spark, sf_dir):
+    encoded = bpe.encode_decode(table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
