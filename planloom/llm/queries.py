@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, line_dedup, token_counts
+from planloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def query(make: Query) -> Query:
     return run
 
 
+@query
+def op1_simhash_near_dedup(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir))
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir).select("doc_id", "text")
