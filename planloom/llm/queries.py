@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, line_dedup, simhash, token_counts
+from planloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,13 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir))
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir).select("doc_id", "text")
