@@ -50,8 +50,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+# Texts as two hexadecimal digits a byte; a window is 100 bytes.
+_REPEATS = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS s FROM docs),
+ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) AS n FROM starts
+), later AS (SELECT doc_id, s FROM ranked WHERE n > 1),
+edges AS (
+  SELECT doc_id, s, s + 100 AS e,
+    coalesce(s > max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh
+  FROM later
+), numbered AS (
+  SELECT doc_id, s, e, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM edges
+), spans AS (SELECT doc_id, span, min(s) AS s, max(e) AS e FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, span, s, e, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM spans
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, max(e) AS tail,
+    string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY span) AS front
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(n_spans, 0) AS n_spans,
+  sha256(from_hex(coalesce(front, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
     "op4_line_dedup": _LINE_DEDUP,
+    "op6_repeated_passages": _REPEATS,
     "op9_benchmark_decontamination": _DECONTAMINATION,
     "op10_exact_dedup": _EXACT_DEDUP,
 }

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, simhash, token_counts
+from planloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, repeated_text, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir), pieces)
 
 
+@query
+def op6_repeated_passages(spark, sf_dir):
+    kept = repeated_text.remove_repeats(table(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_bpe_encode_decode(spark, sf_dir):
     encoded = bpe.encode_decode(table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
