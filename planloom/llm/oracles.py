@@ -53,9 +53,11 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN named USING (doc_id)
 # Texts as two hexadecimal digits a byte; a window is 100 bytes.
 _REPEATS = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS s FROM docs),
-ranked AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * s + 1, 200)) ORDER BY doc_id, s) AS n FROM starts
+windows AS (
+  SELECT doc_id, s, md5_number(substr(h, 2 * s + 1, 200)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS s FROM docs)
+), ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM windows
 ), later AS (SELECT doc_id, s FROM ranked WHERE n > 1),
 edges AS (
   SELECT doc_id, s, s + 100 AS e,

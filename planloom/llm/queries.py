@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, language, line_dedup, repeated_text, simhash, token_counts
+from planloom.llm import bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir))
 
 
+@query
+def op2_language_model_scores(spark, sf_dir):
+    docs = table(spark, sf_dir).select("doc_id", "text")
+    out = language_model.held_out(F.col("doc_id"))
+    scored = language_model.score(docs, ~out)
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query
 def op3_language_id(spark, sf_dir):
     docs = table(spark, sf_dir).select("doc_id", "text", "lang")
