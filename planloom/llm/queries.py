@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, simhash, token_counts
+from planloom.llm import bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,15 @@ def op7_bpe_encode_decode(spark, sf_dir):
     )
 
 
+@query
+def op8_secret_scan(spark, sf_dir):
+    found = secrets_scan.scan(table(spark, sf_dir))
+    held_out = secrets_scan.held_out(F.col("doc_id")).alias("held_out")
+    return found.select(
+        "doc_id", held_out, "position", F.sha2("core", 256).alias("core_sha256"), "known", "probability", "is_secret"
+    )
+
+
 @query
 def op9_benchmark_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
