@@ -274,33 +274,36 @@ def label(texts: list[bytes], model: dict) -> tuple[Words, np.ndarray]:
     return words, marginals(np.concatenate(scores), first, length, model["start"], model["moves"])
 
 
+def judge(batch: pa.RecordBatch, column: str, model: dict | None, spans: bool = False) -> tuple[list, list, list]:
+    """Languages, scores and, if asked for, runs of one language, of the texts of a batch."""
+    texts = [(t or "").lower() for t in batch.column(column).to_pylist()]
+    names, sure, runs = [UNDETERMINED] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+    if model is None:
+        return names, sure, runs
+    data = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))]
+    for a, b in slices(offsets, CHAIN_BYTES):
+        words, found = label(data[a:b], model)
+        with_letter = words.has_letter()
+        owner = words.text[with_letter]
+        n = np.bincount(owner, minlength=b - a)
+        total = np.stack([np.bincount(owner, p, b - a) for p in found[with_letter].T.astype(np.float64)], axis=1)
+        mean = total / np.maximum(n, 1)[:, None]
+        best = mean.argmax(axis=1)
+        for k in np.flatnonzero(n).tolist():
+            # Bytes beyond ASCII may be signs; a quick look at the first letters settles most texts.
+            if any("a" <= c <= "z" for c in texts[a + k][:64]) or any(map(str.isalpha, texts[a + k])):
+                names[a + k] = model["languages"][best[k]]
+                sure[a + k] = float(min(mean[k, best[k]], 1.0))
+        if spans:
+            runs[a:b] = _runs(words, found, b - a, model["languages"])
+    return names, sure, runs
+
+
 def _identify(held, spans: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
         for batch in batches:
-            texts = [(t or "").lower() for t in batch.column("text").to_pylist()]
-            data = [t.encode() for t in texts]
-            offsets = np.r_[0, np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))]
-            names, sure, runs = [], [], []
-            for a, b in slices(offsets, CHAIN_BYTES):
-                if model is None:
-                    names += [UNDETERMINED] * (b - a)
-                    sure += [0.0] * (b - a)
-                    runs += [[]] * (b - a)
-                    continue
-                words, found = label(data[a:b], model)
-                with_letter = words.has_letter()
-                owner = words.text[with_letter]
-                n = np.bincount(owner, minlength=b - a)
-                total = np.stack([np.bincount(owner, p, b - a) for p in found[with_letter].T.astype(np.float64)], axis=1)
-                mean = total / np.maximum(n, 1)[:, None]
-                best = mean.argmax(axis=1)
-                for k in range(b - a):
-                    known = n[k] and (any("a" <= c <= "z" for c in texts[a + k][:64]) or any(map(str.isalpha, texts[a + k])))
-                    names.append(model["languages"][best[k]] if known else UNDETERMINED)
-                    sure.append(float(min(mean[k, best[k]], 1.0)) if known else 0.0)
-                if spans:
-                    runs += _runs(words, found, b - a, model["languages"])
+            names, sure, runs = judge(batch, "text", held.value, spans)
             columns = [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(sure, pa.float64())]
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
@@ -310,6 +313,15 @@ def _identify(held, spans: bool):
     return run
 
 
+def _accept(held, text: str, least: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sure, _ = judge(batch, text, held.value)
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= least for n, s in zip(names, sure)], pa.bool_()))
+
+    return run
+
+
 def _runs(words: Words, found: np.ndarray, texts: int, languages: list[str]) -> list[list[dict]]:
     """Per text, runs of words of one language as byte offsets in the lower-cased text."""
     out: list[list[dict]] = [[] for _ in range(texts)]
@@ -330,3 +342,9 @@ def identify(docs: DataFrame, model: dict | None, spans: bool = False) -> DataFr
     if spans:
         shape += ", spans array<struct<start: long, end: long, lang: string>>"
     return docs.select("doc_id", "text").mapInArrow(_identify(held, spans), shape)
+
+
+def accept(docs: DataFrame, model: dict | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, whose language is known with a score of ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_accept(held, text, least), docs.schema)

@@ -70,15 +70,14 @@ def op6_repeated_passages(spark, sf_dir):
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def bpe_digests(encoded: DataFrame) -> DataFrame:
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("ids", "decoded")]
+    return encoded.select("doc_id", "n_tokens", *digests)
+
+
 @query
 def op7_bpe_encode_decode(spark, sf_dir):
-    encoded = bpe.encode_decode(table(spark, sf_dir), vocabulary("word_bpe_49k.json"))
-    return encoded.select(
-        "doc_id",
-        "n_tokens",
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe_digests(bpe.encode_decode(table(spark, sf_dir), vocabulary("word_bpe_49k.json")))
 
 
 @query
