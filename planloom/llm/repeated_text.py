@@ -11,13 +11,16 @@ Digits are compared by hashes, 128 bits in all for what counts as equal.
 2. Digit two is the run's whole string, from the start of its first suffix to the end of its last one.
    Runs are dealt and sorted by gram and string. All but the first of equal runs repeat it in full.
    Runs that are alone with their gram are not repeated anywhere.
-3. For first runs whose gram also has other strings, digit three is each suffix's ``DEPTH`` bytes. All but
-   the first of equal suffixes are repeated.
+3. For first runs whose gram also has other strings, the suffixes are taken by ``BLOCK`` that lie side by
+   side, counted from the gram. Digit three is what all suffixes of a block have in common. A block whose
+   digit no other one has is not repeated.
+4. Digit four, for the suffixes of the blocks that are left, is all of the ``DEPTH`` bytes, in two halves.
+   All but the first of equal suffixes are repeated.
 
 Before each shuffle a task sorts what it has in hand: rows that are not the first of their group there
 are decided at once and dealt out evenly, so that a passage that a third of all texts share sends one row
 per batch to its group. Passes only stream sorted rows. Texts are shuffled once, by doc_id, to look
-up the suffixes of pass three and to cut out what goes.
+up the suffixes of passes three and four and to cut out what goes.
 
 Defined results: a null text is empty; texts shorter than ``DEPTH`` stay whole; a null doc_id ranks below
 all others; texts that share a doc_id are taken in the order of their checksums, and of equal rows with
@@ -38,12 +41,15 @@ from planloom.llm.common import SLICE_BYTES, mix, slices, span_hashes, stored, t
 
 DEPTH = 100
 GRAM = 24
+BLOCK = 8
 LOWEST = -(1 << 63)
 
 # A place is one number: checksum of the text, start, whether it is decided, and suffixes after the first.
 _SPAN, _LATER, _START, _SUM = 7, 1 << 7, 8, 41
 _SUM_BITS = 22
 
+_START_MASK, _SPAN_MASK = (1 << (_SUM - _START)) - 1, _LATER - 1
+
 _ROWS = "gram long, digit long, doc long, place long"
 _NAMES = ["gram", "digit", "doc", "place"]
 _FOUND = "doc long, place long, check boolean"
@@ -64,11 +70,11 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, ends: np.ndarray, depth: int, gram: int):
-    """Runs of suffixes in adjoining texts: first and last start, gram hash, and a hash of any span."""
+    """Runs of suffixes in adjoining texts: first and last start, place and hash of the gram."""
     n = len(data) - depth + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     at = np.arange(len(data) - gram + 1)
     hashes = span_hashes(data, at, at + gram)
     low = np.uint64((1 << 24) - 1)
@@ -82,13 +88,13 @@ def runs(data: np.ndarray, ends: np.ndarray, depth: int, gram: int):
     change = np.r_[True, anchor[1:] != anchor[:-1]]
     first = np.flatnonzero(whole & (change | np.r_[True, ~whole[:-1]]))
     last = np.flatnonzero(whole & np.r_[change[1:] | ~whole[1:], True])
-    return first, last, hashes[anchor[first]]
+    return first, last, anchor[first], hashes[anchor[first]]
 
 
 def _texts(offsets: np.ndarray, data: memoryview, wanted: list | None, depth: int) -> Iterator[tuple]:
     """Pieces of a batch: first row, starts and ends of the rows in the piece, bytes, offset in the row."""
     raw = np.frombuffer(data, np.uint8)
-    for a, b in slices(offsets):
+    for a, b in slices(offsets, SLICE_BYTES):
         if wanted is not None and not any(wanted[a:b]):
             continue
         if b - a == 1 and offsets[b] - offsets[a] > SLICE_BYTES:
@@ -100,70 +106,116 @@ def _texts(offsets: np.ndarray, data: memoryview, wanted: list | None, depth: in
             yield a, offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]], 0
 
 
-def _sorted_batch(gram, digit, doc, place) -> pa.RecordBatch:
-    """Rows of a batch; all but the first of each group are marked as decided."""
+def _batch(gram, digit, doc, place, spare: int) -> pa.RecordBatch:
+    """Rows of a batch, in order of their groups' rows; all but ``spare`` of each group are marked as decided."""
     order = np.lexsort((place, doc, digit, gram))
-    gram, digit, doc, place = (x[order] for x in (gram, digit, doc, place))
-    new = np.r_[True, (gram[1:] != gram[:-1]) | (digit[1:] != digit[:-1])] if len(gram) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (doc != doc[head]) | (place != place[head])
-    place = place | np.where(later, _LATER, 0)
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[order][1:] != gram[order][:-1]) | (digit[order][1:] != digit[order][:-1])
+    heads = np.flatnonzero(new)
+    head = heads[np.cumsum(new) - 1]
+    same = (doc[order] == doc[order][head]) & (place[order] == place[order][head])
+    later = ~same if spare == 1 else np.arange(len(gram)) - head >= spare
+    place = place.copy()
+    place[order[later]] |= _LATER
     columns = [gram.view(np.int64), digit.view(np.int64), doc, place]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _NAMES)
 
 
-def _rows_out(parts: list[tuple]) -> pa.RecordBatch:
+def _rows_out(parts: list[tuple], spare: int = 1) -> pa.RecordBatch:
     kinds = (np.uint64, np.uint64, np.int64, np.int64)
     columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
-    return _sorted_batch(*columns)
+    return _batch(*columns, spare)
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _runs_of(batch, wanted, depth, gram):
-    """Per piece of a batch: owner and place of each run, and what is needed to hash its spans."""
+def _checksums(offsets: np.ndarray, data: memoryview) -> np.ndarray:
+    return np.array([checksum(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:])], np.int64)
+
+
+def _runs_of(batch: pa.RecordBatch, wanted: list | None, depth: int, gram: int) -> Iterator[tuple]:
+    """Per piece of a batch: rows and places of the runs, their first and last starts, grams and bytes."""
     offsets, data = text_buffer(batch.column("text"))
-    sums = np.array([checksum(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:])], np.int64)
+    sums = _checksums(offsets, data)
     for a, bounds, part, shift in _texts(offsets, data, wanted, depth):
-        first, last, grams = runs(part, bounds[1:], depth, gram)
-        owner = np.searchsorted(bounds, first, side="right") - 1
+        first, last, at, grams = runs(part, bounds[1:], depth, gram)
         # Empty texts share a bound with the next one.
+        owner = np.searchsorted(bounds, first, side="right") - 1
         start = first - bounds[owner] + shift
-        place = sums[owner + a] << _SUM | start << _START | (last - first)
-        yield owner + a, place, first, last, grams, part
+        yield owner + a, sums[owner + a] << _SUM | start << _START, first, last, at, grams, part
+
+
+def _each(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges, ends included, and the range of each."""
+    length = last - first + 1
+    which = np.repeat(np.arange(len(first)), length)
+    return first[which] + np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length), which
 
 
 def _all_runs(depth: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, parts = _ids(batch), []
-            for owner, place, first, last, grams, part in _runs_of(batch, None, depth, gram):
+            for owner, place, first, last, _, grams, part in _runs_of(batch, None, depth, gram):
                 string = span_hashes(part, first, last + depth)
-                # Equal strings are equal runs only with the gram at the same place.
+                # The number of suffixes is part of what has to be equal.
                 string = mix(string + (last - first).astype(np.uint64))
-                parts.append((grams, string, docs[owner], place))
+                parts.append((grams, string, docs[owner], place | (last - first)))
             yield _rows_out(parts)
 
     return run
 
 
-def _all_suffixes(depth: int, gram: int):
+def _blocks(depth: int, gram: int):
+    """Blocks of the suffixes of the runs asked for, by what a block's suffixes have in common."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, parts = _ids(batch), []
             wanted = batch.column("places").to_pylist()
-            for owner, place, first, last, grams, part in _runs_of(batch, wanted, depth, gram):
-                # A text with another's checksum may get suffixes of its own that nobody asked for.
-                asked = np.concatenate([np.array(wanted[n] or [], np.int64) for n in np.unique(owner).tolist()] or [place])
-                keep = np.flatnonzero(np.isin(place, asked))
-                length = (last - first)[keep] + 1
-                which = np.repeat(keep, length)
-                step = np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-                start = first[which] + step
-                own_place = (place[which] >> _START << _START) + (step << _START)
-                parts.append((grams[which], span_hashes(part, start, start + depth), docs[owner[which]], own_place))
+            for owner, place, first, last, at, _, part in _runs_of(batch, wanted, depth, gram):
+                # A text with another's checksum may get blocks of its own that nobody asked for.
+                asked = [np.array(wanted[n] or [], np.int64) for n in np.unique(owner).tolist()]
+                keep = np.flatnonzero(np.isin(place | (last - first), np.concatenate([place[:0], *asked])))
+                first, last, at, owner, place = (x[keep] for x in (first, last, at, owner, place))
+                block, which = _each((at - last) // BLOCK, (at - first) // BLOCK)
+                near = at[which] - block * BLOCK
+                low = np.maximum(near - BLOCK + 1, first[which])
+                span = np.minimum(near, last[which]) - low
+                common = span_hashes(part, near, near - BLOCK + 1 + depth)
+                row = place[which] + ((low - first[which]) << _START) + span
+                doc = docs[owner[which]]
+                parts.append((common, np.zeros_like(common), doc, row))
+            yield _rows_out(parts, spare=2)
+
+    return run
+
+
+def _suffixes(depth: int):
+    """All suffixes of the blocks asked for, by their two halves."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        half = depth // 2
+        for batch in batches:
+            docs, parts = _ids(batch), []
+            offsets, data = text_buffer(batch.column("text"))
+            sums = _checksums(offsets, data)
+            wanted = [np.array(w or [], np.int64) for w in batch.column("places").to_pylist()]
+            for a, bounds, part, shift in _texts(offsets, data, [len(w) for w in wanted], depth):
+                rows = np.repeat(np.arange(len(bounds) - 1), [len(wanted[a + n]) for n in range(len(bounds) - 1)])
+                place = np.concatenate([wanted[a][:0], *wanted[a : a + len(bounds) - 1]])
+                begin = ((place >> _START) & _START_MASK) - shift
+                span = place & _SPAN_MASK
+                # Texts that share a doc_id get each other's places; of a long text, this piece's only.
+                inside = (place >> _SUM == sums[a + rows]) & (begin >= 0) & (begin + span + depth <= np.diff(bounds)[rows])
+                rows, place, begin, span = (x[inside] for x in (rows, place, begin, span))
+                start, which = _each(bounds[rows] + begin, bounds[rows] + begin + span)
+                step = start - (bounds[rows] + begin)[which]
+                own = (place[which] >> _START << _START) + (step << _START)
+                front = span_hashes(part, start, start + half)
+                parts.append((front, span_hashes(part, start + half, start + depth), docs[a + rows[which]], own))
             yield _rows_out(parts)
 
     return run
@@ -209,11 +261,33 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "place", "check"])
 
 
-def later_rows(rows: DataFrame) -> DataFrame:
-    """One pass: rows dealt by gram, decided ones evenly, and sorted; ``doc, place, check``."""
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows whose first digit other rows have too."""
+    kept = None  # gram, doc and place of the last row if it is not out yet; else its gram alone
+    for batch in batches:
+        gram, _, doc, place = (c.to_numpy() for c in batch.columns)
+        decided = place & _LATER != 0
+        doc_out, place_out = [doc[decided]], [place[decided] & ~_LATER]
+        gram, doc, place = (x[~decided] for x in (gram, doc, place))
+        if len(gram):
+            same = gram[1:] == gram[:-1]
+            goes_on = kept is not None and kept[0] == gram[0]
+            if goes_on and len(kept) == 3:
+                doc_out.append(np.array([kept[1]]))
+                place_out.append(np.array([kept[2]]))
+            out = np.r_[goes_on, same] | np.r_[same, False]
+            doc_out.append(doc[out])
+            place_out.append(place[out])
+            kept = (gram[-1],) if out[-1] else (gram[-1], doc[-1], place[-1])
+        columns = [np.concatenate(x) for x in (doc_out, place_out)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "place"])
+
+
+def _pass(rows: DataFrame, step, shape: str) -> DataFrame:
+    """One pass: rows dealt by their first digit, decided ones evenly, sorted, and streamed through ``step``."""
     decided = F.col("place").bitwiseAND(F.lit(_LATER)) != 0
     dealt = rows.repartition(F.when(decided, F.hash("doc", "place")).otherwise(F.hash("gram")))
-    return dealt.sortWithinPartitions(*_NAMES).mapInArrow(_later, _FOUND)
+    return dealt.sortWithinPartitions(*_NAMES).mapInArrow(step, shape)
 
 
 def _cut(depth: int):
@@ -232,8 +306,8 @@ def _cut(depth: int):
                 else:
                     place = np.unique(np.array(places or [], np.int64))
                     place = place[place >> _SUM == own]
-                    first = (place >> _START) & ((1 << (_SUM - _START)) - 1)
-                    end = first + (place & (_LATER - 1)) + depth
+                    first = (place >> _START) & _START_MASK
+                    end = first + (place & _SPAN_MASK) + depth
                     order = np.argsort(first, kind="stable")
                     first, end = first[order], np.maximum.accumulate(end[order])
                     head = np.flatnonzero(np.r_[True, first[1:] > end[:-1]]) if len(first) else np.zeros(0, np.int64)
@@ -249,8 +323,8 @@ def _cut(depth: int):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                ["doc", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
@@ -260,15 +334,21 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept``; ``kept`` are the bytes that stay."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST)))
-    found = stored(later_rows(texts.select("doc", "text").mapInArrow(_all_runs(depth, gram), _ROWS)))
+    found = stored(_pass(texts.select("doc", "text").mapInArrow(_all_runs(depth, gram), _ROWS), _later, _FOUND))
+
+    def places(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
+    # One shuffle of the texts, read three times: all three reads need the same two columns.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = texts.repartition(parts, "doc")
-    asked = found.filter("check").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    suffixes = by_doc.join(asked, "doc").select("doc", "text", "places").mapInArrow(_all_suffixes(depth, gram), _ROWS)
-    gone = found.filter("NOT check").select("doc", "place")
-    gone = gone.unionByName(later_rows(suffixes).filter("NOT check").select("doc", "place"))
-    gone = gone.groupBy("doc").agg(F.collect_list("place").alias("places"))
-    joined = by_doc.join(gone, "doc", "left").select("doc_id", "doc", "text", "places")
-    shape = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return joined.sortWithinPartitions("doc").mapInArrow(_cut(depth), shape)
+    by_doc = texts.select("doc", "text").repartition(parts, "doc")
+    blocks = by_doc.join(places(found.filter("check")), "doc").mapInArrow(_blocks(depth, gram), _ROWS)
+    blocks = _pass(blocks, _repeated, "doc long, place long")
+    suffixes = by_doc.join(places(blocks), "doc").mapInArrow(_suffixes(depth), _ROWS)
+    suffixes = _pass(suffixes, _later, _FOUND)
+    gone = places(found.unionByName(suffixes).filter("NOT check"))
+    joined = by_doc.join(gone, "doc", "left").select("doc", "text", "places")
+    shape = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
+    cut = joined.sortWithinPartitions("doc").mapInArrow(_cut(depth), shape)
+    doc_id = F.nullif("doc", F.lit(LOWEST)).alias("doc_id")
+    return cut.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept")
