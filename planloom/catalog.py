@@ -12,11 +12,11 @@ from planloom.functions import sequences as seq
 from planloom.functions import tokens as tok
 from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, validate, vocab
 from planloom.operators.bounded import lookup
-from planloom.plans import funnel, orders, predictions, sample_texts
+from planloom.plans import funnel, generated, orders, predictions, sample_texts
 from planloom.plans.domains import FUNNEL, SHIPPING, SHIPPING_BOUND, SHIPPING_OBJECTS
 from planloom.plans.funnel import FunnelPlans
 from planloom.plans.orders import OrderPlans
-from planloom.schemas import ACTIONS, BAD_OPERATOR, END, PAD, SPECIAL_TOKENS
+from planloom.schemas import BAD_OPERATOR, END, MISSING_PROBLEM, PAD, SPECIAL_TOKENS
 from planloom.session import tune
 from planloom.sources import texts
 
@@ -29,7 +29,6 @@ SAMPLE_SIZE = 100
 SHARDS = 2
 TEST_SIZE = 0.05
 TOP_K = 5
-TOKEN_TEXTS = 64
 SPLIT_SEED = 7
 
 
@@ -42,12 +41,12 @@ def query(make: Query) -> Query:
     return run
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.assemble(OrderPlans(spark, sf_dir).corpus("o_custkey"), orders.plan_name())
+def _tokens(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    return records.placed_tokens(OrderPlans(spark, sf_dir).corpus(*keep), *keep)
 
 
-def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.plan_records(_nested(spark, sf_dir))
+def _actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.plan_actions(OrderPlans(spark, sf_dir).corpus())
 
 
 # -- records, sizes and statistics -------------------------------------------------
@@ -55,7 +54,12 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plan_records(spark, sf_dir):
-    return _flat(spark, sf_dir)
+    return records.record_numbers(OrderPlans(spark, sf_dir).sizes(), orders.plan_name())
+
+
+@query
+def record_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir)
 
 
 @query
@@ -85,57 +89,53 @@ def token_normalize(spark, sf_dir):
     return raw.withColumn("token", tok.normalize(F.col("raw")))
 
 
-def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = _flat(spark, sf_dir)
-    steps = flat.select("plan_id", "first_step", F.posexplode(tok.words(F.col("actions"))).alias("i", "token"))
+@query
+def decode_actions(spark, sf_dir):
     low = F.lower("token")
-    return steps.select(
+    return _actions(spark, sf_dir).select(
         "plan_id",
-        (F.col("first_step") + F.col("i")).alias("step"),
+        "step",
         "token",
         F.coalesce(tok.action_operator(low, SHIPPING), F.lit(BAD_OPERATOR)).alias("operator"),
         F.coalesce(tok.decode_action(F.col("token"), SHIPPING), F.lit("")).alias("decoded"),
     )
 
 
-@query
-def decode_actions(spark, sf_dir):
-    return _decoded(spark, sf_dir)
+def _dictionary(spark: SparkSession, sf_dir: str, token: Column) -> DataFrame:
+    plans = OrderPlans(spark, sf_dir)
+    tokens = vocab.chunk_tokens(plans.corpus().chunks()).withColumn("token", token)
+    return vocab.token_dictionary(tokens, plans.orders.select("plan_id"))
 
 
 @query
 def encode_actions(spark, sf_dir):
-    steps = OrderPlans(spark, sf_dir).unordered().select(F.explode("steps").alias("step"))
-    token = F.lower(records.action_token(F.col("step"))).alias("token")
-    tokens = steps.select(token)
-    vocabulary = vocab.build_vocabulary(tokens).select("token", "token_id")
-    decoded = tokens.distinct().select(tok.decode_action(F.col("token"), SHIPPING).alias("decoded"))
-    encoded = decoded.filter("decoded is not null").withColumn("encoded", tok.encode_action(F.col("decoded")))
-    found = encoded.join(F.broadcast(vocabulary.withColumnRenamed("token", "encoded")), "encoded", "left")
-    ids = found.select("decoded", "encoded", F.coalesce("token_id", F.lit(0)).alias("token_id"))
-    back = vocabulary.select("token_id", tok.decode_action(F.col("token"), SHIPPING).alias("found"))
-    found = F.coalesce("found", F.lit("")).alias("found")
-    return ids.join(F.broadcast(back), "token_id", "left").select("decoded", "encoded", "token_id", found)
+    dictionary = _dictionary(spark, sf_dir, F.lower("token"))
+    decoded = dictionary.select(tok.decode_action(F.col("token"), SHIPPING).alias("decoded"))
+    encoded = decoded.filter("decoded IS NOT NULL").withColumn("token", tok.encode_action(F.col("decoded")))
+    ids = encoded.join(dictionary, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(0)))
+    back = dictionary.select("token_id", tok.decode_action(F.col("token"), SHIPPING).alias("found"))
+    found = ids.join(back, "token_id", "left")
+    return found.select("decoded", F.col("token").alias("encoded"), "token_id", F.coalesce("found", F.lit("")).alias("found"))
 
 
 @query
 def bracketed_plan(spark, sf_dir):
-    flat = _flat(spark, sf_dir)
-    return flat.select("plan_id", "first_step", tok.bracket_plan(F.col("actions"), SHIPPING).alias("bracketed"))
+    line = tok.bracket_action(F.col("token"), SHIPPING)
+    return _actions(spark, sf_dir).select("plan_id", "step", line.alias("bracketed"))
 
 
 @query
 def beautify_facts(spark, sf_dir):
-    flat = _flat(spark, sf_dir)
-    pretty = [tok.beautify_facts(F.col(c), SHIPPING_OBJECTS).alias(c) for c in ("initial_state", "goals")]
-    return flat.select("plan_id", "first_step", *pretty)
+    facts = _tokens(spark, sf_dir).filter("section <> 'actions'")
+    return facts.select("plan_id", "section", "place", tok.beautify_facts(F.col("token"), SHIPPING_OBJECTS).alias("fact"))
 
 
 @query
 def split_state_goals(spark, sf_dir):
-    flat = _flat(spark, sf_dir)
-    text = seq.state_text(F.col("initial_state"), F.col("goals"))
-    combined = flat.select("plan_id", "first_step", text.alias("state_text"))
+    """The state text of each order line, put together and split again."""
+    chunks = OrderPlans(spark, sf_dir).corpus().chunks()
+    text = seq.state_text(F.array_join("initial", " "), F.array_join("goals", " "))
+    combined = chunks.select("plan_id", "seq", text.alias("state_text"))
     initial, goals = tok.split_state_goals(F.col("state_text"))
     return combined.select("*", initial.alias("initial_state"), goals.alias("goals"))
 
@@ -156,7 +156,7 @@ def replay_facts(spark, sf_dir):
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = OrderPlans(spark, sf_dir)
-    found = validate.classify(plans.corpus(), SHIPPING, plans.objects(), plans.hot_names())
+    found = validate.classify(plans.corpus("problem_id"), SHIPPING, plans.objects())
     return found.withColumn("actions_seen", orders.actions_seen())
 
 
@@ -173,7 +173,7 @@ def unsatisfied_goals(spark, sf_dir):
 @query
 def validation_classes(spark, sf_dir):
     plans = OrderPlans(spark, sf_dir)
-    found = validate.classify(plans.corpus(), SHIPPING, plans.objects(), plans.hot_names())
+    found = validate.classify(plans.corpus("problem_id"), SHIPPING, plans.objects())
     problem = plans.orders.select("plan_id", orders.problem().alias("problem_id"))
     known = plans.table("customer").select(orders.named("cust", "c_custkey").alias("problem_id"))
     classes = validate.with_problems(found.join(problem, "plan_id"), known, plans.hot_problems())
@@ -183,7 +183,7 @@ def validation_classes(spark, sf_dir):
 @query
 def validation_scores(spark, sf_dir):
     plans = FunnelPlans(spark, sf_dir)
-    found = validate.classify(plans.corpus(), FUNNEL, plans.objects(), plans.hot_names())
+    found = validate.classify(plans.corpus(), FUNNEL, plans.objects())
     return validate.score_table(found.withColumn("actions_seen", funnel.actions_seen()))
 
 
@@ -192,6 +192,36 @@ def order_validation_scores(spark, sf_dir):
     return validate.score_table(_classified(spark, sf_dir))
 
 
+# Generated plans of this share have no problem.
+MISSING_SHARE = 10
+GENERATED_BUCKETS = 8
+
+
+@query
+def generated_validation_scores(spark, sf_dir):
+    """Each order line as a generated plan, checked against its own problem file and objects."""
+    plans = OrderPlans(spark, sf_dir)
+    chunks = plans.corpus("o_custkey", "problem_id").chunks().filter(F.size("steps") > 0)
+    example = F.concat_ws("_", tok.example_id(orders.plan_name()), F.col("seq").cast("string"))
+    token = lambda s: records.action_token(s)
+    made = chunks.select(
+        F.array_join(F.transform("steps", token), " ").alias("plan"),
+        F.pmod("plan_id", F.lit(GENERATED_BUCKETS)).cast("int").alias("actions_seen"),
+        F.concat(example, F.lit(".pddl")).alias("problem_id"),
+        example.alias("example_id"),
+        F.col("problem_id").alias("customer"),
+        F.pmod(F.col("plan_id") + F.col("seq"), F.lit(MISSING_SHARE)).alias("draw"),
+    )
+    parsed = texts.parse_problems(_problem_files(spark, sf_dir)).withColumnRenamed("name", "problem_id")
+    lost = made.filter("draw = 0").select("problem_id")
+    found = generated.generated_plans(made, parsed.join(lost, "problem_id", "left_anti"), SHIPPING)
+    listed = plans.objects().withColumnRenamed("problem_id", "customer")
+    used = found.select("problem_id", F.explode("steps").alias("s")).select("problem_id", F.explode("s.args").alias("name"))
+    own = used.distinct().join(made.select("problem_id", "customer"), "problem_id").join(listed, ["customer", "name"])
+    classes = validate.classify(generated.generated_corpus(found), SHIPPING, own.select("problem_id", "name", "type"))
+    return validate.score_table(generated.with_plans(classes, found, MISSING_PROBLEM))
+
+
 @query
 def goal_reached_step(spark, sf_dir):
     return replay.goal_reached_step(OrderPlans(spark, sf_dir).corpus(), SHIPPING)
@@ -241,9 +271,12 @@ def sample_n(spark, sf_dir):
 
 @query
 def shuffle_facts(spark, sf_dir):
-    mixed = seq.shuffled(F.col("initial"), SPLIT_SEED, F.col("name"))
-    nested = _nested(spark, sf_dir)
-    return nested.select("plan_id", "first_step", F.array_join(mixed, " ").alias("initial_state"))
+    plans = OrderPlans(spark, sf_dir)
+    facts = records.placed_tokens(plans.corpus("o_custkey"), "o_custkey").filter("section = 'initial_state'")
+    tag = seq.shuffle_tag(F.col("token"), SPLIT_SEED, orders.plan_name(), F.col("place"))
+    return splits.shuffled_rows(facts.withColumn("tag", tag), "plan_id", plans.long_plans()).select(
+        "plan_id", "place", F.col("token").alias("fact")
+    )
 
 
 @query
@@ -278,8 +311,7 @@ def split_leakage(spark, sf_dir):
 
 @query
 def token_dictionary(spark, sf_dir):
-    plans = OrderPlans(spark, sf_dir)
-    return vocab.token_dictionary(vocab.chunk_tokens(plans.corpus().chunks()), plans.orders.select("plan_id"))
+    return _dictionary(spark, sf_dir, F.col("token"))
 
 
 @query
@@ -296,43 +328,38 @@ def _corpus_vocabulary(plans: OrderPlans, size: int = vocab.VOCABULARY_SIZE) ->
 @query
 def sequence_encode(spark, sf_dir):
     plans = OrderPlans(spark, sf_dir)
-    nested = records.assemble(plans.corpus("o_custkey"), orders.plan_name())
-    tokens = seq.full_sequence(F.col("initial"), F.col("goals"), F.col("actions"))
-    sequences = nested.select(*records.RECORD_KEYS, tokens.alias("tokens"))
-    encoded = vocab.encode(sequences, records.RECORD_KEYS, "tokens", _corpus_vocabulary(plans))
-    ids = F.col("input_ids").cast("array<string>")
-    return encoded.select(
-        *records.RECORD_KEYS, F.array_join(ids, " ").alias("input_ids"), F.size(ids).cast("long").alias("n_tokens")
-    )
+    rows = records.sequence_tokens(_tokens(spark, sf_dir), plans.sizes())
+    return vocab.encode(rows, _dictionary(spark, sf_dir, F.col("token")))
 
 
 @query
 def prompt_build(spark, sf_dir):
-    flat = _flat(spark, sf_dir)
-    text = seq.prompt(F.col("initial_state"), F.col("goals"), F.col("actions"), orders.actions_seen())
-    return flat.select("plan_id", "first_step", orders.actions_seen().alias("actions_seen"), text.alias("input"))
+    sizes = OrderPlans(spark, sf_dir).sizes()
+    rows = records.prompt_tokens(_tokens(spark, sf_dir), sizes, orders.actions_seen())
+    return rows.select("plan_id", orders.actions_seen().alias("actions_seen"), "position", "token")
 
 
-def _generated_tokens() -> Column:
+def _generated_tokens(sequences: DataFrame, sizes: DataFrame) -> DataFrame:
     """A decoder's output: some sequences padded left or right, some without an end."""
-    pads = lambda n: F.array_repeat(F.lit(PAD), F.pmod("plan_id", F.lit(n)).cast("int"))
-    whole = seq.full_sequence(F.col("initial"), F.col("goals"), F.col("actions"))
+    left, right = F.pmod("plan_id", F.lit(2)), F.pmod("plan_id", F.lit(4)).cast("int")
     ended = F.pmod("plan_id", F.lit(3)) != 0
-    body = F.when(ended, whole).otherwise(F.slice(whole, F.lit(1), F.size(whole) - 1))
-    return F.concat(pads(2), body, pads(4))
+    body = sequences.filter(ended | (F.col("token") != END)).withColumn("position", F.col("position") + left)
+    last = seq.end_index(*[F.col(f"n_{s}") for s in records.SECTIONS]) + left
+    places = F.concat(
+        F.when(left > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")),
+        F.transform(F.array_repeat(last, right), lambda at, i: at + i + 1),
+    )
+    pads = sizes.select("plan_id", F.explode(places).alias("position"), F.lit(PAD).alias("token"))
+    return body.unionByName(pads)
 
 
 @query
 def truncate_generated(spark, sf_dir):
-    nested = _nested(spark, sf_dir)
-    output = nested.select("plan_id", "first_step", _generated_tokens().alias("tokens"))
-    plan = seq.generated_actions(F.col("tokens"))
-    return output.select(
-        "plan_id",
-        "first_step",
-        F.array_join(plan, " ").alias("plan"),
-        seq.generated_length(plan).cast("long").alias("plan_length"),
-    )
+    sizes = OrderPlans(spark, sf_dir).sizes()
+    sequences = records.sequence_tokens(_tokens(spark, sf_dir), sizes)
+    rows = seq.generated_rows(_generated_tokens(sequences, sizes))
+    lengths = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("plan_length"))
+    return rows.join(lengths, "plan_id")
 
 
 # -- predictions against references ------------------------------------------------
@@ -363,7 +390,7 @@ def masked_argmax(spark, sf_dir):
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     allowed = line.groupBy(
         F.col("l_orderkey").alias("context"),
-        F.pmod("l_partkey", F.lit(TOKEN_TEXTS)).cast("int").alias("token_id"),
+        F.pmod("l_partkey", F.lit(evaluation.vector_length(scored))).cast("int").alias("token_id"),
     ).agg(F.pmod(F.min("l_suppkey"), F.lit(10)).cast("int").alias("fingerprint"))
     seen = scored.groupBy("context", F.col("label").alias("fingerprint")).agg(F.min("position").alias("since"))
     end_id = SPECIAL_TOKENS.index(END)
@@ -373,55 +400,45 @@ def masked_argmax(spark, sf_dir):
 
 @query
 def step_match(spark, sf_dir):
-    week = F.col("week").cast("date")
-    plans = records.assemble(FunnelPlans(spark, sf_dir).corpus("user_id", "week"), F.concat_ws(",", "user_id", week))
-    key = F.split("name", ",")
-    weeks = plans.select(
-        F.get(key, F.lit(0)).cast("long").alias("user_id"),
-        F.to_date(F.get(key, F.lit(1))).alias("week"),
-        "first_step",
-        F.transform("actions", lambda a: F.regexp_extract(a, "^([A-Z]+)U", 1)).alias("actions"),
-    )
-    repeated = weeks.withColumn("week", F.date_add("week", 7))
-    matched = evaluation.step_match(repeated, weeks, ["user_id", "week"])
+    """Last week's steps as the prediction of this week's."""
+    corpus = FunnelPlans(spark, sf_dir).corpus("user_id", "week")
+    op = F.get("steps", F.lit(0))["op"]
+    steps = corpus.chunks().select("user_id", F.to_date("week").alias("week"), F.col("seq").alias("position"), op.alias("op"))
+    predicted = steps.withColumnRenamed("op", "pred_action").withColumn("week", F.date_add("week", 7))
+    matched = evaluation.step_match(predicted, steps.withColumnRenamed("op", "real_action"), ["user_id", "week"])
     return matched.withColumn("week", F.date_format("week", "yyyy-MM-dd"))
 
 
 @query
 def error_analysis(spark, sf_dir):
-    plans = OrderPlans(spark, sf_dir)
-    nested = records.assemble(plans.corpus("o_custkey"), orders.plan_name())
-    lengths = plans.sizes().select("plan_id", F.col("n_actions").alias("plan_length"))
+    scored = predictions.predictions(spark, sf_dir).withColumnRenamed("context", "example")
+    everything = OrderPlans(spark, sf_dir)
+    plans = everything.only(scored.select(F.col("example").alias("plan_id")).distinct())
 
     def readable(token: Column) -> Column:
         return F.coalesce(tok.decode_action(token, SHIPPING), token)
 
-    pretty = lambda c: tok.beautify_facts(F.array_join(c, " "), SHIPPING_OBJECTS)
-    examples = nested.join(lengths, "plan_id").select(
+    examples = records.record_numbers(plans.sizes(), orders.plan_name()).select(
         F.col("plan_id").alias("example"),
-        evaluation.part_of(F.col("first_step") - 1).alias("part"),
-        "plan_length",
+        orders.actions_seen().alias("given"),
+        F.col("len_plan").alias("plan_length"),
         F.col("name").alias("example_name"),
         tok.problem_id(F.col("name")).alias("problem_id"),
-        pretty("initial").alias("initial_state"),
-        pretty("goals").alias("goals"),
-        F.transform("actions", readable).alias("real"),
     )
-    token_texts = _corpus_vocabulary(plans, TOKEN_TEXTS).select(
-        F.col("token_id").cast("int").alias("token_id"), readable(F.col("token")).alias("text")
+    real = records.plan_actions(plans.corpus()).select(
+        F.col("plan_id").alias("example"), (F.col("step") - 1).alias("step"), readable(F.col("token")).alias("action")
     )
-    scored = predictions.predictions(spark, sf_dir).withColumnRenamed("context", "example")
-    documents = evaluation.error_analysis(examples, scored, token_texts, TOP_K)
+    names = _corpus_vocabulary(everything, evaluation.vector_length(scored))
+    names = names.select(F.col("token_id").cast("int").alias("token_id"), readable(F.col("token")).alias("text"))
+    rows = evaluation.error_analysis(examples, real, scored, names, TOP_K)
+    millionths = lambda t: F.round(t["probability"] * 1_000_000).cast("long").cast("string")
+    top = F.transform("top_k", lambda t: F.concat_ws(":", t["action"], millionths(t)))
+    return rows.withColumn("top_k", F.array_join(top, ","))
 
-    def as_text(p: Column) -> Column:
-        millionths = lambda t: F.round(t["probability"] * 1_000_000).cast("long").cast("string")
-        top = F.transform(p["top_k"], lambda t: F.concat_ws(":", t["action"], millionths(t)))
-        return F.concat_ws(
-            "|", p["actions_seen"], p["real_action"], p["generated_action"], F.array_join(top, ",")
-        )
 
-    lines = F.array_join(F.transform("predictions", as_text), "\n")
-    return documents.withColumn("n_predictions", F.size("predictions").cast("long")).withColumn("predictions", lines)
+def _corpus_vocabulary(plans: OrderPlans, size: int) -> DataFrame:
+    tokens = F.concat(F.transform("steps", records.action_token), "initial", "goals")
+    return vocab.build_vocabulary(plans.unordered().select(F.explode(tokens).alias("token")), size)
 
 
 # -- problem files, logs and static facts ------------------------------------------
@@ -441,21 +458,23 @@ def _static_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def enrich_static_facts(spark, sf_dir):
-    problem = tok.problem_id(F.col("name")).alias("problem_id")
-    plans = _nested(spark, sf_dir).select("plan_id", "first_step", problem, "initial")
+    plans = OrderPlans(spark, sf_dir)
+    initial = _tokens(spark, sf_dir).filter("section = 'initial_state'").withColumnRenamed("token", "fact")
+    sizes = plans.sizes().select("plan_id", orders.problem().alias("problem_id"), "n_initial_state")
     facts = _static_facts(spark, sf_dir).withColumn("fact", tok.normalize(F.col("fact")))
-    enriched = enrich.enrich_static_facts(plans, facts, OrderPlans(spark, sf_dir).hot_problems())
-    return enriched.select("plan_id", "first_step", "part", F.array_join("initial", " ").alias("initial_state"))
+    return enrich.enrich_static_facts(initial, sizes, facts)
 
 
 def _problem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One problem file per plan record, with the static facts of its customer."""
-    nested = _nested(spark, sf_dir).withColumn("problem_id", tok.problem_id(F.col("name")))
-    lists = enrich.first_part(enrich.grouped_facts(_static_facts(spark, sf_dir)))
-    joined = lookup(nested, lists, "problem_id", OrderPlans(spark, sf_dir).hot_problems())
+    """One problem file per order line, with the static facts of its customer."""
+    plans = OrderPlans(spark, sf_dir)
+    chunks = plans.corpus("o_custkey").chunks().withColumn("problem_id", orders.problem())
+    # A customer has two static facts.
+    static = _static_facts(spark, sf_dir).groupBy("problem_id").agg(F.sort_array(F.collect_list("fact")).alias("static"))
+    joined = lookup(chunks, static, "problem_id", plans.hot_problems())
     joined = joined.withColumn("static", F.coalesce("static", F.array().cast("array<string>")))
     text = sample_texts.problem_text(F.col("initial"), F.col("goals"), F.col("static"))
-    name = F.concat_ws("_", tok.example_id(F.col("name")), F.col("first_step").cast("string"))
+    name = F.concat_ws("_", tok.example_id(orders.plan_name()), F.col("seq").cast("string"))
     return joined.select(F.concat(name, F.lit(".pddl")).alias("name"), text.alias("text"))
 
 
@@ -471,11 +490,11 @@ def static_fact_extract(spark, sf_dir):
 
 @query
 def plan_log_parse(spark, sf_dir):
-    corpus = OrderPlans(spark, sf_dir).corpus("o_custkey")
-    files = records.assemble(corpus, orders.plan_name(), steps=True).select(
-        F.col("name").alias("name"),
-        sample_texts.log_text(F.col("initial"), F.col("goals"), F.col("steps")).alias("text"),
-    )
+    """One log per order line; an order without lines has no step to log."""
+    chunks = OrderPlans(spark, sf_dir).corpus("o_custkey").chunks().filter(F.size("steps") > 0)
+    name = F.concat_ws("_", F.substring_index(orders.plan_name(), ".", 1), F.col("seq").cast("string"))
+    log = sample_texts.log_text(F.col("initial"), F.col("goals"), F.col("steps"))
+    files = chunks.select(F.concat(name, F.lit(".SOL")).alias("name"), log.alias("text"))
     raw = texts.parse_plan_logs(files)
     flat = lambda field: F.array_join(F.flatten(F.col(f"actions.{field}")), ";")
     return raw.select(

@@ -105,17 +105,3 @@ def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
 
     allowed = union(complete)
     return allowed.select("plan_id", domain.by_operator(F.col("action"), text).alias("action")).distinct()
-
-
-def ground_open(actions: DataFrame, objects: DataFrame) -> DataFrame:
-    """Replace the variable ``?type`` of open actions by every object of that type.
-
-    ``objects``: ``plan_id, name, type``, types already widened to all that fit. The
-    result is as large as the list of grounded actions the caller asks for.
-    """
-    kind = F.regexp_extract("action", r"\?([A-Za-z]+)", 1)
-    tagged = actions.withColumn("type", kind)
-    closed = tagged.filter(F.col("type") == "").select("plan_id", "action")
-    filled = F.regexp_replace("action", F.concat(F.lit(r"\?"), F.col("type")), F.col("name"))
-    opened = tagged.filter(F.col("type") != "").join(objects, ["plan_id", "type"])
-    return closed.unionByName(opened.select("plan_id", filled.alias("action")))

@@ -5,45 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import long_groups, lookup, number_rows
+from planloom.operators.bounded import long_groups, number_rows
 from planloom.plans.corpus import union
-from planloom.schemas import RECORD_STEPS
 
 
-def grouped_facts(facts: DataFrame, size: int = RECORD_STEPS) -> DataFrame:
-    """Distinct facts per problem in lists of at most ``size``: ``problem_id, part, static``."""
+def numbered_facts(facts: DataFrame) -> DataFrame:
+    """Distinct facts per problem with their places: ``problem_id, fact, rank`` from 0 on.
+
+    A problem of any size is numbered in ranges of its facts' hashes.
+    """
     distinct = facts.select("problem_id", "fact").distinct()
     distinct = distinct.withColumn("range", F.substring(F.md5("fact"), 1, 3))
     long = long_groups(distinct, ["problem_id"])
     frames = number_rows(distinct, ["problem_id"], ["range", "fact"], ["range"], long)
     numbered = union([f for f in frames if f is not None])
-    parts = numbered.withColumn("part", F.floor((F.col("seq") - 1) / size).cast("int"))
-    grouped = parts.groupBy("problem_id", "part").agg(F.collect_list("fact").alias("static"))
-    return grouped.withColumn("static", F.sort_array("static"))
+    return numbered.select("problem_id", "fact", (F.col("seq") - 1).alias("rank"))
 
 
-def enrich_static_facts(
-    records: DataFrame, facts: DataFrame, hot_problems: DataFrame | None
-) -> DataFrame:
-    """Records ``problem_id, first_step, initial, …`` with their problem's static facts.
+def enrich_static_facts(initial: DataFrame, plans: DataFrame, facts: DataFrame) -> DataFrame:
+    """Initial states as ``plan_id, place, fact``, the static facts of the problem behind the plan's own.
 
-    The facts join the first record of a plan. A problem with more than one list of
-    facts adds a record per further list (``part`` > 0, holding only these facts).
+    ``initial`` has ``plan_id, place, fact``; ``plans`` one row ``plan_id, problem_id, n_initial_state``
+    per plan; ``facts`` any rows ``problem_id, fact``. One problem may have any number of plans and of
+    facts: both sides of the join are plain shuffles that adaptive execution splits.
     """
-    lists = grouped_facts(facts)
-    empty = F.array().cast("array<string>")
-    is_first = F.col("first_step") == 1
-    joined = lookup(records, first_part(lists), "problem_id", hot_problems)
-    static = F.when(is_first, F.coalesce("static", empty)).otherwise(empty)
-    columns = [*records.columns, "part"]
-    enriched = joined.withColumns({"part": F.lit(0), "initial": F.concat("initial", static)}).select(*columns)
-    further = lists.filter("part > 0")
-    if further.isEmpty():
-        return enriched
-    more = records.filter(is_first).join(further, "problem_id").withColumn("initial", F.col("static"))
-    more = more.withColumns({c: empty for c in ("goals", "actions") if c in records.columns})
-    return enriched.unionByName(more.select(*columns))
-
-
-def first_part(lists: DataFrame) -> DataFrame:
-    return lists.filter("part = 0").select("problem_id", "static")
+    static = plans.join(numbered_facts(facts), "problem_id")
+    place = (F.col("n_initial_state") + F.col("rank")).alias("place")
+    return initial.select("plan_id", "place", "fact").unionByName(static.select("plan_id", place, "fact"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.functions.scores import argmax, cross_entropy, log_sum_exp, top_k
-from planloom.schemas import END, RECORD_STEPS
+from planloom.schemas import END
 
 
 def topk_predictions(predictions: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -94,103 +94,64 @@ def explode_scores(predictions: DataFrame) -> DataFrame:
 def step_match(predicted: DataFrame, real: DataFrame, keys: list[str]) -> DataFrame:
     """Predicted against real actions by position; a missing real action is empty.
 
-    Both sides are records (``keys``, ``first_step``, ``actions``) cut at the same
-    steps, so records are joined instead of single steps. ``seen_actions`` are the
-    real actions of the record before the position.
+    ``predicted`` has ``keys, position, pred_action``, ``real`` has ``keys, position, real_action``;
+    positions count from 1, so the number of actions seen before one is the position less one.
     """
-    on = [*keys, "first_step"]
-    sides = predicted.select(*on, F.col("actions").alias("predicted")).join(
-        real.select(*on, F.col("actions").alias("real")), on, "left"
-    )
-    steps = sides.select(*on, "real", F.posexplode("predicted").alias("offset", "pred_action"))
-    actual = F.coalesce(F.get("real", F.col("offset")), F.lit(""))
-    seen = F.coalesce(F.array_join(F.slice("real", F.lit(1), F.col("offset")), " "), F.lit(""))
-    return steps.select(
-        *keys,
-        (F.col("first_step") + F.col("offset")).alias("position"),
-        seen.alias("seen_actions"),
+    on = [*keys, "position"]
+    actual = F.coalesce("real_action", F.lit(""))
+    return predicted.join(real, on, "left").select(
+        *on,
+        (F.col("position") - 1).alias("seen_actions"),
         "pred_action",
         actual.alias("real_action"),
         (F.col("pred_action") == actual).alias("is_match"),
     )
 
 
-def part_of(position: Column, record_steps: int = RECORD_STEPS) -> Column:
-    """The record a 0-based position belongs to."""
-    return F.floor(position / record_steps).cast("long")
+def vector_length(predictions: DataFrame) -> int:
+    """The number of scores of a prediction."""
+    return predictions.agg(F.max(F.size("logits"))).first()[0] or 0
 
 
 def error_analysis(
-    examples: DataFrame,
-    predictions: DataFrame,
-    token_texts: DataFrame,
-    k: int,
-    record_steps: int = RECORD_STEPS,
+    examples: DataFrame, real: DataFrame, predictions: DataFrame, token_texts: DataFrame, k: int
 ) -> DataFrame:
-    """One document per example with its predictions in order.
+    """One row per prediction with the real action it stands against.
 
-    ``examples``: one row per record, ``example, part, plan_length, real`` (readable
-    actions) and any describing columns; ``predictions``: ``example, position,
-    logits``; ``token_texts``: ``token_id, text``, at most a vocabulary. A document
-    holds the positions of one record; an example with more goes on in documents
-    with a larger ``part``. One shuffle by document serves both levels of nesting.
+    ``examples``: one row ``example, given, plan_length`` and any describing columns; ``real``:
+    ``example, step, action`` (readable actions, steps from 0 on); ``predictions``: ``example, position,
+    logits``; ``token_texts``: ``token_id, text``, at most as many as a vector has scores. The first
+    ``given`` actions open a prediction, so position ``p`` has seen ``given + p`` actions and stands
+    against the real action of that step; after the last action the end token is right, and later none.
     """
-    ranked = predictions.select(
+    ranked = predictions.join(examples.select("example", "given"), "example").select(
         "example",
-        part_of(F.col("position"), record_steps).alias("part"),
         "position",
+        (F.col("given") + F.col("position")).cast("long").alias("step"),
         F.posexplode(top_k(F.col("logits"), k)).alias("rank", "best"),
         log_sum_exp(F.col("logits")).alias("norm"),
     )
-    texts = F.broadcast(token_texts)
     probability = F.exp(F.col("best.value") - F.col("norm")).alias("probability")
-    named = ranked.join(texts, F.col("best.token_id") == F.col("token_id"), "left").select(
+    named = ranked.join(F.broadcast(token_texts), F.col("best.token_id") == F.col("token_id"), "left")
+    entry = F.struct("rank", F.col("text").alias("action"), probability)
+    top = named.groupBy("example", "position", "step").agg(F.sort_array(F.collect_list(entry)).alias("top"))
+    top = top.withColumn("generated_action", F.get("top", F.lit(0))["action"])
+    lengths = top.groupBy("example").agg(
+        F.count_if(~F.col("generated_action").eqNullSafe(F.lit(END))).alias("generated_plan_length")
+    )
+    found = top.join(real, ["example", "step"], "left").join(examples.drop("given"), "example").join(lengths, "example")
+    at_end = F.when(F.col("step") == F.col("plan_length"), F.lit(END))
+    about = [c for c in examples.columns if c not in ("example", "given", "plan_length")]
+    return found.select(
         "example",
-        "part",
         "position",
-        F.struct("rank", F.col("text").alias("action"), probability).alias("entry"),
-    )
-    per_position = (
-        named.repartition("example", "part")
-        .groupBy("example", "part", "position")
-        .agg(F.sort_array(F.collect_list("entry")).alias("top"))
-    )
-    per_document = per_position.groupBy("example", "part").agg(
-        F.sort_array(F.collect_list(F.struct("position", "top"))).alias("steps")
-    )
-    generated = F.transform("steps", lambda s: F.get(s["top"], F.lit(0))["action"])
-    about = examples.filter(F.col("part") == 0).drop("part", "real")
-    documents = (
-        per_document.join(about, "example")
-        .join(examples.select("example", "part", "real"), ["example", "part"], "left")
-        .withColumns({"generated": generated, "from": F.col("part") * record_steps})
-    )
-    # The end token follows the last action, in the record it would stand in.
-    ends_here = part_of(F.col("plan_length"), record_steps) == F.col("part")
-    real = F.coalesce("real", F.array().cast("array<string>"))
-    real = F.when(ends_here, F.concat(real, F.array(F.lit(END)))).otherwise(real)
-    documents = documents.withColumn("real", real)
-
-    def detail(step: Column, place: Column) -> Column:
-        top = F.transform(
-            step["top"],
-            lambda t: F.struct(t["action"].alias("action"), t["probability"].alias("probability")),
-        )
-        at = (step["position"] - F.col("from")).cast("int")
-        return F.struct(
-            F.array_join(F.slice("generated", F.lit(1), place), " ").alias("actions_seen"),
-            F.coalesce(F.get("real", at), F.lit("")).alias("real_action"),
-            F.get("generated", place).alias("generated_action"),
-            top.alias("top_k"),
-        )
-
-    return documents.select(
-        "example",
-        "part",
-        *[c for c in about.columns if c not in ("example", "plan_length")],
-        F.array_join("real", " ").alias("real_plan"),
+        *about,
         F.col("plan_length").alias("real_plan_length"),
-        F.array_join("generated", " ").alias("generated_plan"),
-        F.size(F.filter("generated", lambda a: a != END)).cast("long").alias("generated_plan_length"),
-        F.transform("steps", detail).alias("predictions"),
+        "generated_plan_length",
+        F.col("step").alias("actions_seen"),
+        F.coalesce("action", at_end, F.lit("")).alias("real_action"),
+        "generated_action",
+        F.transform(
+            "top", lambda t: F.struct(t["action"].alias("action"), t["probability"].alias("probability"))
+        ).alias("top_k"),
     )

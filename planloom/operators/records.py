@@ -1,16 +1,21 @@
-"""Nested plan records and their texts."""
+"""Plan records: whole-plan numbers, and tokens with their places in the whole plan.
+
+A plan of any length has one row of numbers and one row per token; nothing holds a plan in one value
+but the records that a reader gives as one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.functions.sequences import actions_index, end_index
 from planloom.functions.tokens import problem_id
 from planloom.plans.corpus import Corpus, Part
-from planloom.schemas import RECORD_STEPS
+from planloom.schemas import ACTIONS, END, GOALS, START
 
-RECORD_KEYS = ["plan_id", "first_step"]
+# The sections of a record, in the order of a full sequence.
+SECTIONS = ["initial_state", "goals", "actions"]
 
 
 def action_token(step: Column) -> Column:
@@ -18,47 +23,114 @@ def action_token(step: Column) -> Column:
     return F.upper(F.concat(F.translate(step["op"], " -", ""), F.array_join(step["args"], "")))
 
 
-def assemble(
-    corpus: Corpus, name: Column, record_steps: int = RECORD_STEPS, steps: bool = False
-) -> DataFrame:
-    """Chunks as records ``plan_id, first_step, name, initial, goals, actions``.
+def with_offsets(part: Part) -> DataFrame:
+    """Chunks with ``initial_from, goals_from``: the plan's facts and goals before each chunk.
 
-    A record holds the chunks that start within ``record_steps`` steps, so no group
-    is unbounded: a longer plan goes on in records with a larger ``first_step``.
-    ``name`` is an expression over columns the corpus was asked to keep. Ordinary
-    plans are already partitioned by plan, so they are grouped without a shuffle.
-    With ``steps``, records also hold the steps as operators and arguments.
+    Long plans add up blocks of steps first, so no task sees more than a block of chunks.
     """
+    counts = {"initial_from": F.size("initial").cast("long"), "goals_from": F.size("goals").cast("long")}
 
-    def of(part: Part) -> DataFrame:
-        record = F.floor((F.col("seq") - 1) / record_steps).cast("long")
-        tokens = F.transform("steps", action_token).alias("actions")
-        chunk = F.struct("seq", "initial", "goals", tokens, *(["steps"] if steps else []))
-        lists = ["initial", "goals", "actions", *(["steps"] if steps else [])]
-        placed = part.chunks.withColumn("record", record)
-        if part.blocked:
-            # Partitioned by plan only, a long plan would be grouped in one task.
-            placed = placed.repartition("plan_id", "record")
-        grouped = (
-            placed.withColumn("name", name)
-            .groupBy("plan_id", "record")
-            .agg(F.any_value("name").alias("name"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    def before(window) -> dict[str, Column]:
+        whole = window.rowsBetween(Window.unboundedPreceding, 0)
+        return {c: F.sum(n).over(whole) - n for c, n in counts.items()}
+
+    if not part.blocked:
+        return part.chunks.withColumns(before(Window.partitionBy("plan_id").orderBy("seq")))
+    block = F.floor((F.col("seq") - 1) / part.block_steps).cast("long")
+    chunks = part.chunks.withColumn("block", block)
+    totals = chunks.groupBy("plan_id", "block").agg(*[F.sum(n).alias(c) for c, n in counts.items()])
+    earlier = Window.partitionBy("plan_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        F.col("plan_id").alias("_plan"),
+        F.col("block").alias("_block"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in counts],
+    )
+    inside = chunks.repartition("plan_id", "block").withColumns(
+        before(Window.partitionBy("plan_id", "block").orderBy("seq"))
+    )
+    placed = inside.join(totals, (F.col("plan_id") == F.col("_plan")) & (F.col("block") == F.col("_block")))
+    placed = placed.withColumns({c: F.col(c) + F.col(f"_{c}") for c in counts})
+    return placed.select(*part.chunks.columns, *counts)
+
+
+def placed_tokens(corpus: Corpus, *keep: str) -> DataFrame:
+    """Every token with its 0-based place in its section: ``plan_id, section, place, token``."""
+
+    def section(name: str, tokens: Column, start: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda t, i: F.struct(F.lit(name).alias("section"), (start + i).alias("place"), t.alias("token")),
         )
-        return grouped.select(
-            "plan_id",
-            F.get("chunks", F.lit(0))["seq"].alias("first_step"),
-            "name",
-            *[F.flatten(F.col(f"chunks.{c}")).alias(c) for c in lists],
+
+    def of(part: Part) -> DataFrame:
+        tokens = F.concat(
+            section("initial_state", F.col("initial"), F.col("initial_from")),
+            section("goals", F.col("goals"), F.col("goals_from")),
+            section("actions", F.transform("steps", action_token), F.col("seq") - 1),
         )
+        return with_offsets(part).select("plan_id", *keep, F.inline(tokens))
 
     return corpus.over_parts(of)
 
 
+def plan_actions(corpus: Corpus, *keep: str) -> DataFrame:
+    """The action tokens with their steps from 1 on: ``plan_id, step, token``."""
+    steps = F.posexplode(F.transform("steps", action_token)).alias("i", "token")
+    found = corpus.over_parts(lambda part: part.chunks.select("plan_id", *keep, "seq", steps))
+    return found.select("plan_id", *keep, (F.col("seq") + F.col("i")).alias("step"), "token")
+
+
+def record_numbers(sizes: DataFrame, name: Column) -> DataFrame:
+    """Names, lengths and indices of plans from their sizes, one row per plan."""
+    n_init, n_goals, n_plan = (F.col(f"n_{s}") for s in SECTIONS)
+    return sizes.select(
+        "plan_id",
+        name.alias("name"),
+        F.concat(problem_id(name), F.lit(".pddl")).alias("pddl_problem_file"),
+        n_init.alias("len_initial_state"),
+        n_goals.alias("len_goals"),
+        n_plan.alias("len_plan"),
+        actions_index(n_init, n_goals).alias("actions_idx"),
+        end_index(n_init, n_goals, n_plan).alias("eop_idx"),
+    )
+
+
+def _marked(tokens: DataFrame, sizes: DataFrame, marks: list[tuple[Column, str]], first: int) -> DataFrame:
+    """Tokens at their positions in a sequence whose first fact is at ``first``, with marks between."""
+    n_init, n_goals = F.col("n_initial_state"), F.col("n_goals")
+    position = (
+        F.when(F.col("section") == "initial_state", F.col("place") + first)
+        .when(F.col("section") == "goals", n_init + F.col("place") + first + 1)
+        .otherwise(n_init + n_goals + F.col("place") + first + 2)
+    )
+    own = tokens.join(sizes, "plan_id").select("plan_id", position.alias("position"), "token")
+    rows = F.array(*[F.struct(at.cast("long").alias("position"), F.lit(m).alias("token")) for at, m in marks])
+    return own.unionByName(sizes.select("plan_id", F.inline(rows)))
+
+
+def sequence_tokens(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Full sequences as ``plan_id, position, token``: start, state, goals, actions, end."""
+    n_init, n_goals, n_plan = (F.col(f"n_{s}") for s in SECTIONS)
+    marks = [
+        (F.lit(0), START),
+        (n_init + 1, GOALS),
+        (actions_index(n_init, n_goals), ACTIONS),
+        (end_index(n_init, n_goals, n_plan), END),
+    ]
+    return _marked(tokens, sizes, marks, 1)
+
+
+def prompt_tokens(tokens: DataFrame, sizes: DataFrame, n: Column) -> DataFrame:
+    """What a generator is asked to continue: state, goals and the first ``n`` actions of each plan."""
+    n_init, n_goals = F.col("n_initial_state"), F.col("n_goals")
+    given = tokens.filter((F.col("section") != "actions") | (F.col("place") < n))
+    return _marked(given, sizes, [(n_init, GOALS), (n_init + n_goals + 1, ACTIONS)], 0)
+
+
 def plan_records(nested: DataFrame) -> DataFrame:
-    """The flat ten-column plan record of assembled records, with their keys."""
+    """The flat ten-column plan record of records that were read as one row each."""
     n_init, n_goals, n_plan = (F.size(c).cast("long") for c in ("initial", "goals", "actions"))
     return nested.select(
-        *RECORD_KEYS,
         "name",
         F.concat(problem_id(F.col("name")), F.lit(".pddl")).alias("pddl_problem_file"),
         F.array_join("initial", " ").alias("initial_state"),
@@ -76,8 +148,6 @@ def normalize_raw(raw: DataFrame) -> DataFrame:
     """Parsed plan logs as one nested record each: blanks and dashes removed."""
     clean = lambda items: F.transform(items, lambda t: F.translate(t, " -", ""))
     return raw.select(
-        F.col("plan_name").alias("plan_id"),
-        F.lit(1).cast("long").alias("first_step"),
         F.col("plan_name").alias("name"),
         clean("initial_state").alias("initial"),
         clean("goals").alias("goals"),

@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import lookup
-from planloom.session import checkpointed
+from planloom.operators.bounded import lookup, number_rows
 
 # Validation size and the length bounds of its plans, shuffle seed.
 VALIDATION_SIZE = 20
@@ -56,6 +55,17 @@ def shuffled_positions(df: DataFrame, key: Column, seed: int = SEED, out: str =
     )
 
 
+def shuffled_rows(rows: DataFrame, key: str, long: DataFrame | None) -> DataFrame:
+    """Rows with a ``tag`` and a ``place`` in the order of their tags inside each ``key``: a new ``place``.
+
+    ``long`` holds the keys with more rows than a task should order; those are ordered in ranges of tags.
+    """
+    ranged = rows.withColumn("range", F.substring("tag", 1, 3))
+    frames = number_rows(ranged, [key], ["range", "tag", "place"], ["range"], long)
+    numbered = [f.withColumn("place", F.col("seq") - 1).select(*rows.columns) for f in frames if f is not None]
+    return numbered[0] if len(numbered) == 1 else numbered[0].unionByName(numbered[1])
+
+
 def shards(df: DataFrame, key: Column, n: int, seed: int = SEED) -> DataFrame:
     """Add ``position`` in a seeded shuffle and ``shard`` = position modulo ``n``."""
     placed = shuffled_positions(df, key, seed)
@@ -119,11 +129,9 @@ def split_groups(
     """
     low, high = validation_lengths
     fits = F.col("length").between(low, high)
-    # One row per problem, read several times below: cut it off from the plans.
-    groups = checkpointed(
-        plans.groupBy("problem_id").agg(
-            F.count(F.lit(1)).alias("n_plans"), F.count_if(fits).alias("n_fitting")
-        )
+    # One row per problem, read several times below from one exchange.
+    groups = plans.groupBy("problem_id").agg(
+        F.count(F.lit(1)).alias("n_plans"), F.count_if(fits).alias("n_fitting")
     )
 
     def take(from_groups: DataFrame, weight: str, size: float | int, draw: int) -> DataFrame:

@@ -31,15 +31,37 @@ def _rank(plan_class: str) -> Column:
     return F.lit(PLAN_CLASSES.index(plan_class))
 
 
-def findings(
-    corpus: Corpus, domain: Domain, objects: DataFrame, hot_names: DataFrame | None
-) -> DataFrame:
+def argument_findings(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
+    """What the operators and arguments of a plan's steps break: ``plan_id, rank, step``.
+
+    ``objects`` has ``name, type``, and ``problem_id`` where each problem lists its own objects; the
+    chunks then keep ``problem_id`` too. Distinct uses of names, combined on the map side, are looked up;
+    only those that fail meet the steps again. A name with several types may be any of them.
+    """
+    keys = [c for c in ("problem_id", "name") if c in objects.columns]
+    steps = corpus.any_order().select("plan_id", *keys[:-1], F.inline("steps"))
+    arity = domain.by_operator(F.col("op"), lambda a: F.lit(len(a.params)))
+    no_step = F.lit(None).cast("long").alias("step")
+    shape = F.when(~domain.is_known(F.col("op")), _rank(BAD_OPERATOR))
+    shape = shape.when(F.size("args") != arity, _rank(TYPE_CHECKING))
+    shapes = steps.select("plan_id", shape.alias("rank"), no_step).filter(F.col("rank").isNotNull())
+
+    slots = steps.select("plan_id", *keys[:-1], "op", F.posexplode("args").alias("slot", "name"))
+    uses = [*keys, "op", "slot"]
+    types = objects.groupBy(*keys).agg(F.collect_set("type").alias("types"))
+    fits = F.exists("types", lambda t: F.coalesce(domain.accepts(F.col("op"), F.col("slot"), t), F.lit(False)))
+    rank = F.when(F.col("types").isNull(), _rank(UNKNOWN_TYPE)).when(~fits, _rank(TYPE_CHECKING))
+    failing = slots.select(*uses).distinct().join(types, keys, "left").select(*uses, rank.alias("rank"))
+    failed = slots.join(failing.filter(F.col("rank").isNotNull()), uses).select("plan_id", "rank", no_step)
+    return shapes.unionByName(failed)
+
+
+def findings(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     """Everything that speaks for a class of a plan: ``plan_id, rank, step``.
 
-    ``objects`` has the columns ``name`` and ``type``, ``hot_names`` the names that
-    fill a large share of all argument slots. Only preconditions need the order of
-    the steps; the other checks read the chunks as they come.
+    Only preconditions need the order of the steps; the other checks read the chunks as they come.
     """
+
     def conditions(part: Part) -> DataFrame:
         # The start of a plan asks nothing: it stands for a plan without errors.
         asked = observe(part, timeline(part, domain)).filter(F.col("is_add").isNull())
@@ -52,39 +74,12 @@ def findings(
             F.when(~F.col("held"), F.col("step")).alias("step"),
         )
 
-    arity = domain.by_operator(F.col("op"), lambda a: F.lit(len(a.params)))
-    slots = (
-        corpus.any_order()
-        .select("plan_id", F.inline("steps"))
-        .select(
-            "plan_id",
-            "op",
-            F.when(~domain.is_known(F.col("op")), _rank(BAD_OPERATOR))
-            .when(F.size("args") != arity, _rank(TYPE_CHECKING))
-            .alias("shape"),
-            F.posexplode_outer("args").alias("slot", "name"),
-        )
-    )
-    typed = lookup(slots, objects.select("name", "type"), "name", hot_names)
-    unknown = F.col("name").isNotNull() & F.col("type").isNull() & F.col("op").isNotNull()
-    fits = domain.accepts(F.col("op"), F.col("slot"), F.col("type"))
-    arguments = typed.select(
-        "plan_id",
-        F.when(F.col("shape") == _rank(BAD_OPERATOR), F.col("shape"))
-        .when(unknown, _rank(UNKNOWN_TYPE))
-        .when(F.col("shape").isNotNull(), F.col("shape"))
-        .when(F.col("name").isNotNull() & ~fits, _rank(TYPE_CHECKING))
-        .alias("rank"),
-        F.lit(None).cast("long").alias("step"),
-    ).filter(F.col("rank").isNotNull())
-    return corpus.over_parts(conditions).unionByName(arguments)
-
-
-def classify(
-    corpus: Corpus, domain: Domain, objects: DataFrame, hot_names: DataFrame | None
-) -> DataFrame:
+    return corpus.over_parts(conditions).unionByName(argument_findings(corpus, domain, objects))
+
+
+def classify(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     """One row per plan: ``plan_id, class, step`` (the first failing step of a precondition)."""
-    found = findings(corpus, domain, objects, hot_names)
+    found = findings(corpus, domain, objects)
     # Rank and step in one number: its minimum is kept in a hash aggregate.
     code = F.col("rank").cast("long") * _STEPS + F.coalesce("step", F.lit(0))
     worst = found.groupBy("plan_id").agg(F.min(code).alias("worst"))
@@ -120,13 +115,17 @@ def precondition_failures(classified: DataFrame) -> DataFrame:
 
 
 def score_table(classified: DataFrame, buckets: list[int] = ACTIONS_SEEN_BUCKETS) -> DataFrame:
-    """Counts per class and ``actions_seen`` bucket; requested buckets are never missing."""
+    """Counts per class and ``actions_seen``; neither requested buckets nor others that occur are missing.
+
+    Plans without a problem count as ``missing_problem``. Plans flagged in a column ``unreadable`` are
+    classed like any others and counted as ``skipped`` besides.
+    """
     spark = classified.sparkSession
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in buckets])).alias("actions_seen"))
-    counters = {"total": F.count("class")} | {
-        c: F.count_if(F.col("class") == c)
-        for c in (VALID, PRECONDITION, TYPE_CHECKING, UNKNOWN_TYPE, BAD_OPERATOR, UNSATISFIED_GOAL)
-    }
+    names = (VALID, PRECONDITION, TYPE_CHECKING, UNKNOWN_TYPE, BAD_OPERATOR, UNSATISFIED_GOAL, MISSING_PROBLEM)
+    unreadable = F.col("unreadable") if "unreadable" in classified.columns else F.lit(False)
+    counters = {"total": F.count("class")} | {c: F.count_if(F.col("class") == c) for c in names}
+    counters["skipped"] = F.count_if(unreadable)
     counted = classified.groupBy("actions_seen").agg(*[n.alias(c) for c, n in counters.items()])
-    filled = wanted.join(counted, "actions_seen", "left")
+    filled = wanted.join(counted, "actions_seen", "full")
     return filled.select("actions_seen", *[F.coalesce(c, F.lit(0)).alias(c) for c in counters])

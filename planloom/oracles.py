@@ -7,7 +7,7 @@ the library uses windows over fact timelines and running hashes.
 from __future__ import annotations
 
 from planloom import catalog
-from planloom.schemas import RECORD_STEPS, SPECIAL_TOKENS, VOCABULARY_SIZE
+from planloom.schemas import SPECIAL_TOKENS, VOCABULARY_SIZE
 
 ORACLES: dict[str, str] = {}
 
@@ -38,29 +38,41 @@ t AS (SELECT *, replace(op, '-', '') || upper(a1 || a2 || a3) AS token, op <> 'R
              op || '_' || a1 || '_' || a2 || '_' || a3 AS decoded FROM s)
 """
 
-RECORDS = f"""
-ri AS (
-  SELECT plan_id, (seq - 1) // {RECORD_STEPS} AS part_no, min(o_custkey) AS o_custkey, min(seq) AS first_step,
-         coalesce(string_agg('at' || part || supp, ' ' ORDER BY seq) FILTER (stocked), '') AS initial_state,
-         string_agg('at' || part || cust, ' ' ORDER BY seq) AS goals,
-         count(*) FILTER (stocked) AS len_initial_state, count(*) AS len_goals
-  FROM l GROUP BY ALL
-),
-ra AS (
-  SELECT plan_id, (seq - 1) // {RECORD_STEPS} AS part_no, string_agg(token, ' ' ORDER BY step) AS actions,
-         count(*) AS len_plan FROM t GROUP BY ALL
-),
-r AS (
-  SELECT *, 'xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL' AS name
-  FROM ri JOIN ra USING (plan_id, part_no)
+# Sizes of all plans, those without lines too, and every token with its place in its section.
+SIZES = """
+z AS (
+  SELECT o_orderkey AS plan_id, orders.o_custkey, count(*) FILTER (stocked) AS n_initial_state,
+         count(l.plan_id) AS n_goals, CAST(coalesce(sum(CASE WHEN ret THEN 2 WHEN NOT ret THEN 1 END), 0) AS BIGINT) AS n_actions
+  FROM orders LEFT JOIN l ON l.plan_id = o_orderkey GROUP BY 1, 2
+)
+"""
+
+TOKENS = """
+k AS (
+  SELECT plan_id, 'initial_state' AS section, row_number() OVER (PARTITION BY plan_id ORDER BY seq) - 1 AS place,
+         'at' || part || supp AS token, 'at_' || part || '_' || supp AS pretty FROM l WHERE stocked
+  UNION ALL
+  SELECT plan_id, 'goals', row_number() OVER (PARTITION BY plan_id ORDER BY seq) - 1, 'at' || part || cust, 'at_' || part || '_' || cust FROM l
+  UNION ALL SELECT plan_id, 'actions', step - 1, token, NULL FROM t
+)
+"""
+
+# Full sequences; the numbers 0 to 3 put the sections and the marks before them in order.
+SEQUENCES = """
+q AS (
+  SELECT plan_id, row_number() OVER (PARTITION BY plan_id ORDER BY section_no, place) - 1 AS position, token
+  FROM (
+    SELECT plan_id, CASE section WHEN 'initial_state' THEN 0 WHEN 'goals' THEN 1 ELSE 2 END AS section_no, place, token FROM k
+    UNION ALL SELECT plan_id, unnest([0, 1, 2, 3]), -1, unnest(['<|startofplan|>', '<|goals|>', '<|actions|>', '<|endofplan|>']) FROM z
+  )
 )
 """
 
 # The state after every step, as a sorted list of facts.
 STATES = """
 i0 AS (
-  SELECT plan_id, coalesce(list_sort(list_distinct(list('at' || part || supp) FILTER (stocked))), []) AS facts
-  FROM l GROUP BY plan_id
+  SELECT o_orderkey AS plan_id, coalesce(list_sort(list_distinct(list('at' || part || supp) FILTER (stocked))), []) AS facts
+  FROM orders LEFT JOIN l ON l.plan_id = o_orderkey GROUP BY 1
 ),
 st AS (
   SELECT plan_id, CAST(0 AS BIGINT) AS step, facts FROM i0
@@ -76,11 +88,12 @@ fin AS (SELECT plan_id, arg_max(facts, step) AS facts FROM st GROUP BY plan_id),
 goal AS (SELECT DISTINCT plan_id, 'at' || part || cust AS fact FROM l)
 """
 
+# What each customer's problem lists.
 OBJECTS = """
 obj AS (
-  SELECT 'part' || p_partkey AS name, 'part' AS type FROM part WHERE p_size <> 50
-  UNION ALL SELECT 'supp' || s_suppkey, 'supplier' FROM supplier
-  UNION ALL SELECT 'cust' || c_custkey, 'customer' FROM customer
+  SELECT DISTINCT o_custkey, part AS name, 'part' AS type FROM l JOIN part p ON l.part = 'part' || p_partkey WHERE p_size <> 50
+  UNION ALL SELECT DISTINCT o_custkey, supp, 'supplier' FROM l JOIN supplier ON supp = 'supp' || s_suppkey
+  UNION ALL SELECT c_custkey, 'cust' || c_custkey, 'customer' FROM customer
 )
 """
 
@@ -90,12 +103,12 @@ pre AS (
   WHERE t.known AND NOT list_contains(st.facts, 'at' || t.a1 || t.a2) GROUP BY 1
 ),
 arg AS (
-  SELECT plan_id, a1 AS name, 'part' AS wanted FROM t WHERE known
-  UNION ALL SELECT plan_id, a2, CASE WHEN op = 'SHIP-PART' THEN 'supplier' ELSE 'customer' END FROM t WHERE known
-  UNION ALL SELECT plan_id, a3, CASE WHEN op = 'SHIP-PART' THEN 'customer' ELSE 'supplier' END FROM t WHERE known
+  SELECT plan_id, o_custkey, a1 AS name, 'part' AS wanted FROM t WHERE known
+  UNION ALL SELECT plan_id, o_custkey, a2, CASE WHEN op = 'SHIP-PART' THEN 'supplier' ELSE 'customer' END FROM t WHERE known
+  UNION ALL SELECT plan_id, o_custkey, a3, CASE WHEN op = 'SHIP-PART' THEN 'customer' ELSE 'supplier' END FROM t WHERE known
 ),
 argx AS (SELECT plan_id, bool_or(type IS NULL) AS unknown, coalesce(bool_or(type <> wanted), false) AS wrong
-         FROM arg LEFT JOIN obj USING (name) GROUP BY 1),
+         FROM arg LEFT JOIN obj USING (o_custkey, name) GROUP BY 1),
 bad AS (SELECT DISTINCT plan_id FROM t WHERE NOT known),
 open AS (SELECT DISTINCT goal.plan_id FROM goal JOIN fin USING (plan_id) WHERE NOT list_contains(facts, fact)),
 cl AS (
@@ -159,13 +172,13 @@ def _special(as_type: str = "BIGINT") -> str:
     return "VALUES " + ", ".join(rows)
 
 
-def _vocabulary(source: str, size: int = VOCABULARY_SIZE) -> str:
+def _vocabulary(source: str, size: int | str = VOCABULARY_SIZE) -> str:
     """CTEs that make ``vocab(token, token_id, frequency)`` of ``source(token)``."""
     return f"""
     counted AS (SELECT token, count(*) AS frequency FROM {source} GROUP BY 1),
     learned AS (
       SELECT token, row_number() OVER (ORDER BY frequency DESC, token) + {N_SPECIAL - 1} AS token_id, frequency
-      FROM counted QUALIFY row_number() OVER (ORDER BY frequency DESC, token) <= {size - N_SPECIAL}
+      FROM counted QUALIFY row_number() OVER (ORDER BY frequency DESC, token) <= {size} - {N_SPECIAL}
     ),
     vocab(token, token_id, frequency) AS ({_special()} UNION ALL SELECT token, token_id, frequency FROM learned)
     """
@@ -179,32 +192,29 @@ def _bits(key: str, seed: int = 7) -> str:
     return f"CAST(('0x' || substr({_md5_key(key, seed)}, 1, 13)) AS BIGINT)"
 
 
-def _score_table(source: str) -> str:
+def _score_table(source: str, skipped: str = "CAST(0 AS BIGINT)", buckets: int = 6) -> str:
     classes = [
         "valid", "precondition_error", "type_checking_error", "unknown_type_error",
-        "bad_operator_error", "unsatisfied_goal_error",
+        "bad_operator_error", "unsatisfied_goal_error", "missing_problem",
     ]
     counts = ", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in classes)
     return (
-        f"SELECT b.actions_seen, count(class) AS total, {counts} FROM "
-        f"(SELECT CAST(unnest(range(6)) AS INTEGER) AS actions_seen) b "
-        f"LEFT JOIN {source} USING (actions_seen) GROUP BY 1"
+        f"SELECT actions_seen, count(class) AS total, {counts}, {skipped} AS skipped FROM "
+        f"(SELECT CAST(unnest(range({buckets})) AS INTEGER) AS actions_seen) b "
+        f"FULL JOIN {source} USING (actions_seen) GROUP BY 1"
     )
 
 
-ORACLES["plan_records"] = _with(LINES, RECORDS) + """
-SELECT plan_id, first_step, name, 'cust' || o_custkey || '.pddl' AS pddl_problem_file, initial_state, goals, actions,
-       len_initial_state, len_goals, len_plan, len_initial_state + len_goals + 2 AS actions_idx,
-       len_initial_state + len_goals + len_plan + 3 AS eop_idx FROM r"""
+ORACLES["plan_records"] = _with(LINES, SIZES) + """
+SELECT plan_id, 'xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL' AS name, 'cust' || o_custkey || '.pddl' AS pddl_problem_file,
+       n_initial_state AS len_initial_state, n_goals AS len_goals, n_actions AS len_plan,
+       n_initial_state + n_goals + 2 AS actions_idx, n_initial_state + n_goals + n_actions + 3 AS eop_idx FROM z"""
 
-_SIZES = """
-z AS (SELECT plan_id, o_custkey, count(*) FILTER (stocked) AS n_initial_state, count(*) AS n_goals,
-      CAST(sum(CASE WHEN ret THEN 2 ELSE 1 END) AS BIGINT) AS n_actions FROM l GROUP BY 1, 2)
-"""
+ORACLES["record_tokens"] = _with(LINES, TOKENS) + "SELECT plan_id, section, place, token FROM k"
 
-ORACLES["plan_sizes"] = _with(LINES, _SIZES) + "SELECT plan_id, n_initial_state, n_goals, n_actions FROM z"
+ORACLES["plan_sizes"] = _with(LINES, SIZES) + "SELECT plan_id, n_initial_state, n_goals, n_actions FROM z"
 
-ORACLES["corpus_stats"] = _with(LINES, _SIZES) + " UNION ALL ".join(
+ORACLES["corpus_stats"] = _with(LINES, SIZES) + " UNION ALL ".join(
     f"SELECT '{m}' AS measure, count(*) AS n_plans, round(avg(n_{m}), 6) AS mean, round(stddev_samp(n_{m}), 6) AS std, "
     f"min(n_{m}) AS min, max(n_{m}) AS max, round(median(n_{m}), 6) AS median FROM z"
     for m in ("initial_state", "goals", "actions")
@@ -223,25 +233,42 @@ ORACLES["decode_actions"] = _with(LINES) + """
 SELECT plan_id, step, token, CASE WHEN known THEN op ELSE 'bad_operator_error' END AS operator,
        CASE WHEN known THEN decoded ELSE '' END AS decoded FROM t"""
 
-ORACLES["encode_actions"] = _with(LINES, "low AS (SELECT lower(token) AS token FROM t)", _vocabulary("low")) + """
-SELECT DISTINCT t.decoded, lower(t.token) AS encoded, coalesce(token_id, 0) AS token_id,
-       CASE WHEN token_id IS NULL THEN '' ELSE t.decoded END AS found
-FROM t LEFT JOIN vocab ON vocab.token = lower(t.token) WHERE known"""
+# Tokens in the order in which plans, in the order of their ids, first show them.
+def _dictionary(token: str) -> str:
+    return f"""
+    dict AS (
+      SELECT token, row_number() OVER (ORDER BY first, token) AS token_id FROM (
+        SELECT {token} AS token, min((plan_id, section, pos)) AS first FROM (
+          SELECT plan_id, 0 AS section, step AS pos, token FROM t
+          UNION ALL SELECT plan_id, 1, seq, 'at' || part || supp FROM l WHERE stocked
+          UNION ALL SELECT plan_id, 2, seq, 'at' || part || cust FROM l
+        ) GROUP BY 1
+      )
+    )
+    """
+
+
+ORACLES["encode_actions"] = _with(LINES, _dictionary("lower(token)")) + """
+SELECT DISTINCT t.decoded, lower(t.token) AS encoded, token_id, t.decoded AS found
+FROM t JOIN dict ON dict.token = lower(t.token) WHERE known"""
 
-ORACLES["bracketed_plan"] = _with(LINES) + f"""
-SELECT plan_id, min(seq) AS first_step, string_agg(
-         CASE WHEN known THEN '(' || op || upper(' ' || a1 || ' ' || a2 || ' ' || a3) || ')' ELSE '(' || token || ')' END || chr(10),
-         '' ORDER BY step) AS bracketed
-FROM t GROUP BY plan_id, (seq - 1) // {RECORD_STEPS}"""
+ORACLES["bracketed_plan"] = _with(LINES) + """
+SELECT plan_id, step, CASE WHEN known THEN '(' || op || upper(' ' || a1 || ' ' || a2 || ' ' || a3) || ')' ELSE '(' || token || ')' END AS bracketed
+FROM t"""
 
-ORACLES["beautify_facts"] = _with(LINES) + f"""
-SELECT plan_id, min(seq) AS first_step,
-       coalesce(string_agg('at_' || part || '_' || supp, ' ' ORDER BY seq) FILTER (stocked), '') AS initial_state,
-       string_agg('at_' || part || '_' || cust, ' ' ORDER BY seq) AS goals
-FROM l GROUP BY plan_id, (seq - 1) // {RECORD_STEPS}"""
+ORACLES["beautify_facts"] = _with(LINES, TOKENS) + """
+SELECT plan_id, section, place, pretty AS fact FROM k WHERE section <> 'actions'"""
 
-ORACLES["split_state_goals"] = _with(LINES, RECORDS) + """
-SELECT plan_id, first_step, initial_state || ' <|goals|> ' || goals AS state_text, initial_state, goals FROM r"""
+_TEXTS = """
+x AS (
+  SELECT o_orderkey AS plan_id, orders.o_custkey, coalesce(seq, 1) AS seq, CASE WHEN stocked THEN 'at' || part || supp ELSE '' END AS initial_state,
+         coalesce('at' || part || cust, '') AS goals, coalesce(stocked, false) AS stocked, part
+  FROM orders LEFT JOIN l ON l.plan_id = o_orderkey
+)
+"""
+
+ORACLES["split_state_goals"] = _with(LINES, _TEXTS) + """
+SELECT plan_id, seq, initial_state || ' <|goals|> ' || goals AS state_text, initial_state, goals FROM x"""
 
 ORACLES["nth_replace"] = """
 SELECT doc_id, CASE WHEN len(p) > 2
@@ -278,10 +305,29 @@ ORACLES["validation_scores"] = _with(
 
 ORACLES["order_validation_scores"] = _with(LINES, STATES, OBJECTS, CLASSES, recursive=True) + _score_table("cl")
 
+# A line is a plan of its own: shipped from where it is stocked, and perhaps sent back.
+ORACLES["generated_validation_scores"] = _with(
+    LINES,
+    f"""
+    cl AS (
+      SELECT CAST(l.plan_id % {catalog.GENERATED_BUCKETS} AS INTEGER) AS actions_seen, recalled,
+             CASE WHEN (l.plan_id + seq) % {catalog.MISSING_SHARE} = 0 THEN 'missing_problem'
+                  WHEN recalled THEN 'bad_operator_error'
+                  WHEN p_partkey IS NULL OR s_suppkey IS NULL OR c_custkey IS NULL THEN 'unknown_type_error'
+                  WHEN swapped THEN 'type_checking_error'
+                  WHEN NOT stocked THEN 'precondition_error'
+                  WHEN ret THEN 'unsatisfied_goal_error'
+                  ELSE 'valid' END AS class
+      FROM l LEFT JOIN part p ON l.part = 'part' || p_partkey AND p_size <> 50
+      LEFT JOIN supplier ON supp = 'supp' || s_suppkey LEFT JOIN customer ON cust = 'cust' || c_custkey
+    )
+    """,
+) + _score_table("cl", "count(*) FILTER (recalled)", catalog.GENERATED_BUCKETS)
+
 ORACLES["goal_reached_step"] = _with(LINES, STATES, recursive=True) + """
 SELECT st.plan_id, min(st.step) AS step
-FROM st JOIN (SELECT plan_id, list(fact) AS goals FROM goal GROUP BY 1) USING (plan_id)
-WHERE list_has_all(st.facts, goals) GROUP BY 1"""
+FROM st LEFT JOIN (SELECT plan_id, list(fact) AS goals FROM goal GROUP BY 1) USING (plan_id)
+WHERE goals IS NULL OR list_has_all(st.facts, goals) GROUP BY 1"""
 
 ORACLES["repeated_states"] = _with(LINES, STATES, recursive=True) + """
 SELECT plan_id, count(*) AS n_states, count(DISTINCT array_to_string(facts, ' ')) AS n_distinct,
@@ -298,7 +344,7 @@ UNION
 SELECT DISTINCT l.plan_id, 'RETURN-PART_' || part || '_' || cust || '_' || supp
 FROM l JOIN fin USING (plan_id) WHERE list_contains(facts, 'at' || part || cust)"""
 
-ORACLES["length_filter"] = _with(LINES, _SIZES) + f"""
+ORACLES["length_filter"] = _with(LINES, SIZES) + f"""
 SELECT plan_id, n_actions AS plan_length FROM z WHERE n_actions <= {catalog.MAX_LENGTH}"""
 
 _NAMES = "n AS (SELECT o_orderkey AS plan_id, o_custkey, 'xml-GEN-cust' || o_custkey || '_' || o_orderkey || '.SOL' AS name FROM orders)"
@@ -306,15 +352,10 @@ _NAMES = "n AS (SELECT o_orderkey AS plan_id, o_custkey, 'xml-GEN-cust' || o_cus
 ORACLES["sample_n"] = _with(_NAMES) + f"""
 SELECT plan_id, name FROM n ORDER BY {_md5_key('name')}, name LIMIT {catalog.SAMPLE_SIZE}"""
 
-ORACLES["shuffle_facts"] = _with(LINES, """
-f AS (SELECT plan_id, o_custkey, seq, stocked, part, supp,
-             count(*) FILTER (stocked) OVER (PARTITION BY plan_id ORDER BY seq ROWS UNBOUNDED PRECEDING) - 1 AS place FROM l)
-""") + f"""
-SELECT plan_id, min(seq) AS first_step,
-       coalesce(string_agg('at' || part || supp, ' ' ORDER BY
-         md5('{catalog.SPLIT_SEED}|xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL|' || place || '|at' || part || supp),
-         'at' || part || supp) FILTER (stocked), '') AS initial_state
-FROM f GROUP BY plan_id, (seq - 1) // {RECORD_STEPS}"""
+ORACLES["shuffle_facts"] = _with(LINES, TOKENS) + f"""
+SELECT plan_id, token AS fact, row_number() OVER (PARTITION BY plan_id ORDER BY
+         md5('{catalog.SPLIT_SEED}|xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL|' || place || '|' || token), place) - 1 AS place
+FROM k JOIN orders ON o_orderkey = plan_id WHERE section = 'initial_state'"""
 
 ORACLES["shuffle_shard"] = _with(_NAMES) + f"""
 SELECT plan_id, position, CAST(position % {catalog.SHARDS} AS INTEGER) AS shard, hash_shard
@@ -334,23 +375,16 @@ split AS (SELECT problem_id, CASE WHEN problem_id IN (SELECT problem_id FROM tes
                                   WHEN problem_id IN (SELECT problem_id FROM val) THEN 'validation' ELSE 'train' END AS split FROM g)
 """
 
-ORACLES["group_split"] = _with(LINES, _SIZES, _SPLIT) + """
+ORACLES["group_split"] = _with(LINES, SIZES, _SPLIT) + """
 SELECT plan_id, problem_id, split FROM z JOIN split ON problem_id = 'cust' || o_custkey"""
 
-ORACLES["split_leakage"] = _with(_NAMES, "z AS (SELECT DISTINCT l_orderkey AS plan_id, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)") + f"""
+ORACLES["split_leakage"] = _with(_NAMES, "z AS (SELECT o_orderkey AS plan_id, o_custkey FROM orders)") + f"""
 SELECT 'group' AS method, count(DISTINCT o_custkey) AS n_problems, CAST(0 AS BIGINT) AS n_leaking FROM z
 UNION ALL
 SELECT 'row', count(*), count(*) FILTER (sides > 1) FROM
   (SELECT o_custkey, count(DISTINCT {_bits('name')} % {catalog.SHARDS}) AS sides FROM n GROUP BY 1)"""
 
-ORACLES["token_dictionary"] = _with(LINES) + """,
-p AS (
-  SELECT plan_id, 0 AS section, step AS pos, token FROM t
-  UNION ALL SELECT plan_id, 1, seq, 'at' || part || supp FROM l WHERE stocked
-  UNION ALL SELECT plan_id, 2, seq, 'at' || part || cust FROM l
-),
-f AS (SELECT token, min((plan_id, section, pos)) AS first FROM p GROUP BY 1)
-SELECT token, row_number() OVER (ORDER BY first, token) AS token_id FROM f"""
+ORACLES["token_dictionary"] = _with(LINES, _dictionary("token")) + "SELECT token, token_id FROM dict"
 
 ORACLES["vocab_build"] = _with(
     r"""
@@ -361,21 +395,23 @@ ORACLES["vocab_build"] = _with(
     _vocabulary("words"),
 ) + "SELECT token, token_id, frequency FROM vocab"
 
-ORACLES["sequence_encode"] = _with(LINES, CORPUS_TOKENS, _vocabulary("tok"), RECORDS) + """,
-x AS (SELECT plan_id, first_step, string_split(concat_ws(' ', '<|startofplan|>', nullif(initial_state, ''), '<|goals|>', goals,
-             '<|actions|>', actions, '<|endofplan|>'), ' ') AS words FROM r),
-y AS (SELECT plan_id, first_step, unnest(words) AS token, unnest(range(len(words))) AS pos FROM x)
-SELECT plan_id, first_step, string_agg(CAST(coalesce(token_id, 0) AS VARCHAR), ' ' ORDER BY pos) AS input_ids,
-       count(*) AS n_tokens
-FROM y LEFT JOIN vocab USING (token) GROUP BY 1, 2"""
+_SPECIAL_IDS = "special(token, id) AS (VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(SPECIAL_TOKENS)) + ")"
+
+ORACLES["sequence_encode"] = _with(LINES, SIZES, TOKENS, SEQUENCES, _dictionary("token"), _SPECIAL_IDS) + f"""
+SELECT plan_id, position, CAST(coalesce(id, token_id + {N_SPECIAL - 1}) AS BIGINT) AS token_id
+FROM q LEFT JOIN dict USING (token) LEFT JOIN special USING (token)"""
 
-ORACLES["prompt_build"] = _with(LINES, RECORDS) + """
-SELECT plan_id, first_step, CAST(plan_id % 6 AS INTEGER) AS actions_seen,
-       concat_ws(' ', initial_state, '<|goals|>', goals, '<|actions|>',
-                 nullif(array_to_string(string_split(actions, ' ')[1:plan_id % 6], ' '), '')) AS input FROM r"""
+ORACLES["prompt_build"] = _with(LINES, SIZES, TOKENS) + """
+SELECT plan_id, CAST(plan_id % 6 AS INTEGER) AS actions_seen,
+       row_number() OVER (PARTITION BY plan_id ORDER BY section_no, place) - 1 AS position, token
+FROM (
+  SELECT plan_id, CASE section WHEN 'initial_state' THEN 0 WHEN 'goals' THEN 1 ELSE 2 END AS section_no, place, token
+  FROM k WHERE section <> 'actions' OR place < plan_id % 6
+  UNION ALL SELECT plan_id, unnest([1, 2]), -1, unnest(['<|goals|>', '<|actions|>']) FROM z
+)"""
 
-ORACLES["truncate_generated"] = _with(LINES, RECORDS) + """
-SELECT plan_id, first_step, actions AS plan, len_plan AS plan_length FROM r"""
+ORACLES["truncate_generated"] = _with(LINES, SIZES) + """
+SELECT plan_id, step - 1 AS place, token AS action, n_actions AS plan_length FROM t JOIN z USING (plan_id)"""
 
 _PREDICTIONS = """
 p AS (SELECT vec_id, vec_id // 16 AS context, CAST(vec_id % 16 AS INTEGER) AS position,
@@ -403,7 +439,7 @@ SELECT CAST(batch % 3 AS INTEGER) AS epoch, CAST(sum(n) AS BIGINT) AS n_tokens,
        round(sum(total) / sum(n), 6) AS token_loss, round(avg(total / n), 6) AS batch_loss FROM b GROUP BY 1"""
 
 ORACLES["masked_argmax"] = _with(_PREDICTIONS) + f""",
-allowed AS (SELECT l_orderkey AS context, l_partkey % {catalog.TOKEN_TEXTS} AS token_id, min(l_suppkey) % 10 AS fp
+allowed AS (SELECT l_orderkey AS context, l_partkey % (SELECT max(len(embedding)) FROM embeddings) AS token_id, min(l_suppkey) % 10 AS fp
             FROM lineitem GROUP BY 1, 2),
 cand AS (
   SELECT sc.context, position, token_id, score,
@@ -416,82 +452,57 @@ SELECT context, position, first(token_id ORDER BY score DESC, token_id) AS greed
        (first(token_id ORDER BY score DESC, token_id) FILTER (fresh)) = 3 AS is_end
 FROM cand GROUP BY 1, 2"""
 
-ORACLES["step_match"] = _with(FUNNEL_STEPS) + """,
-m AS (
-  SELECT e.user_id, e.week + INTERVAL 7 DAY AS week, e.step AS position, e.op AS pred_action, coalesce(n.op, '') AS real_action
-  FROM e LEFT JOIN e n ON n.user_id = e.user_id AND n.week = e.week + INTERVAL 7 DAY AND n.step = e.step
-)
-SELECT user_id, strftime(week, '%Y-%m-%d') AS week, position,
-       coalesce((SELECT string_agg(op, ' ' ORDER BY step) FROM e WHERE e.user_id = m.user_id AND e.week = m.week
-                 AND e.step < m.position), '') AS seen_actions,
-       pred_action, real_action, pred_action = real_action AS is_match FROM m"""
-
-ORACLES["error_analysis"] = _with(
-    LINES, CORPUS_TOKENS, _vocabulary("tok", catalog.TOKEN_TEXTS), _PREDICTIONS
-) + f""",
+ORACLES["step_match"] = _with(FUNNEL_STEPS) + """
+SELECT e.user_id, strftime(e.week + INTERVAL 7 DAY, '%Y-%m-%d') AS week, e.step AS position, e.step - 1 AS seen_actions,
+       e.op AS pred_action, coalesce(n.op, '') AS real_action, e.op = coalesce(n.op, '') AS is_match
+FROM e LEFT JOIN e n ON n.user_id = e.user_id AND n.week = e.week + INTERVAL 7 DAY AND n.step = e.step"""
+
+ORACLES["error_analysis"] = _with(LINES, SIZES, CORPUS_TOKENS, _vocabulary("tok", "(SELECT max(len(embedding)) FROM embeddings)"), _PREDICTIONS) + f""",
 texts AS (SELECT token_id, regexp_replace(regexp_replace(token, '^(SHIP|RETURN)PART(PART)', '\\1-PART_\\2'),
                  '(PART|SUPP|CUST)(\\d+)(SUPP|CUST)(\\d+)(SUPP|CUST)(\\d+)$', '\\1\\2_\\3\\4_\\5\\6') AS text FROM vocab),
 named AS (SELECT token_id, CASE WHEN text LIKE '%-PART_%'
                  THEN split_part(text, '_', 1) || '_' || lower(substr(text, strpos(text, '_') + 1)) ELSE text END AS text FROM texts),
 steps AS (
-  SELECT context AS example, position, max(CASE WHEN rank = 1 THEN text END) AS generated,
+  SELECT context AS example, position, context % 6 + position AS step, max(CASE WHEN rank = 1 THEN text END) AS generated,
          string_agg(text || ':' || CAST(CAST(round(probability * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS top
-  FROM pr JOIN named USING (token_id) WHERE rank <= {catalog.TOP_K} GROUP BY 1, 2
-),
-ex AS (
-  SELECT plan_id AS example, min(o_custkey) AS o_custkey,
-         coalesce(string_agg('at_' || part || '_' || supp, ' ' ORDER BY seq) FILTER (stocked), '') AS initial_state,
-         string_agg('at_' || part || '_' || cust, ' ' ORDER BY seq) AS goals
-  FROM l GROUP BY 1
-),
-real AS (SELECT plan_id AS example, list(CASE WHEN known THEN decoded ELSE token END ORDER BY step) AS acts FROM t GROUP BY 1),
-pos AS (
-  SELECT steps.*, coalesce(list_append(acts, '<|endofplan|>')[position + 1], '') AS real_action,
-         coalesce(string_agg(generated, ' ') OVER (PARTITION BY steps.example ORDER BY position
-                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS seen
-  FROM steps JOIN real ON real.example = steps.example
+  FROM pr JOIN named USING (token_id) WHERE rank <= {catalog.TOP_K} GROUP BY 1, 2, 3
 )
-SELECT ex.example, CAST(0 AS BIGINT) AS part, 'xml-GEN-cust' || any_value(o_custkey) || '_' || ex.example || '.SOL' AS example_name,
-       'cust' || any_value(o_custkey) AS problem_id, any_value(initial_state) AS initial_state, any_value(goals) AS goals,
-       any_value(array_to_string(list_append(acts, '<|endofplan|>'), ' ')) AS real_plan, CAST(any_value(len(acts)) AS BIGINT) AS real_plan_length,
-       string_agg(generated, ' ' ORDER BY position) AS generated_plan,
-       count(*) FILTER (generated <> '<|endofplan|>') AS generated_plan_length,
-       string_agg(concat_ws('|', seen, real_action, generated, top), chr(10) ORDER BY position) AS predictions,
-       count(*) AS n_predictions
-FROM pos JOIN ex ON ex.example = pos.example JOIN real ON real.example = pos.example GROUP BY ex.example"""
-
-ORACLES["enrich_static_facts"] = _with(LINES, RECORDS) + """
-SELECT plan_id, first_step, CAST(0 AS INTEGER) AS part,
-       trim(initial_state || CASE WHEN first_step = 1 AND n_nationkey IS NOT NULL
-         THEN ' innationcust' || o_custkey || 'nation' || n_nationkey || ' inregionnation' || n_nationkey || 'region' || n_regionkey
-         ELSE '' END) AS initial_state
-FROM r LEFT JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = c_nationkey"""
-
-ORACLES["problem_parse"] = _with(LINES, RECORDS) + """
-SELECT 'cust' || o_custkey || '_' || plan_id || '_' || first_step || '.pddl' AS name,
-       'cust' || o_custkey || '_' || plan_id || '_' || first_step || '.pddl' AS pddl_problem_file,
-       initial_state, goals, '' AS actions, len_initial_state, len_goals, CAST(0 AS BIGINT) AS len_plan,
-       len_initial_state + len_goals + 2 AS actions_idx, CAST(-1 AS BIGINT) AS eop_idx FROM r"""
-
-ORACLES["static_fact_extract"] = _with(LINES, RECORDS) + """
-SELECT 'cust' || o_custkey || '_' || plan_id || '_' || first_step || '.pddl' AS name,
+SELECT example, position, 'xml-GEN-cust' || z.o_custkey || '_' || example || '.SOL' AS example_name, 'cust' || z.o_custkey AS problem_id,
+       n_actions AS real_plan_length, count(*) FILTER (generated <> '<|endofplan|>') OVER (PARTITION BY example) AS generated_plan_length,
+       steps.step AS actions_seen,
+       CASE WHEN steps.step = n_actions THEN '<|endofplan|>' WHEN known THEN decoded ELSE coalesce(token, '') END AS real_action,
+       generated AS generated_action, top AS top_k
+FROM steps JOIN z ON z.plan_id = example LEFT JOIN t ON t.plan_id = example AND t.step = steps.step + 1"""
+
+ORACLES["enrich_static_facts"] = _with(LINES, SIZES, TOKENS) + """
+SELECT plan_id, place, token AS fact FROM k WHERE section = 'initial_state'
+UNION ALL
+SELECT plan_id, n_initial_state + row_number() OVER (PARTITION BY plan_id ORDER BY substr(md5(fact), 1, 3), fact) - 1, fact
+FROM (
+  SELECT plan_id, n_initial_state,
+         unnest(['innationcust' || c_custkey || 'nation' || n_nationkey, 'inregionnation' || n_nationkey || 'region' || n_regionkey]) AS fact
+  FROM z JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+)"""
+
+ORACLES["problem_parse"] = _with(LINES, _TEXTS) + """
+SELECT 'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS name,
+       'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS pddl_problem_file,
+       initial_state, goals, '' AS actions, CAST(stocked AS BIGINT) AS len_initial_state, CAST(part IS NOT NULL AS BIGINT) AS len_goals,
+       CAST(0 AS BIGINT) AS len_plan, CAST(stocked AS BIGINT) + CAST(part IS NOT NULL AS BIGINT) + 2 AS actions_idx, CAST(-1 AS BIGINT) AS eop_idx FROM x"""
+
+ORACLES["static_fact_extract"] = _with(LINES, _TEXTS) + """
+SELECT 'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS name,
        'in-nation cust' || o_custkey || ' nation' || n_nationkey AS fact
-FROM r JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
-
-ORACLES["plan_log_parse"] = _with(LINES) + f""",
-a AS (
-  SELECT plan_id, (seq - 1) // {RECORD_STEPS} AS part_no, min(o_custkey) AS o_custkey,
-         string_agg(op || upper(' ' || a1 || ' ' || a2 || ' ' || a3), ';' ORDER BY step) AS actions,
-         string_agg(CAST(step - seq0 + 1 AS VARCHAR), ';' ORDER BY step) AS ids,
-         coalesce(string_agg(CAST(step - seq0 AS VARCHAR), ';' ORDER BY step) FILTER (step > seq0), '') AS predecessors,
-         string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS pre, string_agg('at ' || a1 || ' ' || a3, ';' ORDER BY step) AS pos
-  FROM (SELECT *, min(seq) OVER (PARTITION BY plan_id, (seq - 1) // {RECORD_STEPS}) AS seq0 FROM t) GROUP BY 1, 2
-),
-f AS (
-  SELECT plan_id, (seq - 1) // {RECORD_STEPS} AS part_no,
-         coalesce(string_agg('at ' || part || ' ' || supp, ';' ORDER BY seq) FILTER (stocked), '') AS initial_state,
-         string_agg('at ' || part || ' ' || cust, ';' ORDER BY seq) AS goals FROM l GROUP BY 1, 2
-)
-SELECT 'xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL' AS plan_name, initial_state, goals, actions, ids, predecessors,
-       pre AS preconditions, pos AS positive_effects, pre AS negative_effects
-FROM a JOIN f USING (plan_id, part_no)"""
+FROM x JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
+
+ORACLES["plan_log_parse"] = _with(LINES) + """
+SELECT 'xml-GEN-cust' || t.o_custkey || '_' || t.plan_id || '_' || t.seq || '.SOL' AS plan_name,
+       any_value(CASE WHEN l.stocked THEN 'at ' || l.part || ' ' || l.supp ELSE '' END) AS initial_state,
+       any_value('at ' || l.part || ' ' || l.cust) AS goals,
+       string_agg(op || upper(' ' || a1 || ' ' || a2 || ' ' || a3), ';' ORDER BY step) AS actions,
+       string_agg(CAST(step - t.seq + 1 AS VARCHAR), ';' ORDER BY step) AS ids,
+       coalesce(string_agg(CAST(step - t.seq AS VARCHAR), ';' ORDER BY step) FILTER (step > t.seq), '') AS predecessors,
+       string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS preconditions,
+       string_agg('at ' || a1 || ' ' || a3, ';' ORDER BY step) AS positive_effects,
+       string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS negative_effects
+FROM t JOIN l ON l.plan_id = t.plan_id AND l.seq = t.seq GROUP BY t.plan_id, t.o_custkey, t.seq"""

@@ -8,7 +8,7 @@ nested record, a source line and a single step all fit the same shape.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -121,8 +121,8 @@ def from_chunks(chunks: DataFrame, block_steps: int = LONG_PLAN_STEPS) -> Corpus
     )
 
 
-def record_chunks(records: DataFrame, domain: Domain, first_step: str | None = None) -> DataFrame:
-    """Flat plan records (texts of blank-separated tokens) as chunks."""
+def record_chunks(records: DataFrame, domain: Domain, keep: Sequence[str] = ()) -> DataFrame:
+    """Flat plan records (texts of blank-separated tokens) as chunks, with some of their columns."""
 
     def words(text: str) -> Column:
         return F.filter(F.split(F.col(text), " "), lambda w: w != "")
@@ -136,8 +136,9 @@ def record_chunks(records: DataFrame, domain: Domain, first_step: str | None = N
 
     return records.select(
         F.col("name").alias("plan_id"),
-        (F.col(first_step) if first_step else F.lit(1)).cast("long").alias("seq"),
+        F.lit(1).cast("long").alias("seq"),
         words("initial_state").alias("initial"),
         words("goals").alias("goals"),
         F.transform(words("actions"), step).alias("steps"),
+        *keep,
     )

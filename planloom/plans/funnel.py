@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import hot_keys, key_counts, long_groups, number_rows
+from planloom.operators.bounded import long_groups, number_rows
 from planloom.plans.corpus import Corpus
 
 # The facts a week starts with, and its goal.
@@ -76,6 +76,3 @@ class FunnelPlans:
     def objects(self) -> DataFrame:
         users = self.events.select("user_id").distinct()
         return users.select(user_name().alias("name"), F.lit("user").alias("type"))
-
-    def hot_names(self) -> DataFrame | None:
-        return hot_keys([key_counts(self.events, "user_id", user_name(), "name")])

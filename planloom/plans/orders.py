@@ -7,11 +7,13 @@ arguments) and, when returned, sends it back.
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.operators.bounded import hot_keys, key_counts, long_groups, number_rows
-from planloom.operators.stats import plan_sizes
+from planloom.operators.stats import MEASURES, plan_sizes
 from planloom.plans.corpus import Corpus, union
 
 LINE_ORDER = [
@@ -43,8 +45,13 @@ def returned() -> Column:
     return F.col("l_returnflag") == "R"
 
 
+def is_line() -> Column:
+    """Whether a row is a line; an order without lines is one row without a part."""
+    return F.col("l_linenumber").isNotNull()
+
+
 def n_steps() -> Column:
-    return F.when(returned(), 2).otherwise(1)
+    return F.when(~is_line(), 0).when(returned(), 2).otherwise(1)
 
 
 def problem(custkey: str = "o_custkey") -> Column:
@@ -62,7 +69,7 @@ def actions_seen(plan_id: str = "plan_id") -> Column:
 
 
 def as_chunks(frame: DataFrame, *keep: str) -> DataFrame:
-    """Lines (numbered or not) as chunks of one or two steps."""
+    """Lines (numbered or not) as chunks of one or two steps, orders without lines as empty chunks."""
 
     def fact(*parts: Column) -> Column:
         return F.concat(F.lit("at"), *parts)
@@ -81,14 +88,15 @@ def as_chunks(frame: DataFrame, *keep: str) -> DataFrame:
     )
     back = step(F.lit("RETURN-PART"), part, cust, supp)
     none = F.array().cast("array<string>")
+    no_step = F.array().cast("array<struct<op:string,args:array<string>>>")
     stocked = F.col("l_quantity") <= STOCKED_QUANTITY
     seq = F.col("seq") if "seq" in frame.columns else F.lit(None).cast("long")
     return frame.select(
         "plan_id",
         seq.alias("seq"),
         F.when(stocked, F.array(fact(part, supp))).otherwise(none).alias("initial"),
-        F.array(fact(part, cust)).alias("goals"),
-        F.when(returned(), F.array(ship, back)).otherwise(F.array(ship)).alias("steps"),
+        F.when(is_line(), F.array(fact(part, cust))).otherwise(none).alias("goals"),
+        F.when(~is_line(), no_step).when(returned(), F.array(ship, back)).otherwise(F.array(ship)).alias("steps"),
         *keep,
     )
 
@@ -104,34 +112,40 @@ class OrderPlans:
         self.lineitem = table("lineitem").withColumnRenamed("l_orderkey", "plan_id")
         self.orders = table("orders").withColumnRenamed("o_orderkey", "plan_id")
 
-    def lines(self, only: DataFrame | None = None) -> DataFrame:
-        """Order lines with their customer, keyed by ``plan_id``; ``only`` some plans.
+    def only(self, plans: DataFrame) -> OrderPlans:
+        """The same tables with some plans only."""
+        some = copy(self)
+        some.lineitem = self.lineitem.join(plans, "plan_id", "left_semi")
+        some.orders = self.orders.join(plans, "plan_id", "left_semi")
+        return some
+
+    def lines(self, empty: bool = False) -> DataFrame:
+        """Order lines with their customer and problem, keyed by ``plan_id``.
 
-        Both sides are restricted, so that few plans mean a small side to broadcast.
+        With ``empty``, an order without lines has one row without a line.
         """
         line = self.lineitem.select("plan_id", *LINE_ORDER)
         customers = self.orders.select("plan_id", "o_custkey")
-        if only is not None:
-            line = line.join(only, "plan_id", "left_semi")
-            customers = customers.join(only, "plan_id", "left_semi")
-        return line.join(customers, "plan_id")
+        return customers.join(line, "plan_id", "left" if empty else "inner").withColumn("problem_id", problem())
+
+    def long_plans(self) -> DataFrame | None:
+        return long_groups(self.lineitem, ["plan_id"], n_steps())
 
     def corpus(self, *keep: str) -> Corpus:
-        long = long_groups(self.lineitem, ["plan_id"], n_steps())
-        lines = self.lines()
+        long = self.long_plans()
         ordinary, rest = number_rows(
-            lines,
+            self.lines(empty=True),
             ["plan_id"],
             LINE_ORDER,
             LINE_BLOCK,
             long,
             n_steps(),
-            long_rows=None if long is None else self.lines(long),
+            long_rows=None if long is None else self.only(long).lines(),
         )
         return Corpus(
             as_chunks(ordinary, *keep),
             None if rest is None else as_chunks(rest, *keep),
-            as_chunks(lines, *keep),
+            as_chunks(self.lines(), *keep),
         )
 
     def sizes(self) -> DataFrame:
@@ -141,36 +155,37 @@ class OrderPlans:
         the customer's name in a fact does not change how many there are.
         """
         nameless = as_chunks(self.lineitem.withColumn("o_custkey", F.lit(None).cast("long")))
-        return plan_sizes(nameless).join(self.orders.select("plan_id", "o_custkey"), "plan_id")
+        counted = self.orders.select("plan_id", "o_custkey").join(plan_sizes(nameless), "plan_id", "left")
+        zero = F.lit(0).cast("long")
+        return counted.withColumns({f"n_{m}": F.coalesce(f"n_{m}", zero) for m in MEASURES})
 
     def unordered(self, *keep: str) -> DataFrame:
         return as_chunks(self.lines(), *keep)
 
     def objects(self) -> DataFrame:
-        """The listed objects: ``name, type``. Parts of one size are left out."""
+        """The objects each problem lists: ``problem_id, name, type``.
 
-        def listed(name: Column, kind: str) -> list[Column]:
-            return [name.alias("name"), F.lit(kind).alias("type")]
+        A customer's problem lists the customer, the parts of its orders and their suppliers,
+        as far as the tables hold them. Parts of one size are left out.
+        """
+        lines = self.lines()
+        part = self.table("part").filter(F.col("p_size") != UNLISTED_SIZE).select(F.col("p_partkey").alias("key"))
+        supplier = self.table("supplier").select(F.col("s_suppkey").alias("key"))
 
-        part = self.table("part").filter(F.col("p_size") != UNLISTED_SIZE)
-        return union(
-            [
-                part.select(*listed(named("part", "p_partkey"), "part")),
-                self.table("supplier").select(*listed(named("supp", "s_suppkey"), "supplier")),
-                self.table("customer").select(*listed(named("cust", "c_custkey"), "customer")),
-            ]
-        )
+        def of_lines(key: str, prefix: str, kind: str, listed: DataFrame) -> DataFrame:
+            used = lines.select("problem_id", F.col(key).alias("key")).distinct()
+            return used.join(listed, "key", "left_semi").select(
+                "problem_id", named(prefix, "key").alias("name"), F.lit(kind).alias("type")
+            )
 
-    def hot_names(self) -> DataFrame | None:
-        """Object names that fill a large share of the argument slots."""
-        # A customer name fills a slot of every line of the customer's orders.
-        per_order = self.lineitem.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n_lines"))
-        per_order = per_order.join(self.orders.select("plan_id", "o_custkey"), "plan_id")
-        return hot_keys(
+        customer = problem("c_custkey")
+        return union(
             [
-                key_counts(self.lineitem, "l_partkey", named("part", "l_partkey"), "name"),
-                key_counts(self.lineitem, "l_suppkey", named("supp", "l_suppkey"), "name"),
-                key_counts(per_order, "o_custkey", problem(), "name", rows="n_lines"),
+                of_lines("l_partkey", "part", "part", part),
+                of_lines("l_suppkey", "supp", "supplier", supplier),
+                self.table("customer").select(
+                    customer.alias("problem_id"), customer.alias("name"), F.lit("customer").alias("type")
+                ),
             ]
         )
 

@@ -36,10 +36,6 @@ PLAN_CLASSES = [
 
 MISSING_PROBLEM = "missing_problem"
 
-# A nested record never holds more than this many actions; a longer plan goes on
-# in further records with a larger ``first_step``.
-RECORD_STEPS = 1_000
-
 # A plan with more steps than this is cut into blocks that are scanned apart.
 LONG_PLAN_STEPS = 65_536
 
@@ -91,22 +87,3 @@ GENERATED_PLAN = T.StructType(
         T.StructField("example_id", T.StringType()),
     ]
 )
-
-PREDICTION_DETAIL = T.StructType(
-    [
-        T.StructField("actions_seen", T.StringType()),
-        T.StructField("real_action", T.StringType()),
-        T.StructField("generated_action", T.StringType()),
-        T.StructField(
-            "top_k",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("action", T.StringType()),
-                        T.StructField("probability", T.DoubleType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)

@@ -53,42 +53,36 @@ def test_masked_loss_means(spark):
 
 
 def test_step_match(spark):
-    schema = "plan string, first_step long, actions array<string>"
-    predicted = spark.createDataFrame([("p", 1, ["A", "X", "C"]), ("q", 1, ["A"])], schema)
-    real = spark.createDataFrame([("p", 1, ["A", "B"])], schema)
+    predicted = [("p", 1, "A"), ("p", 2, "X"), ("p", 3, "C"), ("q", 1, "A")]
+    predicted = spark.createDataFrame(predicted, "plan string, position long, pred_action string")
+    real = spark.createDataFrame([("p", 1, "A"), ("p", 2, "B")], "plan string, position long, real_action string")
     rows = evaluation.step_match(predicted, real, ["plan"]).orderBy("plan", "position").collect()
     assert [tuple(r) for r in rows] == [
-        ("p", 1, "", "A", "A", True),
-        ("p", 2, "A", "X", "B", False),
-        ("p", 3, "A B", "C", "", False),
-        ("q", 1, "", "A", "", False),
+        ("p", 1, 0, "A", "A", True),
+        ("p", 2, 1, "X", "B", False),
+        ("p", 3, 2, "C", "", False),
+        ("q", 1, 0, "A", "", False),
     ]
 
 
-@pytest.mark.parametrize("record_steps", [1000, 2])
-def test_error_analysis_documents(spark, record_steps):
+@pytest.mark.parametrize("given", [0, 1])
+def test_error_analysis_rows(spark, given):
     texts = spark.createDataFrame([(0, "zero"), (1, "one"), (2, END)], "token_id int, text string")
     vectors = [[0.0, 2.0, 1.0], [3.0, 0.0, 1.0], [0.0, 0.0, 5.0]]
-    predictions = spark.createDataFrame(
+    scored = spark.createDataFrame(
         [("e", i, v) for i, v in enumerate(vectors)], "example string, position int, logits array<double>"
     )
-    real = [("e", 0, 2, "name", ["one", "one"])]
-    examples = spark.createDataFrame(
-        real, "example string, part long, plan_length long, example_name string, real array<string>"
-    )
-    documents = evaluation.error_analysis(examples, predictions, texts, 2, record_steps).orderBy("part").collect()
-    assert len(documents) == (1 if record_steps == 1000 else 2)
-    details = [p for d in documents for p in d["predictions"]]
-    assert [p["generated_action"] for p in details] == ["one", "zero", END]
-    assert [p["real_action"] for p in details] == ["one", "one", END]
-    assert [t["action"] for t in details[0]["top_k"]] == ["one", END]
+    real = spark.createDataFrame([("e", 0, "one"), ("e", 1, "two")], "example string, step long, action string")
+    examples = spark.createDataFrame([("e", given, 2, "name")], "example string, given int, plan_length long, example_name string")
+    rows = evaluation.error_analysis(examples, real, scored, texts, 2).orderBy("position").collect()
+    assert evaluation.vector_length(scored) == 3
+    assert [r["generated_action"] for r in rows] == ["one", "zero", END]
+    assert [r["real_action"] for r in rows] == (["one", "two", END], ["two", END, ""])[given]
+    assert [r["actions_seen"] for r in rows] == [given, given + 1, given + 2]
+    assert [t["action"] for t in rows[0]["top_k"]] == ["one", END]
     total = sum(math.exp(x) for x in vectors[0])
-    assert details[0]["top_k"][0]["probability"] == pytest.approx(math.exp(2) / total)
-    assert " ".join(d["real_plan"] for d in documents) == f"one one {END}"
-    assert {d["real_plan_length"] for d in documents} == {2}
-    if record_steps == 1000:
-        assert [p["actions_seen"] for p in details] == ["", "one", "one zero"]
-        assert (documents[0]["generated_plan"], documents[0]["generated_plan_length"]) == (f"one zero {END}", 2)
+    assert rows[0]["top_k"][0]["probability"] == pytest.approx(math.exp(2) / total)
+    assert {(r["real_plan_length"], r["generated_plan_length"], r["example_name"]) for r in rows} == {(2, 2, "name")}
 
 
 def test_accuracy(spark):

@@ -1,33 +1,29 @@
 """Static facts and applicable actions."""
 
+from functools import partial
+
+import pytest
 from mini import INITIAL
 
 from planloom.operators import applicable, enrich
 from planloom.plans.domains import LOGISTICS, Action, Domain
 
 
-def test_static_facts_join_the_first_record(spark, monkeypatch):
+@pytest.mark.parametrize("limit", [65_536, 10])
+def test_static_facts_follow_the_initial_state(spark, monkeypatch, limit):
+    monkeypatch.setattr(enrich, "long_groups", partial(enrich.long_groups, limit=limit))
     facts = [("p1", f"s{i:02d}") for i in range(25)] + [("p1", "s00"), ("p2", "t")]
     facts = spark.createDataFrame(facts, "problem_id string, fact string")
-    records = spark.createDataFrame(
-        [("p1", 1, ["a"]), ("p1", 11, ["b"]), ("p2", 1, ["c"]), ("p3", 1, ["d"])],
-        "problem_id string, first_step long, initial array<string>",
-    )
-    hot = spark.createDataFrame([("p1",)], "problem_id string")
-    for hot_problems in (None, hot):
-        rows = enrich.enrich_static_facts(records, facts, hot_problems).collect()
-        got = {(r["problem_id"], r["first_step"], r["part"]): r["initial"] for r in rows}
-        assert got[("p2", 1, 0)] == ["c", "t"] and got[("p3", 1, 0)] == ["d"]
-        assert got[("p1", 11, 0)] == ["b"] and len(got[("p1", 1, 0)]) == 26
-
-    lists = enrich.grouped_facts(facts, size=10).collect()
-    assert sorted(len(r["static"]) for r in lists if r["problem_id"] == "p1") == [5, 10, 10]
-    original = enrich.grouped_facts
-    monkeypatch.setattr(enrich, "grouped_facts", lambda f: original(f, size=10))
-    rows = enrich.enrich_static_facts(records, facts, None).collect()
-    mine = [r for r in rows if r["problem_id"] == "p1" and r["first_step"] == 1]
-    assert sorted(r["part"] for r in mine) == [0, 1, 2]
-    assert sorted(f for r in mine for f in r["initial"]) == ["a"] + [f"s{i:02d}" for i in range(25)]
+    plans = [(1, "p1", 2), (2, "p1", 0), (3, "p2", 1), (4, "p3", 1)]
+    plans = spark.createDataFrame(plans, "plan_id long, problem_id string, n_initial_state long")
+    initial = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (3, 0, "c"), (4, 0, "d")], "plan_id long, place long, fact string")
+    got = {}
+    for r in enrich.enrich_static_facts(initial, plans, facts).orderBy("plan_id", "place").collect():
+        got.setdefault(r["plan_id"], []).append((r["place"], r["fact"]))
+    assert all([at for at, _ in v] == list(range(len(v))) for v in got.values())
+    assert got[1][:2] == [(0, "a"), (1, "b")] and sorted(f for _, f in got[1][2:]) == [f"s{i:02d}" for i in range(25)]
+    assert [f for _, f in got[2]] == [f for _, f in got[1][2:]]
+    assert got[3] == [(0, "c"), (1, "t")] and got[4] == [(0, "d")]
 
 
 def actions_of(spark, facts, domain=LOGISTICS):
@@ -44,12 +40,9 @@ def test_applicable_logistics_actions(spark):
     assert "UNLOAD-TRUCK_obj1_tru1_pos2" in got and not any(a.startswith("LOAD") for a in got)
 
 
-def test_open_parameters_stay_variables_until_grounded(spark):
+def test_open_parameters_stay_variables(spark):
     allowed = actions_of(spark, ["atapn1apt1", "atobj1apt1"])
     assert {r["action"] for r in allowed.collect()} == {"FLY-AIRPLANE_apn1_apt1_?airport", "LOAD-AIRPLANE_obj1_apn1_apt1"}
-    airports = spark.createDataFrame([("p", "apt1", "airport"), ("p", "apt2", "airport")], "plan_id string, name string, type string")
-    grounded = {r["action"] for r in applicable.ground_open(allowed, airports).collect()}
-    assert grounded == {"FLY-AIRPLANE_apn1_apt1_apt1", "FLY-AIRPLANE_apn1_apt1_apt2", "LOAD-AIRPLANE_obj1_apn1_apt1"}
 
 
 def test_unconnected_preconditions_are_refused(spark):

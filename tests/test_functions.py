@@ -36,7 +36,6 @@ def test_names_and_normalisation(spark):
     name = "folder/xml-GEN-p12_4.SOL"
     assert value(spark, tokens.problem_id(F.col("n")), n=name) == "p12"
     assert value(spark, tokens.example_id(F.col("n")), n=name) == "p12_4"
-    assert value(spark, tokens.file_stem(F.col("n")), n="p12.pddl") == "p12"
     assert value(spark, tokens.normalize(F.col("n")), n="in-city pos1 cit1") == "incitypos1cit1"
 
 
@@ -76,7 +75,6 @@ def test_prompts_and_sequences(spark):
     row = value(spark, whole, **inputs)
     assert row == [START, "f1", "f2", GOALS, "g1", ACTIONS, "A", "B", "C", END]
     assert row.index(ACTIONS) == 2 + 1 + 2 and row.index(END) == 2 + 1 + 3 + 3
-    assert value(spark, sequences.open_sequence(F.split("i", " ")), i="f1 f2") == [START, "f1", "f2"]
 
 
 @pytest.mark.parametrize(

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from planloom.operators import replay as ops
 from planloom.operators import validate
+from planloom.plans import generated
 from planloom.plans.corpus import Corpus, from_chunks, record_chunks
 from planloom.plans.domains import LOGISTICS
+from planloom.schemas import GENERATED_PLAN, MISSING_PROBLEM
 
 # The whole plan in one block, and blocks so short that every carry is used.
 BLOCKS = [65_536, 3, 1]
@@ -33,7 +35,7 @@ def mini(request, spark):
 
 
 def test_classes(mini, spark):
-    found = validate.classify(mini, LOGISTICS, objects(spark), None).collect()
+    found = validate.classify(mini, LOGISTICS, objects(spark)).collect()
     got = {r["plan_id"]: (r["class"], r["step"]) for r in found}
     expected = {n: (p[1], p[2]) for n, p in PLANS.items()}
     assert got == expected | {"empty": ("valid", None)}
@@ -85,27 +87,52 @@ def test_records_as_texts(spark):
     rows = [("p", " ".join(INITIAL), " ".join(GOALS), tokens), ("q", " ".join(INITIAL), GOALS[0], "NONSENSE1")]
     records = spark.createDataFrame(rows, "name string, initial_state string, goals string, actions string")
     corpus = from_chunks(record_chunks(records, LOGISTICS))
-    found = validate.classify(corpus, LOGISTICS, objects(spark), None)
+    found = validate.classify(corpus, LOGISTICS, objects(spark))
     assert {(r["plan_id"], r["class"]) for r in found.collect()} == {("p", "valid"), ("q", "bad_operator_error")}
 
 
-def test_hot_names_and_missing_problems(spark):
-    corpus = from_chunks(spark.createDataFrame(chunk_rows(), SCHEMA))
-    hot = spark.createDataFrame([("tru1",), ("obj1",)], "name string")
-    plain = validate.classify(corpus, LOGISTICS, objects(spark), None)
-    split = validate.classify(corpus, LOGISTICS, objects(spark), hot)
-    assert sorted(map(str, plain.collect())) == sorted(map(str, split.collect()))
+def test_objects_of_another_problem_are_unknown(spark):
+    rows = [(p, 1, INITIAL, GOALS, PLANS["good"][0], q) for p, q in (("a", "here"), ("b", "there"), ("c", "twice"))]
+    corpus = from_chunks(spark.createDataFrame(rows, SCHEMA + ", problem_id string"))
+    own = [("here", r["name"], r["type"]) for r in objects(spark).collect()]
+    own += [("there", n, t) for _, n, t in own if n != "tru1"]
+    # A name listed with two types may be either.
+    own += [("twice", n, t) for p, n, t in own if p == "here"] + [("twice", "tru1", "city")]
+    listed = spark.createDataFrame(own, "problem_id string, name string, type string")
+    found = {r["plan_id"]: r["class"] for r in validate.classify(corpus, LOGISTICS, listed).collect()}
+    assert found == {"a": "valid", "b": "unknown_type_error", "c": "valid"}
+
 
+def test_generated_plans_meet_their_problems(spark):
+    tokens = "LOADTRUCKOBJ1TRU1POS1 DRIVETRUCKTRU1POS1POS2CIT1 UNLOADTRUCKOBJ1TRU1POS2"
+    made = [("", tokens, 0, "p", "e1"), ("", tokens.lower(), 7, "p", "e2"), ("", tokens, 0, "q", "e3"), ("", "NONSENSE1", 1, "p", "e4"), ("", "", 1, "p", "e5")]
+    made = spark.createDataFrame(made, GENERATED_PLAN)
+    problems = spark.createDataFrame([("p", " ".join(INITIAL), " ".join(GOALS))], "problem_id string, initial_state string, goals string")
+    listed = objects(spark).withColumn("problem_id", F.lit("p"))
+    chunks = generated.generated_plans(made, problems, LOGISTICS)
+    classes = validate.classify(generated.generated_corpus(chunks), LOGISTICS, listed)
+    classes = generated.with_plans(classes, chunks, MISSING_PROBLEM)
+    assert {(r["plan_id"], r["class"]) for r in classes.collect()} == {
+        ("e1_0", "valid"), ("e2_7", "valid"), ("e3_0", "missing_problem"),
+        ("e4_1", "bad_operator_error"), ("e5_1", "unsatisfied_goal_error"),
+    }
+    table = {r["actions_seen"]: r for r in validate.score_table(classes).collect()}
+    assert (table[0]["total"], table[0]["missing_problem"], table[1]["skipped"], table[7]["valid"]) == (2, 1, 1, 1)
+
+
+def test_missing_problems(spark):
+    corpus = from_chunks(spark.createDataFrame(chunk_rows(), SCHEMA))
+    plain = validate.classify(corpus, LOGISTICS, objects(spark))
     with_ids = plain.withColumn("problem_id", F.when(F.col("plan_id") == "good", "gone").otherwise("here"))
     known = spark.createDataFrame([("here",)], "problem_id string")
     classes = {r["plan_id"]: r["class"] for r in validate.with_problems(with_ids, known, None).collect()}
     assert classes["good"] == "missing_problem" and classes["detour"] == "valid"
 
 
-def test_score_table_keeps_empty_buckets(spark):
+def test_score_table_keeps_all_buckets(spark):
     rows = [("a", 0, "valid"), ("b", 0, "precondition_error"), ("c", 3, "valid"), ("d", 9, "valid")]
     classified = spark.createDataFrame(rows, "plan_id string, actions_seen int, class string")
     table = {r["actions_seen"]: r for r in validate.score_table(classified).collect()}
-    assert sorted(table) == [0, 1, 2, 3, 4, 5]
+    assert sorted(table) == [0, 1, 2, 3, 4, 5, 9] and table[9]["valid"] == 1
     assert (table[0]["total"], table[0]["valid"], table[0]["precondition_error"]) == (2, 1, 1)
     assert table[1]["total"] == 0 and table[3]["valid"] == 1

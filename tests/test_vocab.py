@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from planloom.operators import records, vocab
 from planloom.plans.corpus import Corpus
-from planloom.schemas import SPECIAL_TOKENS
+from planloom.schemas import ACTIONS, END, GOALS, SPECIAL_TOKENS, START
 
 
 def token_rows(n_plans=40, seed=4):
@@ -45,22 +45,42 @@ def test_vocabulary_is_capped(spark):
 
 
 def test_encode_and_unknown(spark):
-    vocabulary = spark.createDataFrame([("<|pad|>", 1), ("a", 7), ("b", 8)], "token string, token_id long")
-    rows = [(1, ["a", "zz", "b", "a"]), (2, ["b"])]
-    sequences = spark.createDataFrame(rows, "plan_id int, tokens array<string>")
-    got = vocab.encode(sequences, ["plan_id"], "tokens", vocabulary).collect()
-    assert {r["plan_id"]: r["input_ids"] for r in got} == {1: [7, 0, 8, 7], 2: [8]}
+    dictionary = spark.createDataFrame([("a", 1), ("b", 2)], "token string, token_id long")
+    rows = [(1, 0, "<|startofplan|>"), (1, 1, "a"), (1, 2, "zz"), (2, 0, "b"), (2, 1, "<|pad|>")]
+    tokens = spark.createDataFrame(rows, "plan_id int, position int, token string")
+    got = {(r["plan_id"], r["position"]): r["token_id"] for r in vocab.encode(tokens, dictionary).collect()}
+    assert got == {(1, 0): 2, (1, 1): 7, (1, 2): 0, (2, 0): 8, (2, 1): 1}
 
 
 @pytest.mark.parametrize("is_long", [False, True])
-def test_records_are_bounded_and_whole(spark, is_long):
-    rows = [("p", i, [f"f{i}"], [f"g{i}"], [("OP-A", [f"x{i}"])]) for i in range(1, 26)]
+def test_tokens_have_the_places_of_the_whole_plan(spark, is_long):
+    rows = [("p", i, [f"f{i}"] * (i % 3), [f"g{i}"], [("OP-A", [f"x{i}"])]) for i in range(1, 26)]
     schema = "plan_id string, seq long, initial array<string>, goals array<string>, steps array<struct<op:string,args:array<string>>>"
     chunks = spark.createDataFrame(rows, schema).repartition(5)
-    corpus = Corpus(chunks.limit(0), chunks) if is_long else Corpus(chunks)
-    got = records.assemble(corpus, F.col("plan_id"), record_steps=10).orderBy("first_step").collect()
-    assert [r["first_step"] for r in got] == [1, 11, 21]
-    assert [len(r["actions"]) for r in got] == [10, 10, 5]
-    assert [a for r in got for a in r["actions"]] == [f"OPAX{i}" for i in range(1, 26)]
-    flat = records.plan_records(records.assemble(Corpus(chunks), F.lit("xml-GEN-p1_2.SOL"))).collect()[0]
+    corpus = Corpus(chunks.limit(0), chunks, block_steps=4) if is_long else Corpus(chunks)
+    sizes = spark.createDataFrame([("p", 25, 25, 25), ("q", 0, 0, 0)], "plan_id string, n_initial_state long, n_goals long, n_actions long")
+    placed = records.placed_tokens(corpus)
+    facts = [f"f{i}" for i in range(1, 26) for _ in range(i % 3)]
+    goals, actions = [f"g{i}" for i in range(1, 26)], [f"OPAX{i}" for i in range(1, 26)]
+    by_section = {(r["section"], r["place"]): r["token"] for r in placed.collect()}
+    assert [by_section["initial_state", k] for k in range(25)] == facts
+
+    def texts(frame):
+        out = {}
+        for r in frame.orderBy("position").collect():
+            out.setdefault(r["plan_id"], []).append((r["position"], r["token"]))
+        assert all([at for at, _ in v] == list(range(len(v))) for v in out.values())
+        return {k: [t for _, t in v] for k, v in out.items()}
+
+    got = texts(records.sequence_tokens(placed, sizes))
+    assert got["p"] == [START, *facts, GOALS, *goals, ACTIONS, *actions, END]
+    assert got["q"] == [START, GOALS, ACTIONS, END]
+    got = texts(records.prompt_tokens(placed, sizes, F.lit(2)))
+    assert got == {"p": [*facts, GOALS, *goals, ACTIONS, *actions[:2]], "q": [GOALS, ACTIONS]}
+
+
+def test_flat_records_of_rows(spark):
+    schema = "name string, initial array<string>, goals array<string>, actions array<string>"
+    nested = spark.createDataFrame([("xml-GEN-p1_2.SOL", ["f"] * 25, ["g"] * 25, ["A"] * 25)], schema)
+    flat = records.plan_records(nested).collect()[0]
     assert (flat["pddl_problem_file"], flat["actions_idx"], flat["eop_idx"]) == ("p1.pddl", 52, 78)
