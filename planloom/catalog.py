@@ -488,14 +488,24 @@ def static_fact_extract(spark, sf_dir):
     return texts.prefixed_lines(_problem_files(spark, sf_dir), "(in-nation").select("name", "fact")
 
 
-@query
-def plan_log_parse(spark, sf_dir):
+def _parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log per order line; an order without lines has no step to log."""
     chunks = OrderPlans(spark, sf_dir).corpus("o_custkey").chunks().filter(F.size("steps") > 0)
     name = F.concat_ws("_", F.substring_index(orders.plan_name(), ".", 1), F.col("seq").cast("string"))
     log = sample_texts.log_text(F.col("initial"), F.col("goals"), F.col("steps"))
     files = chunks.select(F.concat(name, F.lit(".SOL")).alias("name"), log.alias("text"))
-    raw = texts.parse_plan_logs(files)
+    return texts.parse_plan_logs(files)
+
+
+@query
+def log_effect_replay(spark, sf_dir):
+    held = replay.replay_logs(_parsed_logs(spark, sf_dir))
+    return held.withColumn("step", F.coalesce("step", F.lit(0).cast("long")))
+
+
+@query
+def plan_log_parse(spark, sf_dir):
+    raw = _parsed_logs(spark, sf_dir)
     flat = lambda field: F.array_join(F.flatten(F.col(f"actions.{field}")), ";")
     return raw.select(
         "plan_name",

@@ -20,7 +20,8 @@ from planloom.schemas import LONG_PLAN_STEPS
 if TYPE_CHECKING:
     from planloom.plans.corpus import Part
 
-# A key is hot when it has more rows than this; at most this many are set apart.
+# A key is hot when it has more rows than this, and more than its share of this many keys: so there
+# cannot be more hot keys than that, and none with a larger share is left out.
 HOT_ROWS = 1_000_000
 HOT_KEYS = 2_000
 
@@ -100,14 +101,14 @@ def key_counts(
 def hot_keys(
     counts: list[DataFrame], rows: int = HOT_ROWS, most: int = HOT_KEYS
 ) -> DataFrame | None:
-    """At most ``most`` keys with more than ``rows`` rows each; None if there are none.
+    """All keys with more than ``rows`` rows each and 1 / ``most`` of all rows; None if there are none.
 
-    ``counts`` come from :func:`key_counts` and share no key. A key left out has at
-    most ``1 / (most + 1)`` of all rows or at most ``rows``.
+    ``counts`` come from :func:`key_counts` and share no key.
     """
     key = counts[0].columns[0]
-    large = reduce(DataFrame.unionByName, counts).filter(F.col("_rows") > rows)
-    hot = large.orderBy(F.desc("_rows"), key).limit(most).select(key)
+    sizes = reduce(DataFrame.unionByName, counts)
+    share = sizes.agg(F.coalesce(F.sum("_rows"), F.lit(0)) / most).scalar()
+    hot = sizes.filter((F.col("_rows") > rows) & (F.col("_rows") > share)).select(key)
     return None if hot.isEmpty() else hot
 
 

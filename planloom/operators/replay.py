@@ -71,9 +71,45 @@ def timeline(part: Part, domain: Domain, marks: bool = False) -> DataFrame:
     # Goals wait in a block after all others. A long plan may arrive in one partition
     # (joined by plan), which would satisfy every window below: spread it by block.
     placed = part.with_block(rows).withColumn("block", F.coalesce("block", F.lit(_LAST_BLOCK)))
+    # All initial facts share a block, and all goals: each of them counts once.
+    fixed = (F.col("ord") == _AT_END) | ((F.col("step") == 0) & (F.col("fact") != ""))
+    fixed = F.coalesce(fixed, F.lit(False))
+    placed = placed.filter(~fixed).unionByName(placed.filter(fixed).distinct())
     return placed.repartition("plan_id", "block", "fact")
 
 
+def log_timeline(raw: DataFrame) -> DataFrame:
+    """The timeline of parsed plan logs, from the preconditions and effects each action states itself.
+
+    It needs no domain. A log is one row of its source, so its events are no more than that row holds.
+    """
+    none = F.lit(None)
+
+    def events(facts: Column, order: Column, is_add: Column, step: Column) -> Column:
+        return F.transform(facts, lambda f: _event(f, order, is_add, step))
+
+    def of_action(action: Column, place: Column) -> Column:
+        step = place + 1
+        return F.concat(
+            events(action["precondition"], step * 3 + _PROBE, none, step),
+            events(action["negative_effects"], step * 3 + _DELETE, F.lit(False), step),
+            events(action["positive_effects"], step * 3 + _ADD, F.lit(True), step),
+        )
+
+    rows = F.concat(
+        events(F.col("initial_state"), F.lit(_ADD), F.lit(True), F.lit(0)),
+        F.flatten(F.transform("actions", of_action)),
+        events(F.col("goals"), F.lit(_AT_END), none, none),
+    )
+    return raw.select(F.col("plan_name").alias("plan_id"), F.inline(rows))
+
+
+def replay_logs(raw: DataFrame) -> DataFrame:
+    """Whether each precondition, and at the end each goal (without a step), of plan logs holds."""
+    asked = observe(Part(raw, False, 0), log_timeline(raw)).filter(F.col("is_add").isNull())
+    return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
+
+
 def observe(part: Part, events: DataFrame) -> DataFrame:
     """Add ``held`` (the fact was true just before) and ``wanted`` (it is a goal)."""
     is_goal = F.col("ord") == _AT_END

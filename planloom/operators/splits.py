@@ -157,7 +157,9 @@ def group_split(plans: DataFrame, hot_problems: DataFrame | None, **sizes) -> Da
 
 def split_leakage(labelled: DataFrame) -> DataFrame:
     """Problems, and those whose plans fall into more than one split."""
-    sides = labelled.groupBy("problem_id").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+    # Hashes of the labels: their minimum and maximum are kept in a hash aggregate.
+    side = F.xxhash64("split")
+    sides = labelled.groupBy("problem_id").agg(F.min(side).alias("low"), F.max(side).alias("high"))
     return sides.agg(
         F.count(F.lit(1)).alias("n_problems"),
         F.count_if(F.col("low") != F.col("high")).alias("n_leaking"),

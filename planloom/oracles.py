@@ -506,3 +506,15 @@ SELECT 'xml-GEN-cust' || t.o_custkey || '_' || t.plan_id || '_' || t.seq || '.SO
        string_agg('at ' || a1 || ' ' || a3, ';' ORDER BY step) AS positive_effects,
        string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS negative_effects
 FROM t JOIN l ON l.plan_id = t.plan_id AND l.seq = t.seq GROUP BY t.plan_id, t.o_custkey, t.seq"""
+
+# A log's own effects: what is shipped from a place leaves it and is at the next one. Goals have step 0.
+ORACLES["log_effect_replay"] = _with(LINES) + """,
+m AS (
+  SELECT t.*, l.stocked, l.supp, l.cust, l.ret, l.swapped, t.step - t.seq + 1 AS i,
+         'xml-GEN-cust' || t.o_custkey || '_' || t.plan_id || '_' || t.seq || '.SOL' AS name
+  FROM t JOIN l ON l.plan_id = t.plan_id AND l.seq = t.seq
+)
+SELECT name AS plan_id, i AS step, 'at ' || a1 || ' ' || a2 AS fact,
+       CASE WHEN i = 1 THEN stocked AND NOT swapped ELSE NOT swapped END AS holds FROM m
+UNION ALL
+SELECT name, CAST(0 AS BIGINT), 'at ' || a1 || ' ' || cust, NOT ret AND NOT swapped FROM m WHERE i = 1"""

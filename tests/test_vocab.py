@@ -20,7 +20,7 @@ def token_rows(n_plans=40, seed=4):
                 yield plan * plan, section, pos, f"t{rng.randrange(600)}"
 
 
-@pytest.mark.parametrize("block,ranges", [(65_536, 65_536), (16, 5), (1, 1)])
+@pytest.mark.parametrize("block,ranges", [(65_536, 256), (16, 5), (1, 2)])
 def test_dictionary_in_first_seen_order(spark, monkeypatch, block, ranges):
     monkeypatch.setattr(vocab, "_BLOCK", block)
     monkeypatch.setattr(vocab, "_RANGES", ranges)
