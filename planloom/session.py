@@ -1,30 +1,23 @@
-"""Session settings the library relies on."""
+"""The one session setting the library relies on, and sessions for tests."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-_RUNTIME = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.session.timeZone": "UTC",
-    # Spark 4.1 may take a union of equally partitioned inputs for partitioned and, once
-    # exchanges below it are reused, still concatenate its inputs: windows and groups
-    # above such a union then see only parts of their keys.
-    "spark.sql.unionOutputPartitioning": "false",
-}
+# Spark 4.1 may take a union of equally partitioned inputs for partitioned and, once exchanges below it
+# are reused, still concatenate its inputs: windows and groups above such a union then see only parts of
+# their keys. All other settings are left to the caller; results do not depend on them.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings that can change in a running session."""
-    for key, value in _RUNTIME.items():
-        spark.conf.set(key, value)
+    """Switch off the optimization of unions that may lose rows of a key."""
+    spark.conf.set(UNION_PARTITIONING, "false")
     return spark
 
 
@@ -36,6 +29,7 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", os.environ.get("PLANLOOM_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,9 +47,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         named = tempfile.mkdtemp(prefix="planloom-")
     context.setCheckpointDir(named)
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of a small intermediate table, written once and read by what follows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
