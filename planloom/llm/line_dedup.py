@@ -82,7 +82,8 @@ def shared_lines(
     kind = texts.schema["doc_id"].dataType.simpleString()
     keys = stored(texts.mapInArrow(_keys(min_chars), f"doc_id {kind}, digest binary"))
     counts = keys.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keep_id"))
-    shared = counts.filter(F.col("docs") >= min_docs).select("digest", "keep_id")
+    # Stored, so that the join below has plain shuffles on both sides, whose hot digests Spark splits.
+    shared = stored(counts.filter(F.col("docs") >= min_docs).select("digest", "keep_id"))
     return keys.join(shared, "digest").filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "digest")
 
 
