@@ -2,8 +2,9 @@
 
 Each round links every node's larger neighbours to the node's smallest neighbour, then its smaller
 ones, until no link changes; every node is then linked to the smallest node of its component. Links and
-labels stay in tables. The minimum of a node's neighbours is combined on the map side, and in the joins
-that follow the other side has one row per node, so adaptive execution splits a node with many links.
+labels stay in tables. The minimum of a node's neighbours is combined on the map side and stored, so that
+the joins that follow have plain shuffles on both sides, one with one row per node: adaptive execution
+splits a node with many links.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = both.join(stored(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         large = stored(large)
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("least")))
         small = large.join(least, "a").filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
         links = stored(small.unionByName(least.select("a", F.col("least").alias("b"))).distinct())
         after = _summary(links)
