@@ -239,7 +239,7 @@ def _fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n = chain[-1][0] if rng.random() < 0.5 else int(rng.integers(len(languages)))
                 chain.append(by_language[n][int(rng.integers(len(by_language[n])))])
             chains.append(chain)
-        # Each piece leads one chain and is in CHAIN_PIECES chains on average.
+        # Half of the chains will do: a piece is in CHAIN_PIECES / 2 of them on average.
         model = fit_chains(chains[:: CHAIN_PIECES // 2], languages)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
