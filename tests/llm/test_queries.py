@@ -30,7 +30,7 @@ def test_ten_queries():
 def test_pipeline(spark, sf_dir):
     docs = table(spark, sf_dir)
     model = language.learn(docs)
-    good = {r.doc_id for r in language.identify(docs, model).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    good = {r.doc_id for r in language.identify(docs, model).collect() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LANGUAGE_SCORE}
     rows = line_brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good])
     ids, texts = [r[0] for r in rows], [r[1] for r in rows]
     groups = groups_brute(ids, [print_brute(t) for t in texts])
