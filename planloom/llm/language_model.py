@@ -13,7 +13,8 @@ counts + 1, plus 1 for unseen words. So the probabilities of all words add up to
 
 *Training* covers every training document once, by truncated backpropagation over windows of ``WINDOW``
 words. Documents are laid end to end in parallel streams; the state is carried from window to window and
-cleared where a document begins. Each task trains a copy of the model on its documents; the copies are
+cleared where a document begins, and in training after ``STRETCH`` words of it, so that one long document
+does not keep a stream after all others have ended. Each task trains a copy of the model on its documents; the copies are
 averaged by their numbers of words, in steps of ``FOLD`` copies. There are ``ROUNDS`` rounds, each with
 its own share of the documents, and each starts from the average of the one before.
 
@@ -31,6 +32,7 @@ import heapq
 import pickle
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,17 +43,20 @@ from planloom.llm.common import lowered, slices, stored
 
 HEAD_WORDS = 1 << 18
 HEAD_BYTES = 32
-MODEL_WORDS = 4096
+MODEL_WORDS = 2048
 CLASS_WORDS = 64
-RARE_CLASSES = 64
-HIDDEN = 32
-WINDOW = 24
-STREAMS = 128
+RARE_CLASSES = 32
+HIDDEN = 16
+WINDOW = 16
+STREAMS = 512
 SCORE_STREAMS = 512
+SCORE_WINDOW = 64
 RATE = 0.08
 ROUNDS = (1, 3, 4)
 FOLD = 16
 ROUND_BYTES = 1 << 23
+TRAIN_WORDS = 1 << 20
+STRETCH = 1024
 
 END = b"\n"  # no word contains it
 
@@ -154,7 +159,6 @@ def first_model(tables: dict) -> Arrays:
     return {
         "input": small(MODEL_WORDS + RARE_CLASSES + 1, 3 * HIDDEN),
         "hidden": small(HIDDEN, 3 * HIDDEN),
-        "bias": np.zeros(3 * HIDDEN, np.float32),
         "class": small(classes, HIDDEN) * np.float32(0.1),
         "class_bias": np.log(tables["share"] + 1e-3).astype(np.float32),
         "word": small(word_classes, CLASS_WORDS, HIDDEN) * np.float32(0.1),
@@ -178,7 +182,7 @@ def forward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, state: np.ndar
     h, out = HIDDEN, np.empty((*tokens.shape, HIDDEN), np.float32)
     for t in range(len(tokens)):
         before = state * ~clear[t][:, None]
-        x = model["input"][tokens[t]] + model["bias"]
+        x = model["input"][tokens[t]]
         y = before @ model["hidden"]
         gates = _sigmoid(x[:, : 2 * h] + y[:, : 2 * h])
         keep, reset = gates[:, :h], gates[:, h:]
@@ -208,42 +212,50 @@ def backward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, trace: Trace,
         y_slope[:, 2 * h :] *= reset
         hidden += before.T @ y_slope
         carried = (total * keep + y_slope @ model["hidden"].T) * ~clear[t][:, None]
-    return {"hidden": hidden, "input": inputs.reshape(-1, 3 * h), "bias": inputs.reshape(-1, 3 * h).sum(axis=0)}
+    return {"hidden": hidden, "input": inputs.reshape(-1, 3 * h)}
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def _softmax(logits: np.ndarray, targets: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of the targets, and the slopes of their losses in place of the logits."""
+    rows = np.arange(len(targets))
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[rows, targets]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1, keepdims=True)
+    if learn:
+        logits /= total
+        logits[rows, targets] -= 1
+    return found - np.log(total[:, 0]), logits
 
 
 def outputs(model: Arrays, states: np.ndarray, targets: np.ndarray, learn: bool):
     """Log-probabilities of the targets without the rare classes' own part; gradients if asked for."""
     word_classes = len(model["word"])
     owner = np.where(targets < MODEL_WORDS, targets // CLASS_WORDS, targets - MODEL_WORDS + word_classes)
-    rows = np.arange(len(targets))
-    logs = _log_softmax(states @ model["class"].T + model["class_bias"])
-    found = logs[rows, owner].astype(np.float64)
+    found, wrong = _softmax(states @ model["class"].T + model["class_bias"], owner, learn)
+    found = found.astype(np.float64)
     grads: Arrays = {}
     if learn:
-        wrong = np.exp(logs)
-        wrong[rows, owner] -= 1
         slope = wrong @ model["class"]
         grads = {"class": wrong.T @ states, "class_bias": wrong.sum(axis=0)}
         grads |= {"word": np.zeros_like(model["word"]), "word_bias": np.zeros_like(model["word_bias"])}
+    # States side by side by class, so that each class is a slice.
     order = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(word_classes + 1))
+    order = order[: bounds[-1]]
+    near, slot, logs = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), np.float32)
+    inner = np.empty_like(near)
     for c in np.flatnonzero(np.diff(bounds)).tolist():
-        own = order[bounds[c] : bounds[c + 1]]
-        near = states[own]
-        logs = _log_softmax(near @ model["word"][c].T + model["word_bias"][c])
-        slot = targets[own] % CLASS_WORDS
-        found[own] += logs[np.arange(len(own)), slot]
+        own = slice(bounds[c], bounds[c + 1])
+        logits = near[own] @ model["word"][c].T + model["word_bias"][c]
+        logs[own], wrong = _softmax(logits, slot[own], learn)
         if learn:
-            wrong = np.exp(logs)
-            wrong[np.arange(len(own)), slot] -= 1
-            slope[own] += wrong @ model["word"][c]
-            grads["word"][c] = wrong.T @ near
+            inner[own] = wrong @ model["word"][c]
+            grads["word"][c] = wrong.T @ near[own]
             grads["word_bias"][c] = wrong.sum(axis=0)
+    found[order] += logs
+    if learn:
+        slope[order] += inner
     return (found, slope, grads) if learn else found
 
 
@@ -274,7 +286,7 @@ class Streams:
     def __init__(self, documents: list[np.ndarray], most: int):
         self.lengths = np.fromiter(map(len, documents), np.int64, len(documents))
         stream, place, self.total = lay_out(self.lengths, most)
-        owner = np.repeat(np.arange(len(documents)), self.lengths)
+        owner = np.repeat(np.arange(len(documents), dtype=np.int32), self.lengths)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         shape = (int(self.total[0]) if len(self.total) else 0, len(self.total))
         flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
@@ -289,10 +301,10 @@ class Streams:
         self.owner = np.full(shape, -1, np.int32)
         self.owner[at] = owner
 
-    def windows(self) -> Iterator[tuple]:
-        for t in range(0, len(self.target), WINDOW):
+    def windows(self, steps: int) -> Iterator[tuple]:
+        for t in range(0, len(self.target), steps):
             n = int(np.searchsorted(-self.total, -t, side="left"))
-            part = (slice(t, t + WINDOW), slice(0, n))
+            part = (slice(t, t + steps), slice(0, n))
             yield n, self.read[part], self.clear[part], self.target[part], self.owner[part]
 
 
@@ -301,7 +313,7 @@ def score_documents(model: Arrays, documents: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(documents))
     streams = Streams(documents, SCORE_STREAMS)
     state = np.zeros((len(streams.total), HIDDEN), np.float32)
-    for n, read, clear, target, owner in streams.windows():
+    for n, read, clear, target, owner in streams.windows(SCORE_WINDOW):
         states = forward(model, read, clear, state[:n], None)
         state = states[-1]
         real = target >= 0
@@ -325,7 +337,7 @@ class Trainer:
     def learn(self, documents: list[np.ndarray]) -> None:
         streams = Streams(documents, STREAMS)
         state = np.zeros((len(streams.total), HIDDEN), np.float32)
-        for n, read, clear, target, _ in streams.windows():
+        for n, read, clear, target, _ in streams.windows(WINDOW):
             trace = Trace()
             states = forward(self.model, read, clear, state[:n], trace)
             state = states[-1]
@@ -360,14 +372,15 @@ class Numbers:
 
     def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Model numbers with the end at last, places in the head, and the words beyond it."""
-        get = self.at.get
-        place = np.array([get(w, -1) for w in words] + [self.end], np.int64)
+        place = np.empty(len(words) + 1, np.int64)
+        place[:-1] = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        place[-1] = self.end
         out = self.number[place] if len(self.number) else np.full(len(place), MODEL_WORDS)
         missing = np.flatnonzero(place < 0)
         beyond = [words[n] if n < len(words) else END for n in missing.tolist()]
         out = out.copy()
         out[missing] = [MODEL_WORDS + rare_class(w) for w in beyond]
-        return out, place[place >= 0], beyond
+        return out.astype(np.int32), place[place >= 0].astype(np.int32), beyond
 
 
 def _train(held, turn: int):
@@ -376,14 +389,22 @@ def _train(held, turn: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, model, squares = held.value
         numbers, trainer = Numbers(tables), Trainer(model, squares)
+        waiting, words = [], 0
         for batch in batches:
             offsets, data = lowered(batch.column("text"))
-            for a, b in slices(offsets, ROUND_BYTES):
-                texts = (data[offsets[n] : offsets[n + 1]] for n in range(a, b))
+            for n in range(batch.num_rows):
+                text = data[offsets[n] : offsets[n + 1]]
                 # The checksum is that of a whole text, so a text has the same turn everywhere.
-                mine = [t for t in texts if low <= zlib.crc32(t) % sum(ROUNDS) < high]
-                if mine:
-                    trainer.learn([numbers.numbers(t.split())[0] for t in mine])
+                if not low <= zlib.crc32(text) % sum(ROUNDS) < high:
+                    continue
+                document = numbers.numbers(text.split())[0]
+                waiting += [document[k : k + STRETCH] for k in range(0, len(document), STRETCH)]
+                words += len(document)
+                if words >= TRAIN_WORDS:
+                    trainer.learn(waiting)
+                    waiting, words = [], 0
+        if waiting:
+            trainer.learn(waiting)
         if trainer.tokens:
             weight = float(trainer.tokens)
             sums = [{k: v * np.float32(weight) for k, v in x.items()} for x in (trainer.model, trainer.squares)]

@@ -125,7 +125,7 @@ def test_probabilities_add_up_and_gradients_are_right(monkeypatch):
     logs = language_model.outputs(start, state.repeat(32 + language_model.RARE_CLASSES, 0), np.arange(32 + language_model.RARE_CLASSES), False)
     assert abs(np.exp(logs).sum() - 1) < 1e-9
 
-    read, target = rng.integers(0, 32, (6, 3)), rng.integers(0, 90, (6, 3))
+    read, target = rng.integers(0, 32, (6, 3)), rng.integers(0, 32 + language_model.RARE_CLASSES, (6, 3))
     clear = rng.random((6, 3)) < 0.3
     first = np.zeros((3, language_model.HIDDEN))
 
@@ -157,7 +157,7 @@ def test_state_is_carried_through_whole_documents(monkeypatch):
     together = language_model.score_documents(model_, documents_)
     alone = [language_model.score_documents(model_, [d])[0] for d in documents_]
     assert np.allclose(together, alone, rtol=1e-4)
-    monkeypatch.setattr(language_model, "WINDOW", 1000)
+    monkeypatch.setattr(language_model, "SCORE_WINDOW", 1000)
     assert np.allclose(together, language_model.score_documents(model_, documents_), rtol=1e-4)
 
 
