@@ -13,8 +13,7 @@ counts + 1, plus 1 for unseen words. So the probabilities of all words add up to
 
 *Training* covers every training document once, by truncated backpropagation over windows of ``WINDOW``
 words. Documents are laid end to end in parallel streams; the state is carried from window to window and
-cleared where a document begins, and in training after ``STRETCH`` words of it, so that one long document
-does not keep a stream after all others have ended. Each task trains a copy of the model on its documents; the copies are
+cleared where a document begins, and nowhere else. Each task trains a copy of the model on its documents; the copies are
 averaged by their numbers of words, in steps of ``FOLD`` copies. There are ``ROUNDS`` rounds, each with
 its own share of the documents, and each starts from the average of the one before.
 
@@ -43,12 +42,12 @@ from planloom.llm.common import lowered, slices, stored
 
 HEAD_WORDS = 1 << 18
 HEAD_BYTES = 32
-MODEL_WORDS = 2048
+MODEL_WORDS = 4096
 CLASS_WORDS = 64
-RARE_CLASSES = 32
-HIDDEN = 16
-WINDOW = 16
-STREAMS = 512
+RARE_CLASSES = 64
+HIDDEN = 32
+WINDOW = 24
+STREAMS = 128
 SCORE_STREAMS = 512
 SCORE_WINDOW = 64
 RATE = 0.08
@@ -56,7 +55,6 @@ ROUNDS = (1, 3, 4)
 FOLD = 16
 ROUND_BYTES = 1 << 23
 TRAIN_WORDS = 1 << 20
-STRETCH = 1024
 
 END = b"\n"  # no word contains it
 
@@ -159,6 +157,7 @@ def first_model(tables: dict) -> Arrays:
     return {
         "input": small(MODEL_WORDS + RARE_CLASSES + 1, 3 * HIDDEN),
         "hidden": small(HIDDEN, 3 * HIDDEN),
+        "bias": np.zeros(3 * HIDDEN, np.float32),
         "class": small(classes, HIDDEN) * np.float32(0.1),
         "class_bias": np.log(tables["share"] + 1e-3).astype(np.float32),
         "word": small(word_classes, CLASS_WORDS, HIDDEN) * np.float32(0.1),
@@ -182,7 +181,7 @@ def forward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, state: np.ndar
     h, out = HIDDEN, np.empty((*tokens.shape, HIDDEN), np.float32)
     for t in range(len(tokens)):
         before = state * ~clear[t][:, None]
-        x = model["input"][tokens[t]]
+        x = model["input"][tokens[t]] + model["bias"]
         y = before @ model["hidden"]
         gates = _sigmoid(x[:, : 2 * h] + y[:, : 2 * h])
         keep, reset = gates[:, :h], gates[:, h:]
@@ -212,7 +211,8 @@ def backward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, trace: Trace,
         y_slope[:, 2 * h :] *= reset
         hidden += before.T @ y_slope
         carried = (total * keep + y_slope @ model["hidden"].T) * ~clear[t][:, None]
-    return {"hidden": hidden, "input": inputs.reshape(-1, 3 * h)}
+    inputs = inputs.reshape(-1, 3 * h)
+    return {"hidden": hidden, "input": inputs, "bias": inputs.sum(axis=0)}
 
 
 def _softmax(logits: np.ndarray, targets: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +243,7 @@ def outputs(model: Arrays, states: np.ndarray, targets: np.ndarray, learn: bool)
     order = np.argsort(owner, kind="stable")
     bounds = np.searchsorted(owner[order], np.arange(word_classes + 1))
     order = order[: bounds[-1]]
-    near, slot, logs = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), np.float32)
+    near, slot, logs = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), states.dtype)
     inner = np.empty_like(near)
     for c in np.flatnonzero(np.diff(bounds)).tolist():
         own = slice(bounds[c], bounds[c + 1])
@@ -281,31 +281,35 @@ def lay_out(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Streams:
-    """Documents' numbers laid end to end: what is read, what follows, and where states are cleared."""
+    """Documents' numbers laid end to end: what is read, what follows, and where states are cleared.
+
+    The streams lie one after the other, so that a long document takes the memory of its own words only.
+    """
 
     def __init__(self, documents: list[np.ndarray], most: int):
         self.lengths = np.fromiter(map(len, documents), np.int64, len(documents))
         stream, place, self.total = lay_out(self.lengths, most)
+        self.first = np.cumsum(self.total) - self.total
         owner = np.repeat(np.arange(len(documents), dtype=np.int32), self.lengths)
         step = np.arange(len(owner)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        shape = (int(self.total[0]) if len(self.total) else 0, len(self.total))
         flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
-        at = (place[owner] + step, stream[owner])
-        self.target = np.full(shape, -1, np.int32)
+        at = (self.first[stream] + place)[owner] + step
+        self.target, self.read, self.owner = (np.empty(len(flat), np.int32) for _ in range(3))
+        self.clear = np.empty(len(flat), bool)
         self.target[at] = flat
-        self.read = np.full(shape, MODEL_WORDS + RARE_CLASSES, np.int32)
-        inner = step > 0
-        self.read[at[0][inner], at[1][inner]] = flat[np.flatnonzero(inner) - 1]
-        self.clear = np.zeros(shape, bool)
-        self.clear[at[0][~inner], at[1][~inner]] = True
-        self.owner = np.full(shape, -1, np.int32)
+        self.read[at] = np.where(step > 0, np.roll(flat, 1), MODEL_WORDS + RARE_CLASSES)
+        self.clear[at] = step == 0
         self.owner[at] = owner
 
     def windows(self, steps: int) -> Iterator[tuple]:
-        for t in range(0, len(self.target), steps):
+        longest = int(self.total[0])
+        for t in range(0, longest, steps):
             n = int(np.searchsorted(-self.total, -t, side="left"))
-            part = (slice(t, t + steps), slice(0, n))
-            yield n, self.read[part], self.clear[part], self.target[part], self.owner[part]
+            step = np.arange(t, min(t + steps, longest))[:, None]
+            real = step < self.total[:n]
+            at = np.where(real, self.first[:n] + step, 0)
+            read = np.where(real, self.read[at], MODEL_WORDS + RARE_CLASSES)
+            yield n, read, self.clear[at] & real, np.where(real, self.target[at], -1), np.where(real, self.owner[at], -1)
 
 
 def score_documents(model: Arrays, documents: list[np.ndarray]) -> np.ndarray:
@@ -398,7 +402,7 @@ def _train(held, turn: int):
                 if not low <= zlib.crc32(text) % sum(ROUNDS) < high:
                     continue
                 document = numbers.numbers(text.split())[0]
-                waiting += [document[k : k + STRETCH] for k in range(0, len(document), STRETCH)]
+                waiting.append(document)
                 words += len(document)
                 if words >= TRAIN_WORDS:
                     trainer.learn(waiting)

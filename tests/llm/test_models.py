@@ -4,8 +4,10 @@ import math
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, empty, rows, words
 from pyspark.sql import functions as F
@@ -161,6 +163,25 @@ def test_state_is_carried_through_whole_documents(monkeypatch):
     assert np.allclose(together, language_model.score_documents(model_, documents_), rtol=1e-4)
 
 
+def test_model_of_full_size():
+    m = language_model
+    assert (m.MODEL_WORDS, m.HIDDEN, m.RARE_CLASSES, m.WINDOW, m.STREAMS) == (4096, 32, 64, 24, 128)
+
+
+def test_training_carries_the_state_through_long_documents(monkeypatch):
+    texts = ["w1 w2 " * 2000, "w3", "w4 w5 " * 30]
+    learned = []
+    monkeypatch.setattr(language_model.Trainer, "learn", lambda self, documents: learned.extend(documents))
+    monkeypatch.setattr(language_model, "ROUNDS", (1,))
+    table_ = tables(np.random.default_rng(7))
+    broadcast = SimpleNamespace(value=(table_, language_model.first_model(table_), {}))
+    list(language_model._train(broadcast, 0)([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    assert [len(d) for d in learned] == [4001, 2, 61]
+    streams = language_model.Streams(learned, language_model.STREAMS)
+    cleared = sum(int(clear.sum()) for _, _, clear, _, _ in streams.windows(language_model.WINDOW))
+    assert cleared == len(texts) and streams.read.size == 4064
+
+
 def test_secrets(spark, sf_dir):
     found = secrets_scan.scan(table(spark, sf_dir.replace("0.001", "0.01"))).collect()
     judged = [r for r in found if r.label is not None]
