@@ -1,18 +1,19 @@
 """Secrets in texts: candidates by form, judged by a random forest. DataFrame functions only.
 
-A candidate is a token, that is a run without blanks, whose *core* (its longest part of letters, digits and
-``_+/=-``) has ``MIN_CHARS`` characters or more and a digit. Its features:
+A candidate is a *core* of a token, that is of a run without blanks: a run of letters, digits and ``_+/=-`` that has
+``MIN_CHARS`` characters or more and a digit. A token has any number of them; ``part`` numbers its cores. Its features:
 
 * length, shares of digits, capitals, hexadecimal digits and vowels, distinct characters,
 * transitions between kinds of characters, per character,
 * dictionary coverage: the share of its characters in letter runs that are words of the corpus (of
   ``MIN_WORD`` letters or more, found at least ``MIN_COUNT`` times in all texts),
 * the path: its depth, whether it names tests or samples, and a hash bucket,
-* the neighbours: an assignment before it or quotes around it, a keyword in the token or the two tokens
-  before it, and hash buckets of the tokens before and after it.
+* the neighbours: an assignment before it or quotes around it, a keyword in it, between it and the core before it, or
+  in the two neighbours before it, and hash buckets of the neighbours before and after it. Neighbours are the token's
+  other cores and beyond these the other tokens.
 
-The forest learns from labelled findings: candidates of a known format are positive, numbers, addresses
-and dictionary words negative; all others are unlabelled, and the forest decides. It is fitted on a bounded
+The forest learns from labelled findings: candidates of a known format are positive, wherever they stand in a core, numbers,
+addresses and dictionary words negative; all others are unlabelled, and the forest decides. It is fitted on a bounded
 sample of ``SAMPLE`` labelled candidates, chosen by hash, that no held-out document contributes to; every
 candidate of every text is then judged.
 
@@ -55,6 +56,9 @@ KNOWN_FORMATS = [
 KEYWORDS = "token|secret|passw|pwd|api_?key|apikey|auth|bearer|credential|private"
 SAMPLE_PATHS = "test|example|sample|fixture|mock"
 
+# The formats inside a longer core, as in NAME=value.
+_INSIDE = [f"(?<![0-9A-Za-z])(?:{x.removeprefix('^').removesuffix('$')})(?![0-9A-Za-z])" for x in KNOWN_FORMATS]
+
 _CORE = f"[A-Za-z0-9_+/=-]{{{MIN_CHARS},}}"
 _BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -70,7 +74,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """One row per candidate: ``doc_id, path, position, token, before, earlier, after, core``."""
+    """One row per candidate: ``doc_id, path, position, part, core, lead, tail, before, earlier, after``."""
     tokens = docs.select(
         F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(path), F.lit("")).alias("path"),
@@ -90,9 +94,20 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
         "doc_id", "path", "position", token(at).alias("token"),
         token(at - 1).alias("before"), token(at - 2).alias("earlier"), token(at + 1).alias("after"),
     )
-    cores = F.regexp_extract_all("token", F.lit(f"({_CORE})"))
-    longest = F.aggregate(cores, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
-    return found.withColumn("core", longest).filter(F.col("core").rlike("[0-9]"))
+    cores, gaps = F.regexp_extract_all("token", F.lit(f"({_CORE})")), F.split("token", _CORE)
+    n = F.size(cores)
+    # What belongs to one core, side by side, so that no row keeps a long token.
+    sides = {
+        "core": cores,
+        "lead": F.slice(gaps, 1, n),
+        "tail": F.slice(gaps, 2, n),
+        "before": F.slice(F.concat(F.array("before"), cores), 1, n),
+        "earlier": F.slice(F.concat(F.array("earlier", "before"), cores), 1, n),
+        "after": F.concat(F.slice(cores, 2, n), F.array("after")),
+    }
+    found = found.select("doc_id", "path", "position", *(v.alias(k) for k, v in sides.items()))
+    found = found.select("doc_id", "path", "position", F.posexplode(F.arrays_zip(*sides)).alias("part", "near"))
+    return found.select("doc_id", "path", "position", "part", "near.*").filter(F.col("core").rlike("[0-9]"))
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -126,7 +141,7 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
     def flag(condition: Column) -> Column:
         return condition.cast("double")
 
-    near = F.lower(F.concat_ws(" ", "earlier", "before", F.expr("substring_index(token, core, 1)")))
+    near = F.lower(F.concat_ws(" ", "earlier", "before", "lead"))
     joined = found.join(covered, "core", "left")
     return joined.withColumns(
         {
@@ -142,7 +157,7 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
             "path_sample": flag(F.lower("path").rlike(SAMPLE_PATHS)),
             "path_bucket": bucket(F.col("path")),
             "assigned": flag(near.rlike(r"[=:]\W*$")),
-            "quoted": flag(F.col("token").rlike("""["'`].*["'`]""")),
+            "quoted": flag(F.concat("lead", "core", "tail").rlike("""["'`].*["'`]""")),
             "keyword": flag(F.concat_ws(" ", near, F.lower("core")).rlike(KEYWORDS)),
             "before_bucket": bucket(F.col("before")),
             "after_bucket": bucket(F.col("after")),
@@ -153,11 +168,12 @@ def features(found: DataFrame, covered: DataFrame) -> DataFrame:
 def rule_label(found: DataFrame) -> DataFrame:
     """The column ``label``: 1 for known formats, 0 for what is surely none, null for all others."""
     known = F.lit(False)
-    for pattern in KNOWN_FORMATS:
+    for pattern in _INSIDE:
         known = known | F.col("core").rlike(pattern)
-    issued = F.col("core").rlike("^(?i)[0-9a-f]{32,64}$") & (F.col("keyword") == 1) & (F.col("assigned") == 1)
+    assigned = (F.col("assigned") == 1) | F.col("core").contains("=")
+    issued = F.col("core").rlike("^(?i)(?:.*=)?[0-9a-f]{32,64}$") & (F.col("keyword") == 1) & assigned
     number = F.col("core").rlike("^[0-9_+/=-]+$")
-    address = F.col("token").rlike(r"[\w.+-]+@[\w-]+\.\w+|^\W*https?://")
+    address = F.concat("lead", "core", "tail").rlike(r"[\w.+-]+@[\w-]+\.\w+|^\W*https?://")
     none = number | address | (F.col("coverage") >= 0.5)
     return found.withColumn("label", F.when(known | issued, 1.0).when(none, 0.0)).withColumn("known", known | issued)
 
@@ -165,17 +181,22 @@ def rule_label(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
     """Candidates with ``probability`` and ``is_secret``.
 
-    ``labelled`` gives findings as ``doc_id, position, label``; without it known formats label them.
+    ``labelled`` gives findings as ``doc_id, position, part, label``; without it known formats label them. If it has no
+    ``part``, a label is that of a token's only candidate, and 0 also that of several.
     """
     found = candidates(docs, doc_id, text, path)
     covered = coverage(found, dictionary(docs, text))
     judged = stored(rule_label(features(found, covered)))
     if labelled is not None:
-        own = labelled.select("doc_id", "position", F.col("label").cast("double").alias("label"))
-        judged = stored(judged.drop("label").join(own, ["doc_id", "position"], "left"))
+        keys = ["doc_id", "position", *(c for c in labelled.columns if c == "part")]
+        own = labelled.select(*keys, F.col("label").cast("double").alias("label"))
+        if "part" not in keys:
+            several = judged.groupBy(*keys).agg(F.count_distinct("part").alias("n")).filter("n > 1").select(*keys)
+            own = own.filter("label = 0").unionByName(own.filter("label = 1").join(several, keys, "left_anti"))
+        judged = stored(judged.drop("label").join(own, keys, "left"))
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(judged)
     learnable = vectors.filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
-    sample = learnable.orderBy(F.xxhash64("core", "doc_id", "position")).limit(SAMPLE).select("features", "label")
+    sample = learnable.orderBy(F.xxhash64("core", "doc_id", "position", "part")).limit(SAMPLE).select("features", "label")
     sample = stored(sample.coalesce(1))
     kinds = sample.agg(F.count_distinct("label").alias("n")).first()["n"]
     if kinds < 2:
@@ -185,6 +206,6 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11).fit(sample)
         scored = forest.transform(vectors).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(
-        "doc_id", "position", "core", "known", "label", *FEATURES, F.round("probability", 6).alias("probability"),
+        "doc_id", "position", "part", "core", "known", "label", *FEATURES, F.round("probability", 6).alias("probability"),
         (F.col("probability") >= 0.5).alias("is_secret"),
     )

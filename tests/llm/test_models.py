@@ -207,3 +207,23 @@ def test_secrets_learn_from_given_labels(spark):
     labelled = secrets_scan.candidates(docs).select("doc_id", "position", (F.col("doc_id") % 2).alias("label"))
     found = secrets_scan.scan(docs, labelled).collect()
     assert len(found) == 60 and sum(r.is_secret == (r.doc_id % 2 == 1) for r in found) >= 58
+
+
+def test_all_secrets_of_a_token_without_blanks(spark):
+    rng = random.Random(5)
+    token, other = ("%040x" % rng.getrandbits(160) for _ in range(2))
+    key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    github = "ghp_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(36))
+    path = "/srv/releases/2024/artifacts/build-0001/output/file"
+    texts = [
+        f'{{"token":"{token}","path":"{path}"}}',
+        f"aws_access_key_id={key}",
+        f"GITHUB={github},PATH={path},{key}",
+        f'x="{path}";token:{token};token:{token};auth:{other}',
+    ]
+    docs = spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secrets_scan.scan(docs).collect()
+    assert sorted((r.doc_id, r.part, r.core) for r in found if not r.known) == [(0, 1, path), (2, 1, f"PATH={path}"), (3, 0, path)]
+    want = [(0, 0, token), (1, 0, f"aws_access_key_id={key}"), (2, 0, f"GITHUB={github}"), (2, 2, key), (3, 1, token), (3, 2, token), (3, 3, other)]
+    assert sorted((r.doc_id, r.part, r.core) for r in found if r.known) == want
+    assert all(r.probability == r.known == r.is_secret for r in found if r.known)
