@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts
+from planloom.llm import alignment, bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,9 @@ def op9_benchmark_decontamination(spark, sf_dir):
 @query
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir))
+
+
+@query
+def op11_tokenizer_alignment(spark, sf_dir):
+    found = alignment.align(table(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
