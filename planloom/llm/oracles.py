@@ -80,9 +80,52 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remove
 FROM docs LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """One step per round: components and entries as rows, sums of squares, the least by distance and index."""
+    steps = [
+        f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding AS e, len(embedding) // {parts} AS width FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (
+  SELECT vec_id, (i - 1) // width AS part, (i - 1) % width AS place, CAST(floor(CAST(e[i] AS DOUBLE) * {scale}) AS BIGINT) AS v
+  FROM (SELECT vec_id, e, width, unnest(range(1, len(e) + 1)) AS i FROM kept)
+), first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {entries}),
+book0 AS (SELECT part, entry, place, v FROM cells JOIN first USING (vec_id))"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""
+apart{n} AS (
+  SELECT vec_id, part, entry, sum((c.v - b.v) * (c.v - b.v)) AS d FROM cells c JOIN book{n} b USING (part, place)
+  GROUP BY vec_id, part, entry
+), near{n} AS (
+  SELECT vec_id, part, min((d, entry)) AS best FROM apart{n} GROUP BY vec_id, part
+)""")
+        if n < rounds:
+            steps.append(f"""
+moved{n} AS (
+  SELECT part, best[2] AS entry, place, CAST(floor(sum(v) / count(*)) AS BIGINT) AS v
+  FROM near{n} JOIN cells USING (vec_id, part) GROUP BY ALL
+), book{n + 1} AS (
+  SELECT part, entry, place, coalesce(m.v, b.v) AS v FROM book{n} b LEFT JOIN moved{n} m USING (part, entry, place)
+)""")
+    steps.append(f"""
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error
+  FROM near{rounds} GROUP BY vec_id
+), digest AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM book{rounds})""")
+    return ",".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
 ORACLES = {
     "op4_line_dedup": _LINE_DEDUP,
     "op6_repeated_passages": _REPEATS,
     "op9_benchmark_decontamination": _DECONTAMINATION,
     "op10_exact_dedup": _EXACT_DEDUP,
+    "op12_vector_codes": _vector_codes(),
 }

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import alignment, bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts
+from planloom.llm import alignment, bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts, vector_codes
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,10 @@ def op10_exact_dedup(spark, sf_dir):
 def op11_tokenizer_alignment(spark, sf_dir):
     found = alignment.align(table(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256")
+    return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", digest)

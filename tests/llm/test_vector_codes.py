@@ -1,0 +1,118 @@
+"""Vector codes against brute force over Python integers."""
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from planloom.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, error long, row long"
+
+
+def vectors(seed, n, size=16, clusters=6):
+    rng = random.Random(seed)
+    centres = [[rng.gauss(0, 0.2) for _ in range(size)] for _ in range(clusters)]
+    out = []
+    for i in rng.sample(range(10 * n), n):
+        label = rng.randrange(clusters)
+        out.append((i, [float(np.float32(x + rng.gauss(0, 0.05))) for x in centres[label]], rng.choice([label, None]), "x", 1, 2))
+    return out
+
+
+def odd(size=16):
+    good = [0.25] * size
+    return [
+        (None, good, 1, None, None, None), (5, None, 1, None, None, None), (6, [], 2, None, None, None), (7, good[:-1], 2, None, None, None),
+        (8, [None, *good[1:]], 2, None, None, None), (9, [math.nan, *good[1:]], 2, None, None, None), (11, [math.inf, *good[1:]], 2, None, None, None),
+        (12, [1e30, *good[1:]], 2, None, None, None), (13, [-1.0] * size, None, None, None, None), (13, [-1.0] * size, None, None, None, None),
+        (14, good, 3, None, None, None), (14, [0.5] * size, 3, None, None, None),
+    ]
+
+
+def brute(rows, size=16, parts=8, rounds=6, entries=16):
+    kept = [r for r in rows if r[1] is not None and len(r[1]) == size and all(x is not None and math.isfinite(x) and abs(x) < 10_000 for x in r[1])]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    cells = [[math.floor(4096 * x) for x in r[1]] for r in kept]
+    width = size // parts
+    cut = [[c[p * width : (p + 1) * width] for p in range(parts)] for c in cells]
+    books = [[list(c[p]) for c in cut[:entries]] for p in range(parts)]
+
+    def pick(part, own):
+        return min((sum((x - y) ** 2 for x, y in zip(own, e)), k) for k, e in enumerate(books[part]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            found = [pick(p, c[p])[1] for c in cut]
+            for k in range(len(books[p])):
+                mine = [c[p] for c, f in zip(cut, found) if f == k]
+                if mine:
+                    books[p][k] = [sum(x) // len(mine) for x in zip(*mine)]
+    picks = [[pick(p, c[p]) for p in range(parts)] for c in cut]
+    errors = [sum(d for d, _ in x) for x in picks]
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    by_label = {}
+    for r, e in zip(kept, errors):
+        by_label[r[2]] = by_label.get(r[2], 0) + e
+    return [(r[0], "".join(f"{k:02x}" for _, k in x), e, by_label[r[2]], digest) for r, x, e in zip(kept, picks, errors)]
+
+
+def run(df):
+    coded, books = vector_codes.compress(df)
+    digest = vector_codes.codebooks_digest(books)
+    return [(r.vec_id, r.code, r.error, r.label_error, digest) for r in vector_codes.label_errors(coded).collect()]
+
+
+@pytest.mark.parametrize("rows", [vectors(1, 400), vectors(2, 60) + odd(), vectors(3, 5), odd(), vectors(4, 40)[:1] * 50])
+def test_codes(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(run(df), key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_many_labels_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(vector_codes, "SENT_LABELS", 0)
+    rows = vectors(5, 80)
+    assert sorted(run(spark.createDataFrame(rows, SCHEMA)), key=repr) == sorted(brute(rows), key=repr)
+
+
+def test_no_rows(spark):
+    assert run(spark.createDataFrame([], SCHEMA)) == []
+    assert run(spark.createDataFrame([(1, [math.nan], 1, None, None, None)], SCHEMA)) == []
+
+
+def test_length_that_is_no_multiple_of_the_parts(spark):
+    rows = [(n, [0.01 * n, -0.02 * n, 0.5], n % 2, None, None, None) for n in range(40)]
+    coded, books = vector_codes.compress(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(b.shape[1] for b in books) == [0] * 5 + [1] * 3
+    assert coded.count() == 40 and all(len(r.code) == 16 for r in coded.collect())
+
+
+def test_decoded_vectors_are_as_far_as_the_error_says(spark):
+    rows = vectors(6, 200)
+    coded, books = vector_codes.compress(spark.createDataFrame(rows, SCHEMA))
+    given_vectors = {r[0]: [math.floor(4096 * x) for x in r[1]] for r in rows}
+    for r in vector_codes.decompress(coded, books).collect():
+        assert sum((x - y) ** 2 for x, y in zip(given_vectors[r.vec_id], r.decoded)) == r.error
+
+
+numbers = st.lists(st.integers(-50, 50), min_size=3, max_size=3)
+
+
+@given(st.lists(numbers, min_size=1, max_size=30), st.lists(numbers, min_size=1, max_size=9), st.lists(numbers, min_size=1, max_size=5))
+def test_nearest_with_ties(values, entries, pivots):
+    v, e, p = (np.array(x, np.int64) for x in (values, entries, pivots))
+    best, found, tried = vector_codes.nearest(v, vector_codes._distances(v, p), e, p)
+    apart = ((v[:, None] - e[None]) ** 2).sum(axis=2)
+    assert best.tolist() == apart.argmin(axis=1).tolist() and found.tolist() == apart.min(axis=1).tolist()
+    assert tried <= apart.size
+
+
+def test_pivots_prune():
+    v = np.array([r[1] for r in vectors(7, 500)], np.float64)
+    v = np.floor(v * 4096).astype(np.int64)
+    _, _, tried = vector_codes.nearest(v, vector_codes._distances(v, v[:16]), v[16:32], v[:16])
+    assert tried < 0.6 * len(v) * 16
