@@ -27,7 +27,7 @@ def vectors(seed, n, size=16, clusters=6):
 def odd(size=16):
     good = [0.25] * size
     return [
-        (None, good, 1, None, None, None), (5, None, 1, None, None, None), (6, [], 2, None, None, None), (7, good[:-1], 2, None, None, None),
+        (None, good, 1, None, None, None), (5, None, 1, None, None, None), (6, [], 2, None, None, None), (70, good[:-1], 2, None, None, None),
         (8, [None, *good[1:]], 2, None, None, None), (9, [math.nan, *good[1:]], 2, None, None, None), (11, [math.inf, *good[1:]], 2, None, None, None),
         (12, [1e30, *good[1:]], 2, None, None, None), (13, [-1.0] * size, None, None, None, None), (13, [-1.0] * size, None, None, None, None),
         (14, good, 3, None, None, None), (14, [0.5] * size, 3, None, None, None),
