@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import alignment, bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, simhash, token_counts, vector_codes
+from planloom.llm import alignment, bpe, decontaminate, exact_dedup, language, language_model, line_dedup, repeated_text, secrets_scan, sharding, simhash, token_counts, vector_codes
 from planloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,10 @@ def op12_vector_codes(spark, sf_dir):
     coded, codebooks = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     digest = F.lit(vector_codes.codebooks_digest(codebooks)).alias("codebooks_sha256")
     return vector_codes.label_errors(coded).select("vec_id", "code", "error", "label_error", digest)
+
+
+@query
+def op13_balanced_shards(spark, sf_dir):
+    placed = sharding.shard_documents(table(spark, sf_dir))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("long").alias("slot"), grown)
