@@ -1,11 +1,12 @@
 """Alignment of two tokenizers over the bytes of each text, and how often their tokens end together.
 
-Both tokenizers cut the same bytes, so a token is a range of bytes. The tokens of all texts of a batch,
-A's and B's, are sorted by start (lexsort); the running maximum of their ends (maximum.accumulate) is
-where a group may end: a new group begins at each token whose start reaches that maximum. Within groups
-of several tokens the overlaps of A's and B's tokens are expanded from the places where their sorted
-ranges meet; there are fewer overlaps than tokens of both sides. The overlaps whose ranges end
-together are the *links*.
+Both tokenizers cut the same bytes, so a token is a range of bytes. Neither has tokens that go on from
+another character into a blank, so texts are cut into words with a blank before each, and each
+distinct word of a task is aligned once. The tokens of all words that are new to a batch, A's and B's, are
+sorted by start (lexsort); the running maximum of their ends (maximum.accumulate) is where a group may
+end: a new group begins at each token whose start reaches that maximum. Within groups of several
+tokens the overlaps of A's and B's tokens are expanded from the places where their sorted ranges meet;
+there are fewer overlaps than tokens of both sides. The overlaps whose ranges end together are the *links*.
 
 Pairs of ids are counted over the whole corpus. The texts are encoded once; ids, digests and the links'
 ids are written to a table in the shared folder, and the passes that follow read its link columns only:
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -41,6 +43,8 @@ from planloom.llm.common import slices, text_buffer, written
 HEAD = 1 << 20
 # Distinct pairs that a task keeps before it sends their counts.
 KEPT_PAIRS = 1 << 21
+# Words that a task keeps aligned, the bytes of these and their groups, and words that are encoded at once.
+KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 400_000, 1 << 26, 4096
 BLANK = "▁"
 
 
@@ -71,12 +75,14 @@ class Encoders:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_file)
+        self.blank = self.b.piece_to_id(BLANK)
         self.entries = [pa.array(e, pa.large_binary()) for e in (byte_level_entries(json.loads(byte_file)), piece_entries(self.b))]
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of all texts and numbers of ids per text, for A with a blank before each text and for B."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
+    def encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all words and numbers of ids per word, for both with a blank before each word."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        # The library adds no blank to an empty text.
+        b = [ids or [self.blank] for ids in self.b.encode(words, num_threads=1)]
         return [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b)]
 
     def bytes_of(self, side: int, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
@@ -133,15 +139,47 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-class Aligner:
-    """Aligns the texts of a slice: numbers, digests of the groups, and the links' ids."""
+class _Index(dict):
+    """Numbers of words; words that are met first get the next number and wait in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+def split_words(text: str) -> list[str]:
+    """Parts of a text between the blanks that follow something else than white space.
+
+    In a blank and the text, each part comes with the blank before it. A's words and B's pieces never go on
+    from other characters into a blank, so tokens of both sides begin where a part's blank is.
+    """
+    return _PARTS.split(text) if _WIDE.search(text) else text.split(" ")
+
+
+_PARTS, _WIDE = re.compile(r"(?<=\S) "), re.compile(r"\s |^ ")
+
+
+class Words:
+    """Aligned words: the words new to a batch are aligned together, and kept in tables of bounded size."""
 
     def __init__(self, encoders: Encoders):
         self.encoders = encoders
         self.width = max(len(e) for e in encoders.entries)
         self.numbers = _separated(self.width)
+        self.clear()
 
-    def _group_text(self, ids, groups, ids_b, groups_b, ends_of_texts) -> pa.Array:
+    def clear(self) -> None:
+        self.index, self.group_texts, self.size = _Index(), [], 0
+        # Per word: A tokens, B tokens, groups, links and whether the bytes are right.
+        self.counts = np.zeros((5, 0), np.int64)
+        self.links = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
+
+    def _group_text(self, ids, groups, ids_b, groups_b, ends_of_words) -> pa.Array:
         """All ids in the order of groups, A's before B's, each with the separator that follows it."""
         place_a = np.arange(len(ids)) + np.searchsorted(groups_b, groups, side="left")
         place_b = np.arange(len(ids_b)) + np.searchsorted(groups, groups_b, side="right")
@@ -150,15 +188,19 @@ class Aligner:
             joined[place], group[place], side[place] = own, at, kind
         mark = np.zeros(len(joined), np.int64)
         mark[:-1] = np.where(group[1:] != group[:-1], 3, np.where(side[1:] != side[:-1], 2, 1))
-        mark[ends_of_texts[ends_of_texts > 0] - 1] = 0
+        mark[ends_of_words[ends_of_words > 0] - 1] = 0
         return self.numbers.take(pa.array(mark * self.width + joined))
 
-    def align(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray]:
-        """Counts of A tokens, B tokens, groups and links per text, digests, and ids of all links in order."""
-        sides = self.encoders.encode(texts)
-        spans = []
-        good = np.array([t != "" for t in texts], bool)
-        wanted = [b" " + t.encode() for t in texts]
+    def fill(self) -> None:
+        """Align the words that wait."""
+        words, self.index.new = self.index.new, []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            self._align(words[at : at + WORDS_AT_ONCE])
+
+    def _align(self, words: list[str]) -> None:
+        sides = self.encoders.encode(words)
+        spans, good = [], np.ones(len(words), bool)
+        wanted = [b" " + w.encode() for w in words]
         for side, (ids, counts) in enumerate(sides):
             offsets, data = self.encoders.bytes_of(side, ids)
             edges = offsets[np.r_[0, np.cumsum(counts)]]
@@ -171,14 +213,36 @@ class Aligner:
         group_a, group_b = groups_of(ends_a, ends_b)
         left, right = links_of(ends_a, ends_b, group_a, group_b)
 
-        text_a = np.repeat(np.arange(len(texts)), n_a)
-        n_links = np.bincount(text_a[left], minlength=len(texts))
+        word = np.repeat(np.arange(len(words)), n_a)
         new = np.r_[True, group_a[1:] != group_a[:-1]] if len(group_a) else np.zeros(0, bool)
-        n_groups = _sums(new.astype(np.int64), n_a)
+        counts = [n_a, n_b, _sums(new.astype(np.int64), n_a), np.bincount(word[left], minlength=len(words)), good]
         offsets, data = text_buffer(self._group_text(ids_a, group_a, ids_b, group_b, np.cumsum(n_a + n_b)))
         edges = offsets[np.r_[0, np.cumsum(n_a + n_b)]]
-        digests = [hashlib.sha256(data[x:y]).hexdigest() if y > x else "" for x, y in zip(edges[:-1], edges[1:])]
-        return [n_a, n_b, n_groups, n_links], digests, ids_a[left], ids_b[right]
+        self.group_texts += [bytes(data[x:y]) for x, y in zip(edges[:-1], edges[1:])]
+        self.counts = np.concatenate([self.counts, np.array(counts, np.int64)], axis=1)
+        self.links = [np.r_[kept, ids] for kept, ids in zip(self.links, (ids_a[left], ids_b[right]))]
+        self.size += len(data) + sum(map(len, words))
+
+    def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """Counts of A tokens, B tokens, groups and links per text, digests, and ids of all links in order."""
+        if len(self.index) > KEPT_WORDS or self.size > KEPT_BYTES:
+            self.clear()
+        number = self.index.__getitem__
+        numbers = [list(map(number, split_words(t))) if t else [] for t in texts]
+        self.fill()
+        parts = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        flat = np.fromiter(chain.from_iterable(numbers), np.int64, parts.sum())
+        counts = np.array([_sums(c[flat], parts) for c in self.counts])
+        good = (counts[4] == parts) & (parts > 0)
+        counts = counts[:4] * good
+        digests = [
+            hashlib.sha256(b";".join(map(self.group_texts.__getitem__, own))).hexdigest() if ok else ""
+            for own, ok in zip(numbers, good.tolist())
+        ]
+        flat = flat[np.repeat(good, parts)]
+        n, starts = self.counts[3][flat], (np.cumsum(self.counts[3]) - self.counts[3])[flat]
+        places = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+        return counts, digests, self.links[0][places], self.links[1][places]
 
 
 _ALIGNED = pa.schema(
@@ -194,14 +258,14 @@ _ALIGNED_SQL = (
 
 def _align(files):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = None
+        words = None
         for batch in batches:
-            aligner = aligner or Aligner(Encoders(*files.value))
+            words = words or Words(Encoders(*files.value))
             texts = batch.column("text")
             offsets, _ = text_buffer(texts)
             for start, end in slices(offsets):
                 some = pc.fill_null(texts.slice(start, end - start), "").to_pylist()
-                counts, digests, a, b = aligner.align(some)
+                counts, digests, a, b = words.align(some)
                 ends = pa.array(np.r_[0, np.cumsum(counts[3])], pa.int32())
                 links = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (a, b)]
                 ids = [batch.column(c).slice(start, end - start) for c in ("row", "doc_id")]

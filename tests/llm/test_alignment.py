@@ -1,6 +1,7 @@
 """Alignment of two tokenizers against brute force over byte ranges."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -80,6 +81,16 @@ def test_alignment(spark, head):
     assert [w[1:] for w in want if w[0] == 2001] == [(0, 0, 0, 0, 0, 0, "")]
 
 
+def test_words_give_what_whole_texts_give():
+    rng = random.Random(3)
+    pieces = [" ", "  ", "   ", "\n", "\t ", " \n", "\u3000", "\x1c ", "\xa0", "it's", "'s", "we'll", "12", "345 ", "a", "be", "class", "é", "日本", "👩‍👧", "...", "<s>", "_", "-"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(600)]
+    files = [open(path, "rb").read() for path in (BYTE, PIECE)]
+    words = alignment.Words(alignment.Encoders(*files))
+    counts, digests, _, _ = words.align(texts)
+    assert [(*c, d) for c, d in zip(counts.T.tolist(), digests)] == [(*x[:4], x[6]) for x in brute(texts)]
+
+
 def test_long_texts_clashing_columns_and_no_rows(spark):
     docs = documents(spark, 1)
     got = alignment.align(docs, BYTE, PIECE)
