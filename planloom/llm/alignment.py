@@ -43,6 +43,7 @@ from planloom.llm.common import slices, text_buffer, written
 HEAD = 1 << 20
 # Distinct pairs that a task keeps before it sends their counts.
 KEPT_PAIRS = 1 << 21
+LINKS_AT_ONCE = 1 << 19
 # Words that a task keeps aligned, the bytes of these and their groups, and words that are encoded at once.
 KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 400_000, 1 << 26, 4096
 BLANK = "▁"
@@ -289,12 +290,13 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 # -- counts of pairs -----------------------------------------------------------------
 
 
-def _pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of A above ids of B in one number, and the row of each link."""
-    a, b = (batch.column(c) for c in ("link_a", "link_b"))
-    n = pc.list_value_length(a).to_numpy(zero_copy_only=False)
-    pairs = a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy()
-    return pairs, np.repeat(np.arange(len(n)), n)
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows, ids of A above ids of B in one number, and the row of each link; few links, or one row, at a time."""
+    for start, end in slices(batch.column("link_a").offsets.to_numpy(), LINKS_AT_ONCE):
+        some = batch.slice(start, end - start)
+        a, b = (some.column(c) for c in ("link_a", "link_b"))
+        n = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        yield some, a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
 
 
 def _merged(pairs: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,8 +311,8 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def sent(found, n):
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["pair", "n"])
 
-    for batch in batches:
-        found, n = np.unique(_pairs(batch)[0], return_counts=True)
+    for _, links, _ in chain.from_iterable(map(_pairs, batches)):
+        found, n = np.unique(links, return_counts=True)
         pairs.append(found)
         counts.append(n)
         held += len(found)
@@ -337,8 +339,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 def _look_up(head):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, best = head.value
-        for batch in batches:
-            pairs, rows = _pairs(batch)
+        for batch, pairs, rows in chain.from_iterable(map(_pairs, batches)):
             at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
             known = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
             own, number = rows[known], batch.num_rows
