@@ -44,8 +44,10 @@ HEAD = 1 << 20
 # Distinct pairs that a task keeps before it sends their counts.
 KEPT_PAIRS = 1 << 21
 LINKS_AT_ONCE = 1 << 19
+# Links in a row of the stored table: a batch of rows is small, however long the texts are.
+BLOCK = 256
 # Words that a task keeps aligned, the bytes of these and their groups, and words that are encoded at once.
-KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 400_000, 1 << 26, 4096
+KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 200_000, 1 << 25, 4096
 BLANK = "▁"
 
 
@@ -266,18 +268,27 @@ def _align(files):
             offsets, _ = text_buffer(texts)
             for start, end in slices(offsets):
                 some = pc.fill_null(texts.slice(start, end - start), "").to_pylist()
-                counts, digests, a, b = words.align(some)
-                ends = pa.array(np.r_[0, np.cumsum(counts[3])], pa.int32())
-                links = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (a, b)]
-                ids = [batch.column(c).slice(start, end - start) for c in ("row", "doc_id")]
-                columns = [*ids, *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), *links]
-                yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
+                counts, digests, *links = words.align(some)
+                # The first block of a text has its numbers, all have links.
+                blocks = np.maximum(-(-counts[3] // BLOCK), 1)
+                text = np.repeat(np.arange(len(some)), blocks)
+                step = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                size = np.clip(counts[3][text] - step * BLOCK, 0, BLOCK)
+                ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in links]
+                ids = [batch.column(c).slice(start, end - start).take(pa.array(text)) for c in ("row", "doc_id")]
+                first = pa.array(np.where(step == 0, text, 0), mask=step > 0)
+                numbers = [pa.array(c, pa.int64()).take(first) for c in counts] + [pa.array(digests, pa.string()).take(first)]
+                yield pa.RecordBatch.from_arrays([*ids, *numbers, *lists], schema=_ALIGNED)
 
     return run
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """Numbers, digest and link ids of each row, stored: ``row`` numbers the rows of this table."""
+    """Numbers, digests and link ids, stored in blocks of at most ``BLOCK`` links.
+
+    ``row`` numbers the rows of ``docs``; numbers and digest are in the first block of a row and null in the others.
+    """
     files = []
     for path in (byte_path, piece_path):
         with open(path, "rb") as file:
@@ -326,9 +337,9 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield sent(*_merged(pairs, counts))
 
 
-def pair_counts(rows: DataFrame) -> DataFrame:
+def pair_counts(blocks: DataFrame) -> DataFrame:
     """``pair, n, best``: links of each pair of ids, and whether none of its B id's pairs has more; stored."""
-    counts = rows.select("link_a", "link_b").mapInArrow(_count, "pair long, n long")
+    counts = blocks.select("link_a", "link_b").mapInArrow(_count, "pair long, n long")
     counts = written(counts.groupBy("pair").agg(F.sum("n").alias("n")))
     b = F.col("pair").bitwiseAND((1 << 32) - 1)
     # One row for each id of B's vocabulary at most.
@@ -362,30 +373,29 @@ def _look_up(head):
 _LOOKED_UP = "row long, n_best long, count_sum long, pairs array<long>, times array<long>"
 
 
-def link_totals(rows: DataFrame, counts: DataFrame, head: int = HEAD) -> DataFrame:
-    """``row, n_best, count_sum`` of each row with links."""
+def link_totals(blocks: DataFrame, counts: DataFrame, head: int = HEAD) -> DataFrame:
+    """``row, n_best, count_sum`` of each row."""
     total = counts.agg(F.sum("n")).first()[0] or 0
     frequent: Column = F.col("n") >= -(-total // head)
     chosen = counts.filter(frequent).toArrow()
     keys, n, best = (chosen.column(c).to_numpy() for c in ("pair", "n", "best"))
     order = np.argsort(keys)
-    held = rows.sparkSession.sparkContext.broadcast((keys[order], n[order], best[order].astype(np.int64)))
-    looked_up = rows.select("row", "link_a", "link_b").mapInArrow(_look_up(held), _LOOKED_UP)
-    if counts.filter(~frequent).isEmpty():
-        return looked_up.select("row", "n_best", "count_sum")
-    looked_up = written(looked_up)
-    zipped = F.explode(F.arrays_zip("pairs", "times")).alias("link")
-    rest = looked_up.select("row", zipped).select("row", "link.pairs", "link.times")
-    met = rest.join(counts.filter(~frequent), rest["pairs"] == counts["pair"])
-    sums = met.select("row", (F.col("times") * F.col("best").cast("long")).alias("n_best"), (F.col("times") * F.col("n")).alias("count_sum"))
-    both = looked_up.select("row", "n_best", "count_sum").unionByName(sums)
-    return both.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    held = blocks.sparkSession.sparkContext.broadcast((keys[order], n[order], best[order].astype(np.int64)))
+    looked_up = blocks.select("row", "link_a", "link_b").mapInArrow(_look_up(held), _LOOKED_UP)
+    sums = looked_up.select("row", "n_best", "count_sum")
+    if not counts.filter(~frequent).isEmpty():
+        looked_up = written(looked_up)
+        zipped = F.explode(F.arrays_zip("pairs", "times")).alias("link")
+        rest = looked_up.select("row", zipped).select("row", "link.pairs", "link.times")
+        met = rest.join(counts.filter(~frequent), rest["pairs"] == counts["pair"])
+        n_best, count_sum = F.col("times") * F.col("best").cast("long"), F.col("times") * F.col("n")
+        sums = looked_up.select("row", "n_best", "count_sum").unionByName(met.select("row", n_best.alias("n_best"), count_sum.alias("count_sum")))
+    return sums.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def align(docs: DataFrame, byte_path: str, piece_path: str, head: int = HEAD) -> DataFrame:
-    """Per row of ``docs``: numbers of tokens, groups and links, the links' ids, ``n_best``, ``count_sum`` and the digest."""
-    rows = aligned(docs, byte_path, piece_path)
-    totals = link_totals(rows, pair_counts(rows), head)
-    return rows.join(totals, "row").select(
-        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "link_a", "link_b"
-    )
+    """Per row of ``docs``: numbers of tokens, groups and links, ``n_best``, ``count_sum`` and the digest."""
+    blocks = aligned(docs, byte_path, piece_path)
+    totals = link_totals(blocks, pair_counts(blocks), head)
+    rows = blocks.filter(F.col("n_a").isNotNull())
+    return rows.join(totals, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -101,8 +101,7 @@ def op10_exact_dedup(spark, sf_dir):
 
 @query
 def op11_tokenizer_alignment(spark, sf_dir):
-    found = alignment.align(table(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return alignment.align(table(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
 @query

@@ -74,7 +74,8 @@ ODD = ["<|endoftext|> <s></s> <0x41>", "low ▁ line", "naïve café 日本語 
 def test_alignment(spark, head):
     short = [(r[0], r[1] if r[1] is None else r[1][:3000]) for r in rows(1, True)] + [(2000 + n, t) for n, t in enumerate(ODD)]
     docs = spark.createDataFrame(short, "doc_id long, text string").repartition(3)
-    got = alignment.align(docs, BYTE, PIECE, head).select(*COLUMNS)
+    got = alignment.align(docs, BYTE, PIECE, head)
+    assert got.columns == COLUMNS
     want = [(r[0], *x) for r, x in zip(short, brute([r[1] for r in short]))]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert sum(w[1] > 0 for w in want) > 60
@@ -98,17 +99,22 @@ def test_long_texts_clashing_columns_and_no_rows(spark):
     assert alignment.align(empty(spark), BYTE, PIECE).count() == 0
 
 
-def test_links_ids_are_those_that_end_together(spark):
-    docs = spark.createDataFrame([(1, ODD[2])], "doc_id long, text string")
-    row = alignment.align(docs, BYTE, PIECE).first()
-    (a, b), = tokens([ODD[2]])
-    assert list(zip(row.link_a, row.link_b)) == [(x[0], y[0]) for x in a for y in b if x[2] == y[2]]
+def test_link_ids_are_those_that_end_together(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "BLOCK", 5)
+    texts = [ODD[2], "", ODD[3], ODD[6], "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = alignment.aligned(docs, BYTE, PIECE).collect()
+    for n, (a, b) in enumerate(tokens(texts)):
+        own = [r for r in blocks if r.doc_id == n]
+        links = [p for r in own for p in zip(r.link_a, r.link_b)]
+        assert links == [(x[0], y[0]) for x in a for y in b if x[2] == y[2]]
+        assert [r.n_links for r in own] == [len(links)] + [None] * (len(own) - 1) and len(own) == max(1, -(-len(links) // 5))
 
 
 def test_hot_text(spark):
     texts = ["one text with many copies"] * 300 + [f"other text {n}" for n in range(50)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: tuple(r)[1:] for r in alignment.align(docs, BYTE, PIECE, 10).select(*COLUMNS).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in alignment.align(docs, BYTE, PIECE, 10).collect()}
     assert [got[n] for n in range(350)] == brute(texts)
 
 
