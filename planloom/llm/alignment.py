@@ -47,8 +47,10 @@ LINKS_AT_ONCE = 1 << 19
 # Links in a row of the stored table: a batch of rows is small, however long the texts are.
 BLOCK = 256
 # Words that a task keeps aligned, the bytes of these and their groups, and words that are encoded at once.
-KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 200_000, 1 << 25, 4096
+KEPT_WORDS, KEPT_BYTES, WORDS_AT_ONCE = 300_000, 1 << 25, 4096
 BLANK = "▁"
+# Fixed value: the words of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_level_entries(spec: dict) -> list[bytes]:
@@ -79,11 +81,34 @@ class Encoders:
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_file)
         self.blank = self.b.piece_to_id(BLANK)
-        self.entries = [pa.array(e, pa.large_binary()) for e in (byte_level_entries(json.loads(byte_file)), piece_entries(self.b))]
+        spec = json.loads(byte_file)
+        entries = byte_level_entries(spec)
+        self.ranked = self._ranked(spec, entries)
+        self.entries = [pa.array(e, pa.large_binary()) for e in (entries, piece_entries(self.b))]
+
+    @staticmethod
+    def _ranked(spec: dict, entries: list[bytes]):
+        """A quicker encoder of ASCII words with the same results, for vocabularies whose ids rise with the merges."""
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][a + b] for a, b in merges]
+        if made != sorted(made) or spec["model"].get("ignore_merges"):
+            return None
+        import tiktoken
+
+        special = {t["id"] for t in spec["added_tokens"]}
+        ranks = {e: i for i, e in enumerate(entries) if i not in special}
+        return tiktoken.Encoding("ascii", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of all words and numbers of ids per word, for both with a blank before each word."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)]
+        a: list = [None] * len(words)
+        other = range(len(words))
+        if self.ranked:
+            quick = self.ranked.encode_ordinary
+            a = [quick(" " + w) if w.isascii() else None for w in words]
+            other = [n for n, ids in enumerate(a) if ids is None]
+        for n, found in zip(other, self.a.encode_batch_fast([" " + words[n] for n in other], add_special_tokens=False)):
+            a[n] = found.ids
         # The library adds no blank to an empty text.
         b = [ids or [self.blank] for ids in self.b.encode(words, num_threads=1)]
         return [(np.fromiter(chain.from_iterable(x), np.int32), np.fromiter(map(len, x), np.int64, len(x))) for x in (a, b)]
