@@ -361,7 +361,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     labels = components(hamming_links(nodes, radius))
     rooted = nodes.join(labels, nodes["fingerprint"] == labels["node"], "left")
     rooted = rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Stored, so that both sides of the join have a shuffle of their own and a giant component can be split.
+    least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(least, "root").select("fingerprint", "component_id")
     found = rows.join(named, "fingerprint")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

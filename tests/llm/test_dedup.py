@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from cases import documents, empty, hot, lower, rows, sentence, words
 
-from planloom.llm import exact_dedup, line_dedup, near_copies, simhash
+from planloom.llm import exact_dedup, line_dedup, simhash
 from planloom.llm.components import components
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -174,62 +174,23 @@ def test_thresholds_add_up():
     assert (simhash.thresholds(plan, bits).sum(axis=0) == 5).all()
 
 
-def copies_brute(ids, texts, shingle=5, least=0.8):
-    sets = []
-    for text in texts:
-        found = words(text)
-        size = min(shingle, len(found))
-        sets.append({tuple(found[k : k + size]) for k in range(len(found) - size + 1)} if found else set())
-    label = list(range(len(sets)))
-    for a in range(len(sets)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
-                x, y = label[a], label[b]
-                label = [y if k == x else k for k in label]
-    known = defaultdict(list)
-    for i, k in zip(ids, label):
-        known[k] += [i] if i is not None else []
-    return [min(known[k], default=None) for k in label]
-
-
-def edited(rng, text, n):
-    found = text.split(" ")
-    for at in rng.sample(range(len(found)), n):
-        found[at] = f"new{rng.randrange(10**6)}"
-    return " ".join(found)
-
-
-def test_near_copies_of_similarity_four_fifths(spark):
-    rng = random.Random(6)
-    shared = sentence(rng, 12)
+def test_a_component_with_a_third_of_all_nodes_is_split(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
     table = []
-    for _ in range(25):
-        base = " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 150))) + " " + shared
-        table += [base, *(edited(rng, base, rng.randint(1, 4)) for _ in range(4))]
-    dense = " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
-    table += [edited(rng, dense, rng.randint(1, 2)) for _ in range(60)]
-    table = list(enumerate(table))
-    rng.shuffle(table)
-    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
-    want = copies_brute(*zip(*table))
-    got = [tuple(r) for r in near_copies.near_copies(docs).collect()]
-    assert sorted(got) == sorted((i, w) for (i, _), w in zip(table, want))
-    # The fingerprints' radius of four bits is not enough.
-    assert len({w for w in want}) < len(set(groups_brute([i for i, _ in table], [print_brute(t) for _, t in table])))
-
-
-def test_pipeline_drops_near_copies_of_similarity_four_fifths(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").filter("doc_id in (709, 944, 582, 875, 643, 770, 1, 255)")
-    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect())
-    assert kept == [1, 582, 643, 709]
-
-
-@pytest.mark.parametrize("nulls", [False, True])
-def test_near_copies_of_odd_rows(spark, nulls):
-    table = [r[:2] for r in rows(1, nulls)]
-    got = [tuple(r) for r in near_copies.near_copies(documents(spark, 1, nulls)).collect()]
-    want = [(i, w) for (i, _), w in zip(table, copies_brute(*zip(*table)))]
-    assert sorted(got, key=repr) == sorted(want, key=repr)
-    assert near_copies.near_copies(empty(spark)).count() == 0
+    for n in range(300):
+        found = list(base) if n % 3 == 0 else [f"w{rng.randrange(5000)}" for _ in range(60)]
+        found[rng.randrange(len(found))] = f"v{n}"
+        table.append((n, " ".join(found)))
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(5)
+    changed = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = groups_brute([i for i, _ in table], [print_brute(t) for _, t in table])
+    assert [got[i] for i, _ in table] == want and want.count(0) >= 90
