@@ -13,12 +13,14 @@ from planloom.functions import tokens as tok
 from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, validate, vocab
 from planloom.operators.bounded import lookup
 from planloom.plans import funnel, generated, orders, predictions, sample_texts
+from planloom.plans.corpus import Corpus
 from planloom.plans.domains import FUNNEL, SHIPPING, SHIPPING_BOUND, SHIPPING_OBJECTS
 from planloom.plans.funnel import FunnelPlans
 from planloom.plans.orders import OrderPlans
 from planloom.schemas import BAD_OPERATOR, END, MISSING_PROBLEM, PAD, SPECIAL_TOKENS
 from planloom.session import tune
 from planloom.sources import texts
+from planloom.sources.lines import Lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,12 +134,9 @@ def beautify_facts(spark, sf_dir):
 
 @query
 def split_state_goals(spark, sf_dir):
-    """The state text of each order line, put together and split again."""
-    chunks = OrderPlans(spark, sf_dir).corpus().chunks()
-    text = seq.state_text(F.array_join("initial", " "), F.array_join("goals", " "))
-    combined = chunks.select("plan_id", "seq", text.alias("state_text"))
-    initial, goals = tok.split_state_goals(F.col("state_text"))
-    return combined.select("*", initial.alias("initial_state"), goals.alias("goals"))
+    """The tokens of each order's state text, facts, a mark and goals, split at the mark again."""
+    sizes = OrderPlans(spark, sf_dir).sizes()
+    return records.split_state(records.state_tokens(_tokens(spark, sf_dir), sizes))
 
 
 @query
@@ -199,27 +198,26 @@ GENERATED_BUCKETS = 8
 
 @query
 def generated_validation_scores(spark, sf_dir):
-    """Each order line as a generated plan, checked against its own problem file and objects."""
+    """Each order as a generated plan, checked against the facts, goals and objects of its own problem file."""
     plans = OrderPlans(spark, sf_dir)
-    chunks = plans.corpus("o_custkey", "problem_id").chunks().filter(F.size("steps") > 0)
-    example = F.concat_ws("_", tok.example_id(orders.plan_name()), F.col("seq").cast("string"))
-    token = lambda s: records.action_token(s)
-    made = chunks.select(
-        F.array_join(F.transform("steps", token), " ").alias("plan"),
+    corpus = plans.corpus("o_custkey")
+    example = tok.example_id(orders.plan_name())
+    made = corpus.chunks().select(
+        F.array_join(F.transform("steps", records.action_token), " ").alias("plan"),
+        "seq",
         F.pmod("plan_id", F.lit(GENERATED_BUCKETS)).cast("int").alias("actions_seen"),
         F.concat(example, F.lit(".pddl")).alias("problem_id"),
         example.alias("example_id"),
-        F.col("problem_id").alias("customer"),
-        F.pmod(F.col("plan_id") + F.col("seq"), F.lit(MISSING_SHARE)).alias("draw"),
     )
-    parsed = texts.parse_problems(_problem_files(spark, sf_dir)).withColumnRenamed("name", "problem_id")
-    lost = made.filter("draw = 0").select("problem_id")
-    found = generated.generated_plans(made, parsed.join(lost, "problem_id", "left_anti"), SHIPPING)
-    listed = plans.objects().withColumnRenamed("problem_id", "customer")
-    used = found.select("problem_id", F.explode("steps").alias("s")).select("problem_id", F.explode("s.args").alias("name"))
-    own = used.distinct().join(made.select("problem_id", "customer"), "problem_id").join(listed, ["customer", "name"])
-    classes = validate.classify(generated.generated_corpus(found), SHIPPING, own.select("problem_id", "name", "type"))
-    return validate.score_table(generated.with_plans(classes, found, MISSING_PROBLEM))
+    sections = texts.problem_sections(_problem_files(spark, sf_dir))
+    number = F.regexp_extract("problem_id", r"_(\d+)", 1).cast("long")
+    known = texts.parse_problems(sections).select(F.col("name").alias("problem_id"))
+    known = known.filter(F.pmod(number, F.lit(MISSING_SHARE)) != 0)
+    facts = texts.problem_facts(sections, ["at"]).withColumnRenamed("name", "problem_id")
+    objects = texts.problem_objects(sections).select(F.col("name").alias("problem_id"), F.col("object").alias("name"), "type")
+    about = generated.generated_plans(made, known, SHIPPING)
+    classes = validate.classify(generated.generated_corpus(made, facts, about, SHIPPING, corpus.block_steps), SHIPPING, objects)
+    return validate.score_table(generated.with_plans(classes, about, MISSING_PROBLEM))
 
 
 @query
@@ -320,11 +318,6 @@ def vocab_build(spark, sf_dir):
     return vocab.build_vocabulary(documents.select(F.explode(tok.clean_words(F.col("text"))).alias("token")))
 
 
-def _corpus_vocabulary(plans: OrderPlans, size: int = vocab.VOCABULARY_SIZE) -> DataFrame:
-    tokens = F.concat(F.transform("steps", records.action_token), "initial", "goals")
-    return vocab.build_vocabulary(plans.unordered().select(F.explode(tokens).alias("token")), size)
-
-
 @query
 def sequence_encode(spark, sf_dir):
     plans = OrderPlans(spark, sf_dir)
@@ -465,56 +458,69 @@ def enrich_static_facts(spark, sf_dir):
     return enrich.enrich_static_facts(initial, sizes, facts)
 
 
-def _problem_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One problem file per order line, with the static facts of its customer."""
+def _problem_files(spark: SparkSession, sf_dir: str) -> Lines:
+    """The lines of one problem file per order, with the objects of its lines and the static facts of its customer."""
     plans = OrderPlans(spark, sf_dir)
-    chunks = plans.corpus("o_custkey").chunks().withColumn("problem_id", orders.problem())
+    corpus = plans.corpus("o_custkey", "objects")
+    blocks = sample_texts.plan_blocks(corpus, "o_custkey").withColumn("problem_id", orders.problem())
     # A customer has two static facts.
     static = _static_facts(spark, sf_dir).groupBy("problem_id").agg(F.sort_array(F.collect_list("fact")).alias("static"))
-    joined = lookup(chunks, static, "problem_id", plans.hot_problems())
-    joined = joined.withColumn("static", F.coalesce("static", F.array().cast("array<string>")))
-    text = sample_texts.problem_text(F.col("initial"), F.col("goals"), F.col("static"))
-    name = F.concat_ws("_", tok.example_id(orders.plan_name()), F.col("seq").cast("string"))
-    return joined.select(F.concat(name, F.lit(".pddl")).alias("name"), text.alias("text"))
+    joined = lookup(blocks, static, "problem_id", plans.hot_problems())
+    stated = F.when(F.col("block") == 0, F.col("static"))
+    lines = sample_texts.problem_lines(
+        F.array_distinct("objects"), F.col("initial"), F.col("goals"), F.coalesce(stated, F.array().cast("array<string>"))
+    )
+    name = F.concat(tok.example_id(orders.plan_name()), F.lit(".pddl"))
+    return sample_texts.as_lines(joined, name, lines, corpus.long is not None)
 
 
 @query
 def problem_parse(spark, sf_dir):
-    return texts.parse_problems(_problem_files(spark, sf_dir))
+    return texts.parse_problems(texts.problem_sections(_problem_files(spark, sf_dir)))
+
+
+@query
+def problem_facts(spark, sf_dir):
+    return texts.problem_facts(texts.problem_sections(_problem_files(spark, sf_dir)), ["at"])
+
+
+@query
+def problem_objects(spark, sf_dir):
+    return texts.problem_objects(texts.problem_sections(_problem_files(spark, sf_dir))).distinct()
 
 
 @query
 def static_fact_extract(spark, sf_dir):
-    return texts.prefixed_lines(_problem_files(spark, sf_dir), "(in-nation").select("name", "fact")
+    return texts.prefixed_lines(_problem_files(spark, sf_dir), "(in-nation")
 
 
-def _parsed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One log per order line; an order without lines has no step to log."""
-    chunks = OrderPlans(spark, sf_dir).corpus("o_custkey").chunks().filter(F.size("steps") > 0)
-    name = F.concat_ws("_", F.substring_index(orders.plan_name(), ".", 1), F.col("seq").cast("string"))
-    log = sample_texts.log_text(F.col("initial"), F.col("goals"), F.col("steps"))
-    files = chunks.select(F.concat(name, F.lit(".SOL")).alias("name"), log.alias("text"))
-    return texts.parse_plan_logs(files)
+def _log_rows(corpus: Corpus) -> DataFrame:
+    """The rows of one log per order, written as lines and parsed again."""
+    blocks = sample_texts.plan_blocks(corpus, "o_custkey")
+    lines = sample_texts.log_lines(F.col("initial"), F.col("goals"), F.col("steps"), F.col("first"))
+    return texts.log_rows(sample_texts.as_lines(blocks, orders.plan_name(), lines, corpus.long is not None))
 
 
 @query
 def log_effect_replay(spark, sf_dir):
-    held = replay.replay_logs(_parsed_logs(spark, sf_dir))
+    corpus = OrderPlans(spark, sf_dir).corpus("o_custkey")
+    held = replay.replay_logs(_log_rows(corpus), corpus.block_steps)
     return held.withColumn("step", F.coalesce("step", F.lit(0).cast("long")))
 
 
 @query
 def plan_log_parse(spark, sf_dir):
-    raw = _parsed_logs(spark, sf_dir)
-    flat = lambda field: F.array_join(F.flatten(F.col(f"actions.{field}")), ";")
-    return raw.select(
-        "plan_name",
-        F.array_join("initial_state", ";").alias("initial_state"),
-        F.array_join("goals", ";").alias("goals"),
-        F.array_join(F.col("actions.name"), ";").alias("actions"),
-        F.array_join(F.col("actions.id"), ";").alias("ids"),
-        flat("predecessor").alias("predecessors"),
-        flat("precondition").alias("preconditions"),
-        flat("positive_effects").alias("positive_effects"),
-        flat("negative_effects").alias("negative_effects"),
+    """The actions of each log with their numbers, and its facts and goals, which have none."""
+    rows = _log_rows(OrderPlans(spark, sf_dir).corpus("o_custkey"))
+    action = F.col("action")
+    joined = lambda field: F.array_join(action[field], ";").alias(field)
+    fields = ("predecessor", "precondition", "positive_effects", "negative_effects")
+    actions = rows.filter(action.isNotNull()).select(
+        "plan_name", F.lit("action").alias("kind"), "step", action["name"].alias("text"), action["id"].alias("id"), *map(joined, fields)
     )
+    none = [F.lit("").alias(c) for c in ("id", *fields)]
+
+    def facts(kind: str) -> DataFrame:
+        return rows.select("plan_name", F.lit(kind).alias("kind"), F.lit(0).cast("long").alias("step"), F.explode(kind).alias("text"), *none)
+
+    return actions.unionByName(facts("initial")).unionByName(facts("goals"))

@@ -120,6 +120,28 @@ def sequence_tokens(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     return _marked(tokens, sizes, marks, 1)
 
 
+def state_tokens(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The state text of each plan as rows ``plan_id, position, token``: facts, a mark, goals."""
+    stated = tokens.filter(F.col("section") != "actions")
+    return _marked(stated, sizes, [(F.col("n_initial_state"), GOALS)], 0)
+
+
+def split_state(rows: DataFrame) -> DataFrame:
+    """The rows of state texts split at their first mark: ``plan_id, section, place, token``.
+
+    Without a mark all tokens are facts.
+    """
+    marks = rows.filter(F.col("token") == GOALS).groupBy("plan_id").agg(F.min("position").alias("mark"))
+    joined = rows.join(marks, "plan_id", "left").filter(F.col("mark").isNull() | (F.col("position") != F.col("mark")))
+    is_goal = F.coalesce(F.col("position") > F.col("mark"), F.lit(False))
+    return joined.select(
+        "plan_id",
+        F.when(is_goal, "goals").otherwise("initial_state").alias("section"),
+        F.when(is_goal, F.col("position") - F.col("mark") - 1).otherwise(F.col("position")).alias("place"),
+        "token",
+    )
+
+
 def prompt_tokens(tokens: DataFrame, sizes: DataFrame, n: Column) -> DataFrame:
     """What a generator is asked to continue: state, goals and the first ``n`` actions of each plan."""
     n_init, n_goals = F.col("n_initial_state"), F.col("n_goals")

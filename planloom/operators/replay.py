@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import carry_last, running
+from planloom.operators.bounded import carry_last, long_groups, running
 from planloom.plans.corpus import Corpus, Part
 from planloom.plans.domains import Action, Domain
+from planloom.schemas import LONG_PLAN_STEPS
 
 # Order numbers on a timeline: three per step, and one after the last step.
 _PROBE, _DELETE, _ADD = 0, 1, 2
@@ -68,8 +69,14 @@ def timeline(part: Part, domain: Domain, marks: bool = False) -> DataFrame:
     rows = part.items().select("plan_id", F.inline(events)).filter(F.col("fact").isNotNull())
     if not part.blocked:
         return rows
-    # Goals wait in a block after all others. A long plan may arrive in one partition
-    # (joined by plan), which would satisfy every window below: spread it by block.
+    return spread(part, rows)
+
+
+def spread(part: Part, rows: DataFrame) -> DataFrame:
+    """The events of long plans by block of steps; goals wait in a block after all others.
+
+    A long plan may arrive in one partition (joined by plan), which would satisfy every window below.
+    """
     placed = part.with_block(rows).withColumn("block", F.coalesce("block", F.lit(_LAST_BLOCK)))
     # All initial facts share a block, and all goals: each of them counts once.
     fixed = (F.col("ord") == _AT_END) | ((F.col("step") == 0) & (F.col("fact") != ""))
@@ -78,36 +85,47 @@ def timeline(part: Part, domain: Domain, marks: bool = False) -> DataFrame:
     return placed.repartition("plan_id", "block", "fact")
 
 
-def log_timeline(raw: DataFrame) -> DataFrame:
-    """The timeline of parsed plan logs, from the preconditions and effects each action states itself.
+def log_timeline(rows: DataFrame) -> DataFrame:
+    """The timeline of the rows of plan logs, from the preconditions and effects each action states itself.
 
-    It needs no domain. A log is one row of its source, so its events are no more than that row holds.
+    It needs no domain. A row is a line of a log, however long that is.
     """
-    none = F.lit(None)
-
-    def events(facts: Column, order: Column, is_add: Column, step: Column) -> Column:
-        return F.transform(facts, lambda f: _event(f, order, is_add, step))
+    none, step = F.lit(None), F.col("step")
 
-    def of_action(action: Column, place: Column) -> Column:
-        step = place + 1
-        return F.concat(
-            events(action["precondition"], step * 3 + _PROBE, none, step),
-            events(action["negative_effects"], step * 3 + _DELETE, F.lit(False), step),
-            events(action["positive_effects"], step * 3 + _ADD, F.lit(True), step),
-        )
+    def events(facts: Column, order: Column, is_add: Column, at: Column) -> Column:
+        found = F.transform(facts, lambda f: _event(f, order, is_add, at))
+        return F.coalesce(found, F.array().cast("array<struct<fact:string,ord:bigint,is_add:boolean,step:bigint>>"))
 
-    rows = F.concat(
-        events(F.col("initial_state"), F.lit(_ADD), F.lit(True), F.lit(0)),
-        F.flatten(F.transform("actions", of_action)),
+    facts = F.concat(
+        events(F.col("initial"), F.lit(_ADD), F.lit(True), F.lit(0)),
+        events(F.col("action.precondition"), step * 3 + _PROBE, none, step),
+        events(F.col("action.negative_effects"), step * 3 + _DELETE, F.lit(False), step),
+        events(F.col("action.positive_effects"), step * 3 + _ADD, F.lit(True), step),
         events(F.col("goals"), F.lit(_AT_END), none, none),
     )
-    return raw.select(F.col("plan_name").alias("plan_id"), F.inline(rows))
+    return rows.select(F.col("plan_name").alias("plan_id"), F.inline(facts))
 
 
-def replay_logs(raw: DataFrame) -> DataFrame:
-    """Whether each precondition, and at the end each goal (without a step), of plan logs holds."""
-    asked = observe(Part(raw, False, 0), log_timeline(raw)).filter(F.col("is_add").isNull())
-    return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
+def replay_logs(rows: DataFrame, block_steps: int = LONG_PLAN_STEPS) -> DataFrame:
+    """Whether each precondition, and at the end each distinct goal (without a step), of plan logs holds.
+
+    ``rows`` are those of :func:`planloom.sources.texts.log_rows`. Logs with more steps than ``block_steps`` are
+    replayed in blocks, like all long plans.
+    """
+    long = long_groups(rows, ["plan_name"], F.col("action").isNotNull().cast("long"), block_steps)
+
+    def of(part: Part) -> DataFrame:
+        events = log_timeline(part.chunks)
+        seen = observe(part, spread(part, events) if part.blocked else events)
+        order = Window.partitionBy(*part.group("fact")).orderBy("ord")
+        again = F.coalesce((F.lag("ord").over(order) == _AT_END) & (F.col("ord") == _AT_END), F.lit(False))
+        asked = seen.withColumn("again", again).filter(F.col("is_add").isNull() & ~F.col("again"))
+        return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
+
+    if long is None:
+        return of(Part(rows, False, block_steps))
+    ordinary, rest = rows.join(long, "plan_name", "left_anti"), rows.join(long, "plan_name", "left_semi")
+    return of(Part(ordinary, False, block_steps)).unionByName(of(Part(rest, True, block_steps)))
 
 
 def observe(part: Part, events: DataFrame) -> DataFrame:

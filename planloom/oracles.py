@@ -259,16 +259,8 @@ FROM t"""
 ORACLES["beautify_facts"] = _with(LINES, TOKENS) + """
 SELECT plan_id, section, place, pretty AS fact FROM k WHERE section <> 'actions'"""
 
-_TEXTS = """
-x AS (
-  SELECT o_orderkey AS plan_id, orders.o_custkey, coalesce(seq, 1) AS seq, CASE WHEN stocked THEN 'at' || part || supp ELSE '' END AS initial_state,
-         coalesce('at' || part || cust, '') AS goals, coalesce(stocked, false) AS stocked, part
-  FROM orders LEFT JOIN l ON l.plan_id = o_orderkey
-)
-"""
-
-ORACLES["split_state_goals"] = _with(LINES, _TEXTS) + """
-SELECT plan_id, seq, initial_state || ' <|goals|> ' || goals AS state_text, initial_state, goals FROM x"""
+ORACLES["split_state_goals"] = _with(LINES, TOKENS) + """
+SELECT plan_id, section, place, token FROM k WHERE section <> 'actions'"""
 
 ORACLES["nth_replace"] = """
 SELECT doc_id, CASE WHEN len(p) > 2
@@ -305,24 +297,21 @@ ORACLES["validation_scores"] = _with(
 
 ORACLES["order_validation_scores"] = _with(LINES, STATES, OBJECTS, CLASSES, recursive=True) + _score_table("cl")
 
-# A line is a plan of its own: shipped from where it is stocked, and perhaps sent back.
+# An order's own problem lists what its lines name, so a name is known there where it is in the customer's problem.
 ORACLES["generated_validation_scores"] = _with(
     LINES,
+    STATES,
+    OBJECTS,
+    CLASSES,
     f"""
-    cl AS (
-      SELECT CAST(l.plan_id % {catalog.GENERATED_BUCKETS} AS INTEGER) AS actions_seen, recalled,
-             CASE WHEN (l.plan_id + seq) % {catalog.MISSING_SHARE} = 0 THEN 'missing_problem'
-                  WHEN recalled THEN 'bad_operator_error'
-                  WHEN p_partkey IS NULL OR s_suppkey IS NULL OR c_custkey IS NULL THEN 'unknown_type_error'
-                  WHEN swapped THEN 'type_checking_error'
-                  WHEN NOT stocked THEN 'precondition_error'
-                  WHEN ret THEN 'unsatisfied_goal_error'
-                  ELSE 'valid' END AS class
-      FROM l LEFT JOIN part p ON l.part = 'part' || p_partkey AND p_size <> 50
-      LEFT JOIN supplier ON supp = 'supp' || s_suppkey LEFT JOIN customer ON cust = 'cust' || c_custkey
+    made AS (
+      SELECT CAST(plan_id % {catalog.GENERATED_BUCKETS} AS INTEGER) AS actions_seen, plan_id IN (SELECT plan_id FROM bad) AS unreadable,
+             CASE WHEN plan_id % {catalog.MISSING_SHARE} = 0 THEN 'missing_problem' ELSE class END AS class
+      FROM cl
     )
     """,
-) + _score_table("cl", "count(*) FILTER (recalled)", catalog.GENERATED_BUCKETS)
+    recursive=True,
+) + _score_table("made", "count(*) FILTER (unreadable)", catalog.GENERATED_BUCKETS)
 
 ORACLES["goal_reached_step"] = _with(LINES, STATES, recursive=True) + """
 SELECT st.plan_id, min(st.step) AS step
@@ -484,37 +473,55 @@ FROM (
   FROM z JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
 )"""
 
-ORACLES["problem_parse"] = _with(LINES, _TEXTS) + """
-SELECT 'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS name,
-       'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS pddl_problem_file,
-       initial_state, goals, '' AS actions, CAST(stocked AS BIGINT) AS len_initial_state, CAST(part IS NOT NULL AS BIGINT) AS len_goals,
-       CAST(0 AS BIGINT) AS len_plan, CAST(stocked AS BIGINT) + CAST(part IS NOT NULL AS BIGINT) + 2 AS actions_idx, CAST(-1 AS BIGINT) AS eop_idx FROM x"""
-
-ORACLES["static_fact_extract"] = _with(LINES, _TEXTS) + """
-SELECT 'cust' || o_custkey || '_' || plan_id || '_' || seq || '.pddl' AS name,
-       'in-nation cust' || o_custkey || ' nation' || n_nationkey AS fact
-FROM x JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
-
-ORACLES["plan_log_parse"] = _with(LINES) + """
-SELECT 'xml-GEN-cust' || t.o_custkey || '_' || t.plan_id || '_' || t.seq || '.SOL' AS plan_name,
-       any_value(CASE WHEN l.stocked THEN 'at ' || l.part || ' ' || l.supp ELSE '' END) AS initial_state,
-       any_value('at ' || l.part || ' ' || l.cust) AS goals,
-       string_agg(op || upper(' ' || a1 || ' ' || a2 || ' ' || a3), ';' ORDER BY step) AS actions,
-       string_agg(CAST(step - t.seq + 1 AS VARCHAR), ';' ORDER BY step) AS ids,
-       coalesce(string_agg(CAST(step - t.seq AS VARCHAR), ';' ORDER BY step) FILTER (step > t.seq), '') AS predecessors,
-       string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS preconditions,
-       string_agg('at ' || a1 || ' ' || a3, ';' ORDER BY step) AS positive_effects,
-       string_agg('at ' || a1 || ' ' || a2, ';' ORDER BY step) AS negative_effects
-FROM t JOIN l ON l.plan_id = t.plan_id AND l.seq = t.seq GROUP BY t.plan_id, t.o_custkey, t.seq"""
-
-# A log's own effects: what is shipped from a place leaves it and is at the next one. Goals have step 0.
-ORACLES["log_effect_replay"] = _with(LINES) + """,
-m AS (
-  SELECT t.*, l.stocked, l.supp, l.cust, l.ret, l.swapped, t.step - t.seq + 1 AS i,
-         'xml-GEN-cust' || t.o_custkey || '_' || t.plan_id || '_' || t.seq || '.SOL' AS name
-  FROM t JOIN l ON l.plan_id = t.plan_id AND l.seq = t.seq
-)
-SELECT name AS plan_id, i AS step, 'at ' || a1 || ' ' || a2 AS fact,
-       CASE WHEN i = 1 THEN stocked AND NOT swapped ELSE NOT swapped END AS holds FROM m
+_FILE = "'cust' || o_custkey || '_' || plan_id || '.pddl'"
+ORACLES["problem_parse"] = _with(LINES, SIZES) + f"""
+SELECT {_FILE} AS name, {_FILE} AS pddl_problem_file, n_initial_state AS len_initial_state, n_goals AS len_goals, CAST(0 AS BIGINT) AS len_plan,
+       n_initial_state + n_goals + 2 AS actions_idx, CAST(-1 AS BIGINT) AS eop_idx FROM z"""
+
+ORACLES["problem_facts"] = _with(LINES, SIZES, TOKENS) + f"""
+SELECT {_FILE} AS name, CASE section WHEN 'goals' THEN 'goal' ELSE 'init' END AS section, place, token AS fact
+FROM k JOIN z USING (plan_id) WHERE section <> 'actions'"""
+
+ORACLES["problem_objects"] = _with(LINES) + f"""
+SELECT DISTINCT {_FILE} AS name, part AS object, 'part' AS type FROM l JOIN part p ON part = 'part' || p_partkey WHERE p_size <> 50
+UNION ALL SELECT DISTINCT {_FILE}, supp, 'supplier' FROM l JOIN supplier ON supp = 'supp' || s_suppkey
+UNION ALL SELECT 'cust' || o_custkey || '_' || o_orderkey || '.pddl', 'cust' || o_custkey, 'customer' FROM orders JOIN customer ON c_custkey = o_custkey"""
+
+ORACLES["static_fact_extract"] = """
+SELECT 'cust' || o_custkey || '_' || o_orderkey || '.pddl' AS name, 'in-nation cust' || o_custkey || ' nation' || n_nationkey AS fact
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""
+
+_LOG = "'xml-GEN-cust' || o_custkey || '_' || plan_id || '.SOL'"
+ORACLES["plan_log_parse"] = _with(LINES) + f"""
+SELECT {_LOG} AS plan_name, 'action' AS kind, step, op || upper(' ' || a1 || ' ' || a2 || ' ' || a3) AS text, CAST(step AS VARCHAR) AS id,
+       CASE WHEN step > 1 THEN CAST(step - 1 AS VARCHAR) ELSE '' END AS predecessor, 'at ' || a1 || ' ' || a2 AS precondition,
+       'at ' || a1 || ' ' || a3 AS positive_effects, 'at ' || a1 || ' ' || a2 AS negative_effects FROM t
+UNION ALL
+SELECT {_LOG}, 'initial', 0, 'at ' || part || ' ' || supp, '', '', '', '', '' FROM l WHERE stocked
+UNION ALL
+SELECT {_LOG}, 'goals', 0, 'at ' || part || ' ' || cust, '', '', '', '', '' FROM l"""
+
+# The states that the logs' own effects make, those of unknown operators too. Goals have step 0.
+ORACLES["log_effect_replay"] = _with(
+    LINES,
+    """
+    i0 AS (
+      SELECT plan_id, o_custkey, coalesce(list_distinct(list('at ' || part || ' ' || supp) FILTER (stocked)), []) AS facts
+      FROM l GROUP BY 1, 2
+    ),
+    st AS (
+      SELECT plan_id, o_custkey, CAST(0 AS BIGINT) AS step, facts, '' AS asked, false AS holds FROM i0
+      UNION ALL
+      SELECT st.plan_id, st.o_custkey, t.step,
+             list_distinct(list_append(list_filter(st.facts, lambda f: f <> 'at ' || t.a1 || ' ' || t.a2), 'at ' || t.a1 || ' ' || t.a3)),
+             'at ' || t.a1 || ' ' || t.a2, list_contains(st.facts, 'at ' || t.a1 || ' ' || t.a2)
+      FROM st JOIN t ON t.plan_id = st.plan_id AND t.step = st.step + 1
+    ),
+    fin AS (SELECT plan_id, arg_max(facts, step) AS facts FROM st GROUP BY plan_id)
+    """,
+    recursive=True,
+) + f"""
+SELECT {_LOG} AS plan_id, step, asked AS fact, holds FROM st WHERE step > 0
 UNION ALL
-SELECT name, CAST(0 AS BIGINT), 'at ' || a1 || ' ' || cust, NOT ret AND NOT swapped FROM m WHERE i = 1"""
+SELECT DISTINCT {_LOG.replace('plan_id', 'l.plan_id')}, CAST(0 AS BIGINT), 'at ' || part || ' ' || cust, list_contains(facts, 'at ' || part || ' ' || cust)
+FROM l JOIN fin USING (plan_id)"""

@@ -5,43 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.tokens import action_operator, words
-from planloom.plans.corpus import Corpus, from_chunks, record_chunks
+from planloom.functions.tokens import action_objects, action_operator, words
+from planloom.plans.corpus import Corpus, from_chunks
 from planloom.plans.domains import Domain
+from planloom.schemas import LONG_PLAN_STEPS
+from planloom.sources.texts import INIT
 
 
 def generated_plans(generated: DataFrame, problems: DataFrame, domain: Domain) -> DataFrame:
-    """Generated plans joined to their problems: one chunk per plan.
+    """What is known of each generated plan: ``plan_id, problem_id, actions_seen, is_known, unreadable``.
 
-    ``generated`` has ``plan, actions_seen, problem_id, example_id`` as readers give them, ``problems`` one
-    row ``problem_id, initial_state, goals`` (texts) per problem. A plan is named by its example and the
-    actions seen. ``is_known`` tells whether its problem was found, ``unreadable`` whether an action has no
+    ``generated`` has ``plan, actions_seen, problem_id, example_id`` as readers give them, ``problems`` one row
+    with ``problem_id`` per problem. A plan is named by its example and the actions seen; it may have any
+    number of rows. ``is_known`` tells whether its problem was found, ``unreadable`` whether an action has no
     operator of the domain.
     """
-    known = problems.select("problem_id", "initial_state", "goals", F.lit(True).alias("is_known"))
-    joined = generated.join(known, "problem_id", "left").select(
-        F.concat_ws("_", "example_id", "actions_seen").alias("name"),
-        "problem_id",
-        "actions_seen",
-        F.coalesce("is_known", F.lit(False)).alias("is_known"),
-        F.coalesce("initial_state", F.lit("")).alias("initial_state"),
-        F.coalesce("goals", F.lit("")).alias("goals"),
-        F.coalesce("plan", F.lit("")).alias("actions"),
+    readable = F.forall(words(F.coalesce("plan", F.lit(""))), lambda t: action_operator(F.lower(t), domain).isNotNull())
+    plans = generated.groupBy(F.concat_ws("_", "example_id", "actions_seen").alias("plan_id"), "problem_id", "actions_seen").agg(
+        F.bool_or(~readable).alias("unreadable")
     )
-    readable = F.forall(words(F.col("actions")), lambda t: action_operator(F.lower(t), domain).isNotNull())
-    keep = ["problem_id", "actions_seen", "is_known", "unreadable"]
-    return record_chunks(joined.withColumn("unreadable", ~readable), domain, keep=keep)
+    known = problems.select("problem_id", F.lit(True).alias("is_known")).distinct()
+    return plans.join(known, "problem_id", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+
+
+def generated_corpus(
+    generated: DataFrame, facts: DataFrame, plans: DataFrame, domain: Domain, block_steps: int = LONG_PLAN_STEPS
+) -> Corpus:
+    """The corpus of generated plans, ready to be classified with objects per problem.
+
+    Steps come from ``generated``, in pieces where a column ``seq`` numbers the first step of each row, facts from
+    the rows ``problem_id, section, fact`` of the problems. Each of them is a chunk of its own, so neither plans nor
+    states are put together in a row.
+    """
 
+    def step(token):
+        token = F.lower(token)
+        op = F.coalesce(action_operator(token, domain), F.upper(token))
+        return F.struct(op.alias("op"), action_objects(token, domain).alias("args"))
 
-def generated_corpus(chunks: DataFrame) -> Corpus:
-    """The corpus of :func:`generated_plans`, ready to be classified with objects per problem."""
-    return from_chunks(chunks)
+    no_fact, no_step = F.array().cast("array<string>"), F.array().cast("array<struct<op:string,args:array<string>>>")
+    seq = F.col("seq") if "seq" in generated.columns else F.lit(1)
+    steps = generated.select(
+        F.concat_ws("_", "example_id", "actions_seen").alias("plan_id"),
+        seq.cast("long").alias("seq"),
+        no_fact.alias("initial"),
+        no_fact.alias("goals"),
+        F.transform(words(F.coalesce("plan", F.lit(""))), step).alias("steps"),
+        "problem_id",
+    )
+    is_init = F.col("section") == INIT
+    stated = facts.join(plans.select("plan_id", "problem_id"), "problem_id").select(
+        "plan_id",
+        F.lit(0).cast("long").alias("seq"),
+        F.when(is_init, F.array("fact")).otherwise(no_fact).alias("initial"),
+        F.when(~is_init, F.array("fact")).otherwise(no_fact).alias("goals"),
+        no_step.alias("steps"),
+        "problem_id",
+    )
+    return from_chunks(steps.unionByName(stated), block_steps)
 
 
-def with_plans(classified: DataFrame, chunks: DataFrame, missing: str) -> DataFrame:
+def with_plans(classified: DataFrame, plans: DataFrame, missing: str) -> DataFrame:
     """Classes with what is known of each plan; plans without a problem get the class ``missing``."""
-    about = chunks.select("plan_id", "problem_id", "actions_seen", "is_known", "unreadable")
-    joined = classified.join(about, "plan_id")
+    joined = classified.join(plans, "plan_id")
     return joined.withColumns(
         {
             "class": F.when(F.col("is_known"), F.col("class")).otherwise(F.lit(missing)),

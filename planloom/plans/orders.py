@@ -131,21 +131,40 @@ class OrderPlans:
     def long_plans(self) -> DataFrame | None:
         return long_groups(self.lineitem, ["plan_id"], n_steps())
 
+    def with_objects(self, lines: DataFrame) -> DataFrame:
+        """Lines with ``objects``: their part, supplier and customer with their types, as far as the tables list them."""
+
+        def listed(table: DataFrame, key: str, line_key: str) -> DataFrame:
+            return table.select(F.col(key).alias(line_key), F.lit(True).alias(f"has_{line_key}"))
+
+        things = (
+            ("part", "part", listed(self.table("part").filter(F.col("p_size") != UNLISTED_SIZE), "p_partkey", "l_partkey")),
+            ("supp", "supplier", listed(self.table("supplier"), "s_suppkey", "l_suppkey")),
+            ("cust", "customer", listed(self.table("customer"), "c_custkey", "o_custkey")),
+        )
+        objects = []
+        for prefix, kind, known in things:
+            key = known.columns[0]
+            lines = lines.join(known, key, "left")
+            objects.append(F.when(F.col(f"has_{key}"), F.struct(named(prefix, key).alias("name"), F.lit(kind).alias("type"))))
+        return lines.withColumn("objects", F.array_compact(F.array(*objects)))
+
     def corpus(self, *keep: str) -> Corpus:
         long = self.long_plans()
+        described = self.with_objects if "objects" in keep else lambda lines: lines
         ordinary, rest = number_rows(
-            self.lines(empty=True),
+            described(self.lines(empty=True)),
             ["plan_id"],
             LINE_ORDER,
             LINE_BLOCK,
             long,
             n_steps(),
-            long_rows=None if long is None else self.only(long).lines(),
+            long_rows=None if long is None else described(self.only(long).lines()),
         )
         return Corpus(
             as_chunks(ordinary, *keep),
             None if rest is None else as_chunks(rest, *keep),
-            as_chunks(self.lines(), *keep),
+            as_chunks(described(self.lines()), *keep),
         )
 
     def sizes(self) -> DataFrame:

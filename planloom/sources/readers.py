@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.schemas import GENERATED_PLAN, PLAN_RECORD
-from planloom.sources.texts import parse_plan_logs, parse_problems
+from planloom.sources.lines import read_lines
+from planloom.sources.texts import log_rows, parse_problems, problem_sections, raw_plans
 
 
 def _file_name():
@@ -33,19 +34,16 @@ def read_generated(
     return spark.read.schema(GENERATED_PLAN).option("multiLine", not lines).json(pattern)
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    return files.select(_file_name().alias("name"), F.col("value").alias("text"))
-
-
-def read_problem_files(spark: SparkSession, path: str) -> DataFrame:
-    """Problem files as ``name, text``."""
-    return _whole_files(spark, path)
+def read_problems(spark: SparkSession, path: str, prefixes=("at",)) -> DataFrame:
+    """One row of numbers per problem file; facts and objects come from the same sections."""
+    return parse_problems(problem_sections(read_lines(spark, path)), prefixes)
 
 
-def read_problems(spark: SparkSession, path: str, prefixes=("at",)) -> DataFrame:
-    return parse_problems(_whole_files(spark, path), prefixes)
+def read_log_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The metadata lines of plan logs of any length, one row each."""
+    return log_rows(read_lines(spark, path))
 
 
 def read_plan_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_plan_logs(_whole_files(spark, path))
+    """Plan logs as one nested record each, for logs that fit a row."""
+    return raw_plans(read_log_rows(spark, path))

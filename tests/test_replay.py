@@ -107,11 +107,14 @@ def test_generated_plans_meet_their_problems(spark):
     tokens = "LOADTRUCKOBJ1TRU1POS1 DRIVETRUCKTRU1POS1POS2CIT1 UNLOADTRUCKOBJ1TRU1POS2"
     made = [("", tokens, 0, "p", "e1"), ("", tokens.lower(), 7, "p", "e2"), ("", tokens, 0, "q", "e3"), ("", "NONSENSE1", 1, "p", "e4"), ("", "", 1, "p", "e5")]
     made = spark.createDataFrame(made, GENERATED_PLAN)
-    problems = spark.createDataFrame([("p", " ".join(INITIAL), " ".join(GOALS))], "problem_id string, initial_state string, goals string")
+    facts = [("p", "init", f) for f in INITIAL] + [("p", "goal", f) for f in GOALS]
+    facts = spark.createDataFrame(facts, "problem_id string, section string, fact string")
     listed = objects(spark).withColumn("problem_id", F.lit("p"))
-    chunks = generated.generated_plans(made, problems, LOGISTICS)
-    classes = validate.classify(generated.generated_corpus(chunks), LOGISTICS, listed)
-    classes = generated.with_plans(classes, chunks, MISSING_PROBLEM)
+    plans = generated.generated_plans(made, facts, LOGISTICS)
+    classes = validate.classify(generated.generated_corpus(made, facts, plans, LOGISTICS), LOGISTICS, listed)
+    blocks = validate.classify(generated.generated_corpus(made, facts, plans, LOGISTICS, 2), LOGISTICS, listed)
+    assert sorted(blocks.collect()) == sorted(classes.collect())
+    classes = generated.with_plans(classes, plans, MISSING_PROBLEM)
     assert {(r["plan_id"], r["class"]) for r in classes.collect()} == {
         ("e1_0", "valid"), ("e2_7", "valid"), ("e3_0", "missing_problem"),
         ("e4_1", "bad_operator_error"), ("e5_1", "unsatisfied_goal_error"),

@@ -1,12 +1,15 @@
 """Readers and writers on files, parsers on hand-written texts."""
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
+from planloom.operators import replay
 from planloom.operators.records import normalize_raw, plan_records
 from planloom.schemas import GENERATED_PLAN, PLAN_RAW, PLAN_RECORD
 from planloom.sources import readers, texts, writers
+from planloom.sources.lines import read_lines, text_lines
 
 PROBLEM = """(define (problem small)
 (:domain logistics)
@@ -94,20 +97,30 @@ def test_problem_files(spark, tmp_path):
     (tmp_path / "p1.pddl").write_text(PROBLEM)
     row = readers.read_problems(spark, str(tmp_path)).collect()[0]
     assert row["name"] == "p1.pddl"
-    assert row["initial_state"] == "atapn4apt4 atobj23pos12 atobj44pos12"
-    assert row["goals"] == "atobj23apt4"
     assert (row["len_initial_state"], row["len_goals"], row["len_plan"]) == (3, 1, 0)
-    assert (row["actions"], row["actions_idx"], row["eop_idx"]) == ("", 6, -1)
+    assert (row["actions_idx"], row["eop_idx"]) == (6, -1)
 
-    files = readers.read_problem_files(spark, str(tmp_path))
-    lines = texts.prefixed_lines(files, "(in-city").collect()
-    assert [r["fact"] for r in lines] == ["in-city apt4 cit5"]
-    objects = {(r["object"], r["type"]) for r in texts.problem_objects(files).collect()}
+    lines = read_lines(spark, str(tmp_path))
+    found = texts.prefixed_lines(lines, "(in-city").collect()
+    assert [r["fact"] for r in found] == ["in-city apt4 cit5"]
+    sections = texts.problem_sections(lines)
+    objects = {(r["object"], r["type"]) for r in texts.problem_objects(sections).collect()}
     assert objects == {("apn4", "airplane"), ("apn5", "airplane"), ("cit5", "city"), ("obj23", "package"), ("obj44", "package")}
-    facts = texts.problem_facts(files)
+    facts = {(r["section"], r["place"]): r["fact"] for r in texts.problem_facts(sections, ["at"]).collect()}
+    assert facts == {("init", 0): "atapn4apt4", ("init", 1): "atobj23pos12", ("init", 2): "atobj44pos12", ("goal", 0): "atobj23apt4"}
+    facts = texts.problem_facts(sections)
     assert facts.filter("section = 'init'").count() == 4 and facts.filter("section = 'goal'").count() == 2
 
 
+def test_objects_take_the_next_type(spark):
+    text = "(define\n(:objects a1 b2\n  c3 - kind\n d4 - other e5\n\tf6\n) (:init (at a1 b2)) (:goal (and (at c3 d4)\n(at a1 d4)))"
+    sections = texts.problem_sections(text_lines(spark.createDataFrame([("p", text)], "name string, text string")))
+    objects = {r["object"]: r["type"] for r in texts.problem_objects(sections).collect()}
+    assert objects == {"a1": "kind", "b2": "kind", "c3": "kind", "d4": "other", "e5": None, "f6": None}
+    facts = {(r["section"], r["place"]): r["fact"] for r in texts.problem_facts(sections).collect()}
+    assert facts == {("init", 0): "at a1 b2", ("goal", 0): "at c3 d4", ("goal", 1): "at a1 d4"}
+
+
 def test_plan_logs(spark, tmp_path):
     (tmp_path / "xml-GEN-p1_2.SOL").write_text(LOG)
     raw = readers.read_plan_logs(spark, str(tmp_path))
@@ -125,4 +138,64 @@ def test_plan_logs(spark, tmp_path):
 
 def test_log_without_metadata_is_left_out(spark):
     df = spark.createDataFrame([("a", "nothing\nhere")], "name string, text string")
-    assert texts.parse_plan_logs(df).count() == 0
+    assert texts.log_rows(text_lines(df)).count() == 0
+
+
+def small_splits(spark, size):
+    """Settings under which files are read in splits of ``size`` bytes."""
+    return {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+
+
+@contextmanager
+def settings(spark, changed):
+    before = {k: spark.conf.get(k, None) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def long_log(actions):
+    head, *_, goals = LOG.strip().split("\n")[1:]
+    step = ";;(:metadata <Action><Name>(MOVE A{0})</Name><Id>{0}</Id><Parent>0</Parent><Student>s</Student><FFheuristic>2<FFheuristic><Predecessors></Predecessors><Preconds><F>(at a{1})</F></Preconds><PositiveEffects><F>(at a{0})</F></PositiveEffects><NegativeEffects><F>(at a{1})</F></NegativeEffects></Action>)"
+    lines = [head] + [line for n in range(2, actions + 1) for line in (f"{n}: (MOVE)", step.format(n, n - 1))]
+    return "\n".join([*lines, goals]) + "\n"
+
+
+def test_a_long_log_parses_alike_in_many_blocks(spark, tmp_path):
+    (tmp_path / "long.SOL").write_text(long_log(20_000))
+    (tmp_path / "short.SOL").write_text(LOG)
+    whole = readers.read_log_rows(spark, str(tmp_path)).select("plan_name", "step", F.to_json("action").alias("a"), "initial", "goals")
+    want = sorted(map(tuple, whole.collect()), key=repr)
+    assert len(want) == 20_000 + 1 + 3
+    with settings(spark, small_splits(spark, 100_000)):
+        lines = read_lines(spark, str(tmp_path))
+        assert lines.blocked and lines.rows.select("block").distinct().count() > 50
+        cut = texts.log_rows(lines).select("plan_name", "step", F.to_json("action").alias("a"), "initial", "goals")
+        assert sorted(map(tuple, cut.collect()), key=repr) == want
+        held = replay.replay_logs(texts.log_rows(lines), 500)
+        facts = {(r["plan_id"], r["step"], r["fact"]): r["holds"] for r in held.collect()}
+    plain = replay.replay_logs(texts.log_rows(read_lines(spark, str(tmp_path))), 10**9)
+    assert facts == {(r["plan_id"], r["step"], r["fact"]): r["holds"] for r in plain.collect()}
+    # a1 is nowhere before step 2; each later step stands where the last one went.
+    assert facts["long.SOL", 2, "at a1"] is False and all(facts["long.SOL", n, f"at a{n - 1}"] for n in range(3, 20_001))
+
+
+def test_a_long_problem_file_parses_alike_in_many_blocks(spark, tmp_path):
+    body = "\n".join(f"\t(at obj{n} pos{n % 7})" for n in range(3000))
+    objects = "\n".join(f"\tobj{n}" + (" - package" if n % 10 == 9 else "") for n in range(3000))
+    (tmp_path / "long.pddl").write_text(f"(define (problem x)\n(:objects\n{objects}\n)\n(:init\n{body}\n)\n(:goal\n(and\n{body}\n))\n)\n")
+
+    def parsed():
+        lines = read_lines(spark, str(tmp_path))
+        sections = texts.problem_sections(lines)
+        return lines.blocked, [sorted(map(tuple, f.collect())) for f in (texts.problem_facts(sections), texts.problem_objects(sections), texts.parse_problems(sections))]
+
+    blocked, want = parsed()
+    assert not blocked and len(want[0]) == 6000 and {r[2] for r in want[1]} == {"package"}
+    with settings(spark, small_splits(spark, 10_000)):
+        blocked, got = parsed()
+    assert blocked and got == want
