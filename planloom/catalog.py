@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import sequences as seq
 from planloom.functions import tokens as tok
-from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, validate, vocab
+from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, table_domain, validate, vocab
 from planloom.operators.bounded import lookup
 from planloom.plans import funnel, generated, orders, predictions, sample_texts
 from planloom.plans.corpus import Corpus
@@ -20,6 +20,7 @@ from planloom.plans.orders import OrderPlans
 from planloom.schemas import BAD_OPERATOR, END, MISSING_PROBLEM, PAD, SPECIAL_TOKENS
 from planloom.session import tune
 from planloom.sources import texts
+from planloom.sources.domain_texts import parse_domains
 from planloom.sources.lines import Lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,16 @@ def validation_classes(spark, sf_dir):
     return classes.withColumn("step", F.coalesce("step", F.lit(0)))
 
 
+@query
+def table_domain_classes(spark, sf_dir):
+    """Classes of all orders by the shipping domain as a text: its tables are parsed, closed over types and joined."""
+    plans = OrderPlans(spark, sf_dir)
+    domain = spark.range(1).select(F.lit("shipping").alias("name"), F.lit(sample_texts.SHIPPING_TEXT).alias("text"))
+    tables = table_domain.TableDomain(parse_domains(domain).only("shipping"))
+    found = table_domain.classify(plans.corpus("problem_id"), tables, plans.objects())
+    return found.withColumn("step", F.coalesce("step", F.lit(0)))
+
+
 @query
 def validation_scores(spark, sf_dir):
     plans = FunnelPlans(spark, sf_dir)

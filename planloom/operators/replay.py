@@ -25,6 +25,10 @@ _PROBE, _DELETE, _ADD = 0, 1, 2
 _AT_END = 2**62
 _LAST_BLOCK = 2**61
 
+# For domains that are tables: the place of each kind of condition within a step, additions last.
+AT_END = _AT_END
+PLACES = {"pre": _PROBE, "delete": _DELETE, "add": _ADD}
+
 
 def _event(fact: Column, order: Column, is_add: Column, step: Column) -> Column:
     return F.struct(

@@ -27,7 +27,7 @@ _STEP_BITS = 48
 _STEPS = 2**_STEP_BITS
 
 
-def _rank(plan_class: str) -> Column:
+def rank_of(plan_class: str) -> Column:
     return F.lit(PLAN_CLASSES.index(plan_class))
 
 
@@ -42,20 +42,33 @@ def argument_findings(corpus: Corpus, domain: Domain, objects: DataFrame) -> Dat
     steps = corpus.any_order().select("plan_id", *keys[:-1], F.inline("steps"))
     arity = domain.by_operator(F.col("op"), lambda a: F.lit(len(a.params)))
     no_step = F.lit(None).cast("long").alias("step")
-    shape = F.when(~domain.is_known(F.col("op")), _rank(BAD_OPERATOR))
-    shape = shape.when(F.size("args") != arity, _rank(TYPE_CHECKING))
+    shape = F.when(~domain.is_known(F.col("op")), rank_of(BAD_OPERATOR))
+    shape = shape.when(F.size("args") != arity, rank_of(TYPE_CHECKING))
     shapes = steps.select("plan_id", shape.alias("rank"), no_step).filter(F.col("rank").isNotNull())
 
     slots = steps.select("plan_id", *keys[:-1], "op", F.posexplode("args").alias("slot", "name"))
     uses = [*keys, "op", "slot"]
     types = objects.groupBy(*keys).agg(F.collect_set("type").alias("types"))
     fits = F.exists("types", lambda t: F.coalesce(domain.accepts(F.col("op"), F.col("slot"), t), F.lit(False)))
-    rank = F.when(F.col("types").isNull(), _rank(UNKNOWN_TYPE)).when(~fits, _rank(TYPE_CHECKING))
+    rank = F.when(F.col("types").isNull(), rank_of(UNKNOWN_TYPE)).when(~fits, rank_of(TYPE_CHECKING))
     failing = slots.select(*uses).distinct().join(types, keys, "left").select(*uses, rank.alias("rank"))
     failed = slots.join(failing.filter(F.col("rank").isNotNull()), uses).select("plan_id", "rank", no_step)
     return shapes.unionByName(failed)
 
 
+def condition_ranks(seen: DataFrame) -> DataFrame:
+    """What preconditions and goals of an observed timeline speak for."""
+    # The start of a plan asks nothing: it stands for a plan without errors.
+    return seen.filter(F.col("is_add").isNull()).select(
+        "plan_id",
+        F.when(F.col("held") | (F.col("fact") == ""), rank_of(VALID))
+        .when(F.col("step").isNull(), rank_of(UNSATISFIED_GOAL))
+        .otherwise(rank_of(PRECONDITION))
+        .alias("rank"),
+        F.when(~F.col("held"), F.col("step")).alias("step"),
+    )
+
+
 def findings(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     """Everything that speaks for a class of a plan: ``plan_id, rank, step``.
 
@@ -63,23 +76,18 @@ def findings(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     """
 
     def conditions(part: Part) -> DataFrame:
-        # The start of a plan asks nothing: it stands for a plan without errors.
-        asked = observe(part, timeline(part, domain)).filter(F.col("is_add").isNull())
-        return asked.select(
-            "plan_id",
-            F.when(F.col("held") | (F.col("fact") == ""), _rank(VALID))
-            .when(F.col("step").isNull(), _rank(UNSATISFIED_GOAL))
-            .otherwise(_rank(PRECONDITION))
-            .alias("rank"),
-            F.when(~F.col("held"), F.col("step")).alias("step"),
-        )
+        return condition_ranks(observe(part, timeline(part, domain)))
 
     return corpus.over_parts(conditions).unionByName(argument_findings(corpus, domain, objects))
 
 
 def classify(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     """One row per plan: ``plan_id, class, step`` (the first failing step of a precondition)."""
-    found = findings(corpus, domain, objects)
+    return worst_class(findings(corpus, domain, objects))
+
+
+def worst_class(found: DataFrame) -> DataFrame:
+    """The most serious finding of each plan."""
     # Rank and step in one number: its minimum is kept in a hash aggregate.
     code = F.col("rank").cast("long") * _STEPS + F.coalesce("step", F.lit(0))
     worst = found.groupBy("plan_id").agg(F.min(code).alias("worst"))
@@ -89,7 +97,7 @@ def classify(corpus: Corpus, domain: Domain, objects: DataFrame) -> DataFrame:
     return worst.select(
         "plan_id",
         F.get(names, rank).alias("class"),
-        F.when(rank == _rank(PRECONDITION), step).alias("step"),
+        F.when(rank == rank_of(PRECONDITION), step).alias("step"),
     )
 
 

@@ -281,6 +281,9 @@ SELECT plan_id, 'cust' || o_custkey AS problem_id,
        CASE WHEN c_custkey IS NOT NULL AND class = 'precondition_error' THEN pre_step ELSE 0 END AS step
 FROM cl JOIN orders ON o_orderkey = plan_id LEFT JOIN customer ON c_custkey = o_custkey"""
 
+ORACLES["table_domain_classes"] = _with(LINES, STATES, OBJECTS, CLASSES, recursive=True) + """
+SELECT plan_id, class, CASE WHEN class = 'precondition_error' THEN pre_step ELSE 0 END AS step FROM cl"""
+
 ORACLES["validation_scores"] = _with(
     FUNNEL_STEPS,
     FUNNEL_STATES,
