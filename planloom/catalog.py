@@ -112,13 +112,16 @@ def _dictionary(spark: SparkSession, sf_dir: str, token: Column) -> DataFrame:
 
 @query
 def encode_actions(spark, sf_dir):
-    dictionary = _dictionary(spark, sf_dir, F.lower("token"))
-    decoded = dictionary.select(tok.decode_action(F.col("token"), SHIPPING).alias("decoded"))
-    encoded = decoded.filter("decoded IS NOT NULL").withColumn("token", tok.encode_action(F.col("decoded")))
-    ids = encoded.join(dictionary, "token", "left").withColumn("token_id", F.coalesce("token_id", F.lit(0)))
-    back = dictionary.select("token_id", tok.decode_action(F.col("token"), SHIPPING).alias("found"))
-    found = ids.join(back, "token_id", "left")
-    return found.select("decoded", F.col("token").alias("encoded"), "token_id", F.coalesce("found", F.lit("")).alias("found"))
+    # One exchange by token serves both sides of the join below. The filter is not deterministic, or it would be pushed
+    # below that exchange on one side only, and the dictionary be made twice.
+    dictionary = _dictionary(spark, sf_dir, F.lower("token")).repartition("token")
+    dictionary = dictionary.withColumn("decoded", tok.decode_action(F.col("token"), SHIPPING))
+    known = dictionary.filter(F.col("decoded").isNotNull() & (F.monotonically_increasing_id() >= 0))
+    encoded = known.select("decoded", tok.encode_action(F.col("decoded")).alias("encoded"))
+    # The row of the encoded form has its id, and what the id decodes to.
+    back = dictionary.select(F.col("token").alias("encoded"), "token_id", F.col("decoded").alias("found"))
+    found = encoded.join(back, "encoded", "left")
+    return found.select("decoded", "encoded", F.coalesce("token_id", F.lit(0)).alias("token_id"), F.coalesce("found", F.lit("")).alias("found"))
 
 
 @query
