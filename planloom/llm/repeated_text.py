@@ -22,14 +22,18 @@ are decided at once and dealt out evenly, so that a passage that a third of all
 per batch to its group. Passes only stream sorted rows. Texts are shuffled once, by doc_id, to look
 up the suffixes of passes three and four and to cut out what goes.
 
+Texts go by a number of their own, ``doc``. Where every row has a doc_id of its own, that is it. Otherwise rows are
+sorted by ranges of doc_id, SHA-256 of the text and place in the input, and numbered in that order; the numbers
+are stored with the texts. So rows that share a doc_id, or have none, are dealt like all others.
+
 Defined results: a null text is empty; texts shorter than ``DEPTH`` stay whole; a null doc_id ranks below
-all others; texts that share a doc_id are taken in the order of their checksums, and of equal rows with
-one doc_id the first stays; an empty table gives an empty result; further columns are not read.
+all others; texts that share a doc_id are taken in the order of their SHA-256, and of equal rows with
+one doc_id the first stays; an empty table gives an empty result; further columns are not read. ``DEPTH`` less ``GRAM``
+is less than 128, and a text has less than 2**33 bytes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,28 +41,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import SLICE_BYTES, mix, slices, span_hashes, stored, text_buffer
+from planloom.llm.common import SLICE_BYTES, mix, slices, span_hashes, stored, text_buffer, written
 
 DEPTH = 100
 GRAM = 24
 BLOCK = 8
-LOWEST = -(1 << 63)
 
-# A place is one number: checksum of the text, start, whether it is decided, and suffixes after the first.
-_SPAN, _LATER, _START, _SUM = 7, 1 << 7, 8, 41
-_SUM_BITS = 22
+# A place is one number: start, whether it is decided, and suffixes after the first.
+_SPAN, _LATER, _START, _PLACE_BITS = 7, 1 << 7, 8, 41
 
-_START_MASK, _SPAN_MASK = (1 << (_SUM - _START)) - 1, _LATER - 1
+_SPAN_MASK = _LATER - 1
 
 _ROWS = "gram long, digit long, doc long, place long"
 _NAMES = ["gram", "digit", "doc", "place"]
 _FOUND = "doc long, place long, check boolean"
 
 
-def checksum(text: memoryview) -> int:
-    return zlib.crc32(text) & ((1 << _SUM_BITS) - 1)
-
-
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each ``width`` consecutive values."""
     size, least = 1, values
@@ -131,20 +129,15 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _checksums(offsets: np.ndarray, data: memoryview) -> np.ndarray:
-    return np.array([checksum(data[x:y]) for x, y in zip(offsets[:-1], offsets[1:])], np.int64)
-
-
 def _runs_of(batch: pa.RecordBatch, wanted: list | None, depth: int, gram: int) -> Iterator[tuple]:
     """Per piece of a batch: rows and places of the runs, their first and last starts, grams and bytes."""
     offsets, data = text_buffer(batch.column("text"))
-    sums = _checksums(offsets, data)
     for a, bounds, part, shift in _texts(offsets, data, wanted, depth):
         first, last, at, grams = runs(part, bounds[1:], depth, gram)
         # Empty texts share a bound with the next one.
         owner = np.searchsorted(bounds, first, side="right") - 1
         start = first - bounds[owner] + shift
-        yield owner + a, sums[owner + a] << _SUM | start << _START, first, last, at, grams, part
+        yield owner + a, start << _START, first, last, at, grams, part
 
 
 def _each(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,9 +169,11 @@ def _blocks(depth: int, gram: int):
             docs, parts = _ids(batch), []
             wanted = batch.column("places").to_pylist()
             for owner, place, first, last, at, _, part in _runs_of(batch, wanted, depth, gram):
-                # A text with another's checksum may get blocks of its own that nobody asked for.
-                asked = [np.array(wanted[n] or [], np.int64) for n in np.unique(owner).tolist()]
-                keep = np.flatnonzero(np.isin(place | (last - first), np.concatenate([place[:0], *asked])))
+                # The places asked for, each with the row it belongs to.
+                rows = np.unique(owner)
+                asked = [np.array(wanted[n] or [], np.int64) + (n << _PLACE_BITS) for n in rows.tolist()]
+                own = (owner << _PLACE_BITS) + (place | (last - first))
+                keep = np.flatnonzero(np.isin(own, np.concatenate([place[:0], *asked])))
                 first, last, at, owner, place = (x[keep] for x in (first, last, at, owner, place))
                 block, which = _each((at - last) // BLOCK, (at - first) // BLOCK)
                 near = at[which] - block * BLOCK
@@ -201,15 +196,14 @@ def _suffixes(depth: int):
         for batch in batches:
             docs, parts = _ids(batch), []
             offsets, data = text_buffer(batch.column("text"))
-            sums = _checksums(offsets, data)
             wanted = [np.array(w or [], np.int64) for w in batch.column("places").to_pylist()]
             for a, bounds, part, shift in _texts(offsets, data, [len(w) for w in wanted], depth):
                 rows = np.repeat(np.arange(len(bounds) - 1), [len(wanted[a + n]) for n in range(len(bounds) - 1)])
                 place = np.concatenate([wanted[a][:0], *wanted[a : a + len(bounds) - 1]])
-                begin = ((place >> _START) & _START_MASK) - shift
+                begin = (place >> _START) - shift
                 span = place & _SPAN_MASK
-                # Texts that share a doc_id get each other's places; of a long text, this piece's only.
-                inside = (place >> _SUM == sums[a + rows]) & (begin >= 0) & (begin + span + depth <= np.diff(bounds)[rows])
+                # Of a long text, this piece's only.
+                inside = (begin >= 0) & (begin + span + depth <= np.diff(bounds)[rows])
                 rows, place, begin, span = (x[inside] for x in (rows, place, begin, span))
                 start, which = _each(bounds[rows] + begin, bounds[rows] + begin + span)
                 step = start - (bounds[rows] + begin)[which]
@@ -292,27 +286,18 @@ def _pass(rows: DataFrame, step, shape: str) -> DataFrame:
 
 def _cut(depth: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, seen = None, set()
         for batch in batches:
             offsets, data = text_buffer(batch.column("text"))
             columns = [[], [], [], []]
-            for n, (doc, places) in enumerate(zip(_ids(batch).tolist(), batch.column("places").to_pylist())):
+            for n, places in enumerate(batch.column("places").to_pylist()):
                 text = data[offsets[n] : offsets[n + 1]]
-                own = checksum(text)
-                if doc != current:
-                    current, seen = doc, set()
-                if own in seen and len(text) >= depth:
-                    first, end = np.array([0]), np.array([len(text)])
-                else:
-                    place = np.unique(np.array(places or [], np.int64))
-                    place = place[place >> _SUM == own]
-                    first = (place >> _START) & _START_MASK
-                    end = first + (place & _SPAN_MASK) + depth
-                    order = np.argsort(first, kind="stable")
-                    first, end = first[order], np.maximum.accumulate(end[order])
-                    head = np.flatnonzero(np.r_[True, first[1:] > end[:-1]]) if len(first) else np.zeros(0, np.int64)
-                    first, end = first[head], end[np.r_[head[1:] - 1, len(end) - 1]] if len(head) else end
-                seen.add(own)
+                place = np.unique(np.array(places or [], np.int64))
+                first = place >> _START
+                end = first + (place & _SPAN_MASK) + depth
+                order = np.argsort(first, kind="stable")
+                first, end = first[order], np.maximum.accumulate(end[order])
+                head = np.flatnonzero(np.r_[True, first[1:] > end[:-1]]) if len(first) else np.zeros(0, np.int64)
+                first, end = first[head], end[np.r_[head[1:] - 1, len(end) - 1]] if len(head) else end
                 kept, at = [], 0
                 for x, y in zip(first.tolist(), end.tolist()):
                     kept.append(text[at:x])
@@ -323,32 +308,45 @@ def _cut(depth: int):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["doc", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``doc_id, doc, text``: ``doc`` is different for each row and rises with doc_id, null ones first."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return texts.withColumn("doc", F.col("doc_id"))
+    order = ["doc_id", "digest", "row"]
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = texts.withColumns({"digest": digest, "row": F.monotonically_increasing_id()})
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Numbers of rows in their tasks rise with the ranges.
+    return written(rows.select("doc_id", "text", F.monotonically_increasing_id().alias("doc")))
+
+
 def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """Per row ``doc_id, n_bytes, n_removed, n_spans, kept``; ``kept`` are the bytes that stay."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.withColumn("doc", F.coalesce("doc_id", F.lit(LOWEST)))
+    if not 0 < gram <= depth or depth - gram >= 1 << _SPAN or depth > SLICE_BYTES:
+        raise ValueError("a gram is at most as long as the depth, and at most 127 bytes shorter")
+    texts = numbered(docs)
     found = stored(_pass(texts.select("doc", "text").mapInArrow(_all_runs(depth, gram), _ROWS), _later, _FOUND))
 
     def places(rows: DataFrame) -> DataFrame:
         return rows.groupBy("doc").agg(F.collect_list("place").alias("places"))
 
-    # One shuffle of the texts, read three times: all three reads need the same two columns.
+    # One shuffle of the texts, read three times: all three reads need the same columns.
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_doc = texts.select("doc", "text").repartition(parts, "doc")
+    by_doc = texts.select("doc", "doc_id", "text").repartition(parts, "doc")
     blocks = by_doc.join(places(found.filter("check")), "doc").mapInArrow(_blocks(depth, gram), _ROWS)
     blocks = _pass(blocks, _repeated, "doc long, place long")
     suffixes = by_doc.join(places(blocks), "doc").mapInArrow(_suffixes(depth), _ROWS)
     suffixes = _pass(suffixes, _later, _FOUND)
     gone = places(found.unionByName(suffixes).filter("NOT check"))
-    joined = by_doc.join(gone, "doc", "left").select("doc", "text", "places")
-    shape = "doc long, n_bytes long, n_removed long, n_spans long, kept binary"
-    cut = joined.sortWithinPartitions("doc").mapInArrow(_cut(depth), shape)
-    doc_id = F.nullif("doc", F.lit(LOWEST)).alias("doc_id")
-    return cut.select(doc_id, "n_bytes", "n_removed", "n_spans", "kept")
+    joined = by_doc.join(gone, "doc", "left").select("doc_id", "text", "places")
+    return joined.mapInArrow(_cut(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -53,6 +53,24 @@ def test_repeated_passages_of_hot_texts_odd_ids_and_no_rows(spark):
     assert repeated_text.remove_repeats(empty(spark)).count() == 0
 
 
+def test_different_texts_without_doc_id_stay(spark):
+    rng = random.Random(12)
+    table = [(None if n % 3 else n % 50, "".join(rng.choices("abcdefghijklmnop", k=110))) for n in range(20_000)]
+    got = repeated_text.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(4))
+    assert got.filter("n_removed = 0 AND n_bytes = 110").count() == 20_000
+
+
+def test_repeated_passages_of_shared_doc_ids(spark):
+    rng = random.Random(13)
+    part = ["".join(rng.choices("abcdef \n", k=rng.randint(60, 220))) for _ in range(10)]
+    table = [(rng.choice([None, 1, 2, 3, 50 + n]), "".join(rng.choice(part) if rng.random() < 0.6 else str(rng.random()) for _ in range(rng.randint(0, 7)))) for n in range(80)]
+    order = sorted(table, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(r[1].encode()).digest()))
+    want = repeats_brute([(n, text) for n, (_, text) in enumerate(order)])
+    got = repeated_text.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: (repr(r[0]), *r[1:])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=key) == sorted(((i, *want[n]) for n, (i, _) in enumerate(order)), key=key)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
