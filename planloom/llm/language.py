@@ -13,8 +13,10 @@ and is sent to all tasks; every text is then labelled as a whole.
 
 A text's language is that with the largest mean probability over its words with letters, and the mean is
 the score. Defined results: ``und`` with score 0 for a null text or one without a letter; with no
-labelled rows to learn from all texts are ``und``; ties go to the first language in order; each row is
-judged alone, so repeated rows repeat; an empty table gives an empty result.
+labelled rows to learn from all texts are ``und``; of more than ``MOST_LANGUAGES`` languages those with the most
+labelled rows are learned (ties by name), and texts in others get one of these; ties go to the first language
+in order; each row is judged alone, so repeated rows repeat, and copies of a labelled row are learned once; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -247,17 +249,16 @@ def _fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> dict | None:
     """A model from ``doc_id, text, lang``; None where nothing is labelled."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    sizes = labelled.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return None
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     key = F.xxhash64("doc_id", "text")
     draw = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, min(1.0, SAMPLE_DOCS / n))])
     sample = labelled.filter(draw < share[F.col("lang")]).select("lang", "text", key.alias("key"))
     pieces = sample.mapInArrow(_pieces, "lang string, key long, n int, piece string")
-    fitted = pieces.repartition(1).mapInArrow(_fit, "model binary").collect()
+    # Copies of a row have the same pieces; they are combined before the one task.
+    fitted = pieces.distinct().repartition(1).mapInArrow(_fit, "model binary").collect()
     return pickle.loads(fitted[0][0]) if fitted else None
 
 

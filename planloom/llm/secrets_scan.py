@@ -14,8 +14,8 @@ A candidate is a *core* of a token, that is of a run without blanks: a run of le
 
 The forest learns from labelled findings: candidates of a known format are positive, wherever they stand in a core, numbers,
 addresses and dictionary words negative; all others are unlabelled, and the forest decides. It is fitted on a bounded
-sample of ``SAMPLE`` labelled candidates, chosen by hash, that no held-out document contributes to; every
-candidate of every text is then judged.
+sample, up to ``SAMPLE / 2`` distinct labelled candidates of each kind, chosen by hash, that no held-out document
+contributes to; every candidate of every text is then judged.
 
 Words are counted with map-side sums, candidates' letter runs are reduced to distinct candidates before
 they meet the word counts, and a candidate that many texts share is one row until it is joined back, where
@@ -29,6 +29,8 @@ read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -194,16 +196,17 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
             several = judged.groupBy(*keys).agg(F.count_distinct("part").alias("n")).filter("n > 1").select(*keys)
             own = own.filter("label = 0").unionByName(own.filter("label = 1").join(several, keys, "left_anti"))
         judged = stored(judged.drop("label").join(own, keys, "left"))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(judged)
-    learnable = vectors.filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
-    sample = learnable.orderBy(F.xxhash64("core", "doc_id", "position", "part")).limit(SAMPLE).select("features", "label")
-    sample = stored(sample.coalesce(1))
-    kinds = sample.agg(F.count_distinct("label").alias("n")).first()["n"]
-    if kinds < 2:
+    assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    vectors = assembler.transform(judged)
+    learnable = judged.filter(~held_out(F.col("doc_id")) & F.col("label").isNotNull()).select("core", *FEATURES, "label").distinct()
+    kinds = {r.label for r in learnable.select("label").distinct().limit(3).collect()}
+    if len(kinds) < 2:
         probability = F.col("known").cast("double")
         scored = vectors.withColumn("probability", probability)
     else:
-        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11).fit(sample)
+        drawn = [learnable.filter(F.col("label") == k).orderBy(F.xxhash64("core", *FEATURES)).limit(SAMPLE // 2) for k in sorted(kinds)]
+        sample = stored(reduce(DataFrame.unionByName, drawn).coalesce(1))
+        forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11).fit(assembler.transform(sample))
         scored = forest.transform(vectors).withColumn("probability", vector_to_array("probability")[1])
     return scored.select(
         "doc_id", "position", "part", "core", "known", "label", *FEATURES, F.round("probability", 6).alias("probability"),

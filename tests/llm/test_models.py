@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
+from itertools import groupby, product
 from types import SimpleNamespace
 
 import numpy as np
@@ -47,6 +49,60 @@ def test_learning_without_labels(spark):
     assert language.learn(empty(spark)) is None
 
 
+def test_more_languages_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    rows = [(n, f"{kind * 3} {kind}", lang) for lang, kind, copies in (("a", "ba", 30), ("b", "du", 20), ("c", "ki", 20), ("d", "lo", 5)) for n in range(copies)]
+    learned = language.learn(spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
+    assert learned["languages"] == ["a", "b"]
+
+
+def test_copies_of_a_labelled_row_are_learned_once(spark):
+    one = [(None, "the same text again", "en"), (3, "und noch ein text", "de")]
+    schema = "doc_id long, text string, lang string"
+    once, often = (language.learn(spark.createDataFrame(some, schema).repartition(4)) for some in (one, one * 40))
+    assert np.array_equal(once["words"], often["words"]) and np.array_equal(once["moves"], often["moves"])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_scores_of_texts_equal_enumeration(seed):
+    """Mean probabilities over all label sequences of each line, on a tiny random model."""
+    rng = np.random.default_rng(seed)
+    names = ["de", "en", "fr"]
+    small = {
+        "languages": names,
+        "grams": [rng.normal(0, 0.7, ((1 << language.GRAM_BITS) + 1, 3)).astype(np.float32) for _ in language.GRAMS],
+        "words": rng.normal(0, 0.7, (1 << language.WORD_BITS, 3)).astype(np.float32),
+        "start": rng.normal(0, 1, 3).astype(np.float32),
+        "moves": rng.normal(0, 1, (3, 3)).astype(np.float32),
+    }
+    for grams in small["grams"]:
+        grams[-1] = 0
+    texts = ["Une maison the house\n42 ein Haus", "a", "1 2", "x y z\n\nw", "the the the"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got_names, got_scores, _ = language.judge(batch, "text", small)
+    for text, name, score in zip(texts, got_names, got_scores):
+        mean, n = np.zeros(3), 0
+        for line in text.lower().split("\n"):
+            found = language.Words([line.encode()])
+            if not len(found):
+                continue
+            scores = language.emissions(found, small).astype(np.float64)
+            total, each = 0.0, np.zeros((len(found), 3))
+            for labels in product(range(3), repeat=len(found)):
+                value = small["start"][labels[0]] + sum(scores[k, j] for k, j in enumerate(labels)) + sum(small["moves"][a, b] for a, b in zip(labels, labels[1:]))
+                value = math.exp(value)
+                total += value
+                for k, j in enumerate(labels):
+                    each[k, j] += value
+            letters = found.has_letter()
+            mean += (each / total)[letters].sum(axis=0)
+            n += letters.sum()
+        if n:
+            assert name == names[int(np.argmax(mean))] and score == pytest.approx(mean.max() / n, abs=1e-4)
+        else:
+            assert (name, score) == ("und", 0.0)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(5)
     scores, moves, start = rng.standard_normal((7, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
@@ -209,6 +265,59 @@ def test_secrets_learn_from_given_labels(spark):
     assert len(found) == 60 and sum(r.is_secret == (r.doc_id % 2 == 1) for r in found) >= 58
 
 
+def test_rare_positives_and_hot_copies_reach_the_forest(spark, monkeypatch):
+    monkeypatch.setattr(secrets_scan, "SAMPLE", 20)
+    rng = random.Random(4)
+    key = lambda: "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+    numbers = [f"{rng.randrange(10**20):020d}" for _ in range(200)] + ["77777777777777777777"] * 200
+    texts = [f"ref {x} end" for x in numbers] + [f"key {key()} end" for _ in range(12)]
+    docs = spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = secrets_scan.scan(docs).collect()
+    assert len(found) == 412 and sum(r.label == 1 for r in found) == 12
+    # Probabilities of the forest, not of the formats alone.
+    assert all(r.is_secret == (r.label == 1) for r in found) and len({r.probability for r in found}) > 2
+
+
+def features_brute(core):
+    kinds = "".join("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else "-" for c in core)
+    n = len(core)
+    return {
+        "n_chars": n,
+        "digits": sum(c.isdigit() for c in core) / n,
+        "capitals": sum("A" <= c <= "Z" for c in core) / n,
+        "hexadecimal": sum(c in "0123456789abcdefABCDEF" for c in core) / n,
+        "vowels": sum(c in "aeiouAEIOU" for c in core) / n,
+        "distinct": len(set(core)) / n,
+        "transitions": sum(1 for _ in groupby(kinds)) / n,
+    }
+
+
+def test_candidates_and_features_equal_brute_force(spark):
+    rng = random.Random(9)
+    letters = "abcXYZ0123456789_+/=-"
+    texts = []
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            core = "".join(rng.choices(letters, k=rng.randint(3, 40)))
+            parts.append(rng.choice(["", '"', "token:", "(", "'"]) + core + rng.choice(["", '"', ")", "'", ";"]))
+        texts.append(rng.choice([" ", "\n", "\t"]).join(parts))
+    docs = spark.createDataFrame([(n, t, "a/b") for n, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    found = {(r.doc_id, r.position, r.part): r for r in secrets_scan.scan(docs).collect()}
+    want = {}
+    for n, text in enumerate(texts):
+        tokens = re.findall(r"\S+", text)
+        for at, token in enumerate(tokens):
+            cores = [m for m in re.finditer(r"[A-Za-z0-9_+/=-]+", token) if len(m[0]) >= secrets_scan.MIN_CHARS and re.search(r"\d", m[0])]
+            for part, m in enumerate(cores):
+                want[n, at, part] = m[0]
+    assert len(want) > 60 and {(d, part): sorted(r.core for k, r in found.items() if k[0] == d and k[2] == part) for d, _, part in found} == {
+        (d, part): sorted(c for k, c in want.items() if k[0] == d and k[2] == part) for d, _, part in want
+    }
+    for r in found.values():
+        assert all(r[k] == pytest.approx(x) for k, x in features_brute(r.core).items())
+
+
 def test_all_secrets_of_a_token_without_blanks(spark):
     rng = random.Random(5)
     token, other = ("%040x" % rng.getrandbits(160) for _ in range(2))
