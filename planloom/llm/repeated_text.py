@@ -320,7 +320,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL")
     if shared.isEmpty():
-        return texts.withColumn("doc", F.col("doc_id"))
+        # Never null here; a column that says so gets no filter in some plans that keeps them from sharing a shuffle.
+        return texts.withColumn("doc", F.coalesce("doc_id", F.lit(0).cast("long")))
     order = ["doc_id", "digest", "row"]
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     rows = texts.withColumns({"digest": digest, "row": F.monotonically_increasing_id()})
@@ -348,5 +349,4 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM) -> Dat
     suffixes = by_doc.join(places(blocks), "doc").mapInArrow(_suffixes(depth), _ROWS)
     suffixes = _pass(suffixes, _later, _FOUND)
     gone = places(found.unionByName(suffixes).filter("NOT check"))
-    joined = by_doc.join(gone, "doc", "left").select("doc_id", "text", "places")
-    return joined.mapInArrow(_cut(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return by_doc.join(gone, "doc", "left").mapInArrow(_cut(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
