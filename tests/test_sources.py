@@ -1,8 +1,10 @@
 """Readers and writers on files, parsers on hand-written texts."""
 
+import hashlib
 import json
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from planloom.operators import replay
@@ -68,6 +70,18 @@ def test_written_splits_have_bounded_files(spark, tmp_path):
     assert back.count() == 10
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_shuffled_files_are_the_seeded_shuffle(spark, tmp_path, parts):
+    names = spark.range(103).select(F.concat(F.lit("n"), "id").alias("name"), "id").repartition(parts)
+    writers.write_shuffled(names, F.col("name"), str(tmp_path / "out"), plans_per_file=10, seed=3)
+    files = sorted((tmp_path / "out").glob("part-*.json"))
+    assert [len(f.read_text().splitlines()) for f in files] == [10] * 10 + [3]
+    written = [json.loads(line)["name"] for f in files for line in f.read_text().splitlines()]
+    assert written == sorted((f"n{n}" for n in range(103)), key=lambda n: hashlib.md5(f"3|{n}".encode()).hexdigest())
+    writers.write_shuffled(names.limit(0), F.col("name"), str(tmp_path / "none"))
+    assert spark.read.schema(names.schema).json(str(tmp_path / "none")).count() == 0
+
+
 def test_generated_batches(spark, tmp_path):
     plan = dict(input="i", plan="A1", actions_seen=2, problem_id="p", example_id="e")
     folder = tmp_path / "2_actions"
