@@ -416,8 +416,8 @@ def step_match(spark, sf_dir):
     return matched.withColumn("week", F.date_format("week", "yyyy-MM-dd"))
 
 
-@query
-def error_analysis(spark, sf_dir):
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions against the orders that their contexts name, with the ``TOP_K`` actions of each."""
     scored = predictions.predictions(spark, sf_dir).withColumnRenamed("context", "example")
     everything = OrderPlans(spark, sf_dir)
     plans = everything.only(scored.select(F.col("example").alias("plan_id")).distinct())
@@ -437,10 +437,31 @@ def error_analysis(spark, sf_dir):
     )
     names = _corpus_vocabulary(everything, evaluation.vector_length(scored))
     names = names.select(F.col("token_id").cast("int").alias("token_id"), readable(F.col("token")).alias("text"))
-    rows = evaluation.error_analysis(examples, real, scored, names, TOP_K)
+    analysed = evaluation.error_analysis(examples, real, scored, names, TOP_K)
+    texts_of = {c: F.coalesce(c, F.lit("")) for c in ("example_name", "problem_id")}
+    return analysed.withColumns(texts_of | {"real_plan_length": F.coalesce("real_plan_length", F.lit(0).cast("long"))})
+
+
+def _top_text(top: Column) -> Column:
+    """Actions with their probabilities in millionths."""
     millionths = lambda t: F.round(t["probability"] * 1_000_000).cast("long").cast("string")
-    top = F.transform("top_k", lambda t: F.concat_ws(":", t["action"], millionths(t)))
-    return rows.withColumn("top_k", F.array_join(top, ","))
+    return F.array_join(F.transform(top, lambda t: F.concat_ws(":", t["action"], millionths(t))), ",")
+
+
+@query
+def error_analysis(spark, sf_dir):
+    return _analysed(spark, sf_dir).withColumn("top_k", _top_text(F.col("top_k")))
+
+
+PREDICTIONS_PER_RECORD = 5
+
+
+@query
+def error_records(spark, sf_dir):
+    """The same as nested records of a few predictions each, written out as text for the comparison."""
+    records_of = evaluation.example_records(_analysed(spark, sf_dir), PREDICTIONS_PER_RECORD)
+    line = lambda p: F.concat_ws("|", p["actions_seen"].cast("string"), p["real_action"], p["generated_action"], _top_text(p["top_k"]))
+    return records_of.withColumn("predictions", F.array_join(F.transform("predictions", line), ";"))
 
 
 def _corpus_vocabulary(plans: OrderPlans, size: int) -> DataFrame:

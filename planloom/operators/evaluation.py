@@ -108,6 +108,10 @@ def step_match(predicted: DataFrame, real: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+# Predictions in a nested record.
+PREDICTIONS_PER_RECORD = 1_000
+
+
 def vector_length(predictions: DataFrame) -> int:
     """The number of scores of a prediction."""
     return predictions.agg(F.max(F.size("logits"))).first()[0] or 0
@@ -123,11 +127,13 @@ def error_analysis(
     logits``; ``token_texts``: ``token_id, text``, at most as many as a vector has scores. The first
     ``given`` actions open a prediction, so position ``p`` has seen ``given + p`` actions and stands
     against the real action of that step; after the last action the end token is right, and later none.
+    Predictions without an example stay, with ``has_example`` false: nothing was given, and no action is real.
     """
-    ranked = predictions.join(examples.select("example", "given"), "example").select(
+    given = F.coalesce("given", F.lit(0))
+    ranked = predictions.join(examples.select("example", "given"), "example", "left").select(
         "example",
         "position",
-        (F.col("given") + F.col("position")).cast("long").alias("step"),
+        (given + F.col("position")).cast("long").alias("step"),
         F.posexplode(top_k(F.col("logits"), k)).alias("rank", "best"),
         log_sum_exp(F.col("logits")).alias("norm"),
     )
@@ -139,12 +145,14 @@ def error_analysis(
     lengths = top.groupBy("example").agg(
         F.count_if(~F.col("generated_action").eqNullSafe(F.lit(END))).alias("generated_plan_length")
     )
-    found = top.join(real, ["example", "step"], "left").join(examples.drop("given"), "example").join(lengths, "example")
+    known = examples.drop("given").withColumn("has_example", F.lit(True))
+    found = top.join(real, ["example", "step"], "left").join(known, "example", "left").join(lengths, "example")
     at_end = F.when(F.col("step") == F.col("plan_length"), F.lit(END))
     about = [c for c in examples.columns if c not in ("example", "given", "plan_length")]
     return found.select(
         "example",
         "position",
+        F.coalesce("has_example", F.lit(False)).alias("has_example"),
         *about,
         F.col("plan_length").alias("real_plan_length"),
         "generated_plan_length",
@@ -155,3 +163,18 @@ def error_analysis(
             "top", lambda t: F.struct(t["action"].alias("action"), t["probability"].alias("probability"))
         ).alias("top_k"),
     )
+
+
+def example_records(analysed: DataFrame, per_record: int = PREDICTIONS_PER_RECORD) -> DataFrame:
+    """The rows of :func:`error_analysis` as nested records of at most ``per_record`` predictions each.
+
+    An example has as many records as it needs, numbered by ``part`` from 0 on; ``parts`` is their number. Each one
+    repeats what describes the example, and holds its predictions in order.
+    """
+    own = ("position", "actions_seen", "real_action", "generated_action", "top_k")
+    about = [c for c in analysed.columns if c not in own]
+    part = F.floor(F.col("position") / per_record).cast("long")
+    parts = analysed.groupBy("example").agg((F.max(part) + 1).alias("parts"))
+    predictions = F.sort_array(F.collect_list(F.struct(*own)))
+    chunks = analysed.withColumn("part", part).groupBy(*about, "part").agg(predictions.alias("predictions"))
+    return chunks.join(parts, "example").select("example", "part", "parts", *about[1:], "predictions")

@@ -449,22 +449,36 @@ SELECT e.user_id, strftime(e.week + INTERVAL 7 DAY, '%Y-%m-%d') AS week, e.step
        e.op AS pred_action, coalesce(n.op, '') AS real_action, e.op = coalesce(n.op, '') AS is_match
 FROM e LEFT JOIN e n ON n.user_id = e.user_id AND n.week = e.week + INTERVAL 7 DAY AND n.step = e.step"""
 
-ORACLES["error_analysis"] = _with(LINES, SIZES, CORPUS_TOKENS, _vocabulary("tok", "(SELECT max(len(embedding)) FROM embeddings)"), _PREDICTIONS) + f""",
+_ANALYSED = _with(LINES, SIZES, CORPUS_TOKENS, _vocabulary("tok", "(SELECT max(len(embedding)) FROM embeddings)"), _PREDICTIONS) + f""",
 texts AS (SELECT token_id, regexp_replace(regexp_replace(token, '^(SHIP|RETURN)PART(PART)', '\\1-PART_\\2'),
                  '(PART|SUPP|CUST)(\\d+)(SUPP|CUST)(\\d+)(SUPP|CUST)(\\d+)$', '\\1\\2_\\3\\4_\\5\\6') AS text FROM vocab),
 named AS (SELECT token_id, CASE WHEN text LIKE '%-PART_%'
                  THEN split_part(text, '_', 1) || '_' || lower(substr(text, strpos(text, '_') + 1)) ELSE text END AS text FROM texts),
 steps AS (
-  SELECT context AS example, position, context % 6 + position AS step, max(CASE WHEN rank = 1 THEN text END) AS generated,
+  SELECT context AS example, position, CASE WHEN z.plan_id IS NULL THEN 0 ELSE context % 6 END + position AS step,
+         max(CASE WHEN rank = 1 THEN text END) AS generated,
          string_agg(text || ':' || CAST(CAST(round(probability * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS top
-  FROM pr JOIN named USING (token_id) WHERE rank <= {catalog.TOP_K} GROUP BY 1, 2, 3
+  FROM pr JOIN named USING (token_id) LEFT JOIN z ON z.plan_id = context WHERE rank <= {catalog.TOP_K} GROUP BY 1, 2, 3
+),
+analysed AS (
+  SELECT example, position, z.plan_id IS NOT NULL AS has_example,
+         coalesce('xml-GEN-cust' || z.o_custkey || '_' || example || '.SOL', '') AS example_name, coalesce('cust' || z.o_custkey, '') AS problem_id,
+         coalesce(n_actions, 0) AS real_plan_length, count(*) FILTER (generated <> '<|endofplan|>') OVER (PARTITION BY example) AS generated_plan_length,
+         steps.step AS actions_seen,
+         CASE WHEN steps.step = n_actions THEN '<|endofplan|>' WHEN known THEN decoded ELSE coalesce(token, '') END AS real_action,
+         generated AS generated_action, top AS top_k
+  FROM steps LEFT JOIN z ON z.plan_id = example LEFT JOIN t ON t.plan_id = example AND t.step = steps.step + 1
 )
-SELECT example, position, 'xml-GEN-cust' || z.o_custkey || '_' || example || '.SOL' AS example_name, 'cust' || z.o_custkey AS problem_id,
-       n_actions AS real_plan_length, count(*) FILTER (generated <> '<|endofplan|>') OVER (PARTITION BY example) AS generated_plan_length,
-       steps.step AS actions_seen,
-       CASE WHEN steps.step = n_actions THEN '<|endofplan|>' WHEN known THEN decoded ELSE coalesce(token, '') END AS real_action,
-       generated AS generated_action, top AS top_k
-FROM steps JOIN z ON z.plan_id = example LEFT JOIN t ON t.plan_id = example AND t.step = steps.step + 1"""
+"""
+
+ORACLES["error_analysis"] = _ANALYSED + "SELECT * FROM analysed"
+
+ORACLES["error_records"] = _ANALYSED + f"""
+SELECT example, part, parts, has_example, example_name, problem_id, real_plan_length, generated_plan_length,
+       string_agg(actions_seen || '|' || real_action || '|' || generated_action || '|' || top_k, ';' ORDER BY position) AS predictions
+FROM (SELECT *, CAST(position // {catalog.PREDICTIONS_PER_RECORD} AS BIGINT) AS part,
+             CAST(max(position) OVER (PARTITION BY example) // {catalog.PREDICTIONS_PER_RECORD} + 1 AS BIGINT) AS parts FROM analysed)
+GROUP BY ALL"""
 
 ORACLES["enrich_static_facts"] = _with(LINES, SIZES, TOKENS) + """
 SELECT plan_id, place, token AS fact FROM k WHERE section = 'initial_state'

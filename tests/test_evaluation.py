@@ -85,6 +85,24 @@ def test_error_analysis_rows(spark, given):
     assert {(r["real_plan_length"], r["generated_plan_length"], r["example_name"]) for r in rows} == {(2, 2, "name")}
 
 
+def test_predictions_without_an_example_and_nested_records(spark):
+    texts = spark.createDataFrame([(0, "zero"), (1, "one")], "token_id int, text string")
+    scored = [(e, i, [float(i % 2), 0.5]) for e, n in (("known", 7), ("unknown", 3)) for i in range(n)]
+    scored = spark.createDataFrame(scored, "example string, position int, logits array<double>")
+    real = spark.createDataFrame([("known", 1, "one")], "example string, step long, action string")
+    examples = spark.createDataFrame([("known", 1, 2, "name")], "example string, given int, plan_length long, example_name string")
+    rows = evaluation.error_analysis(examples, real, scored, texts, 1)
+    lost = rows.filter("NOT has_example").collect()
+    assert sorted((r["position"], r["actions_seen"], r["real_action"]) for r in lost) == [(0, 0, ""), (1, 1, ""), (2, 2, "")]
+    assert {r["real_plan_length"] for r in lost} == {None} and {r["generated_plan_length"] for r in lost} == {3}
+    nested = {(r["example"], r["part"]): r for r in evaluation.example_records(rows, 3).collect()}
+    assert {k: len(r["predictions"]) for k, r in nested.items()} == {("known", 0): 3, ("known", 1): 3, ("known", 2): 1, ("unknown", 0): 3}
+    assert {k[0]: r["parts"] for k, r in nested.items()} == {"known": 3, "unknown": 1}
+    told = [p["generated_action"] for n in range(3) for p in nested["known", n]["predictions"]]
+    assert told == ["one", "zero", "one", "zero", "one", "zero", "one"]
+    assert nested["known", 0]["predictions"][0]["real_action"] == "one" and nested["known", 0]["example_name"] == "name"
+
+
 def test_accuracy(spark):
     rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 0), (1, [5.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "position int, logits array<double>, reference int")
