@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import sequences as seq
 from planloom.functions import tokens as tok
-from planloom.operators import applicable, enrich, evaluation, records, replay, splits, stats, table_domain, validate, vocab
+from planloom.operators import applicable, enrich, evaluation, records, replay, splits, states, stats, table_domain, validate, vocab
 from planloom.operators.bounded import lookup
 from planloom.plans import funnel, generated, orders, predictions, sample_texts
 from planloom.plans.corpus import Corpus
@@ -241,7 +241,7 @@ def goal_reached_step(spark, sf_dir):
 
 @query
 def repeated_states(spark, sf_dir):
-    return replay.repeated_states(OrderPlans(spark, sf_dir).corpus(), SHIPPING)
+    return states.repeated_states(OrderPlans(spark, sf_dir).corpus(), SHIPPING)
 
 
 @query
@@ -405,6 +405,38 @@ def masked_argmax(spark, sf_dir):
     return chosen.withColumn("is_end", F.col("token_id") == end_id)
 
 
+@query
+def masked_successors(spark, sf_dir):
+    """The best allowed action after each step of an order, and the best one that leads to a state not met before.
+
+    The tokens of an order are its own lines: two for each, to ship its part and to return it.
+    """
+    scored = predictions.predictions(spark, sf_dir)
+    wanted = scored.select(F.col("context").alias("plan_id"), F.col("position").cast("long").alias("step"))
+    plans = OrderPlans(spark, sf_dir).only(wanted.select("plan_id").distinct())
+    part, supp, cust = orders.named("part", "l_partkey"), orders.named("supp", "l_suppkey"), orders.problem()
+    first = (len(SPECIAL_TOKENS) + 2 * (F.col("l_linenumber") - 1)).cast("int")
+
+    def move(token_id: Column, op: str, *args: Column) -> Column:
+        return F.struct(token_id.alias("token_id"), F.lit(op).alias("op"), F.array(*args).alias("args"))
+
+    moves = plans.lines().filter(first < evaluation.vector_length(scored)).select(
+        "plan_id", F.inline(F.array(move(first, "SHIP-PART", part, supp, cust), move(first + 1, "RETURN-PART", part, cust, supp)))
+    )
+    corpus = plans.corpus()
+    fingerprint = F.struct("fp1", "fp2").alias("fingerprint")
+    allowed = states.successors(corpus, SHIPPING, moves.join(wanted, "plan_id")).select(
+        F.col("plan_id").alias("context"), F.col("step").alias("position"), "token_id", fingerprint
+    )
+    # A state is met with the action before it.
+    seen = states.met_states(corpus, SHIPPING).select(
+        F.col("plan_id").alias("context"), fingerprint, (F.col("since") - 1).alias("since")
+    )
+    end_id = SPECIAL_TOKENS.index(END)
+    chosen = evaluation.masked_argmax(evaluation.explode_scores(scored), allowed, seen, end_id)
+    return chosen.withColumn("is_end", F.col("token_id") == end_id)
+
+
 @query
 def step_match(spark, sf_dir):
     """Last week's steps as the prediction of this week's."""

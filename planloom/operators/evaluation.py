@@ -62,12 +62,13 @@ def masked_argmax(scores: DataFrame, allowed: DataFrame, seen: DataFrame, end_id
     """The best allowed token of each step, and the best one that leads to a new state.
 
     ``scores``: ``context, position, token_id, score``; ``allowed``: one row
-    ``context, token_id, fingerprint`` per allowed token with the state it leads to;
+    ``context, token_id, fingerprint`` per allowed token with the state it leads to, and its ``position``
+    where that depends on the steps before;
     ``seen``: ``context, fingerprint, since`` for states met at position ``since``.
     The end token is always allowed and never leads to a seen state.
     """
     actions = allowed.filter(F.col("token_id") != end_id)
-    moves = scores.join(actions, ["context", "token_id"])
+    moves = scores.join(actions, [c for c in ("context", "position", "token_id") if c in actions.columns])
     ends = scores.filter(F.col("token_id") == end_id)
     visited = moves.join(seen, ["context", "fingerprint"], "left").withColumn(
         "is_new", ~F.coalesce(F.col("since") < F.col("position"), F.lit(False))

@@ -139,7 +139,8 @@ def observe(part: Part, events: DataFrame) -> DataFrame:
     if part.blocked:
         carried = carry_last(events, ["plan_id", "fact"], "block", "is_add", "ord", is_goal)
         none = F.lit(None).cast("long")
-        rows = rows.unionByName(carried.withColumns({"ord": F.lit(-1).cast("long"), "step": none}))
+        carried = carried.withColumns({"ord": F.lit(-1).cast("long"), "step": none})
+        rows = rows.unionByName(carried, allowMissingColumns=True)
         rows = rows.repartition(*part.group("fact"))
     timeline_of = Window.partitionBy(*part.group("fact"))
     before = timeline_of.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
@@ -234,17 +235,3 @@ def state_fingerprints(part: Part, domain: Domain) -> DataFrame:
         )
     )
     return running(part, points, {"fp1": "bit_xor", "fp2": "bit_xor"})
-
-
-def repeated_states(corpus: Corpus, domain: Domain) -> DataFrame:
-    """Per plan, the number of states, of distinct states and of revisits."""
-
-    def of(part: Part) -> DataFrame:
-        prints = state_fingerprints(part, domain)
-        visits = prints.groupBy("plan_id", "fp1", "fp2").agg(F.count(F.lit(1)).alias("visits"))
-        states = visits.groupBy("plan_id").agg(
-            F.sum("visits").alias("n_states"), F.count(F.lit(1)).alias("n_distinct")
-        )
-        return states.withColumn("n_revisits", F.col("n_states") - F.col("n_distinct"))
-
-    return corpus.over_parts(of)

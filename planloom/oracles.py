@@ -444,6 +444,32 @@ SELECT context, position, first(token_id ORDER BY score DESC, token_id) AS greed
        (first(token_id ORDER BY score DESC, token_id) FILTER (fresh)) = 3 AS is_end
 FROM cand GROUP BY 1, 2"""
 
+ORACLES["masked_successors"] = _with(LINES, STATES, _PREDICTIONS, recursive=True) + f""",
+m AS (
+  SELECT plan_id, CAST({len(SPECIAL_TOKENS)} + 2 * (l_linenumber - 1) + back AS INTEGER) AS token_id,
+         'at' || part || CASE WHEN back = 0 THEN supp ELSE cust END AS need,
+         'at' || part || CASE WHEN back = 0 THEN cust ELSE supp END AS gain
+  FROM (SELECT l_orderkey AS plan_id, l_linenumber, 'part' || l_partkey AS part, 'supp' || l_suppkey AS supp, 'cust' || o_custkey AS cust
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey), (VALUES (0), (1)) b(back)
+),
+mv AS (
+  SELECT context, position, sc.token_id, score,
+         list_sort(list_distinct(list_append(list_filter(facts, lambda f: f <> need), gain))) AS next
+  FROM sc JOIN m ON m.plan_id = context AND m.token_id = sc.token_id
+  JOIN st ON st.plan_id = context AND st.step = position WHERE list_contains(facts, need)
+),
+old AS (SELECT DISTINCT context, position, token_id, next FROM mv
+        JOIN st ON st.plan_id = context AND st.step <= position AND st.facts = next),
+cand AS (
+  SELECT mv.*, old.context IS NULL AS fresh FROM mv LEFT JOIN old
+  ON old.context = mv.context AND old.position = mv.position AND old.token_id = mv.token_id AND old.next = mv.next
+  UNION ALL SELECT context, position, token_id, score, NULL, true FROM sc WHERE token_id = 3
+)
+SELECT context, position, first(token_id ORDER BY score DESC, token_id) AS greedy_id,
+       first(token_id ORDER BY score DESC, token_id) FILTER (fresh) AS token_id,
+       (first(token_id ORDER BY score DESC, token_id) FILTER (fresh)) = 3 AS is_end
+FROM cand GROUP BY 1, 2"""
+
 ORACLES["step_match"] = _with(FUNNEL_STEPS) + """
 SELECT e.user_id, strftime(e.week + INTERVAL 7 DAY, '%Y-%m-%d') AS week, e.step AS position, e.step - 1 AS seen_actions,
        e.op AS pred_action, coalesce(n.op, '') AS real_action, e.op = coalesce(n.op, '') AS is_match

@@ -5,7 +5,7 @@ from mini import GOALS, INITIAL, OBJECTS, PLANS, SCHEMA, chunk_rows, mutants, re
 from pyspark.sql import functions as F
 
 from planloom.operators import replay as ops
-from planloom.operators import validate
+from planloom.operators import states, validate
 from planloom.plans import generated
 from planloom.plans.corpus import Corpus, from_chunks, record_chunks
 from planloom.plans.domains import LOGISTICS
@@ -48,7 +48,7 @@ def test_goal_step(mini):
 
 
 def test_revisits(mini):
-    got = {r["plan_id"]: r["n_revisits"] for r in ops.repeated_states(mini, LOGISTICS).collect()}
+    got = {r["plan_id"]: r["n_revisits"] for r in states.repeated_states(mini, LOGISTICS).collect()}
     for name, plan in PLANS.items():
         if plan[4] is not None:
             assert got[name] == plan[4], name
@@ -63,7 +63,7 @@ def test_mutants_equal_plain_replay(spark, block_steps, chunk):
     failing = {r["plan_id"]: r["s"] for r in probes.groupBy("plan_id").agg(F.min("step").alias("s")).collect()}
     missing = {(r["plan_id"], r["fact"]) for r in ops.unsatisfied_goals(corpus, LOGISTICS).collect()}
     reached = {r["plan_id"]: r["step"] for r in ops.goal_reached_step(corpus, LOGISTICS).collect()}
-    again = {r["plan_id"]: r for r in ops.repeated_states(corpus, LOGISTICS).collect()}
+    again = {r["plan_id"]: r for r in states.repeated_states(corpus, LOGISTICS).collect()}
     kinds = set()
     for name, initial, goals, steps in plans:
         step, left, goal_step, revisits = replay(initial, goals, steps)
