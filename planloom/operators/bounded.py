@@ -147,8 +147,8 @@ def carry_last(
     )
 
 
-def running(part: Part, rows: DataFrame, totals: dict[str, str]) -> DataFrame:
-    """Running totals along the steps, one row per plan and step.
+def running(part: Part, rows: DataFrame, totals: dict[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Running totals along the steps, one row per plan, step and value of ``by``.
 
     ``totals`` names an aggregate (``sum`` or ``bit_xor``) per column. For long
     plans each block of steps receives the total of its earlier blocks as one row
@@ -166,23 +166,24 @@ def running(part: Part, rows: DataFrame, totals: dict[str, str]) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(F.asc_nulls_first(order))
         return window.rowsBetween(Window.unboundedPreceding, last)
 
-    inside = ordered(part.group(), "step", 0)
+    keys = ["plan_id", *by]
+    inside = ordered(part.group(*by), "step", 0)
     if not part.blocked:
-        points = rows.groupBy("plan_id", "step").agg(*total())
-        return points.select("plan_id", "step", *so_far(inside))
+        points = rows.groupBy(*keys, "step").agg(*total())
+        return points.select(*keys, "step", *so_far(inside))
 
     block = F.floor(F.greatest(F.col("step"), F.lit(0)) / part.block_steps).cast("long")
-    points = rows.withColumn("block", block).groupBy("plan_id", "block", "step").agg(*total())
-    carried = points.groupBy("plan_id", "block").agg(*total())
+    points = rows.withColumn("block", block).groupBy(*keys, "block", "step").agg(*total())
+    carried = points.groupBy(*keys, "block").agg(*total())
     carried = carried.select(
-        "plan_id",
+        *keys,
         "block",
         F.lit(None).cast("long").alias("step"),
-        *so_far(ordered(["plan_id"], "block", -1)),
+        *so_far(ordered(keys, "block", -1)),
     ).filter(reduce(Column.__or__, [F.col(c).isNotNull() for c in combine]))
     return (
         points.unionByName(carried)
-        .repartition("plan_id", "block")
-        .select("plan_id", "step", *so_far(inside))
+        .repartition(*keys, "block")
+        .select(*keys, "step", *so_far(inside))
         .filter(F.col("step").isNotNull())
     )

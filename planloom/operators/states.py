@@ -1,25 +1,26 @@
 """States compared without ever being materialised: exact numbers of states, and the states that actions lead to.
 
-Exact numbers come from a tree over the facts of a plan. A leaf is a fact; a node stands for up to ``FAN`` children,
-and two of its versions are equal when all its children's versions are. So the root's versions are equal exactly when
-the states are, and each change of a fact costs one row per level instead of one per fact of the state.
+Exact numbers are the facts of a plan as bits of a number. Where a plan has more facts than a number has bits, a tree
+stands above the numbers: a node has up to ``FAN`` children, and two of its versions are equal when all its children's
+versions are. So the root's versions are equal exactly when the states are, and each change of a fact costs one row per
+level instead of one per fact of the state.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import number_rows
+from planloom.operators.bounded import number_rows, running
 from planloom.operators.replay import PLACES, observe, spread, state_fingerprints, timeline
 from planloom.plans.corpus import Corpus, Part
 from planloom.plans.domains import Action, Domain
 from planloom.session import ensure_checkpoint_dir
 
-# Children of a node, a power of two.
+# Facts in one number, and children of a node above (a power of two).
+BITS = 62
 FAN_BITS = 3
 FAN = 1 << FAN_BITS
 _SLOTS = [f"c{i}" for i in range(FAN)]
@@ -31,7 +32,11 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def _levels(facts: int) -> int:
-    return max(1, math.ceil(math.log(max(facts, 1) + 1, FAN) - 1e-9))
+    """Levels above the numbers, so that one node is left."""
+    nodes, levels = facts // BITS + 1, 0
+    while nodes > 1:
+        nodes, levels = -(-nodes // FAN), levels + 1
+    return levels
 
 
 def _most_facts(part: Part, domain: Domain) -> int:
@@ -46,12 +51,11 @@ def _most_facts(part: Part, domain: Domain) -> int:
 
 
 def _changes(part: Part, domain: Domain) -> DataFrame:
-    """``plan_id, step, fact, version`` where a fact changes (1: true), and one empty fact per state."""
+    """``plan_id, step, fact``: every change of a fact, and one empty fact per state."""
     is_mark = F.col("fact") == ""
     asks = F.col("is_add").isNull() & ~is_mark
     seen = observe(part, timeline(part, domain, marks=True).filter(~asks))
-    changed = seen.filter(is_mark | (F.col("is_add") != F.col("held")))
-    return changed.groupBy("plan_id", "step", "fact").agg(F.max_by("is_add", "ord").cast("long").alias("version"))
+    return seen.filter(is_mark | (F.col("is_add") != F.col("held"))).select("plan_id", "step", "fact")
 
 
 def _numbered(part: Part, domain: Domain) -> tuple[DataFrame, int]:
@@ -111,7 +115,11 @@ def _parents(part: Part, rows: DataFrame) -> DataFrame:
 
 def state_numbers(part: Part, domain: Domain) -> DataFrame:
     """``plan_id, step, state``: states of a plan are equal exactly when their numbers are; no hash is compared."""
-    rows, levels = _numbered(part, domain)
+    changes, levels = _numbered(part, domain)
+    # Two changes of a fact in one step cancel out.
+    bit = F.when(F.col("fact") == "", F.lit(0)).otherwise(F.expr(f"shiftleft(1L, int(child % {BITS}))"))
+    flips = changes.select("plan_id", "step", F.expr(f"child div {BITS}").alias("node"), bit.cast("long").alias("version"))
+    rows = running(part, flips, {"version": "bit_xor"}, by=("node",)).withColumnRenamed("node", "child")
     for _ in range(levels):
         rows = _parents(part, rows)
     return rows.select("plan_id", "step", F.col("version").alias("state"))

@@ -44,9 +44,9 @@ def plans_of_all_kinds():
     load, back = ("LOAD-TRUCK", ["obj1", "tru1", "pos1"]), ("UNLOAD-TRUCK", ["obj1", "tru1", "pos1"])
     yield "swing", ["atobj1pos1", "attru1pos1"], [], [load, back] * 6
     yield "none", [], [], []
-    many = [f"atobj{i}pos1" for i in range(90)] + ["attru1pos1"]
-    loads = [("LOAD-TRUCK", [f"obj{i}", "tru1", "pos1"]) for i in range(90)]
-    unloads = [("UNLOAD-TRUCK", [f"obj{i}", "tru1", "pos1"]) for i in reversed(range(90))]
+    many = [f"atobj{i}pos1" for i in range(150)] + ["attru1pos1"]
+    loads = [("LOAD-TRUCK", [f"obj{i}", "tru1", "pos1"]) for i in range(150)]
+    unloads = [("UNLOAD-TRUCK", [f"obj{i}", "tru1", "pos1"]) for i in reversed(range(150))]
     yield "many", many, [], loads + unloads + [("TELEPORT", ["obj1"])]
 
 
