@@ -309,6 +309,13 @@ def group_split(spark, sf_dir):
     return _split(spark, sf_dir).select("plan_id", "problem_id", "split")
 
 
+@query
+def threshold_split(spark, sf_dir):
+    """The same split by thresholds of a quantile sketch."""
+    plans, hot = _lengths(spark, sf_dir), OrderPlans(spark, sf_dir).hot_problems()
+    return splits.threshold_split(plans, hot, test_size=TEST_SIZE, seed=SPLIT_SEED).select("plan_id", "problem_id", "split")
+
+
 @query
 def split_leakage(spark, sf_dir):
     by_group = splits.split_leakage(_split(spark, sf_dir)).withColumn("method", F.lit("group"))
@@ -351,7 +358,7 @@ def _generated_tokens(sequences: DataFrame, sizes: DataFrame) -> DataFrame:
     left, right = F.pmod("plan_id", F.lit(2)), F.pmod("plan_id", F.lit(4)).cast("int")
     ended = F.pmod("plan_id", F.lit(3)) != 0
     body = sequences.filter(ended | (F.col("token") != END)).withColumn("position", F.col("position") + left)
-    last = seq.end_index(*[F.col(f"n_{s}") for s in records.SECTIONS]) + left
+    last = seq.end_index(*[F.col(f"n_{s}") for s in records.SECTIONS]) + left - F.when(ended, 0).otherwise(1)
     places = F.concat(
         F.when(left > 0, F.array(F.lit(0).cast("long"))).otherwise(F.array().cast("array<long>")),
         F.transform(F.array_repeat(last, right), lambda at, i: at + i + 1),
@@ -364,9 +371,7 @@ def _generated_tokens(sequences: DataFrame, sizes: DataFrame) -> DataFrame:
 def truncate_generated(spark, sf_dir):
     sizes = OrderPlans(spark, sf_dir).sizes()
     sequences = records.sequence_tokens(_tokens(spark, sf_dir), sizes)
-    rows = seq.generated_rows(_generated_tokens(sequences, sizes))
-    lengths = rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("plan_length"))
-    return rows.join(lengths, "plan_id")
+    return seq.generated_rows(_generated_tokens(sequences, sizes))
 
 
 # -- predictions against references ------------------------------------------------

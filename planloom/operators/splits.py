@@ -6,6 +6,8 @@ partitioning, and a recomputed task repeats its choice.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ SEED = 7
 _BUCKET_DIGITS = 4  # 16**4 = 65,536 ranges of an md5 order
 _BINS_PER_UNIT = 256  # bins of a logarithmic order
 
+# A quantile sketch is right to within this part of the rows; it holds a few numbers for each.
+SKETCH_ACCURACY = 200_000
+
 
 def order_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
@@ -78,6 +83,11 @@ def hash_shards(df: DataFrame, key: Column, n: int, seed: int = SEED) -> DataFra
     return df.withColumn("shard", F.pmod(bits, F.lit(n)).cast("int"))
 
 
+def _draw_key(weight: str, seed: int) -> Column:
+    """The place of a group in a weighted random order, as a number."""
+    return -F.log(unit_interval(seed, F.col("problem_id"))) / F.col(weight)
+
+
 def _taken_before(groups: DataFrame, weight: str, size: str, seed: int) -> DataFrame:
     """Groups in a weighted random order, with the plans taken before each one.
 
@@ -87,8 +97,7 @@ def _taken_before(groups: DataFrame, weight: str, size: str, seed: int) -> DataF
     logarithm of that key, then inside each bin.
     """
     eligible = groups.filter(F.col(weight) > 0)
-    key = -F.log(unit_interval(seed, F.col("problem_id"))) / F.col(weight)
-    drawn = eligible.withColumn("_key", key).withColumn(
+    drawn = eligible.withColumn("_key", _draw_key(weight, seed)).withColumn(
         "_bin", F.floor(F.log("_key") * _BINS_PER_UNIT)
     )
     totals = drawn.groupBy("_bin").agg(F.sum(size).alias("_total"))
@@ -155,6 +164,48 @@ def group_split(plans: DataFrame, hot_problems: DataFrame | None, **sizes) -> Da
     return lookup(plans, labels, "problem_id", hot_problems)
 
 
+def threshold_split(
+    plans: DataFrame,
+    hot_problems: DataFrame | None,
+    test_size: float | int,
+    validation_size: float | int = VALIDATION_SIZE,
+    validation_lengths: tuple[int, int] = VALIDATION_LENGTHS,
+    seed: int = SEED,
+    accuracy: int = SKETCH_ACCURACY,
+) -> DataFrame:
+    """:func:`group_split` by thresholds: a split is all groups whose draw is at most a quantile of the plans' draws.
+
+    The quantile comes from a mergeable sketch over all plans, so nothing is ordered, summed up in bins or joined but
+    the draws themselves. Groups stay whole. A split reaches its size to within ``plans / accuracy`` plans, and exceeds
+    it by the rest of its last group at most; up to ``accuracy / 2`` plans it is the split of :func:`group_split`.
+    """
+    low, high = validation_lengths
+    fits = F.count_if(F.col("length").between(low, high))
+    groups = plans.groupBy("problem_id").agg(F.count(F.lit(1)).alias("n_plans"), fits.alias("n_fitting"))
+    draws = groups.select(
+        "problem_id",
+        _draw_key("n_plans", seed).alias("_test"),
+        F.when(F.col("n_fitting") > 0, _draw_key("n_fitting", seed + 1)).alias("_validation"),
+    )
+    drawn = lookup(plans, draws, "problem_id", hot_problems)
+
+    def taken(left: DataFrame, draw: str, size: float | int) -> Column:
+        total, able = left.agg(F.count(F.lit(1)), F.count(draw)).first()
+        target = math.floor(size * total) if isinstance(size, float) else size
+        if target <= 0 or not able:
+            return F.lit(False)
+        if target >= able:
+            return F.col(draw).isNotNull()
+        # Half a plan less than the target, so that rounding never asks for one more.
+        cut = left.agg(F.percentile_approx(draw, (target - 0.5) / able, accuracy)).first()[0]
+        return F.coalesce(F.col(draw) <= cut, F.lit(False))
+
+    test = taken(drawn, "_test", test_size)
+    validation = taken(drawn.filter(~test), "_validation", validation_size)
+    split = F.when(test, "test").when(validation, "validation").otherwise("train")
+    return drawn.withColumn("split", split).drop("_test", "_validation")
+
+
 def split_leakage(labelled: DataFrame) -> DataFrame:
     """Problems, and those whose plans fall into more than one split."""
     # Hashes of the labels: their minimum and maximum are kept in a hash aggregate.

@@ -370,6 +370,8 @@ split AS (SELECT problem_id, CASE WHEN problem_id IN (SELECT problem_id FROM tes
 ORACLES["group_split"] = _with(LINES, SIZES, _SPLIT) + """
 SELECT plan_id, problem_id, split FROM z JOIN split ON problem_id = 'cust' || o_custkey"""
 
+ORACLES["threshold_split"] = ORACLES["group_split"]
+
 ORACLES["split_leakage"] = _with(_NAMES, "z AS (SELECT o_orderkey AS plan_id, o_custkey FROM orders)") + f"""
 SELECT 'group' AS method, count(DISTINCT o_custkey) AS n_problems, CAST(0 AS BIGINT) AS n_leaking FROM z
 UNION ALL

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +115,15 @@ def test_scores_against_plain_python(spark):
         assert [(b["token_id"], b["value"]) for b in best] == [(i, vector[i]) for i in order]
         loss = value(spark, scores.cross_entropy(F.col("v"), F.lit(0)), v=vector)
         assert loss == pytest.approx(top + math.log(sum(powers)) - vector[0])
+
+
+def test_generated_rows_equal_generated_actions(spark):
+    rng, kinds = random.Random(4), [START, GOALS, ACTIONS, END, PAD, "A", "B"]
+    sequences_of = [(i, [rng.choice(kinds) for _ in range(rng.randint(1, 9))]) for i in range(80)]
+    rows = [(i, at, token) for i, tokens in sequences_of for at, token in enumerate(tokens)]
+    found = sequences.generated_rows(spark.createDataFrame(rows, "plan_id long, position long, token string")).collect()
+    whole = spark.createDataFrame(sequences_of, "plan_id long, t array<string>")
+    want = whole.select("plan_id", F.posexplode(sequences.generated_actions(F.col("t"))).alias("place", "action")).collect()
+    assert sorted((r["plan_id"], r["place"], r["action"]) for r in found) == sorted(map(tuple, want))
+    n = Counter(r["plan_id"] for r in found)
+    assert all(r["plan_length"] == n[r["plan_id"]] for r in found)

@@ -21,7 +21,7 @@ def short_blocks(monkeypatch):
 NO_CORPUS = {
     "nth_replace", "vocab_build", "topk_predictions", "next_action_accuracy", "masked_loss", "masked_argmax",
     "problem_ids", "plan_records", "plan_sizes", "corpus_stats", "length_filter", "sample_n", "shuffle_shard",
-    "group_split", "split_leakage",
+    "group_split", "threshold_split", "split_leakage",
 }
 
 

@@ -43,6 +43,33 @@ def test_groups_stay_together_and_sizes_hold(plans, size):
     assert {p for p, s in sides.items() if s == {"validation"}} <= fitting
 
 
+@pytest.mark.parametrize("size", [0.05, 0.3, 17, 0, 10**6])
+def test_threshold_split_is_the_group_split(spark, plans, size):
+    options = {"test_size": size, "validation_size": 20, "validation_lengths": (6, 14)}
+    hot = spark.createDataFrame([("p0",)], "problem_id string")
+    want = sorted(splits.group_split(plans, None, **options).select("plan_id", "split").collect())
+    for partitions, keys in ((1, None), (7, hot)):
+        found = splits.threshold_split(plans.repartition(partitions), keys, **options)
+        assert sorted(found.select("plan_id", "split").collect()) == want
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 1000])
+def test_threshold_split_keeps_its_error(spark, accuracy):
+    plans = spark.range(20_000).selectExpr("cast(id as string) plan_id", "concat('p', id div 3) problem_id", "10L length")
+    found = splits.threshold_split(plans, None, test_size=0.2, validation_size=0, accuracy=accuracy)
+    sizes = {r["split"]: r["n"] for r in found.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert abs(sizes["test"] - 4_000) <= 20_000 / accuracy + 3
+    assert splits.split_leakage(found).first()["n_leaking"] == 0
+
+
+def test_threshold_split_of_nothing_and_of_unnamed_problems(spark):
+    schema = "plan_id string, problem_id string, length long"
+    assert splits.threshold_split(spark.createDataFrame([], schema), None, test_size=0.1).count() == 0
+    unnamed = spark.createDataFrame([("a", None, 8), ("b", "p", 8)], schema)
+    found = splits.threshold_split(unnamed, None, test_size=5, validation_size=0)
+    assert {(r["plan_id"], r["split"]) for r in found.collect()} == {("a", "train"), ("b", "test")}
+
+
 def test_same_seed_same_split_whatever_the_partitions(plans):
     once = split_of(plans.repartition(1), test_size=0.2, seed=3)
     assert once == split_of(plans.repartition(11), test_size=0.2, seed=3)
