@@ -33,6 +33,15 @@ def test_dictionary_in_first_seen_order(spark, monkeypatch, block, ranges):
     assert {r["token"]: r["token_id"] for r in got} == expected
 
 
+@pytest.mark.parametrize("n_bounds", [0, 1, 4, 7, 8, 255])
+def test_ranges_by_halving(spark, n_bounds):
+    bounds = sorted(random.Random(n_bounds).sample(range(-500, 500), n_bounds))
+    values = [None, *bounds, *range(-510, 510, 7)]
+    rows = spark.createDataFrame([(v,) for v in values], "plan_id long")
+    got = rows.select("plan_id", vocab._range_of(F.col("plan_id"), bounds).alias("range")).collect()
+    assert [r["range"] for r in got] == [0 if v is None else sum(b <= v for b in bounds) for v in values]
+
+
 def test_vocabulary_is_capped(spark):
     rng = random.Random(1)
     words = [f"w{int(rng.expovariate(0.1))}" for _ in range(2000)] + ["<|pad|>"]
