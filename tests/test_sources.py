@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from planloom.operators import replay
 from planloom.operators.records import normalize_raw, plan_records
+from planloom.plans import sample_texts
 from planloom.schemas import GENERATED_PLAN, PLAN_RAW, PLAN_RECORD
 from planloom.sources import readers, texts, writers
 from planloom.sources.lines import read_lines, text_lines
@@ -213,3 +214,11 @@ def test_a_long_problem_file_parses_alike_in_many_blocks(spark, tmp_path):
     with settings(spark, small_splits(spark, 10_000)):
         blocked, got = parsed()
     assert blocked and got == want
+
+
+def test_a_file_is_brought_together_before_it_is_lines(spark):
+    blocks = spark.createDataFrame([(f"f{i}", 0, ["(:init", f"(at x{i})", ")"]) for i in range(5)], "name string, block long, lines array<string>")
+    lines = sample_texts.as_lines(blocks, F.col("name"), F.col("lines"), False)
+    plan = texts.problem_facts(texts.problem_sections(lines))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(name") == 1
+    assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(name")
