@@ -7,6 +7,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
+from planloom.catalog import QUERIES
 from planloom.operators import replay
 from planloom.operators.records import normalize_raw, plan_records
 from planloom.plans import sample_texts
@@ -222,3 +223,34 @@ def test_a_file_is_brought_together_before_it_is_lines(spark):
     plan = texts.problem_facts(texts.problem_sections(lines))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(name") == 1
     assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(name")
+
+
+def test_records_of_problem_files_hold_their_texts(spark, tmp_path):
+    lines = text_lines(spark.createDataFrame([("d/p1.pddl", PROBLEM), ("d/p2.pddl", "")], "name string, text string"))
+    records = texts.problem_records(texts.problem_sections(lines))
+    rows = {r["name"]: r for r in records.collect()}
+    found = rows["p1.pddl"]
+    assert (found["initial_state"], found["goals"], found["actions"]) == ("atapn4apt4 atobj23pos12 atobj44pos12", "atobj23apt4", "")
+    assert (found["len_initial_state"], found["len_goals"], found["actions_idx"], found["piece"]) == (3, 1, 6, 0)
+    assert (rows["p2.pddl"]["initial_state"], rows["p2.pddl"]["goals"], rows["p2.pddl"]["len_goals"]) == ("", "", 0)
+
+
+def test_records_of_a_long_problem_file_have_rows_of_bounded_texts(spark, tmp_path):
+    body = "\n".join(f"\t(at obj{n} pos{n % 7})" for n in range(3000))
+    (tmp_path / "long.pddl").write_text(f"(define (problem x)\n(:init\n{body}\n)\n(:goal\n(and\n{body}\n))\n)\n")
+    with settings(spark, small_splits(spark, 10_000)):
+        lines = read_lines(spark, str(tmp_path))
+        rows = texts.problem_records(texts.problem_sections(lines), facts_per_row=700).orderBy("piece").collect()
+    facts = [f"atobj{n}pos{n % 7}" for n in range(3000)]
+    assert lines.blocked and [len(r["goals"].split(" ")) for r in rows] == [700] * 4 + [200] and {(r["len_initial_state"], r["len_goals"]) for r in rows} == {(3000, 3000)}
+    for c in ("initial_state", "goals"):
+        assert " ".join(r[c] for r in rows).split(" ") == facts
+
+
+@pytest.mark.parametrize("name", ["problem_parse", "static_fact_extract"])
+def test_orders_and_their_lines_have_problem_files(spark, sf_dir, name):
+    rows = QUERIES[name](spark, sf_dir).select("name").collect()
+    parts = [len(r["name"].split("_")) for r in rows]
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    empty = orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"], "left_anti").count()
+    assert parts.count(2) == orders.count() and parts.count(3) == lines.count() + empty
