@@ -110,13 +110,17 @@ def log_timeline(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("plan_name").alias("plan_id"), F.inline(facts))
 
 
-def replay_logs(rows: DataFrame, block_steps: int = LONG_PLAN_STEPS) -> DataFrame:
+def replay_logs(rows: DataFrame, block_steps: int = LONG_PLAN_STEPS, sizes: DataFrame | None = None) -> DataFrame:
     """Whether each precondition, and at the end each distinct goal (without a step), of plan logs holds.
 
     ``rows`` are those of :func:`planloom.sources.texts.log_rows`. Logs with more steps than ``block_steps`` are
-    replayed in blocks, like all long plans.
+    replayed in blocks, like all long plans. ``sizes`` (``plan_name, n_actions``, a log may have several rows) tells how
+    many steps the logs have where that is known, so that the logs need not be parsed to count them.
     """
-    long = long_groups(rows, ["plan_name"], F.col("action").isNotNull().cast("long"), block_steps)
+    if sizes is None:
+        long = long_groups(rows, ["plan_name"], F.col("action").isNotNull().cast("long"), block_steps)
+    else:
+        long = long_groups(sizes, ["plan_name"], F.col("n_actions"), block_steps)
 
     def of(part: Part) -> DataFrame:
         events = log_timeline(part.chunks)

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from planloom.operators.replay import AT_END, PLACES, observe, spread
-from planloom.operators.validate import condition_ranks, rank_of, worst_class
+from planloom.operators.validate import condition_ranks, name_findings, rank_of, worst_class
 from planloom.plans.corpus import Corpus, Part
-from planloom.schemas import BAD_OPERATOR, TYPE_CHECKING, UNKNOWN_TYPE
+from planloom.schemas import BAD_OPERATOR, TYPE_CHECKING
 from planloom.sources.domain_texts import PRE, DomainTables, ancestors
 
 # Rows of a domain's table that are sent to all tasks.
@@ -35,7 +35,8 @@ class TableDomain:
         wanted = tables.params.filter("slot >= 0").select("op", "slot", F.col("type").alias("wanted"))
         # Types below the wanted one, and that type itself where the tree does not list it.
         below = wanted.join(accepted, wanted["wanted"] == accepted["ancestor"]).select("op", "slot", accepted["type"])
-        self.accepts = small(below.unionByName(wanted.withColumnRenamed("wanted", "type")).distinct())
+        accepts = below.unionByName(wanted.withColumnRenamed("wanted", "type"))
+        self.accepted = small(accepts.groupBy("op", "slot").agg(F.collect_set("type").alias("accepted")))
 
 
 def _token(args: Column) -> Column:
@@ -71,24 +72,23 @@ def timeline(part: Part, domain: TableDomain) -> DataFrame:
     return spread(part, rows) if part.blocked else rows
 
 
-def argument_findings(corpus: Corpus, domain: TableDomain, objects: DataFrame) -> DataFrame:
+def argument_findings(corpus: Corpus, domain: TableDomain, objects: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """What the operators and arguments of a plan's steps break: ``plan_id, rank, step``."""
     keys = [c for c in ("problem_id", "name") if c in objects.columns]
     steps = corpus.any_order().select("plan_id", *keys[:-1], F.inline("steps")).join(domain.arity, "op", "left")
-    no_step = F.lit(None).cast("long").alias("step")
     shape = F.when(F.col("arity").isNull(), rank_of(BAD_OPERATOR)).when(F.size("args") != F.col("arity"), rank_of(TYPE_CHECKING))
-    shapes = steps.select("plan_id", shape.alias("rank"), no_step).filter(F.col("rank").isNotNull())
+    slots = steps.select("plan_id", *keys[:-1], "op", shape.alias("shape"), F.posexplode_outer("args").alias("slot", "name"))
+    # A step without arguments has no slot.
+    slots = slots.withColumn("slot", F.coalesce("slot", F.lit(-1)))
+    known = objects.groupBy(*keys).agg(F.lit(True).alias("is_known"), F.collect_set("type").alias("types"))
+    fits = F.coalesce(F.arrays_overlap("types", "accepted"), F.lit(False))
+    def judged(looked_up: DataFrame) -> DataFrame:
+        return looked_up.join(domain.accepted, ["op", "slot"], "left")
 
-    slots = steps.select("plan_id", *keys[:-1], "op", F.posexplode("args").alias("slot", "name"))
-    uses = [*keys, "op", "slot"]
-    typed = slots.select(*uses).distinct().join(objects.select(*keys, "type"), keys, "left")
-    fitting = domain.accepts.select("op", "slot", "type", F.lit(True).alias("fits"))
-    judged = typed.join(fitting, ["op", "slot", "type"], "left").groupBy(*uses).agg(F.count("type").alias("types"), F.count("fits").alias("fitting"))
-    failing = judged.filter("fitting = 0").select(*uses, F.when(F.col("types") == 0, rank_of(UNKNOWN_TYPE)).otherwise(rank_of(TYPE_CHECKING)).alias("rank"))
-    return shapes.unionByName(slots.join(failing, uses).select("plan_id", "rank", no_step))
+    return name_findings(slots, known, fits, hot, corpus.long is not None, judged)
 
 
-def classify(corpus: Corpus, domain: TableDomain, objects: DataFrame) -> DataFrame:
+def classify(corpus: Corpus, domain: TableDomain, objects: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """One row per plan: ``plan_id, class, step``, as :func:`planloom.operators.validate.classify` gives it."""
     conditions = corpus.over_parts(lambda part: condition_ranks(observe(part, timeline(part, domain))))
-    return worst_class(conditions.unionByName(argument_findings(corpus, domain, objects)))
+    return worst_class(conditions.unionByName(argument_findings(corpus, domain, objects, hot)))

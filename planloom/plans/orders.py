@@ -30,6 +30,9 @@ LINE_ORDER = [
 ]
 LINE_BLOCK = ["l_linenumber", "l_shipdate"]
 
+# Plans that are sent to all tasks: 8 MB of keys.
+SENT_PLANS = 1_000_000
+
 # The thresholds that plant each kind of error.
 STOCKED_QUANTITY = 45
 SWAPPED_DISCOUNT = 0.10
@@ -125,7 +128,9 @@ class OrderPlans:
         self.orders = table("orders").withColumnRenamed("o_orderkey", "plan_id")
 
     def only(self, plans: DataFrame) -> OrderPlans:
-        """The same tables with some plans only."""
+        """The same tables with some plans only. Distinct ``plans`` that are counted to be few are sent to the lines."""
+        few = plans.limit(SENT_PLANS + 1).count() <= SENT_PLANS
+        plans = F.broadcast(plans) if few else plans
         some = copy(self)
         some.lineitem = self.lineitem.join(plans, "plan_id", "left_semi")
         some.orders = self.orders.join(plans, "plan_id", "left_semi")
@@ -199,36 +204,40 @@ class OrderPlans:
         zero = F.lit(0).cast("long")
         return counted.withColumns({f"n_{m}": F.coalesce(f"n_{m}", zero) for m in MEASURES})
 
+    def steps(self) -> DataFrame:
+        """How many steps the orders with lines have: ``plan_id, o_custkey, n_actions``."""
+        counted = self.lineitem.groupBy("plan_id").agg(F.sum(n_steps()).alias("n_actions"))
+        return self.orders.select("plan_id", "o_custkey").join(counted, "plan_id")
+
     def unordered(self, *keep: str) -> DataFrame:
         return as_chunks(self.lines(), *keep)
 
     def objects(self) -> DataFrame:
-        """The objects each problem lists: ``problem_id, name, type``.
+        """The objects each problem lists, once or more: ``problem_id, name, type``.
 
         A customer's problem lists the customer, the parts of its orders and their suppliers,
         as far as the tables hold them. Parts of one size are left out.
         """
-        lines = self.lines()
-        part = self.table("part").filter(F.col("p_size") != UNLISTED_SIZE).select(F.col("p_partkey").alias("key"))
-        supplier = self.table("supplier").select(F.col("s_suppkey").alias("key"))
-
-        def of_lines(key: str, prefix: str, kind: str, listed: DataFrame) -> DataFrame:
-            used = lines.select("problem_id", F.col(key).alias("key")).distinct()
-            return used.join(listed, "key", "left_semi").select(
-                "problem_id", named(prefix, "key").alias("name"), F.lit(kind).alias("type")
-            )
-
+        part = self.table("part").filter(F.col("p_size") != UNLISTED_SIZE).select(F.lit("part").alias("type"), F.col("p_partkey").alias("key"))
+        supplier = self.table("supplier").select(F.lit("supplier").alias("type"), F.col("s_suppkey").alias("key"))
+        used = [F.struct(F.lit(kind).alias("type"), F.col(key).alias("key")) for kind, key in (("part", "l_partkey"), ("supplier", "l_suppkey"))]
+        # Lines meet their orders once for both; an object of several lines has a row for each.
+        of_lines = self.lines().select("problem_id", F.inline(F.array(*used))).join(part.unionByName(supplier), ["type", "key"], "left_semi")
+        prefix = F.when(F.col("type") == "part", "part").otherwise("supp")
         customer = problem("c_custkey")
         return union(
             [
-                of_lines("l_partkey", "part", "part", part),
-                of_lines("l_suppkey", "supp", "supplier", supplier),
+                of_lines.select("problem_id", F.concat(prefix, F.col("key").cast("string")).alias("name"), "type"),
                 self.table("customer").select(
                     customer.alias("problem_id"), customer.alias("name"), F.lit("customer").alias("type")
                 ),
             ]
         )
 
+    def busy_problems(self) -> DataFrame | None:
+        """Problems with a large share of the steps."""
+        return hot_keys([key_counts(self.steps(), "o_custkey", problem(), "problem_id", "n_actions")])
+
     def hot_problems(self) -> DataFrame | None:
         """Problems with a large share of the plans."""
         return hot_keys([key_counts(self.orders, "o_custkey", problem(), "problem_id")])

@@ -139,3 +139,23 @@ def test_score_table_keeps_all_buckets(spark):
     assert sorted(table) == [0, 1, 2, 3, 4, 5, 9] and table[9]["valid"] == 1
     assert (table[0]["total"], table[0]["valid"], table[0]["precondition_error"]) == (2, 1, 1)
     assert table[1]["total"] == 0 and table[3]["valid"] == 1
+
+
+def test_logs_of_known_sizes_are_not_parsed_to_be_counted(spark):
+    unread = spark.range(1).select(F.lit("a.SOL").alias("plan_name"), F.raise_error(F.lit("parsed")).alias("action"))
+    unread = unread.select("plan_name", F.lit(1).cast("long").alias("step"), *(F.expr(f"cast(null as array<string>) {c}") for c in ("initial", "goals")), F.struct(*(F.array(F.col("action").cast("string")).alias(c) for c in ("precondition", "positive_effects", "negative_effects"))).alias("action"))
+    sizes = spark.createDataFrame([("a.SOL", 3), ("b.SOL", 1)], "plan_name string, n_actions long")
+    assert ops.replay_logs(unread, 2, sizes).columns == ["plan_id", "step", "fact", "holds"]
+
+
+@pytest.mark.parametrize("hot", [None, ["p1"]])
+def test_names_are_judged_alike_in_hot_problems(spark, hot):
+    load = ("LOAD-TRUCK", ["obj1", "tru1", "pos1"])
+    steps = {"a": ("p1", [load]), "b": ("p1", [("LOAD-TRUCK", ["obj1", "tru9", "pos1"])]), "c": ("p2", [load]), "d": ("p1", [("LOAD-TRUCK", ["tru1", "obj1", "pos1"])])}
+    rows = [(n, 1, ["attru1pos1", "atobj1pos1"], [], s, p) for n, (p, s) in steps.items()] + [("e", 1, [], [], [("WAIT", [])], "p1")]
+    corpus = from_chunks(spark.createDataFrame(rows, SCHEMA + ", problem_id string"))
+    listed = [("p1", "obj1", "package"), ("p1", "tru1", "truck"), ("p1", "tru1", "city"), ("p1", "pos1", "location"), ("p1", "pos1", "location"), ("p2", "obj1", "package")]
+    listed = spark.createDataFrame(listed, "problem_id string, name string, type string")
+    hot = None if hot is None else spark.createDataFrame([(h,) for h in hot], "problem_id string")
+    found = {r["plan_id"]: r["class"] for r in validate.classify(corpus, LOGISTICS, listed, hot).collect()}
+    assert found == {"a": "valid", "b": "unknown_type_error", "c": "unknown_type_error", "d": "type_checking_error", "e": "bad_operator_error"}
