@@ -33,6 +33,11 @@ LINE_BLOCK = ["l_linenumber", "l_shipdate"]
 # Plans that are sent to all tasks: 8 MB of keys.
 SENT_PLANS = 1_000_000
 
+# Rows of lines and orders that a task of ordered work gets, and tasks for small tables. A line becomes up to ten events
+# that are sorted several times over, so these are far fewer rows than the same bytes would be elsewhere.
+TASK_ROWS = 100_000
+LEAST_TASKS = 8
+
 # The thresholds that plant each kind of error.
 STOCKED_QUANTITY = 45
 SWAPPED_DISCOUNT = 0.10
@@ -136,6 +141,18 @@ class OrderPlans:
         some.orders = self.orders.join(plans, "plan_id", "left_semi")
         return some
 
+    def dealt(self) -> OrderPlans:
+        """The same tables by plan, in as many partitions as their rows need, so that no task grows with the tables.
+
+        Partitions of a given number are not put together again by their bytes.
+        """
+        rows = self.lineitem.count() + self.orders.count()
+        tasks = max(LEAST_TASKS, -(-rows // TASK_ROWS))
+        some = copy(self)
+        some.lineitem = self.lineitem.repartition(tasks, "plan_id")
+        some.orders = self.orders.repartition(tasks, "plan_id")
+        return some
+
     def carrying(self, facts: DataFrame) -> OrderPlans:
         """The same tables, with what ``facts`` (one row per ``problem_id``) tell of each order's problem."""
         some = copy(self)
@@ -179,7 +196,7 @@ class OrderPlans:
         long = self.long_plans()
         plans = self.with_objects() if "objects" in keep else self
         ordinary, rest = number_rows(
-            plans.lines(empty=True),
+            plans.dealt().lines(empty=True),
             ["plan_id"],
             LINE_ORDER,
             LINE_BLOCK,
