@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,29 @@ def test_generated_rows_equal_generated_actions(spark):
     assert sorted((r["plan_id"], r["place"], r["action"]) for r in found) == sorted(map(tuple, want))
     n = Counter(r["plan_id"] for r in found)
     assert all(r["plan_length"] == n[r["plan_id"]] for r in found)
+
+
+@pytest.mark.parametrize("limit", [65_536, 3])
+@pytest.mark.parametrize("counted", [False, True])
+def test_generated_rows_of_ordinary_and_long_sequences(spark, monkeypatch, limit, counted):
+    monkeypatch.setattr(sequences, "long_groups", partial(sequences.long_groups, limit=limit))
+    rng, kinds = random.Random(9), [START, GOALS, ACTIONS, END, PAD, "A", "B"]
+    sequences_of = [(i, [rng.choice(kinds) for _ in range(rng.randint(1, 7))]) for i in range(60)]
+    # Repeated positions, and a plan without a name.
+    rows = [(i or None, at, token) for i, tokens in sequences_of for at, token in enumerate(tokens)]
+    rows += [r for r in rows if r[0] is not None and r[0] % 10 == 0]
+    long = None if limit > 3 else spark.createDataFrame([(i,) for i, t in sequences_of if len(t) > 3], "plan_id long")
+    tokens = spark.createDataFrame(rows, "plan_id long, position long, token string")
+    found = sequences.generated_rows(tokens, long if counted else None, counted).collect()
+    want = []
+    for i, own in sequences_of[1:]:
+        tail = own[own.index(ACTIONS) + 1 :] if ACTIONS in own else own
+        stop = tail.index(END) if END in tail else tail.index(PAD) if PAD in tail else len(tail)
+        want += [(i, place, t, stop) for place, t in enumerate(tail[:stop])] * (1 + (i % 10 == 0))
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
+def test_generated_tokens_are_made_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, ACTIONS), (1, 1, "A")], "plan_id long, position long, token string").write.parquet(f"{tmp_path}/t")
+    plan = sequences.generated_rows(spark.read.parquet(f"{tmp_path}/t"), counted=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
