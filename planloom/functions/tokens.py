@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from planloom.plans.domains import Domain
 from planloom.schemas import END
 
-# Fixed value: the shape of an object name inside an action token.
+# The shape of an object name inside an action token, and the letters it begins with.
 OBJECT_NAME = r"([a-z]+\d+)"
+OBJECT_LETTERS = r"([a-z]+)\d+"
 
 
 def normalize(text: Column) -> Column:

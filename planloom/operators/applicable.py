@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.tokens import OBJECT_NAME
+from planloom.functions.tokens import OBJECT_LETTERS, OBJECT_NAME
 from planloom.plans.corpus import union
 from planloom.plans.domains import Action, Atom, Domain, predicate_token
 
 
 def parse_facts(facts: DataFrame, domain: Domain) -> DataFrame:
-    """Fact tokens as ``plan_id, predicate, args``."""
+    """Fact tokens as ``plan_id, predicate, args, letters``; the letters of an argument tell its type."""
     known = sorted(domain.predicates(), key=len, reverse=True)
     pattern = "^(" + "|".join(known) + ")"
-    rest = F.regexp_replace("fact", pattern, "")
-    return facts.select(
+    split = facts.select("plan_id", "fact", F.regexp_extract("fact", pattern, 1).alias("predicate"))
+    rest = F.substr("fact", F.length("predicate") + 1)
+    return split.select(
         "plan_id",
-        F.regexp_extract("fact", pattern, 1).alias("predicate"),
+        "predicate",
         F.regexp_extract_all(rest, F.lit(OBJECT_NAME), F.lit(1)).alias("args"),
+        F.regexp_extract_all(rest, F.lit(OBJECT_LETTERS), F.lit(1)).alias("letters"),
     )
 
 
@@ -35,31 +37,33 @@ def _joinable_order(action: Action) -> list[tuple[Atom, list[str]]]:
     return order
 
 
-def _bindings(parsed: DataFrame, domain: Domain, place: int) -> DataFrame:
-    """What the facts bind in the precondition at one place of every action.
+def _bindings(parsed: DataFrame, domain: Domain) -> DataFrame:
+    """What the facts bind in the preconditions of every action.
 
-    Rows ``plan_id, action, key, slots``: the values shared with earlier places and
-    the values of all parameters, null where the precondition does not mention them.
+    Rows ``plan_id, action, place, key, slots``: the values of all parameters, null where the precondition at
+    that place does not mention them, and the values it shares with earlier places (at the first place, those
+    that the second place shares with it).
     """
     rows = []
     for action in domain.actions:
         order = _joinable_order(action)
-        if len(order) <= place:
-            continue
-        atom, shared = order[place]
         types = dict(action.params)
-        values = {v: F.get("args", F.lit(i)) for i, v in enumerate(atom[1:])}
-        fits = (F.col("predicate") == predicate_token(atom[0])) & (F.size("args") == len(values))
-        for variable, value in values.items():
-            fits = fits & domain.named_type(value, types[variable])
-        none = F.lit(None).cast("string")
-        row = F.struct(
-            F.lit(action.name).alias("action"),
-            F.concat_ws(" ", *[values[v] for v in shared]).alias("key"),
-            F.array(*[values.get(v, none) for v, _ in action.params]).alias("slots"),
-        )
-        rows.append(F.when(fits, row))
-    return parsed.select("plan_id", F.inline(F.array_compact(F.array(*rows))))
+        for place, (atom, shared) in enumerate(order):
+            values = {v: F.get("args", F.lit(i)) for i, v in enumerate(atom[1:])}
+            fits = (F.col("predicate") == predicate_token(atom[0])) & (F.size("args") == len(values))
+            for i, variable in enumerate(atom[1:]):
+                fits = fits & F.get("letters", F.lit(i)).isin(domain.named(types[variable]))
+            if place == 0 and len(order) > 1:
+                shared = order[1][1]
+            none = F.lit(None).cast("string")
+            row = F.struct(
+                F.lit(action.name).alias("action"),
+                F.lit(place).alias("place"),
+                F.concat_ws(" ", *[values[v] for v in shared]).alias("key"),
+                F.array(*[values.get(v, none) for v, _ in action.params]).alias("slots"),
+            )
+            rows.append(F.when(fits, row))
+    return parsed.select("plan_id", F.inline(F.array(*rows))).filter(F.col("action").isNotNull())
 
 
 def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
@@ -71,7 +75,12 @@ def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
     """
     actions = [a for a in domain.actions if a.pre]
     orders = {a.name: _joinable_order(a) for a in actions}
-    parsed = parse_facts(facts, domain)
+    # One exchange serves both sides of the joins below. The filter is not deterministic, or it would be pushed below
+    # that exchange on either side, and the facts be made and parsed for each.
+    found = _bindings(parse_facts(facts, domain), domain).repartition("plan_id", "action", "key")
+
+    def at_place(n: int) -> DataFrame:
+        return found.filter(F.when(F.monotonically_increasing_id() >= 0, F.col("place") == n)).drop("place")
 
     def with_places(n: int) -> list[str]:
         return [name for name, order in orders.items() if len(order) == n]
@@ -79,11 +88,11 @@ def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
     def longer(n: int) -> list[str]:
         return [name for name, order in orders.items() if len(order) > n]
 
-    bound = _bindings(parsed, domain, 0).drop("key")
+    bound = at_place(0)
     complete = []
     for place in range(1, max(len(o) for o in orders.values())):
         if with_places(place):
-            complete.append(bound.filter(F.col("action").isin(with_places(place))))
+            complete.append(bound.filter(F.col("action").isin(with_places(place))).select("plan_id", "action", "slots"))
 
         def shared_values(action: Action, place: int = place) -> Column:
             names = [v for v, _ in action.params]
@@ -91,12 +100,14 @@ def applicable_actions(facts: DataFrame, domain: Domain) -> DataFrame:
             shared = order[place][1] if len(order) > place else []
             return F.concat_ws(" ", *[F.get("slots", F.lit(names.index(v))) for v in shared])
 
-        waiting = bound.filter(F.col("action").isin(longer(place)))
-        left = waiting.withColumn("key", domain.by_operator(F.col("action"), shared_values))
-        right = _bindings(parsed, domain, place).withColumnRenamed("slots", "more")
+        left = bound.filter(F.col("action").isin(longer(place)))
+        if place > 1:
+            left = left.withColumn("key", domain.by_operator(F.col("action"), shared_values))
+        right = at_place(place).withColumnRenamed("slots", "more")
         merged = F.zip_with("slots", "more", lambda x, y: F.coalesce(x, y))
         joined = left.join(right, ["plan_id", "action", "key"])
         bound = joined.select("plan_id", "action", merged.alias("slots"))
+    bound = bound.select("plan_id", "action", "slots")
     complete.append(bound)
 
     def text(action: Action) -> Column:

@@ -165,15 +165,17 @@ def replay_facts(corpus: Corpus, domain: Domain) -> DataFrame:
     return corpus.over_parts(of)
 
 
-def _last_truth(part: Part, domain: Domain) -> DataFrame:
+def _last_truth(part: Part, domain: Domain, goals: bool = True) -> DataFrame:
     """Per plan and fact: whether it is true at the end, and whether it is a goal.
 
+    Without ``goals``, facts that are goals only are left out.
+
     The final truth of a fact is an aggregate, combined before any shuffle, so no
     block is needed however long a plan is.
     """
     is_goal = F.col("ord") == _AT_END
     is_effect = F.col("is_add").isNotNull()
-    ends = timeline(part, domain).filter(is_effect | is_goal).groupBy("plan_id", "fact")
+    ends = timeline(part, domain).filter(is_effect | is_goal if goals else is_effect).groupBy("plan_id", "fact")
     return ends.agg(
         F.max_by("is_add", F.when(is_effect, F.col("ord"))).alias("is_true"),
         F.bool_or(is_goal).alias("is_goal"),
@@ -189,7 +191,7 @@ def unsatisfied_goals(corpus: Corpus, domain: Domain) -> DataFrame:
 
 def final_facts(corpus: Corpus, domain: Domain) -> DataFrame:
     """The facts that are true after the last step: ``plan_id, fact``."""
-    ends = corpus.over_parts(lambda part: _last_truth(part, domain))
+    ends = corpus.over_parts(lambda part: _last_truth(part, domain, goals=False))
     return ends.filter("is_true").select("plan_id", "fact")
 
 

@@ -9,7 +9,7 @@ nested record, a source line and a single step all fit the same shape.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,6 +94,14 @@ class Corpus:
         """The results for ordinary and for long plans, which never share a plan."""
         return union([make(part) for part in self.parts()])
 
+    def with_initial(self, facts: Column) -> Corpus:
+        """The same plans with more initial facts, made of the columns that their chunks keep."""
+
+        def more(chunks: DataFrame | None) -> DataFrame | None:
+            return None if chunks is None else chunks.withColumn("initial", F.concat("initial", facts))
+
+        return replace(self, ordinary=more(self.ordinary), long=more(self.long), unordered=more(self.unordered))
+
     def chunks(self) -> DataFrame:
         return self.over_parts(lambda part: part.chunks)
 

@@ -76,10 +76,9 @@ class Domain:
         atoms = {a[0] for action in self.actions for a in action.pre + action.add + action.delete}
         return sorted(predicate_token(p) for p in atoms)
 
-    def named_type(self, name: Column, wanted: str) -> Column:
-        """Whether the letters of an object name stand for a type that fits."""
-        fitting = [p for p, kind in self.prefixes.items() if kind in self.accepted_types(wanted)]
-        return F.regexp_extract(name, r"^([a-z]+)\d", 1).isin(fitting)
+    def named(self, wanted: str) -> list[str]:
+        """The letters that names of objects of a type begin with."""
+        return [p for p, kind in self.prefixes.items() if kind in self.accepted_types(wanted)]
 
 
 def predicate_token(predicate: str) -> str:

@@ -53,3 +53,36 @@ def test_unconnected_preconditions_are_refused(spark):
         assert "share no variable" in str(error)
     else:
         raise AssertionError("expected an error")
+
+
+def test_facts_are_made_once_for_all_places(spark, tmp_path):
+    """Facts of repeated, foreign and malformed tokens, against a plain match of all preconditions."""
+    domain = Domain(
+        "d",
+        (
+            Action("ONE", (("a", "t"),), pre=(("p", "a"),)),
+            Action("TWO", (("a", "t"), ("b", "u")), pre=(("p", "a"), ("q", "a", "b"))),
+            Action("THREE", (("a", "t"), ("b", "u"), ("c", "t")), pre=(("p", "a"), ("q", "a", "b"), ("r", "b", "c"))),
+        ),
+        prefixes={"o": "t", "v": "u"},
+    )
+    facts = [(n, f) for n in (1, 2) for f in ("po1", "po2", "qo1v1", "qo2v2", "rv1o2", "rv1o1", "qv1o1", "po1o2", "xo1", "p", "")]
+    facts += [(2, "qo1v2"), (3, "qo1v1"), (1, None), (None, "po1"), (None, "qo1v1")]
+    spark.createDataFrame(facts, "plan_id long, fact string").write.parquet(f"{tmp_path}/f")
+    allowed = applicable.applicable_actions(spark.read.parquet(f"{tmp_path}/f"), domain)
+    want = {(n, a) for n in (1, 2) for a in ("ONE_o1", "ONE_o2", "TWO_o1_v1", "TWO_o2_v2", "THREE_o1_v1_o1", "THREE_o1_v1_o2")}
+    # Without a plan there is nothing to join.
+    want |= {(2, "TWO_o1_v2"), (None, "ONE_o1")}
+    rows = list(map(tuple, allowed.collect()))
+    assert set(rows) == want and len(rows) == len(want)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        allowed.collect()
+        joined = applicable.applicable_actions(spark.read.parquet(f"{tmp_path}/f"), domain)
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
