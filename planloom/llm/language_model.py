@@ -30,8 +30,10 @@ from __future__ import annotations
 import heapq
 import pickle
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +52,14 @@ WINDOW = 24
 STREAMS = 128
 SCORE_STREAMS = 512
 SCORE_WINDOW = 64
+SCORE_WORDS = 1 << 13
 RATE = 0.08
 ROUNDS = (1, 3, 4)
 FOLD = 16
+FEW_ROWS = 8
+MOST_LOGIT = 80
+ENDINGS = 1 << 16
+COUNTED_WORDS = 1 << 18
 ROUND_BYTES = 1 << 23
 TRAIN_WORDS = 1 << 20
 
@@ -74,16 +81,21 @@ def rare_class(word: bytes) -> int:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: Counter[bytes] = Counter()
     for batch in batches:
         offsets, data = lowered(batch.column("text"))
-        for a, b in slices(offsets, ROUND_BYTES):
-            seen: dict[bytes, int] = {}
-            add, numbers = seen.setdefault, []
-            for n in range(a, b):
-                numbers.append(np.array([add(w, len(seen)) for w in data[offsets[n] : offsets[n + 1]].split()], np.int64))
-            numbers.append(np.full(b - a, add(END, len(seen))))
-            counts = np.bincount(np.concatenate(numbers), minlength=len(seen))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(counts)], ["word", "n"])
+        for n in range(batch.num_rows):
+            seen.update(data[offsets[n] : offsets[n + 1]].split())
+            seen[END] += 1
+            if len(seen) >= COUNTED_WORDS:
+                yield _counted(seen)
+                seen = Counter()
+    if seen:
+        yield _counted(seen)
+
+
+def _counted(seen: Counter[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -165,98 +177,176 @@ def first_model(tables: dict) -> Arrays:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
+class Trace:
+    """What backpropagation needs of a window: gates, what reset scales, and the states before the steps."""
 
+    gates: np.ndarray
+    inner: np.ndarray
+    before: np.ndarray
 
-class Trace:
-    """What backpropagation needs of the steps of a window."""
 
-    def __init__(self):
-        self.steps: list[tuple] = []
+def _blocks(hidden: np.ndarray) -> np.ndarray:
+    """The weights of keep, reset and the new state apart, so that each is a whole block."""
+    return np.ascontiguousarray(hidden.reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
 
 
 def forward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, state: np.ndarray, trace: Trace | None) -> np.ndarray:
     """States before each token of a window: steps x streams x hidden. ``tokens`` are those read."""
-    h, out = HIDDEN, np.empty((*tokens.shape, HIDDEN), np.float32)
-    for t in range(len(tokens)):
-        before = state * ~clear[t][:, None]
-        x = model["input"][tokens[t]] + model["bias"]
-        y = before @ model["hidden"]
-        gates = _sigmoid(x[:, : 2 * h] + y[:, : 2 * h])
-        keep, reset = gates[:, :h], gates[:, h:]
-        new = np.tanh(x[:, 2 * h :] + reset * y[:, 2 * h :])
-        state = new + keep * (before - new)
-        out[t] = state
-        if trace is not None:
-            trace.steps.append((before, keep, reset, new, y[:, 2 * h :]))
+    steps, n = tokens.shape
+    hidden = _blocks(model["hidden"])
+    kind = hidden.dtype
+    # sigmoid(x) is 1 / (1 + exp(-x)), tanh(x) is 1 - 2 / (1 + exp(2 x)).
+    scale = np.array([-1, -1, 2], kind)[:, None, None]
+    hidden *= scale
+    x = model["input"].take(tokens, axis=0)
+    x += model["bias"]
+    gates = np.empty((steps, 3, n, HIDDEN), kind)
+    np.multiply(x.reshape(steps, n, 3, HIDDEN).transpose(0, 2, 1, 3), scale, out=gates)
+    out, y, part = np.empty((steps, n, HIDDEN), kind), np.empty((3, n, HIDDEN), kind), np.empty((n, HIDDEN), kind)
+    inner = np.empty((steps, n, HIDDEN), kind) if trace is not None else None
+    first, cleared, one, two = state, clear.any(axis=1).tolist(), kind.type(1), kind.type(2)
+    recur, bent, both, news = y[2], y[:2], gates[:, :2], gates[:, 2]
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            if cleared[t]:
+                state = state * ~clear[t][:, None]
+            np.matmul(state, hidden, out=y)
+            gate, new = both[t], news[t]
+            gate += bent
+            np.exp(gate, out=gate)
+            gate += one
+            np.divide(one, gate, out=gate)
+            if inner is not None:
+                inner[t] = recur
+            recur *= gate[1]
+            new += recur
+            np.exp(new, out=new)
+            new += one
+            np.divide(two, new, out=new)
+            np.subtract(one, new, out=new)
+            np.subtract(state, new, out=part)
+            part *= gate[0]
+            state = np.add(part, new, out=out[t])
+    if trace is not None:
+        inner *= kind.type(0.5)
+        trace.gates, trace.inner = gates, inner
+        trace.before = np.empty_like(out)
+        trace.before[0], trace.before[1:] = first, out[:-1]
+        trace.before[clear] = 0
     return out
 
 
 def backward(model: Arrays, tokens: np.ndarray, clear: np.ndarray, trace: Trace, slope: np.ndarray) -> Arrays:
     """Gradients of the recurrent part from the slopes of the states."""
-    h = HIDDEN
-    carried = np.zeros_like(slope[0])
-    hidden = np.zeros_like(model["hidden"])
-    inputs = np.empty((*tokens.shape, 3 * h), np.float32)
-    for t in range(len(tokens) - 1, -1, -1):
-        before, keep, reset, new, y = trace.steps[t]
-        total = slope[t] + carried
-        fresh = total * (1 - keep) * (1 - new * new)
-        x = inputs[t]
-        x[:, :h] = total * (before - new) * keep * (1 - keep)
-        x[:, h : 2 * h] = fresh * y * reset * (1 - reset)
-        x[:, 2 * h :] = fresh
-        y_slope = x.copy()
-        y_slope[:, 2 * h :] *= reset
-        hidden += before.T @ y_slope
-        carried = (total * keep + y_slope @ model["hidden"].T) * ~clear[t][:, None]
-    inputs = inputs.reshape(-1, 3 * h)
-    return {"hidden": hidden, "input": inputs, "bias": inputs.sum(axis=0)}
+    steps, n = tokens.shape
+    back = np.ascontiguousarray(_blocks(model["hidden"]).transpose(0, 2, 1))
+    keep, reset, new = (trace.gates[:, k] for k in range(3))
+    # All factors of a step but the slope of its state, which the steps after it make.
+    factors, fresh = np.empty_like(trace.gates), 1 - keep
+    np.subtract(trace.before, new, out=factors[:, 0])
+    factors[:, 0] *= keep
+    factors[:, 0] *= fresh
+    fresh *= 1 - new * new
+    np.multiply(fresh, reset, out=factors[:, 2])
+    np.multiply(factors[:, 2], trace.inner, out=factors[:, 1])
+    factors[:, 1] *= 1 - reset
+    slope, cleared = slope.astype(keep.dtype), clear.any(axis=1).tolist()
+    carried, parts = np.zeros_like(slope[0]), np.empty_like(factors[0])
+    for t in range(steps - 1, -1, -1):
+        total, step = slope[t], factors[t]
+        total += carried
+        step *= total
+        np.matmul(step, back, out=parts)
+        np.multiply(total, keep[t], out=carried)
+        carried += parts[0]
+        carried += parts[1]
+        carried += parts[2]
+        if cleared[t]:
+            carried *= ~clear[t][:, None]
+    inputs = np.empty((steps, n, 3, HIDDEN), keep.dtype)
+    inputs[...] = factors.transpose(0, 2, 1, 3)
+    rows = inputs.reshape(-1, 3 * HIDDEN)
+    hidden = trace.before.reshape(-1, HIDDEN).T @ rows
+    np.multiply(slope, fresh, out=inputs[:, :, 2])
+    return {"hidden": hidden, "input": rows, "bias": rows.sum(axis=0)}
 
 
 def _softmax(logits: np.ndarray, targets: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log-probabilities of the targets, and the slopes of their losses in place of the logits."""
-    rows = np.arange(len(targets))
-    logits -= logits.max(axis=1, keepdims=True)
-    found = logits[rows, targets]
+    at = np.arange(len(targets)) * logits.shape[1] + targets
+    flat = logits.reshape(-1)
+    # Within these bounds no exponential and no sum of them leaves the range of its type.
+    if len(flat) and not (flat.max() < MOST_LOGIT and flat.min() > -MOST_LOGIT):
+        logits -= logits.max(axis=1, keepdims=True)
+    found = flat[at]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1, keepdims=True)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
     if learn:
-        logits /= total
-        logits[rows, targets] -= 1
-    return found - np.log(total[:, 0]), logits
+        logits *= (1 / total)[:, None]
+        flat[at] -= 1
+    return found - np.log(total), logits
+
+
+def _joined(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with their bias as a last column, for states with a last column of ones."""
+    out = np.empty((*bias.shape, HIDDEN + 1), weights.dtype)
+    out[..., :-1], out[..., -1] = weights, bias
+    return out
 
 
 def outputs(model: Arrays, states: np.ndarray, targets: np.ndarray, learn: bool):
     """Log-probabilities of the targets without the rare classes' own part; gradients if asked for."""
     word_classes = len(model["word"])
     owner = np.where(targets < MODEL_WORDS, targets // CLASS_WORDS, targets - MODEL_WORDS + word_classes)
-    found, wrong = _softmax(states @ model["class"].T + model["class_bias"], owner, learn)
+    states = _joined(states, np.ones(len(states), states.dtype))
+    found, wrong = _softmax(states @ _joined(model["class"], model["class_bias"]).T, owner, learn)
     found = found.astype(np.float64)
-    grads: Arrays = {}
-    if learn:
-        slope = wrong @ model["class"]
-        grads = {"class": wrong.T @ states, "class_bias": wrong.sum(axis=0)}
-        grads |= {"word": np.zeros_like(model["word"]), "word_bias": np.zeros_like(model["word_bias"])}
     # States side by side by class, so that each class is a slice.
-    order = np.argsort(owner, kind="stable")
-    bounds = np.searchsorted(owner[order], np.arange(word_classes + 1))
-    order = order[: bounds[-1]]
-    near, slot, logs = states[order], targets[order] % CLASS_WORDS, np.empty(len(order), states.dtype)
-    inner = np.empty_like(near)
-    for c in np.flatnonzero(np.diff(bounds)).tolist():
-        own = slice(bounds[c], bounds[c + 1])
-        logits = near[own] @ model["word"][c].T + model["word_bias"][c]
-        logs[own], wrong = _softmax(logits, slot[own], learn)
-        if learn:
-            inner[own] = wrong @ model["word"][c]
-            grads["word"][c] = wrong.T @ near[own]
-            grads["word_bias"][c] = wrong.sum(axis=0)
+    order = np.argsort(owner.astype(np.uint16), kind="stable")
+    sizes = np.bincount(owner, minlength=word_classes)[:word_classes]
+    order = order[: sizes.sum()]
+    near, met = states[order], np.flatnonzero(sizes)
+    ends = np.cumsum(sizes[met]).tolist()
+    own = [slice(a, b) for a, b in zip([0, *ends], ends)]
+    word = _joined(model["word"][met], model["word_bias"][met])
+    logits = np.empty((len(order), CLASS_WORDS), near.dtype)
+    for rows, weights in zip(own, word):
+        np.matmul(near[rows], weights.T, out=logits[rows])
+    logs, inner = _softmax(logits, targets[order] % CLASS_WORDS, learn)
     found[order] += logs
-    if learn:
-        slope[order] += inner
-    return (found, slope, grads) if learn else found
+    if not learn:
+        return found
+    slope = wrong @ model["class"]
+    classes, words = wrong.T @ states, np.empty_like(word)
+    back = np.empty_like(near)
+    for k, rows in enumerate(own):
+        part = inner[rows]
+        np.matmul(part, word[k], out=back[rows])
+        np.matmul(part.T, near[rows], out=words[k])
+    slope[order] += back[:, :-1]
+    grads = {"class": classes[:, :-1], "class_bias": classes[:, -1]}
+    grads |= {"word": np.zeros_like(model["word"]), "word_bias": np.zeros_like(model["word_bias"])}
+    grads["word"][met], grads["word_bias"][met] = words[..., :-1], words[..., -1]
+    return found, slope, grads
+
+
+def sum_by(numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers and the sums of their rows."""
+    order = np.argsort(numbers.astype(np.uint16), kind="stable")
+    ordered = numbers[order]
+    first = np.flatnonzero(np.r_[True, np.diff(ordered) > 0])
+    sizes = np.diff(np.r_[first, len(ordered)])
+    sums = rows[order[first]]
+    # Numbers of few rows take these turn by turn, all others at once.
+    few = np.flatnonzero((sizes > 1) & (sizes <= FEW_ROWS))
+    for turn in range(1, FEW_ROWS):
+        few = few[sizes[few] > turn]
+        if not len(few):
+            break
+        sums[few] += rows[order[first[few] + turn]]
+    for k in np.flatnonzero(sizes > FEW_ROWS).tolist():
+        np.add.reduce(rows[order[first[k] : first[k] + sizes[k]]], axis=0, out=sums[k])
+    return ordered[first], sums
 
 
 # -- streams of documents -----------------------------------------------------------------------
@@ -301,15 +391,22 @@ class Streams:
         self.clear[at] = step == 0
         self.owner[at] = owner
 
-    def windows(self, steps: int) -> Iterator[tuple]:
-        longest = int(self.total[0])
-        for t in range(0, longest, steps):
-            n = int(np.searchsorted(-self.total, -t, side="left"))
-            step = np.arange(t, min(t + steps, longest))[:, None]
-            real = step < self.total[:n]
-            at = np.where(real, self.first[:n] + step, 0)
-            read = np.where(real, self.read[at], MODEL_WORDS + RARE_CLASSES)
-            yield n, read, self.clear[at] & real, np.where(real, self.target[at], -1), np.where(real, self.owner[at], -1)
+    def windows(self, steps: int, words: int | None = None) -> Iterator[tuple]:
+        """Windows of ``steps`` steps, or fewer where ``words`` words are reached."""
+        longest, falling, t = int(self.total[0]), -self.total, 0
+        while t < longest:
+            n = int(np.searchsorted(falling, -t, side="left"))
+            end = min(t + (steps if words is None else min(steps, max(1, words // n))), longest)
+            step = np.arange(t, end)[:, None]
+            at = self.first[:n] + step
+            if end <= self.total[n - 1]:
+                yield n, self.read[at], self.clear[at], self.target[at], self.owner[at]
+            else:
+                real = step < self.total[:n]
+                at[~real] = 0
+                read = np.where(real, self.read[at], MODEL_WORDS + RARE_CLASSES)
+                yield n, read, self.clear[at] & real, np.where(real, self.target[at], -1), np.where(real, self.owner[at], -1)
+            t = end
 
 
 def score_documents(model: Arrays, documents: list[np.ndarray]) -> np.ndarray:
@@ -317,14 +414,21 @@ def score_documents(model: Arrays, documents: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(documents))
     streams = Streams(documents, SCORE_STREAMS)
     state = np.zeros((len(streams.total), HIDDEN), np.float32)
-    for n, read, clear, target, owner in streams.windows(SCORE_WINDOW):
+    for n, read, clear, target, owner in streams.windows(SCORE_WINDOW, SCORE_WORDS):
         states = forward(model, read, clear, state[:n], None)
         state = states[-1]
         real = target >= 0
-        total += np.bincount(owner[real], outputs(model, states[real], target[real], False), len(documents))
+        logs = outputs(model, *_chosen(real, states, target), False)
+        total += np.bincount(owner[real], logs, len(documents))
     return total
 
 
+def _chosen(real: np.ndarray, states: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if real.all():
+        return states.reshape(-1, HIDDEN), target.ravel()
+    return states[real], target[real]
+
+
 class Trainer:
     """A copy of the model with the sums of squares that scale its steps."""
 
@@ -333,10 +437,22 @@ class Trainer:
         self.squares = {k: v.copy() for k, v in squares.items()}
         self.tokens = 0
 
-    def _move(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        total = self.squares[name][rows] + gradient * gradient
-        self.squares[name][rows] = total
-        self.model[name][rows] -= np.float32(RATE) * gradient / np.sqrt(total)
+    def _move(self, name: str, gradient: np.ndarray, rows: np.ndarray | None = None) -> None:
+        squares, model = self.squares[name], self.model[name]
+        step = gradient * gradient
+        if rows is None:
+            squares += step
+            np.sqrt(squares, out=step)
+        else:
+            step += squares[rows]
+            squares[rows] = step
+            np.sqrt(step, out=step)
+        gradient *= np.float32(RATE)
+        np.divide(gradient, step, out=step)
+        if rows is None:
+            model -= step
+        else:
+            model[rows] -= step
 
     def learn(self, documents: list[np.ndarray]) -> None:
         streams = Streams(documents, STREAMS)
@@ -346,18 +462,24 @@ class Trainer:
             states = forward(self.model, read, clear, state[:n], trace)
             state = states[-1]
             real = target >= 0
-            words = int(real.sum())
+            near, following = _chosen(real, states, target)
+            words = len(following)
             self.tokens += words
-            _, own, grads = outputs(self.model, states[real], target[real], True)
-            slope = np.zeros_like(states)
-            slope[real] = own
+            _, own, grads = outputs(self.model, near, following, True)
+            if words == real.size:
+                slope = own.reshape(states.shape)
+            else:
+                slope = np.zeros_like(states)
+                slope[real] = own
             grads |= backward(self.model, read, clear, trace, slope)
-            # Inputs: one sum for each number that was read.
-            seen, flat = grads.pop("input"), read.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
             scale = np.float32(1 / max(words, 1))
-            self._move("input", np.add.reduceat(seen[order], first, axis=0) * scale, flat[order][first])
+            numbers, sums = sum_by(read.ravel(), grads.pop("input"))
+            sums *= scale
+            self._move("input", sums, numbers)
+            # A class without words has no gradient, which makes no step.
+            met = np.flatnonzero(np.bincount(following[following < MODEL_WORDS] // CLASS_WORDS))
+            for name in ("word", "word_bias"):
+                self._move(name, grads.pop(name)[met] * scale, met)
             for name, gradient in grads.items():
                 self._move(name, gradient * scale)
 
@@ -370,21 +492,45 @@ class Numbers:
 
     def __init__(self, tables: dict):
         self.at = {w: n for n, w in enumerate(tables["words"])}
-        self.number, self.counts = tables["number"], tables["counts"]
-        self.logs = np.log10(self.counts + 1.0)
         self.end = self.at.get(END, -1)
+        self.log_mass = np.log10(tables["mass"])
+        # A last entry for the words beyond the head, whose place is -1.
+        number, logs = tables["number"], np.log10(tables["counts"] + 1.0)
+        self.number = np.append(number, 0).astype(np.int32)
+        self.logs = np.append(logs, 0.0)
+        rare = number >= MODEL_WORDS
+        self.inner = np.zeros(len(self.logs))
+        self.inner[:-1][rare] = logs[rare] - self.log_mass[number[rare] - MODEL_WORDS]
+
+    def places(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Places in the head with the end at last, where words beyond it are, and these words."""
+        found = chain(map(self.at.get, words, repeat(-1)), (self.end,))
+        place = np.fromiter(found, np.int32, len(words) + 1)
+        missing = (place < 0).nonzero()[0]
+        return place, missing, [words[n] if n < len(words) else END for n in missing.tolist()]
+
+    def numbers(self, place: np.ndarray, missing: np.ndarray, beyond: list[bytes]) -> np.ndarray:
+        """The model's numbers of words."""
+        out = self.number[place]
+        if beyond:
+            out[missing] = [MODEL_WORDS + rare_class(w) for w in beyond]
+        return out
+
+
+class Inputs:
+    """Model numbers alone, for which the words with inputs of their own and endings are enough."""
+
+    def __init__(self, tables: dict):
+        self.at = dict(zip(tables["words"][:MODEL_WORDS], tables["number"][:MODEL_WORDS].tolist()))
+        self.rare = lru_cache(ENDINGS)(rare_class)
 
-    def numbers(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Model numbers with the end at last, places in the head, and the words beyond it."""
-        place = np.empty(len(words) + 1, np.int64)
-        place[:-1] = np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
-        place[-1] = self.end
-        out = self.number[place] if len(self.number) else np.full(len(place), MODEL_WORDS)
-        missing = np.flatnonzero(place < 0)
-        beyond = [words[n] if n < len(words) else END for n in missing.tolist()]
-        out = out.copy()
-        out[missing] = [MODEL_WORDS + rare_class(w) for w in beyond]
-        return out.astype(np.int32), place[place >= 0].astype(np.int32), beyond
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        words.append(END)
+        out = np.fromiter(map(self.at.get, words, repeat(-1)), np.int32, len(words))
+        missing = (out < 0).nonzero()[0].tolist()
+        if missing:
+            out[missing] = [MODEL_WORDS + self.rare(words[n][-3:]) for n in missing]
+        return out
 
 
 def _train(held, turn: int):
@@ -392,7 +538,7 @@ def _train(held, turn: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, model, squares = held.value
-        numbers, trainer = Numbers(tables), Trainer(model, squares)
+        inputs, trainer = Inputs(tables), Trainer(model, squares)
         waiting, words = [], 0
         for batch in batches:
             offsets, data = lowered(batch.column("text"))
@@ -401,7 +547,7 @@ def _train(held, turn: int):
                 # The checksum is that of a whole text, so a text has the same turn everywhere.
                 if not low <= zlib.crc32(text) % sum(ROUNDS) < high:
                     continue
-                document = numbers.numbers(text.split())[0]
+                document = inputs.numbers(text.split())
                 waiting.append(document)
                 words += len(document)
                 if words >= TRAIN_WORDS:
@@ -437,11 +583,12 @@ def train(training: DataFrame, tables: dict) -> Arrays:
     """The model after all rounds."""
     context = training.sparkSession.sparkContext
     model = first_model(tables)
+    frequent = {k: tables[k][:MODEL_WORDS] for k in ("words", "number")}
     squares = {k: np.full_like(v, 1e-6) for k, v in model.items()}
     texts = training.select("text")
     parts = texts.rdd.getNumPartitions()
     for turn in range(len(ROUNDS)):
-        held = context.broadcast((tables, model, squares))
+        held = context.broadcast((frequent, model, squares))
         copies = texts.mapInArrow(_train(held, turn), "weight double, sums binary")
         left = parts
         while left > 1:
@@ -457,20 +604,18 @@ def _score(held):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, model = held.value
         numbers = Numbers(tables)
-        log_mass = np.log10(tables["mass"])
         for batch in batches:
             offsets, data = lowered(batch.column("text"))
             out = []
             for a, b in slices(offsets, ROUND_BYTES):
                 documents, known = [], []
                 for n in range(a, b):
-                    document, head, beyond = numbers.numbers(data[offsets[n] : offsets[n + 1]].split())
+                    place, missing, beyond = numbers.places(data[offsets[n] : offsets[n + 1]].split())
+                    document = numbers.numbers(place, missing, beyond)
                     documents.append(document)
-                    rare = document[document >= MODEL_WORDS] - MODEL_WORDS
                     # Counts of rare words in the head; those beyond it come from a join.
-                    own = numbers.logs[head]
-                    inner = own[numbers.number[head] >= MODEL_WORDS].sum() - log_mass[rare].sum()
-                    known.append((len(document), len(head), float(own.sum()), float(inner), beyond))
+                    inner = numbers.inner[place].sum() - numbers.log_mass[document[missing] - MODEL_WORDS].sum()
+                    known.append((len(document), len(document) - len(beyond), float(numbers.logs[place].sum()), float(inner), beyond))
                 scores = score_documents(model, documents) / np.log(10)
                 out += [(*k[:4], s + k[3], k[4]) for k, s in zip(known, scores.tolist())]
             columns = list(zip(*out)) if out else [[]] * 6

@@ -219,6 +219,85 @@ def test_state_is_carried_through_whole_documents(monkeypatch):
     assert np.allclose(together, language_model.score_documents(model_, documents_), rtol=1e-4)
 
 
+def plain_score(model, document):
+    """The model's log-probability without classes side by side, streams or windows, in double precision."""
+    m = language_model
+    model = {k: v.astype(np.float64) for k, v in model.items()}
+    h, state, read, total = m.HIDDEN, np.zeros(m.HIDDEN), m.MODEL_WORDS + m.RARE_CLASSES, 0.0
+    for word in document.tolist():
+        x, y = model["input"][read] + model["bias"], state @ model["hidden"]
+        keep, reset = (1 / (1 + np.exp(-(x[k : k + h] + y[k : k + h]))) for k in (0, h))
+        state = keep * state + (1 - keep) * np.tanh(x[2 * h :] + reset * y[2 * h :])
+        frequent = word < m.MODEL_WORDS
+        owner = word // m.CLASS_WORDS if frequent else word - m.MODEL_WORDS + len(model["word"])
+        parts = [(model["class"] @ state + model["class_bias"], owner)]
+        if frequent:
+            parts.append((model["word"][owner] @ state + model["word_bias"][owner], word % m.CLASS_WORDS))
+        total += sum(logits[k] - np.logaddexp.reduce(logits) for logits, k in parts)
+        read = word
+    return total
+
+
+def learned(rng):
+    table_ = tables(rng)
+    table_["number"] = np.minimum(table_["number"], language_model.MODEL_WORDS - 1)
+    model = language_model.first_model(table_)
+    return language_model.Trainer(model, {k: np.full_like(v, 1e-6) for k, v in model.items()})
+
+
+def test_scores_equal_a_plain_recomputation():
+    rng = np.random.default_rng(9)
+    trainer = learned(rng)
+    documents_ = [rng.choice([*range(200), 4096, 4100, 4159], n) for n in (1, 40, 300, 7)]
+    trainer.learn(documents_)
+    found = language_model.score_documents(trainer.model, documents_)
+    assert np.allclose(found, [plain_score(trainer.model, d) for d in documents_], rtol=1e-5)
+
+
+def test_only_rows_and_classes_that_were_met_are_moved(monkeypatch):
+    moved = []
+    monkeypatch.setattr(language_model.Trainer, "_move", lambda self, name, gradient, rows=None: moved.append((name, rows, gradient.shape)))
+    learned(np.random.default_rng(9)).learn([np.array([3, 130, 3, 4100, 5])])
+    rows = {name: (list(r), shape[0]) for name, r, shape in moved if r is not None}
+    assert rows["word"] == rows["word_bias"] == ([0, 2], 2)
+    assert rows["input"][0] == [3, 130, 4100, 4160]
+
+
+def test_rows_are_summed_by_number():
+    rng = np.random.default_rng(2)
+    numbers = np.r_[rng.integers(0, 9, 300), np.arange(20, 60), [70] * 5]
+    rows = rng.standard_normal((len(numbers), 6))
+    found, sums = language_model.sum_by(numbers, rows)
+    assert found.tolist() == sorted(set(numbers.tolist()))
+    assert np.allclose(sums, [rows[numbers == n].sum(axis=0) for n in found])
+
+
+def test_far_logits_stay_finite():
+    logits = np.array([[300.0, 1, 2], [-400, -401, -402], [0, 0, 0]], np.float32)
+    found, slopes = language_model._softmax(logits.copy(), np.array([0, 2, 1]), True)
+    want = logits - np.logaddexp.reduce(logits.astype(np.float64), axis=1)[:, None]
+    assert np.allclose(found, want[[0, 1, 2], [0, 2, 1]], atol=1e-4)
+    assert np.allclose(slopes, np.exp(want) - np.eye(3)[[0, 2, 1]], atol=1e-5)
+
+
+def test_windows_of_scoring_hold_a_bounded_number_of_words():
+    streams = language_model.Streams([np.arange(n) for n in [400] * 40 + [3000]], 64)
+    windows = list(streams.windows(64, 1024))
+    assert max(read.size for _, read, *_ in windows) <= 1024 and max(map(len, (w[1] for w in windows))) == 64
+    assert sum(int((target >= 0).sum()) for *_, target, _ in windows) == 40 * 400 + 3000
+
+
+def test_training_numbers_equal_those_of_the_whole_head():
+    words_ = [b"w%d" % n for n in range(5000)] + [language_model.END]
+    number = np.array([n if n < language_model.MODEL_WORDS else language_model.MODEL_WORDS + language_model.rare_class(w) for n, w in enumerate(words_)])
+    table_ = {"words": words_, "counts": np.arange(5001, 0, -1), "number": number, "mass": np.ones(language_model.RARE_CLASSES)}
+    head, inputs = language_model.Numbers(table_), language_model.Inputs(table_)
+    text = b"w1 w4999 new w4095 w4096 \xc3\xa4 w1".split()
+    want = [1, number[4999], 4096 + language_model.rare_class(b"new"), 4095, number[4096], 4096 + language_model.rare_class(b"\xc3\xa4"), 1, number[5000]]
+    assert head.numbers(*head.places(text)).tolist() == want
+    assert inputs.numbers(list(text)).tolist() == want
+
+
 def test_model_of_full_size():
     m = language_model
     assert (m.MODEL_WORDS, m.HIDDEN, m.RARE_CLASSES, m.WINDOW, m.STREAMS) == (4096, 32, 64, 24, 128)
