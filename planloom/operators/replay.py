@@ -107,13 +107,14 @@ def log_timeline(rows: DataFrame) -> DataFrame:
         events(F.col("action.positive_effects"), step * 3 + _ADD, F.lit(True), step),
         events(F.col("goals"), F.lit(_AT_END), none, none),
     )
-    return rows.select(F.col("plan_name").alias("plan_id"), F.inline(facts))
+    return rows.select(*(c for c in rows.columns if c == "key"), F.col("plan_name").alias("plan_id"), F.inline(facts))
 
 
 def replay_logs(rows: DataFrame, block_steps: int = LONG_PLAN_STEPS, sizes: DataFrame | None = None) -> DataFrame:
     """Whether each precondition, and at the end each distinct goal (without a step), of plan logs holds.
 
-    ``rows`` are those of :func:`planloom.sources.texts.log_rows`. Logs with more steps than ``block_steps`` are
+    ``rows`` are those of :func:`planloom.sources.texts.log_rows`; where they have the ``key`` they are dealt by, events of
+    whole logs are not moved. Logs with more steps than ``block_steps`` are
     replayed in blocks, like all long plans. ``sizes`` (``plan_name, n_actions``, a log may have several rows) tells how
     many steps the logs have where that is known, so that the logs need not be parsed to count them.
     """
@@ -130,8 +131,10 @@ def replay_logs(rows: DataFrame, block_steps: int = LONG_PLAN_STEPS, sizes: Data
         asked = seen.withColumn("again", again).filter(F.col("is_add").isNull() & ~F.col("again"))
         return asked.select("plan_id", "step", "fact", F.col("held").alias("holds"))
 
+    dealt = tuple(c for c in rows.columns if c == "key")
     if long is None:
-        return of(Part(rows, False, block_steps))
+        return of(Part(rows, False, block_steps, dealt))
+    rows = rows.drop("key")
     ordinary, rest = rows.join(long, "plan_name", "left_anti"), rows.join(long, "plan_name", "left_semi")
     return of(Part(ordinary, False, block_steps)).unionByName(of(Part(rest, True, block_steps)))
 
