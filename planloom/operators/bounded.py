@@ -40,6 +40,15 @@ def long_groups(
     return None if long.isEmpty() else long
 
 
+def unpruned(df: DataFrame) -> DataFrame:
+    """The same rows, with all columns in use.
+
+    Readers that need different columns of the same rows then share the exchange below, which would else be made once for
+    each set of columns. The condition always holds; it is not deterministic, so it stays above the exchange.
+    """
+    return df.filter(F.xxhash64(*df.columns).bitwiseAND(F.lit(0)) + F.monotonically_increasing_id() >= 0)
+
+
 def number_rows(
     df: DataFrame,
     keys: list[str],

@@ -57,7 +57,8 @@ def name_findings(
     no_step = F.lit(None).cast("long").alias("step")
 
     def at_once(some: DataFrame) -> DataFrame:
-        looked_up = judged(some.join(known, keys, "left"))
+        # Of a plan that is in one task already, equal slots are one row before they are moved to the names.
+        looked_up = judged(some.distinct().join(known, keys, "left"))
         return looked_up.select("plan_id", F.least("shape", F.when(complete, rank)).alias("rank"), no_step)
 
     def combined(some: DataFrame) -> DataFrame:

@@ -122,7 +122,11 @@ def union(frames: list[DataFrame]) -> DataFrame:
 
 def from_chunks(chunks: DataFrame, block_steps: int = LONG_PLAN_STEPS) -> Corpus:
     """Set the long plans of numbered chunks apart."""
-    long = long_groups(chunks, ["plan_id"], F.size("steps"), block_steps)
+    return set_apart(chunks, long_groups(chunks, ["plan_id"], F.size("steps"), block_steps), block_steps)
+
+
+def set_apart(chunks: DataFrame, long: DataFrame | None, block_steps: int = LONG_PLAN_STEPS) -> Corpus:
+    """The corpus of numbered chunks, of whose plans ``long`` are the long ones."""
     if long is None:
         return Corpus(chunks, block_steps=block_steps)
     return Corpus(

@@ -141,13 +141,17 @@ class OrderPlans:
         some.orders = self.orders.join(plans, "plan_id", "left_semi")
         return some
 
+    def tasks(self) -> int:
+        """How many tasks the rows of lines and orders need."""
+        rows = self.lineitem.count() + self.orders.count()
+        return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
     def dealt(self) -> OrderPlans:
         """The same tables by plan, in as many partitions as their rows need, so that no task grows with the tables.
 
         Partitions of a given number are not put together again by their bytes.
         """
-        rows = self.lineitem.count() + self.orders.count()
-        tasks = max(LEAST_TASKS, -(-rows // TASK_ROWS))
+        tasks = self.tasks()
         some = copy(self)
         some.lineitem = self.lineitem.repartition(tasks, "plan_id")
         some.orders = self.orders.repartition(tasks, "plan_id")
