@@ -36,7 +36,11 @@ class TableDomain:
         # Types below the wanted one, and that type itself where the tree does not list it.
         below = wanted.join(accepted, wanted["wanted"] == accepted["ancestor"]).select("op", "slot", accepted["type"])
         accepts = below.unionByName(wanted.withColumnRenamed("wanted", "type"))
-        self.accepted = small(accepts.groupBy("op", "slot").agg(F.collect_set("type").alias("accepted")))
+        accepts = accepts.groupBy("op", "slot").agg(F.sort_array(F.collect_set("type")).alias("accepted"))
+        # Slots that accept the same types are of one kind, named by the first of them.
+        kinds = accepts.groupBy("accepted").agg(F.min(F.struct("op", "slot")).alias("kind"))
+        self.accepted = small(kinds)
+        self.kinds = small(accepts.join(kinds, "accepted").select("op", "slot", "kind"))
 
 
 def _token(args: Column) -> Column:
@@ -48,27 +52,24 @@ def _token(args: Column) -> Column:
 
 def timeline(part: Part, domain: TableDomain) -> DataFrame:
     """The timeline of :func:`planloom.operators.replay.timeline`, grounded by a join."""
-    items = part.items()
-    none, step = F.lit(None), F.col("step")
-    conds = domain.conds.withColumnRenamed("args", "cond_args")
-    steps = items.filter(F.col("kind") == "step").select("plan_id", "step", "op", "args")
-    grounded = steps.join(conds.withColumnRenamed("kind", "how"), "op")
+    kind, step = F.col("kind"), F.col("step")
+    is_step = kind == "step"
+    conds = domain.conds.select(F.col("op").alias("cond_op"), F.col("kind").alias("how"), "predicate", F.col("args").alias("cond_args"))
+    # Facts, goals and starts pass the join, so that nothing has to be put together behind it, where chunks of plans would have
+    # to be moved again. They have no operator; where the join moves rows, each is under a key of its own.
+    key = F.when(is_step, F.col("op")).otherwise(F.concat(F.lit("("), F.xxhash64("plan_id", "fact").cast("string")))
+    grounded = part.items().withColumn("cond_op", key).join(conds, "cond_op", "left")
     place = F.element_at(F.create_map(*(x for k, v in PLACES.items() for x in (F.lit(k), F.lit(v)))), F.col("how"))
-    events = grounded.select(
+    last = max(PLACES.values())
+    rows = grounded.select(
         "plan_id",
-        _token(F.col("args")).alias("fact"),
-        (step * 3 + place).cast("long").alias("ord"),
-        F.when(F.col("how") != PRE, place == max(PLACES.values())).alias("is_add"),
-        step.cast("long").alias("step"),
+        F.when(is_step, _token(F.col("args"))).when(kind == "start", "").otherwise(F.col("fact")).alias("fact"),
+        F.when(is_step, step * 3 + place).when(kind == "goal", AT_END).when(kind == "init", last).otherwise(0).cast("long").alias("ord"),
+        F.when(is_step, F.when(F.col("how") != PRE, place == last)).when(kind == "init", True).alias("is_add"),
+        F.when(is_step, step).when(kind != "goal", 0).cast("long").alias("step"),
     )
-    fixed = items.filter(F.col("kind") != "step").select(
-        "plan_id",
-        F.when(F.col("kind") == "start", "").otherwise(F.col("fact")).alias("fact"),
-        F.when(F.col("kind") == "goal", AT_END).when(F.col("kind") == "init", max(PLACES.values())).otherwise(0).cast("long").alias("ord"),
-        F.when(F.col("kind") == "init", True).alias("is_add"),
-        F.when(F.col("kind") != "goal", 0).cast("long").alias("step"),
-    )
-    rows = events.filter(F.col("fact").isNotNull()).unionByName(fixed.filter(F.col("fact").isNotNull()).withColumn("is_add", F.coalesce("is_add", none)))
+    # A step of an unknown operator has no condition.
+    rows = rows.filter(F.col("fact").isNotNull())
     return spread(part, rows) if part.blocked else rows
 
 
@@ -80,10 +81,14 @@ def argument_findings(corpus: Corpus, domain: TableDomain, objects: DataFrame, h
     slots = steps.select("plan_id", *keys[:-1], "op", shape.alias("shape"), F.posexplode_outer("args").alias("slot", "name"))
     # A step without arguments has no slot.
     slots = slots.withColumn("slot", F.coalesce("slot", F.lit(-1)))
+    # Slots of one kind are equal to the names of a problem.
+    slots = slots.join(domain.kinds, ["op", "slot"], "left").drop("op", "slot")
+    slots = slots.withColumn("kind", F.coalesce("kind", F.struct(F.lit("").alias("op"), F.lit(-1).alias("slot"))))
     known = objects.groupBy(*keys).agg(F.lit(True).alias("is_known"), F.collect_set("type").alias("types"))
     fits = F.coalesce(F.arrays_overlap("types", "accepted"), F.lit(False))
+
     def judged(looked_up: DataFrame) -> DataFrame:
-        return looked_up.join(domain.accepted, ["op", "slot"], "left")
+        return looked_up.join(domain.accepted, "kind", "left")
 
     return name_findings(slots, known, fits, hot, corpus.long is not None, judged)
 

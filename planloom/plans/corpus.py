@@ -79,8 +79,8 @@ _ITEMS = "array<struct<kind:string,step:long,op:string,args:array<string>,fact:s
 class Corpus:
     """Chunks of ordinary plans, and of the plans longer than ``block_steps``.
 
-    ``unordered`` may hold the same chunks before their steps were numbered, for
-    work that does not depend on the order of the steps.
+    ``unordered`` may hold the same chunks in a form that is cheaper for work that
+    does not depend on the order of the steps, as before their steps were numbered.
     """
 
     ordinary: DataFrame

@@ -12,7 +12,7 @@ from copy import copy
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.operators.bounded import hot_keys, key_counts, long_groups, lookup, number_rows
+from planloom.operators.bounded import hot_keys, key_counts, long_groups, lookup, number_rows, unpruned
 from planloom.operators.stats import MEASURES, plan_sizes
 from planloom.plans.corpus import Corpus, union
 
@@ -208,11 +208,10 @@ class OrderPlans:
             n_steps(),
             long_rows=None if long is None else plans.only(long).lines(),
         )
-        return Corpus(
-            as_chunks(ordinary, *keep),
-            None if rest is None else as_chunks(rest, *keep),
-            as_chunks(plans.lines(), *keep),
-        )
+        if rest is None:
+            # What needs no order reads the exchange of what does.
+            return Corpus(as_chunks(ordinary, *keep), unordered=unpruned(as_chunks(ordinary, *keep)))
+        return Corpus(as_chunks(ordinary, *keep), as_chunks(rest, *keep), as_chunks(plans.lines(), *keep))
 
     def sizes(self) -> DataFrame:
         """Facts, goals and steps per plan, with the customer.
