@@ -89,6 +89,10 @@ def spread(part: Part, rows: DataFrame) -> DataFrame:
     return placed.repartition("plan_id", "block", "fact")
 
 
+# What a replay reads of the actions of a log.
+LOG_FIELDS = ("precondition", "negative_effects", "positive_effects")
+
+
 def log_timeline(rows: DataFrame) -> DataFrame:
     """The timeline of the rows of plan logs, from the preconditions and effects each action states itself.
 
